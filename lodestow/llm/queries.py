@@ -6,15 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op1_decontamination import op1_greedy_string_tiling
+from .op4_quality import op4_importance_resampling
 from .op5_sharding import op5_histogram_sort_sharding
 from .op6_jaccard import op6_ngram_jaccard_join
+from .op8_lm import op8_backoff_automaton
 from .op9_mixing import op9_sainte_lague_mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_greedy_string_tiling,
+        op4_importance_resampling,
         op5_histogram_sort_sharding,
         op6_ngram_jaccard_join,
+        op8_backoff_automaton,
         op9_sainte_lague_mixing,
     )
 }
