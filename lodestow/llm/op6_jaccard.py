@@ -127,8 +127,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
     """(id, n_shingles, component_id): classes of texts that links of Jaccard >= p / q reach, over sets of n-word shingles.
 
     1. Texts of one word sequence are one class, so that copies cost a row, not pairs.
-    2. First round: texts that share one of four minimum hashes are compared with the smallest such text
-       only, a pair a row at most, and verified. This joins the large groups of near copies.
+    2. First round: of the texts that share one of four minimum hashes, each is compared with one only, the one that
+       shares its hashes with most others, and verified. This joins the large groups of near copies.
     3. Exact round: each set posts its prefix of rarest shingles (two sets at the threshold share one).
        Tiles are a shingle and a band of set sizes; a pair meets in the bands p / q apart only. Texts already
        joined are not paired again; bitmaps bound the overlap before texts move and sorted arrays decide.
@@ -146,8 +146,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
     classes = keep(classes.groupBy("rep").agg(*(F.first(c).alias(c) for c in ["k1", "k2", "n", *_BITS, *_MINS])), "classes")
 
     # First round.
-    spread = classes.select("rep", "n", *_BITS, F.posexplode(F.array(*_MINS)).alias("round", "low"))
-    lead = spread.groupBy("round", "low").agg(F.min(F.struct("n", "rep", *_BITS)).alias("y"), F.count("*").alias("many")).where("many > 1").drop("many")
+    spread = classes.select("rep", F.posexplode(F.array(*_MINS)).alias("round", "low"))
+    sizes = spread.groupBy("round", "low").agg(F.count("*").alias("many")).where("many > 1")
+    crowd = spread.join(sizes, ["round", "low"]).groupBy("rep").agg(F.sum("many").alias("crowd"))
+    # The text that agrees with most others is the middle of its group: edits take a text away from all others.
+    crowded = keep(classes.join(crowd, "rep"), "crowded")
+    spread = crowded.select("rep", "n", "crowd", *_BITS, F.posexplode(F.array(*_MINS)).alias("round", "low"))
+    lead = spread.groupBy("round", "low").agg(F.min(F.struct(-F.col("crowd"), "rep", "n", *_BITS)).alias("y"))
     met = spread.select("round", "low", F.struct("n", "rep", *_BITS).alias("x")).join(lead, ["round", "low"]).where("x.rep <> y.rep").where(_bound(threshold))
     first = _linked(met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")), docs, n, threshold)
     found = components(first)
