@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .op1_decontamination import op1_greedy_string_tiling
+from .op10_html import op10_min_cut_extraction
+from .op3_fingerprint import op3_imatch_fingerprints
 from .op4_quality import op4_importance_resampling
 from .op5_sharding import op5_histogram_sort_sharding
 from .op6_jaccard import op6_ngram_jaccard_join
@@ -17,11 +19,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_greedy_string_tiling,
+        op3_imatch_fingerprints,
         op4_importance_resampling,
         op5_histogram_sort_sharding,
         op6_ngram_jaccard_join,
         op8_backoff_automaton,
         op9_sainte_lague_mixing,
+        op10_min_cut_extraction,
     )
 }
 
