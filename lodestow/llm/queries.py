@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .op1_decontamination import op1_greedy_string_tiling
 from .op10_html import op10_min_cut_extraction
+from .op2_pii import op2_information_sanitisation
 from .op3_fingerprint import op3_imatch_fingerprints
 from .op4_quality import op4_importance_resampling
 from .op5_sharding import op5_histogram_sort_sharding
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_greedy_string_tiling,
+        op2_information_sanitisation,
         op3_imatch_fingerprints,
         op4_importance_resampling,
         op5_histogram_sort_sharding,
