@@ -13,6 +13,7 @@ from .op3_fingerprint import op3_imatch_fingerprints
 from .op4_quality import op4_importance_resampling
 from .op5_sharding import op5_histogram_sort_sharding
 from .op6_jaccard import op6_ngram_jaccard_join
+from .op7_line_dedup import op7_line_set_similarity
 from .op8_lm import op8_backoff_automaton
 from .op9_mixing import op9_sainte_lague_mixing
 
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_importance_resampling,
         op5_histogram_sort_sharding,
         op6_ngram_jaccard_join,
+        op7_line_set_similarity,
         op8_backoff_automaton,
         op9_sainte_lague_mixing,
         op10_min_cut_extraction,
