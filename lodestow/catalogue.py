@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from .plans import cargo_queries, general_queries
+
+_MODULES = (cargo_queries, general_queries)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
+SQL: dict[str, str] = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
