@@ -306,7 +306,7 @@ SQL = {
       es AS (SELECT id, max(es) AS es FROM fw GROUP BY 1), bw AS (SELECT id, 0::BIGINT AS tail, 0 AS k FROM tasks UNION ALL SELECT b, max(tail + duration + lag), k + 1 FROM (SELECT l.b, f.tail, t.duration, l.lag, f.k FROM bw f JOIN links l ON l.a = f.id JOIN tasks t ON t.id = f.id) GROUP BY b, k),
       tl AS (SELECT id, max(tail) AS tail FROM bw GROUP BY 1), m AS (SELECT max(es + duration) AS span FROM es JOIN tasks USING (id))
       SELECT id, duration, es, span - tail - duration AS ls, span - tail - duration - es AS slack, span - tail - duration = es AS critical FROM es JOIN tl USING (id) JOIN tasks USING (id), m""",
-    "resource_sweep": """WITH p AS (SELECT o_orderpriority, at, sum(d) AS d FROM (SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS at, 1 AS d FROM orders UNION ALL SELECT o_orderpriority, CAST(o_orderdate AS DATE) + 14, -1 FROM orders) GROUP BY 1, 2), s AS (SELECT o_orderpriority, sum(d) OVER (PARTITION BY o_orderpriority ORDER BY at) AS load, lead(at) OVER (PARTITION BY o_orderpriority ORDER BY at) AS nx FROM p)
+    "resource_sweep": """WITH p AS (SELECT o_orderpriority, day, sum(d) AS d FROM (SELECT o_orderpriority, CAST(o_orderdate AS DATE) AS day, 1 AS d FROM orders UNION ALL SELECT o_orderpriority, CAST(o_orderdate AS DATE) + 14, -1 FROM orders) GROUP BY 1, 2), s AS (SELECT o_orderpriority, sum(d) OVER (PARTITION BY o_orderpriority ORDER BY day) AS load, lead(day) OVER (PARTITION BY o_orderpriority ORDER BY day) AS nx FROM p)
       SELECT o_orderpriority, CAST(max(load) AS BIGINT) AS peak, count(*) AS n_intervals FROM s WHERE nx IS NOT NULL GROUP BY 1""",
     "wbs_rollup": """SELECT coalesce(n_regionkey, -1) AS n_regionkey, coalesce(n_nationkey, -1) AS n_nationkey, CAST(CAST(min(o_orderdate) AS DATE) AS VARCHAR) AS first_day, CAST(CAST(max(o_orderdate) AS DATE) AS VARCHAR) AS last_day, round(sum(CASE WHEN o_orderstatus = 'F' THEN CAST(round(o_totalprice) AS BIGINT) ELSE 0 END)::DOUBLE / sum(CAST(round(o_totalprice) AS BIGINT))::DOUBLE, 6) AS progress, count(*) AS n
       FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_regionkey, n_nationkey)""",
