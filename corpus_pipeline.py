@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestow.llm._store import keep
+from lodestow.llm._store import bounded, keep
 from lodestow.llm.op1_decontamination import contamination
 from lodestow.llm.op4_quality import resample
 from lodestow.llm.op5_sharding import SHARDS, shard
@@ -33,17 +33,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows that repeat an id are copies: the one with the smallest text stays. Rows with a null id belong to no component and stay.
     """
-    joined = jaccard_components(docs, n=5, threshold=(80, 100))
-    first = keep(joined.where("doc_id = component_id").select("doc_id").distinct(), "first")
+    joined = keep(jaccard_components(docs, n=5, threshold=(80, 100)).select("doc_id", "component_id"), "components")
+    # Those that go are fewer than those that stay, and texts need not move to meet a short list.
+    gone = keep(joined.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    stay = docs.join(bounded(gone), "doc_id", "left_anti").select(*COLUMNS)
+    named, ids = joined.where("doc_id IS NOT NULL").agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if named == ids:
+        return stay
     one = Window.partitionBy("doc_id").orderBy("text", *COLUMNS[2:])
-    stay = docs.join(first, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select(*COLUMNS)
-    return stay.unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+    first = stay.where("doc_id IS NOT NULL").withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select(*COLUMNS)
+    return first.unionByName(stay.where("doc_id IS NULL"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no benchmark item."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    found = keep(contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct(), "found")
+    return docs.join(bounded(found), "doc_id", "left_anti").select(*COLUMNS)
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")

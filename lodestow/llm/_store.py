@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A list of ids is sent to all executors up to so many rows (some 32 MB); a longer one is joined by a shuffle.
+SENT_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,3 +27,8 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/lodestow/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded(ids: DataFrame) -> DataFrame:
+    """ids, marked for broadcast if a count of them allows. ids should be kept or cheap: they are counted here."""
+    return F.broadcast(ids) if ids.limit(SENT_ROWS + 1).count() <= SENT_ROWS else ids

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._sketch import count_table
-from ._store import keep
+from ._store import bounded, keep
 from ._text import PUNCT, as_long, ngrams, word_blocks
 
 #: A tile holds this many words at least.
@@ -122,7 +122,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     pairs = keep(pairs.where(F.col("shared") * MIN_MATCH >= F.col("words") * coverage).select("doc", "item"), "pairs")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     items = items.select(F.col("id").alias("item"), F.col("text").alias("item_text"))
-    texts = docs.join(pairs.select(F.col("doc").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    texts = docs.join(bounded(pairs.select(F.col("doc").alias("id")).distinct()), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     both = pairs.join(texts.withColumnRenamed("id", "doc"), "doc").join(F.broadcast(items) if size <= _BROADCAST_BYTES else items, "item")
     tiled = both.select("doc", "item", "text", "item_text").mapInArrow(_tile, "doc bigint, item bigint, covered bigint, words bigint, n_tiles bigint, longest bigint")
     return tiled.where(F.col("covered") >= F.col("words") * coverage).select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import keep
+from ._store import bounded, keep
 
 #: Jaccard threshold as a fraction.
 P, Q = 4, 5
@@ -36,8 +36,8 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """x of the pairs (x, y) of places whose word sets reach the threshold."""
     pairs = keep(pairs.distinct(), "pairs")
-    places = pairs.select("x.*").unionByName(pairs.select("y.*")).distinct()
-    texts = docs.join(places.select(F.col("id").alias(id_col)).distinct(), id_col, "left_semi")
+    places = keep(pairs.select("x.*").unionByName(pairs.select("y.*")).distinct(), "places")
+    texts = docs.join(bounded(places.select(F.col("id").alias(id_col)).distinct()), id_col, "left_semi")
     words = lines_of(texts, id_col, text_col).join(places, ["id", "h", "pos"]).dropDuplicates(["id", "h", "pos"])
     words = words.select(F.struct("id", "h", "pos").alias("place"), F.expr(f"array_distinct({_WORDS})").alias("words"))
     both = pairs.join(words.withColumnsRenamed({"place": "x", "words": "wx"}), "x").join(words.withColumnsRenamed({"place": "y", "words": "wy"}), "y")
