@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 #: Elements whose content is no text of the page.
 _SKIP = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "canvas", "object", "select", "noembed", "noframes", "xmp", "audio", "video", "datalist"}
 _BLOCK = {
@@ -25,6 +25,7 @@ _BOILER_WORDS = {
     "footer", "foot", "masthead", "topbar", "toolbar", "cookie", "cookies", "consent", "gdpr", "notice", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "comment", "comments", "reply", "replies", "respond",
     "disqus", "discussion", "share", "sharing", "social", "related", "recommended", "recommendations", "pagination", "pager", "tags", "copyright", "disclaimer", "skip", "search", "alert",
 }
+_BOILER_ARTICLES = {"ad", "ads", "advert", "advertisement", "comment", "comments", "reply", "related", "sponsored", "promo"}
 _BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu", "menubar"}
 _CONTENT_WORDS = {"article", "content", "post", "entry", "main", "story", "body", "text"}
 _CLOSES_P = _BLOCK - {"button", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "html", "body", "head"}
@@ -51,8 +52,10 @@ class _Node:
                     self.content |= value == "main"
                 elif key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                     boiler = True
-        if words and name not in ("html", "body", "article", "main"):
-            boiler |= bool(words & _BOILER_WORDS)
+        if name in ("article", "main"):
+            boiler |= bool(words & _BOILER_ARTICLES)
+        elif words and name not in ("html", "body"):
+            boiler |= bool(words & _BOILER_WORDS) or ("header" in words and not self.content)
             self.content |= bool(words & _CONTENT_WORDS) and not boiler
         self.boiler = boiler or bool(parent and parent.boiler)
 
