@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import sql
 from .op1_decontamination import op1_greedy_string_tiling
 from .op10_html import op10_min_cut_extraction
 from .op2_pii import op2_information_sanitisation
@@ -33,4 +34,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_information_sanitisation": sql.OP2, "op6_ngram_jaccard_join": sql.OP6}
