@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._store import bounded, keep
@@ -11,7 +11,7 @@ from ._store import bounded, keep
 P, Q = 4, 5
 #: Token counts are summed in so many buckets; a byte for each goes to every task.
 _BUCKETS = 1 << 18
-_WORDS = "filter(split(lower(line), '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '')"
+_WORDS = "array_remove(split(lower(line), '[\\\\x20\\\\x09-\\\\x0D]+'), '')"
 
 
 def rarity(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -60,37 +60,51 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = docs.where(F.col(id_col).isNotNull())
     table = F.lit(bytes(rarity(docs, text_col).first()[0]))  # _BUCKETS bytes
     lines = lines_of(docs, id_col, text_col).withColumn("hashes", F.expr(f"array_distinct(transform({_WORDS}, w -> xxhash64(w)))"))
-    lines = lines.withColumn("levels", F.transform("hashes", lambda h: F.substring(table, h.bitwiseAND(_BUCKETS - 1).cast("int") + 1, 1)))
-    ranked = F.array_sort(F.zip_with("hashes", "levels", lambda h, v: F.shiftleft(F.ascii(v.cast("string")).cast("bigint"), 56).bitwiseOR(h.bitwiseAND((1 << 56) - 1))))
-    lines = lines.withColumn("tokens", ranked).where(F.size("tokens") > 0)
-    n = F.size("tokens")
+    # A token: its level of rarity in the top byte, its hash below.
+    level = lambda h: F.ascii(F.substring(table, h.bitwiseAND(_BUCKETS - 1).cast("int") + 1, 1).cast("string")).cast("bigint")
+    lines = lines.where(F.size("hashes") > 0).withColumn("tokens", F.array_sort(F.transform("hashes", lambda h: F.shiftleft(level(h), 56).bitwiseOR(h.bitwiseAND((1 << 56) - 1)))))
     lines = lines.select(
-        "id", "h", "pos", F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(1), "tokens").alias("k2"), n.alias("n"),
+        "id", "h", "pos", F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(1), "tokens").alias("k2"), F.size("tokens").alias("n"),
         F.expr(f"slice(tokens, 1, size(tokens) - ({P} * size(tokens) + {Q - 1}) DIV {Q} + 1)").alias("prefix"),
         F.expr("aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, int(t & 63)))").alias("bits"),
     )
     lines = keep(lines, "lines")
-    place = F.struct("id", "h", "pos").alias("place")
+    place = F.struct("id", "h", "pos")
     classes = lines.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
-    classes = keep(classes, "classes")
-    copies = lines.join(classes.select("k1", "k2", "first"), ["k1", "k2"]).where(F.struct("id", "h", "pos") != F.col("first")).select("id", "h", "pos")
+    classes = keep(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+    copies = lines.select("k1", "k2", "id", "h", "pos").join(classes.select("k1", "k2", "first"), ["k1", "k2"]).where(place != F.col("first")).select("id", "h", "pos")
 
-    posted = classes.select("first", "n", "bits", F.posexplode("prefix").alias("i", "token"))
-    entry = F.struct("first", "n", "bits", "i")
+    # Postings are lean, as there is one for each token of a prefix: a class goes by its number.
+    posted = classes.select(F.posexplode("prefix").alias("i", "token"), "c", "n", "bits")
     # Least overlap at the threshold, and the most that lengths, the place of the shared token and the bitmaps allow.
     near = F.expr(
-        f"""y.first < x.first AND {Q} * least(x.n, y.n) >= {P} * greatest(x.n, y.n)
-        AND {P + Q} * least(x.n - x.i, y.n - y.i) >= {P} * (x.n + y.n)
+        f"""x.c <> y.c AND {Q} * least(x.n, y.n) >= {P} * greatest(x.n, y.n) AND {P + Q} * least(x.n - x.i, y.n - y.i) >= {P} * (x.n + y.n)
         AND {P + Q} * (x.n + y.n - bit_count(x.bits ^ y.bits)) >= {2 * P} * (x.n + y.n)"""
     )
-    heads = posted.groupBy("token").agg(F.min(entry).alias("y"), F.count("*").alias("many")).where("many > 1").select("token", "y")
-    shared = keep(posted.join(heads, "token").select("token", entry.alias("x"), "y"), "shared")
-    pair = [F.col("x.first").alias("x"), F.col("y.first").alias("y")]
-    gone = _verified(shared.where(near).select(*pair), docs, id_col, text_col)
-    rest = shared.select("token", "x").join(gone.select(F.col("x").alias("gone")), F.col("x.first") == F.col("gone"), "left_anti")
-    more = rest.join(shared.select("token", F.col("x").alias("y")), "token").where(near)
-    found = gone.unionByName(_verified(more.select(*pair), docs, id_col, text_col)).select("x.*")
-    return keep(found.unionByName(copies), "removed")
+    entry = ["c", "n", "bits", "i"]
+    by_token = Window.partitionBy("token")
+    shared = posted.withColumn("lo", F.min("c").over(by_token)).withColumn("hi", F.max("c").over(by_token)).where("lo < hi").select("token", *entry)
+    shared = keep(shared, "shared")
+    heads = shared.groupBy("token").agg(F.min(F.struct(*entry)).alias("y"))
+    met = shared.select("token", F.struct(*entry).alias("x")).join(heads, "token").where(near)
+    ends = [F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")]
+    places = classes.select("c", "first")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The class of the later line of each pair that reaches the threshold."""
+        pairs = keep(pairs.distinct(), "met")
+        both = pairs.join(places.withColumnsRenamed({"c": "a", "first": "fa"}), "a").join(places.withColumnsRenamed({"c": "b", "first": "fb"}), "b")
+        later = both.select(F.greatest("fa", "fb").alias("x"), F.least("fa", "fb").alias("y"), F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("c"))
+        later = keep(later, "later")
+        return later.select("x", "c").join(_verified(later.select("x", "y"), docs, id_col, text_col), "x", "left_semi").distinct()
+
+    gone = keep(verified(met.select(*ends)), "gone")
+    # A line that is found to go is no later line of another pair, but an earlier one it may be.
+    found = bounded(gone.select("c").distinct())
+    rest = shared.join(found, "c", "left_anti")
+    more = rest.select("token", F.struct(*entry).alias("x")).join(shared.select("token", F.struct(*entry).alias("y")), "token").where(near)
+    gone = gone.unionByName(verified(more.select(*ends))).select("x.*").distinct()
+    return keep(gone.unionByName(copies), "removed")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
