@@ -21,6 +21,13 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Whole texts are long rows: send 1,000 of them to a Python worker at a time, unless the session asks for another number."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: cuts the lineage and pins values that a recomputation could change."""
     spark = df.sparkSession

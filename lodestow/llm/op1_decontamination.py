@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._sketch import count_table
-from ._store import bounded, keep
+from ._store import bounded, keep, short_batches
 from ._text import PUNCT, as_long, ngrams, word_blocks
 
 #: A tile holds this many words at least.
@@ -107,6 +107,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     Null ids are passed over. Empty tables: no rows.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     items = benchmark.select(F.col(item_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL").groupBy("id").agg(F.min("text").alias("text"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ._select import splitters
 from ._sketch import count_table
-from ._store import keep
+from ._store import keep, short_batches
 from ._text import PUNCT, WHITE, mix, word_blocks
 
 FEATURES = 1 << 20
@@ -110,6 +110,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     an id labelled twice is good only if all its labels are.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     ratio, sample = fit(docs, labels, id_col, text_col)
     weight = weigher(spark, ratio)
     rows = docs.select(F.col(id_col), weight(F.col(text_col)).alias("w"))
