@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ._graph import components
 from ._sketch import count_table
-from ._store import keep
+from ._store import bounded, keep, short_batches
 from ._text import as_long, mix, ngrams, shingle_set, word_blocks
 
 _WORDS64 = 8  # a signature of 512 bits
@@ -116,8 +116,8 @@ def _bound(t: tuple[int, int], x: str = "x", y: str = "y") -> Column:
 def _linked(pairs: DataFrame, docs: DataFrame, n: int, t: tuple[int, int]) -> DataFrame:
     pairs = keep(pairs.distinct(), "pairs")
     # A semi join first: only texts that are in a pair move.
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    ids = keep(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+    texts = docs.join(bounded(ids), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return keep(both.mapInArrow(*_verify(n, t)), "links")
@@ -139,6 +139,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
     are named by their smallest id. Empty table: no rows. Ids are integers.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     every = keep(docs.mapInArrow(*_signatures(n)), "signatures")
     named = every.where("id IS NOT NULL AND n > 0")
@@ -165,13 +166,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
             grams = ngrams(words, n)  # those across two texts are few and only blur the order
             np.add.at(table, (grams & np.uint64(_SKETCH - 1)).astype(np.int64), 1)
 
-    counts = spark.sparkContext.broadcast(np.minimum(count_table(docs.select("text"), _SKETCH, add), 2**31).astype(np.int32).clip(0))
+    counts = spark.sparkContext.broadcast(np.minimum(count_table(docs.select("text"), _SKETCH, add), 2**31 - 1).astype(np.int32))
     by_hash = Window.partitionBy("hash")
     posted = docs.where("id IS NOT NULL").mapInArrow(*_postings(n, threshold, counts))
     shared = posted.withColumn("lo", F.min("id").over(by_hash)).withColumn("hi", F.max("id").over(by_hash)).where("lo < hi").select("hash", "id")
-    owner = named.select("id", "k1", "k2").join(labels, ["k1", "k2"]).drop("k1", "k2")
-    shared = shared.join(owner, "id").drop("id").dropDuplicates(["hash", "rep"])
-    open_ = shared.withColumn("lo", F.min("label").over(by_hash)).withColumn("hi", F.max("label").over(by_hash)).where("lo < hi").drop("lo", "hi")
+    owner = named.select("id", "k1", "k2").join(labels.select("k1", "k2", "rep", "label"), ["k1", "k2"]).drop("k1", "k2")
+    shared = shared.join(owner, "id").drop("id")
+    # Most tiles hold texts of one label only and go here, before sizes and bitmaps join the rows.
+    open_ = shared.withColumn("lo", F.min("label").over(by_hash)).withColumn("hi", F.max("label").over(by_hash)).where("lo < hi").select("hash", "rep", "label").distinct()
+    open_ = open_.join(labels.select("rep", "n", *_BITS), "rep")
     width = -math.log(threshold[0] / threshold[1])
     open_ = keep(open_.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(width))), "tiles")
     x = open_.select("hash", "band", F.struct("rep", "label", "n", "band", *_BITS).alias("x"))
