@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -32,52 +32,57 @@ def tiles(item: np.ndarray, doc: np.ndarray, least: int = MIN_MATCH) -> list[tup
     if min(len(item), len(doc)) < least:
         return out
     own, other = ngrams(item, least), ngrams(doc, least)
-    places: dict[int, list[int]] = defaultdict(list)
-    for q in np.flatnonzero(np.isin(other, own)).tolist():
-        places[int(other[q])].append(q)
-    seeds = [(p, q) for p, h in enumerate(own.tolist()) for q in places.get(h, ())]
-    free_item, free_doc = [True] * len(item), [True] * len(doc)
-    a, b = item.tolist(), doc.tolist()
-    while seeds:
-        found, alive = [], []
-        for p, q in seeds:
-            if not (free_item[p] and free_doc[q] and all(free_item[p : p + least]) and all(free_doc[q : q + least])):
-                continue
-            alive.append((p, q))
-            if p and q and free_item[p - 1] and free_doc[q - 1] and a[p - 1] == b[q - 1]:
-                continue  # part of the match that starts earlier
-            n = least
-            while p + n < len(a) and q + n < len(b) and free_item[p + n] and free_doc[q + n] and a[p + n] == b[q + n]:
-                n += 1
-            found.append((-n, p, q))
-        if not found:
-            break
-        found.sort()
-        longest = found[0][0]
-        for n, p, q in found:
-            if n != longest:
-                break
-            if all(free_item[p : p - n]) and all(free_doc[q : q - n]):
-                free_item[p : p - n] = free_doc[q : q - n] = [False] * -n
-                out.append((p, q, -n))
-        seeds = alive
+    shared = np.flatnonzero(np.isin(other, own))
+    shared = shared[np.argsort(other[shared], kind="stable")]
+    hashes = other[shared]
+    runs: list[tuple[int, int, int]] = []  # the longest matches without regard to tiles: few even where all words are equal
+    for p in np.flatnonzero(np.isin(own, hashes)).tolist():
+        q = shared[np.searchsorted(hashes, own[p]) : np.searchsorted(hashes, own[p], "right")]
+        if p:
+            q = q[(q == 0) | (other[q - 1] != own[p - 1])]  # the others are part of a match that starts earlier
+        n = least
+        while len(q):
+            on = q + n - least + 1 < len(other)
+            if p + n - least + 1 < len(own):
+                on[on] = other[q[on] + n - least + 1] == own[p + n - least + 1]
+            else:
+                on[:] = False
+            runs.extend((-n, p, x) for x in q[~on].tolist())
+            q, n = q[on], n + 1
+    heapify(runs)
+    free_item, free_doc = np.ones(len(item), bool), np.ones(len(doc), bool)
+    left = len(item)
+    while runs and left >= least:
+        n, p, q = heappop(runs)
+        free = free_item[p : p - n] & free_doc[q : q - n]
+        if free.all():
+            free_item[p : p - n] = free_doc[q : q - n] = False
+            left += n
+            out.append((p, q, -n))
+            continue
+        edge = np.diff(free.astype(np.int8), prepend=0, append=0)  # what tiles have left of it waits for its turn
+        for lo, hi in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
+            if hi - lo >= least:
+                heappush(runs, (lo - hi, p + lo, q + lo))
     return out
 
 
 def _seeds(batches: Iterator[pa.RecordBatch], gate=None) -> Iterator[pa.RecordBatch]:
+    """Distinct windows of each text, how often it holds them, and its words."""
     for batch in batches:
-        ids, hashes, owner, sizes = batch.column("id").to_pylist(), [], [], []
+        ids, hashes, counts, owner, sizes = batch.column("id").to_pylist(), [], [], [], []
         for lo, hi, words, bounds in word_blocks(batch.column("text").to_pylist(), space=PUNCT):
             for k in range(hi - lo):
                 own = ngrams(words[bounds[k] : bounds[k + 1]], MIN_MATCH)
                 if gate is not None:
                     own = own[gate.value[(own & np.uint64(_TABLE - 1)).astype(np.int64)]]
-                own = np.unique(own)
+                own, times = np.unique(own, return_counts=True)
                 hashes.append(own)
+                counts.append(times)
                 owner.append(np.full(len(own), ids[lo + k], np.int64))
                 sizes.append(np.full(len(own), bounds[k + 1] - bounds[k], np.int64))
         if hashes:
-            yield pa.record_batch([pa.array(as_long(np.concatenate(hashes))), pa.array(np.concatenate(owner)), pa.array(np.concatenate(sizes))], names=["seed", "id", "words"])
+            yield pa.record_batch([pa.array(as_long(np.concatenate(hashes))), pa.array(np.concatenate(owner)), pa.array(np.concatenate(counts)), pa.array(np.concatenate(sizes))], names=["seed", "id", "times", "words"])
 
 
 def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +106,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
 
     Words: runs of letters, digits and other non-ASCII characters, A-Z lower-cased. Documents and items meet by a join
     on shared windows of MIN_MATCH words. A table of the items' windows, of fixed size, keeps other windows from the
-    shuffle; its false hits cost time only. A pair goes on only if its shared windows could cover enough.
+    shuffle; its false hits cost time only. A pair goes on only if the item's places
+    with a shared window could cover enough: a tile of n words has n - MIN_MATCH + 1 such places, all its own.
 
     Null texts, and items or documents of fewer than MIN_MATCH words, hold nothing. Rows that repeat an id count once (smallest text).
     Null ids are passed over. Empty tables: no rows.
@@ -116,10 +122,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
             table[(part.column("seed").to_numpy().view(np.uint64) & np.uint64(_TABLE - 1)).astype(np.int64)] = 1
 
     gate = spark.sparkContext.broadcast(count_table(items, _TABLE, add) > 0)
-    schema = "seed bigint, id bigint, words bigint"
-    own = items.mapInArrow(_seeds, schema).select("seed", F.col("id").alias("item"), "words")
+    schema = "seed bigint, id bigint, times bigint, words bigint"
+    own = items.mapInArrow(_seeds, schema).select("seed", F.col("id").alias("item"), "times", "words")
     hits = docs.mapInArrow(lambda batches: _seeds(batches, gate), schema).select("seed", F.col("id").alias("doc")).distinct()
-    pairs = hits.join(own, "seed").groupBy("doc", "item").agg(F.count("*").alias("shared"), F.max("words").alias("words"))
+    pairs = hits.join(own, "seed").groupBy("doc", "item").agg(F.sum("times").alias("shared"), F.max("words").alias("words"))
     pairs = keep(pairs.where(F.col("shared") * MIN_MATCH >= F.col("words") * coverage).select("doc", "item"), "pairs")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     items = items.select(F.col("id").alias("item"), F.col("text").alias("item_text"))

@@ -163,6 +163,18 @@ def test_contamination(spark, docs, texts):
     assert got == {(1000, 1): (1.0, 1), (1001, 1): (1.0, 2)}
 
 
+def test_contamination_of_repeated_words(spark):
+    """Items with few distinct windows: one word over and over, digits, a phrase repeated."""
+    from .conftest import frame
+
+    bits = " ".join(str(b) for b in np.random.default_rng(8).integers(0, 2, 240))
+    repeated = ["7 " * 30, bits, "row row row your boat " * 9]
+    df = frame(spark, [f"before {t} after" for t in repeated] + ["7 7 7 7 7 and no more", "7 " * 20_000])
+    items = spark.createDataFrame(list(enumerate(repeated)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.coverage for r in op1.contamination(df, items).collect()}
+    assert got == {(0, 0): 1.0, (1, 1): 1.0, (2, 2): 1.0, (4, 0): 1.0}
+
+
 def test_contamination_edges(spark, empty, odd):
     items = spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6")], "item_id long, text string")
     assert op1.contamination(empty, items).count() == 0
