@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,17 +11,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._sketch import count_table
 from ._store import keep
 from ._text import as_long, mix, word_blocks
 
 ORDER = 3
-#: n-grams of this share of the training tokens or more become states: 1 / SHARE of each length at most, at any input size.
-SHARE = 1e-6
+#: n-grams that occur so often are states, at any input size.
 LEAST = 2
+#: States of this share of the training tokens or more are sent to every task: 1 / SHARE of each length at most. The others are joined.
+SHARE = 1e-6
 DISCOUNT = 0.75
 PRIOR = 0.1
-_SKETCH = 1 << 22
+#: Bits of a table that says which hashes may be states; a false hit costs time only. They come in pieces.
+_BITS, _PIECE = 1 << 27, 1 << 22
 _AT_ONCE = 2_000_000
 _END = np.uint64(0x1F83D9ABFB41BD6B)
 
@@ -73,7 +76,28 @@ class Table:
         return out
 
 
-_COUNT = pa.schema([("hash", pa.int64()), ("context", pa.int64()), ("suffix", pa.int64()), ("c", pa.int64())])
+def bit_table(hashes: DataFrame) -> np.ndarray:
+    """Packed bits, set at the low bits of each hash of hashes(hash). Each piece is made in one task, whatever the number of hashes."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column("at").to_numpy()
+            for k in np.unique(at // _PIECE).tolist():
+                pieces.setdefault(k, np.zeros(_PIECE, bool))[at[at // _PIECE == k] % _PIECE] = True
+        for k, piece in pieces.items():
+            yield pa.record_batch([pa.array([k]), pa.array([zlib.compress(np.packbits(piece, bitorder="little").tobytes(), 1)])], names=["piece", "bits"])
+
+    at = hashes.select(F.col("hash").bitwiseAND(F.lit(_BITS - 1)).alias("at"))
+    table = np.zeros(_BITS // 8, np.uint8)
+    for row in at.repartition(_BITS // _PIECE, F.shiftright("at", 22)).mapInArrow(fill, "piece bigint, bits binary").collect():  # a row a piece
+        table[row.piece * (_PIECE // 8) : (row.piece + 1) * (_PIECE // 8)] = np.frombuffer(zlib.decompress(row.bits), np.uint8)
+    return table
+
+
+def _may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & np.uint64(_BITS - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
 
 
 def _summed(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -96,104 +120,119 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def _count_grams(n: int, known, gate, least: int):
-    """Counts of n-grams whose parts are states and whose bucket in the count table reaches the least count."""
+def _count_grams(n: int, gate):
+    """Counts of distinct n-grams, as context and last token, whose two parts of n - 1 tokens may be states."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, buckets = [Table(*x) for x in known.value], gate.value
         for batch in batches:
             parts: list[np.ndarray] = []
             for _, _, tokens, bounds in _tokens(batch.column("text").to_pylist()):
                 own = _ending_at(tokens, bounds, n)
-                good = np.flatnonzero((own[n - 1] != 0) & (buckets[(own[n - 1] & np.uint64(_SKETCH - 1)).astype(np.int64)] >= least))
-                good = good[tables[0].find(tokens[good]) >= 0]
-                good = good[tables[n - 2].find(own[n - 2][good - 1]) >= 0]
-                parts.append(np.stack([own[n - 1][good], own[n - 2][good - 1], own[n - 2][good]]))
+                may = _may_hold(gate.value, own[n - 2])
+                good = np.flatnonzero(own[n - 1] != 0)
+                good = good[may[good] & may[good - 1]]
+                parts.append(np.stack([own[n - 1][good], own[n - 2][good - 1], tokens[good]]))
             whole = np.concatenate(parts, axis=1) if parts else np.empty((3, 0), np.uint64)
             _, first, counts = np.unique(whole[0], return_index=True, return_counts=True)
-            yield pa.record_batch([pa.array(as_long(np.ascontiguousarray(x[first]))) for x in whole] + [pa.array(counts)], schema=_COUNT)
+            yield pa.record_batch([pa.array(as_long(np.ascontiguousarray(x[first]))) for x in whole[1:]] + [pa.array(counts)], names=["context", "last", "c"])
+
+    return run, "context bigint, last bigint, c bigint"
+
 
-    return run, "hash bigint, context bigint, suffix bigint, c bigint"
+def _hashed(n: int):
+    """Hash of each n-gram and of its last n - 1 tokens; tail: hash of the last n - 2 of its context."""
+
+    def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix(a * np.uint64(0xA0761D6478BD642F) + b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            context, tail, last = (batch.column(x).to_numpy().view(np.uint64) for x in ("context", "tail", "last"))
+            suffix = last if n == 2 else joined(tail, last)
+            columns = [pa.array(as_long(joined(context, last))), pa.array(as_long(suffix)), *(batch.column(x) for x in ("context", "c", "context_c"))]
+            yield pa.record_batch(columns, names=["hash", "suffix", "context", "c", "context_c"])
+
+    return run, "hash bigint, suffix bigint, context bigint, c bigint, context_c bigint"
 
 
 def train(docs: DataFrame, order: int = ORDER, share: float = SHARE) -> dict:
-    """Automaton of docs(text): tables of states, with the vocabulary as a DataFrame (hash, c) that stays distributed.
+    """Automaton of docs(text), kept distributed: weights(hash, n, c, base, gain), a row a word or state.
 
-    State tables: n = 1: log10 P(word), log10 of the failure arc's weight. n > 1: log10 P(last word | rest), failure arc's weight.
+    base is log10 P(word), 0 for longer n-grams. The log10 P of a text is the sum of the gains of all n-grams in it: the gain of
+    a word is its base and its failure arc; that of a longer n-gram is log10 P(last word | rest) less what the way through its
+    context's failure arc would give, and its own failure arc. (A state's parts are states, and the end token has no arcs.)
     """
     spark = docs.sparkSession
     vocabulary = keep(docs.mapInArrow(_count_words, "hash bigint, c bigint").groupBy("hash").agg(F.sum("c").alias("c")), "vocabulary")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = max(LEAST, int(np.ceil(share * total)))
     scale = total + PRIOR * (distinct + 1)
-    rows = vocabulary.where(F.col("c") >= least).toPandas()  # 1 / share rows at most
-    words, c = rows["hash"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64)
-    tables = [Table(words, np.log10((c + PRIOR) / scale), np.zeros(len(c)), c)]
+    lower = vocabulary.select("hash", F.lit(0).cast("bigint").alias("suffix"), "c", F.log10((F.col("c") + PRIOR) / F.lit(scale)).alias("p"))
+    own = lower.select("hash", F.lit(1).alias("n"), "c", F.col("p").alias("base"), F.col("p").alias("gain"))
+    bits, parts = [bit_table(lower.where(F.col("c") >= LEAST))], []
     for n in range(2, order + 1):
-
-        def add(batch: pa.RecordBatch, table: np.ndarray, n: int = n) -> None:
-            for _, _, tokens, bounds in _tokens(batch.column("text").to_pylist()):
-                own = _ending_at(tokens, bounds, n)[n - 1]
-                np.add.at(table, (own[own != 0] & np.uint64(_SKETCH - 1)).astype(np.int64), 1)
-
-        buckets = np.minimum(count_table(docs.select("text"), _SKETCH, add), 2**31 - 1).astype(np.int32)
-        known, gate = spark.sparkContext.broadcast([t.packed() for t in tables]), spark.sparkContext.broadcast(buckets)
-        grams = docs.select("text").mapInArrow(*_count_grams(n, known, gate, least))
-        grams = grams.groupBy("hash", "context", "suffix").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-        got = grams.toPandas()  # 1 / share rows at most
-        key, context, suffix = (got[x].to_numpy(np.int64).view(np.uint64) for x in ("hash", "context", "suffix"))
-        c = got["c"].to_numpy(np.int64)
-        lower = tables[n - 2]  # holds every context and suffix: each occurs as often as its n-gram or more
-        at = lower.find(context)
+        gate = spark.sparkContext.broadcast(bits[-1])
+        counted = docs.select("text").mapInArrow(*_count_grams(n, gate)).groupBy("context", "last").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST)
+        found = counted.join(lower.select(F.col("hash").alias("context"), F.col("suffix").alias("tail"), F.col("c").alias("context_c")), "context")
+        found = found.mapInArrow(*_hashed(n)).join(lower.select(F.col("hash").alias("suffix"), F.col("p").alias("below")), "suffix")
+        grams = keep(found.select("hash", "suffix", "context", "c", F.log10((F.col("c") - DISCOUNT) / F.col("context_c")).alias("p"), "below"), "grams")
         # Absolute discount: what the n-grams of a context give up goes to its failure arc, less what they have below it.
-        p = (c - DISCOUNT) / lower.values[2][at]
-        kept, below = np.zeros(len(lower.keys)), np.zeros(len(lower.keys))
-        np.add.at(kept, at, p)
-        np.add.at(below, at, 10.0 ** lower.values[0][lower.find(suffix)])
-        arcs = kept > 0
-        lower.values[1][arcs] = np.log10(np.maximum(1 - kept[arcs], 1e-9) / np.maximum(1 - below[arcs], 1e-9))
-        tables.append(Table(key, np.log10(p), np.zeros(len(c)), c))
-        known.unpersist()
+        left = lambda x: F.greatest(1 - F.sum(F.pow(F.lit(10.0), x)), F.lit(1e-9))
+        arcs = keep(grams.groupBy("context").agg(F.log10(left("p") / left("below")).alias("arc")), "arcs")
+        parts.append(own.join(arcs.withColumnRenamed("context", "hash"), "hash", "left").select("hash", "n", "c", "base", (F.col("gain") + F.coalesce("arc", F.lit(0.0))).alias("gain")))
+        own = grams.join(arcs, "context").select("hash", F.lit(n).alias("n"), "c", F.lit(0.0).alias("base"), (F.col("p") - F.col("below") - F.col("arc")).alias("gain"))
+        lower = grams
+        bits.append(bit_table(grams))
         gate.unpersist()
-    return {"tables": tables, "vocabulary": vocabulary, "tokens": total, "distinct": distinct, "least": least}
+    weights = own
+    for part in parts:
+        weights = weights.unionByName(part)
+    weights = keep(weights, "weights")
+    hot = max(LEAST, math.ceil(share * total))
+    got = weights.where(F.col("c") >= hot).toPandas()  # order / share rows at most
+    tables = [Table(g["hash"].to_numpy(np.int64).view(np.uint64), g["base"].to_numpy(), g["gain"].to_numpy()) for g in (got[got["n"] == n] for n in range(1, order + 1))]
+    return {"tables": tables, "bits": bits, "weights": weights.where(F.col("c") < hot), "tokens": total, "distinct": distinct}
 
 
 _SCORE = pa.schema([("row", pa.int64()), ("n_tokens", pa.int64()), ("frequent", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
 
 
-def _traverse(tables: list[Table], tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each token's row in the table of words, its log10 P(word) and log10 P(word | state), the latter without its last
-    factor where the word is rare.
-
-    Left to right, the state is the longest n-gram of the tables that ends at the token before. A token follows
-    the state's own arc if it has one, else the failure arc to the next shorter state, and so on down to the words.
-    """
+def _traverse(tables: list[Table], bits: list[np.ndarray], tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token: is it in the table of words, its base and the gains of the n-grams that end there, as far as the tables
+    hold them. Of each word and possible state that they do not hold: its hash and place, in order of place."""
     own = _ending_at(tokens, bounds, len(tables))
-    word = tables[0].find(tokens)
-    base = np.where(word >= 0, tables[0].values[0][word] if len(tables[0].keys) else 0.0, 0.0)
-    score, states = base.copy(), word
-    starts = bounds[:-1][bounds[:-1] < bounds[1:]]
-    for n in range(2, len(tables) + 1):
-        before = np.concatenate(([-1], states[:-1]))  # the (n - 1)-gram that ends at the token before
-        before[starts] = -1
-        on = before >= 0
-        score[on] += tables[n - 2].values[1][before[on]]
-        states = tables[n - 1].find(own[n - 1])
-        arc = states >= 0
-        score[arc] = tables[n - 1].values[0][states[arc]]
-    return word, base, score
-
-
-def _score_batch(tables: list[Table], batch: pa.RecordBatch) -> pa.RecordBatch:
+    base, gain, known = np.zeros(len(tokens)), np.zeros(len(tokens)), np.zeros(len(tokens), bool)
+    hashes, places = [], []
+    may = np.ones(len(tokens), bool)
+    for n, table in enumerate(tables, 1):
+        at = np.flatnonzero((own[n - 1] != 0) & may & np.concatenate(([True], may[:-1])))
+        if n > 1:
+            at = at[_may_hold(bits[n - 1], own[n - 1][at])]
+            may = np.zeros(len(tokens), bool)
+            may[at] = True
+        row = table.find(own[n - 1][at])
+        found = row >= 0
+        held, row = at[found], row[found]
+        base[held] += table.values[0][row]
+        gain[held] += table.values[1][row]
+        if n == 1:
+            known[held] = True
+        rest = at[~found]
+        hashes.append(own[n - 1][rest])
+        places.append(rest)
+    place = np.concatenate(places)
+    order = np.argsort(place, kind="stable")
+    return known, base, gain, np.concatenate(hashes)[order], place[order]
+
+
+def _score_batch(tables: list[Table], bits: list[np.ndarray], batch: pa.RecordBatch) -> pa.RecordBatch:
     out: list[list] = [[], [], [], [], [], []]
     for lo, hi, tokens, bounds in _tokens(batch.column("text").to_pylist()):
-        word, base, score = _traverse(tables, tokens, bounds)
-        known = word >= 0
-        for x, y in zip(out, (np.diff(bounds), *(np.add.reduceat(v, bounds[:-1]) for v in (known.astype(np.int64), base, score))), strict=False):
+        known, base, gain, hashes, places = _traverse(tables, bits, tokens, bounds)
+        for x, y in zip(out, (np.diff(bounds), *(np.add.reduceat(v, bounds[:-1]) for v in (known.astype(np.int64), base, gain))), strict=False):
             x.extend(y.tolist())
+        cuts = np.searchsorted(places, bounds)
         for k in range(hi - lo):
-            part = slice(bounds[k], bounds[k + 1])
-            rare, times = np.unique(tokens[part][~known[part]], return_counts=True)
+            rare, times = np.unique(hashes[cuts[k] : cuts[k + 1]], return_counts=True)
             out[4].append(as_long(rare))
             out[5].append(times)
     return pa.record_batch([batch.column("row"), *(pa.array(x, f.type) for x, f in zip(out, list(_SCORE)[1:], strict=True))], schema=_SCORE)
@@ -202,8 +241,8 @@ def _score_batch(tables: list[Table], batch: pa.RecordBatch) -> pa.RecordBatch:
 def score(docs: DataFrame, training: DataFrame, order: int = ORDER, share: float = SHARE) -> DataFrame:
     """docs with n_tokens, n_known, train_tokens, base_score, score of its column text; training(text).
 
-    Words that are no states, the rare ones, get their exact counts by a join with the vocabulary on the word; the
-    vocabulary never leaves the executors. States are bounded in number by their share of the training tokens.
+    Words and states below the share that is sent to every task get their exact weights by a join on their hash; those
+    weights never leave the executors. What is a state does not depend on share or on the size of the input.
 
     Null or blank text: one token, the end. No training rows: every token is unknown and has the prior of the one unseen word.
     Rows that repeat are scored each. Columns of docs of those names are replaced.
@@ -212,7 +251,7 @@ def score(docs: DataFrame, training: DataFrame, order: int = ORDER, share: float
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     docs = docs.drop(*(c for c in new if c in docs.columns))
     model = train(training, order, share)
-    tables = spark.sparkContext.broadcast([t.packed() for t in model["tables"]])
+    tables, bits = spark.sparkContext.broadcast([t.packed() for t in model["tables"]]), spark.sparkContext.broadcast(model["bits"])
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
     others = [c for c in docs.columns if c != "text"]
     # The ids and the scores of a row are made in one task, so both come from one reading of it.
@@ -223,20 +262,25 @@ def score(docs: DataFrame, training: DataFrame, order: int = ORDER, share: float
     def with_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = [Table(*x) for x in tables.value]
         for batch in batches:
-            got = _score_batch(automaton, batch)
+            got = _score_batch(automaton, bits.value, batch)
             yield got.append_column("rest", batch.column("rest")) if "rest" in batch.schema.names else got
 
     rest = ", rest " + passed.schema["rest"].dataType.simpleString() if others else ""
     scored = keep(passed.mapInArrow(with_rest, schema + rest), "scored")
     scale = model["tokens"] + PRIOR * (model["distinct"] + 1)
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("hash"), F.col("r.times").alias("t"))
-    c = F.coalesce("c", F.lit(0))
-    sums = rare.join(model["vocabulary"], "hash", "left").groupBy("row").agg(F.sum(F.col("t") * F.log10((c + PRIOR) / F.lit(scale))).alias("more"), F.sum(F.when(c > 0, F.col("t")).otherwise(0)).alias("seen"))
+    # Every rare word is first taken as unknown.
+    unknown = F.lit(math.log10(PRIOR / scale))
+    first = F.when(F.col("n") == 1, unknown).otherwise(F.lit(0.0))
+    sums = rare.join(model["weights"], "hash").groupBy("row").agg(
+        F.sum(F.col("t") * (F.col("base") - first)).alias("more_base"), F.sum(F.col("t") * (F.col("gain") - first)).alias("more"), F.sum(F.when(F.col("n") == 1, F.col("t")).otherwise(0)).alias("seen")
+    )
     out = scored.drop("rare", "times").join(sums, "row", "left")
     zero = lambda x: F.coalesce(x, F.lit(0))
+    least = (F.col("n_tokens") - F.col("frequent")) * unknown
     return out.select(
         *(["rest.*"] if others else []), "n_tokens", (F.col("frequent") + zero("seen")).cast("bigint").alias("n_known"), F.lit(model["tokens"]).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
+        (F.col("base") + least + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), (F.col("score") + least + F.coalesce("more", F.lit(0.0))).alias("score"),
     )
 
 

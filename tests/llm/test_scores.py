@@ -72,6 +72,13 @@ def test_rare_words_by_join(docs):
     assert all(math.isclose(a[i].base_score, b[i].base_score, rel_tol=1e-9) and a[i].n_known == b[i].n_known for i in a)
 
 
+def test_rare_states_by_join(docs):
+    """What is sent to the tasks does not change what is a state."""
+    a, b = scores(docs), scores(docs, share=0.01)
+    assert all(math.isclose(a[i].score, b[i].score, rel_tol=1e-9) for i in a)
+    assert any(abs(a[i].score - a[i].base_score) > 1 for i in a)
+
+
 def test_score_edges(empty, odd):
     assert op8.score(empty, empty.select("text")).count() == 0
     rows = op8.score(odd, odd.select("text").limit(0)).collect()
