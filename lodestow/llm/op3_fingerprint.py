@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import keep
+from ._store import bounded, keep
 from ._text import PUNCT, as_long, mix, word_blocks
 
-#: Terms in this share of the documents are in the lexicon: rarer ones are mistakes and names, commoner ones say nothing.
+#: Terms in this share of the distinct texts are in the lexicon: rarer ones are mistakes and names, commoner ones say nothing.
 #: The lower bound also bounds the lexicon: distinct terms of a mean document / LOWEST.
 LOWEST, HIGHEST = 0.0005, 0.05
 #: Subset (level, variant) holds 1 term in 2**level of the lexicon.
@@ -23,17 +23,28 @@ _CODES = 1 + LEVELS * VARIANTS
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each batch the distinct terms and the number of its documents that hold them."""
+    """Of each batch the distinct terms and the number of its documents that hold them, each one of k copies counting 1 / k."""
     for batch in batches:
-        parts = [np.unique(words[bounds[k] : bounds[k + 1]]) for lo, hi, words, bounds in word_blocks(batch.column("text").to_pylist(), space=PUNCT) for k in range(hi - lo)]
-        terms, counts = np.unique(np.concatenate(parts) if parts else np.empty(0, np.uint64), return_counts=True)
-        yield pa.record_batch([pa.array(as_long(terms)), pa.array(counts)], names=["term", "df"])
+        share = 1 / batch.column("copies").to_numpy()
+        parts, owner = [], []
+        for lo, hi, words, bounds in word_blocks(batch.column("text").to_pylist(), space=PUNCT):
+            for k in range(hi - lo):
+                parts.append(np.unique(words[bounds[k] : bounds[k + 1]]))
+                owner.append(np.full(len(parts[-1]), share[lo + k]))
+        terms, at = np.unique(np.concatenate(parts) if parts else np.empty(0, np.uint64), return_inverse=True)
+        df = np.bincount(at, np.concatenate(owner), len(terms)) if parts else np.empty(0)
+        yield pa.record_batch([pa.array(as_long(terms)), pa.array(df, pa.float64())], names=["term", "df"])
 
 
 def lexicon(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of the terms of docs(text) in the band."""
-    found = keep(docs.select("text").mapInArrow(_terms, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")), "terms")
-    n = docs.count()
+    """Sorted hashes of the terms in the band, by the distinct texts of docs(text): how often a text is repeated changes nothing."""
+    marked = docs.select("text", F.xxhash64("text").alias("h"))
+    groups = keep(marked.groupBy("h").agg(F.count("*").alias("copies")), "copies")
+    n = groups.count()
+    again = bounded(groups.where("copies > 1"))
+    weighed = marked.join(again, "h", "left").select("text", F.coalesce("copies", F.lit(1)).alias("copies"))
+    # The shares of a text's copies add up to 1 but for rounding.
+    found = keep(weighed.mapInArrow(_terms, "term bigint, df double").groupBy("term").agg(F.round(F.sum("df")).cast("bigint").alias("df")), "terms")
     rows = found.where((F.col("df") >= max(1, LOWEST * n)) & (F.col("df") <= max(1, HIGHEST * n))).select("term").toPandas()
     return np.sort(rows["term"].to_numpy(np.int64).view(np.uint64))
 
@@ -43,6 +54,12 @@ def codes(texts: list, lex: np.ndarray) -> np.ndarray:
 
     The first code is of the whole lexicon. A text without any term of the lexicon is taken with all its terms.
     """
+    return _codes(texts, lex)[0]
+
+
+def _codes(texts: list, lex: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As codes, with a mark for each text that was taken with all its terms."""
+    whole = np.zeros(len(texts), bool)
     out = np.zeros((len(texts), _CODES), np.uint16)
     for lo, hi, words, bounds in word_blocks(texts, space=PUNCT):
         inside = np.zeros(len(words), bool)
@@ -53,6 +70,7 @@ def codes(texts: list, lex: np.ndarray) -> np.ndarray:
         for k in range(hi - lo):
             own = words[bounds[k] : bounds[k + 1]]
             chosen = own[inside[bounds[k] : bounds[k + 1]]]
+            whole[lo + k] = not len(chosen)
             terms.append(np.unique(chosen if len(chosen) else own))  # sorted distinct terms
             owner.append(len(terms[-1]))
         flat, row = np.concatenate(terms), np.repeat(np.arange(hi - lo), owner)
@@ -72,7 +90,7 @@ def codes(texts: list, lex: np.ndarray) -> np.ndarray:
                 # One hash over the sorted terms of the subset, in order.
                 digest = mix(np.add.reduceat(mix(flat[left]) * (place.astype(np.uint64) * np.uint64(2) + np.uint64(1)), first))
                 out[lo + of[first], 1 + (level - 1) * VARIANTS + v if level else 0] = (digest % np.uint64(65535)).astype(np.uint16) + np.uint16(1)
-    return out
+    return out, whole
 
 
 def _likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -101,19 +119,35 @@ def _edited(text: str, following: str) -> str:
 def _compare(sent):
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
+    nothing = np.empty(0, np.uint64)
+
+    def near(a: np.ndarray, a_whole: np.ndarray, a_texts: list[str], b: np.ndarray, b_whole: np.ndarray, b_texts: list[str]) -> np.ndarray:
+        """Likeness; two texts of which only one holds terms of the lexicon are compared by all their terms."""
+        out = _likeness(a, b)
+        mixed = np.flatnonzero(a_whole != b_whole)
+        if len(mixed):
+            out[mixed] = _likeness(codes([a_texts[k] for k in mixed], nothing), codes([b_texts[k] for k in mixed], nothing))
+        return out
+
     def finish(rows: list[tuple], lex: np.ndarray) -> pa.RecordBatch | None:
         """Rows of one or more stretches in order; each row that has its next row beside it comes out."""
-        own = codes([r[3] for r in rows], lex)
+        own, whole = _codes([r[3] for r in rows], lex)
         pairs = [k for k in range(len(rows) - 1) if rows[k][0] == rows[k + 1][0] and not rows[k][1]]
         if not pairs:
             return None
         edited = [_edited(rows[k][3], rows[k + 1][3]) for k in pairs]
-        other, mine, following = codes(edited, lex), own[pairs], own[[k + 1 for k in pairs]]
+        other, other_whole = _codes(edited, lex)
+        mine, following = own[pairs], own[[k + 1 for k in pairs]]
+        texts, after = [rows[k][3] for k in pairs], [rows[k + 1][3] for k in pairs]
+        near_next = near(mine, whole[pairs], texts, following, whole[[k + 1 for k in pairs]], after)
+        near_edited = near(mine, whole[pairs], texts, other, other_whole, edited)
+        apart = np.flatnonzero(whole[pairs] & ~other_whole)  # the fingerprint of the edited text is of the kind of the text's own
+        other[apart] = codes([edited[k] for k in apart], nothing)
         return pa.record_batch(
             [
                 pa.array([rows[k][2] for k in pairs], pa.int64()), pa.array([len(rows[k][3]) for k in pairs], pa.int64()),
                 pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in edited]),
-                pa.array(_hex(mine)), pa.array(_hex(other)), pa.array(_likeness(mine, other)), pa.array(_likeness(mine, following)),
+                pa.array(_hex(mine)), pa.array(_hex(other)), pa.array(near_edited), pa.array(near_next),
             ],
             names=names,
         )
@@ -134,6 +168,8 @@ def _compare(sent):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """Fingerprint of each document, of its text edited with the next document's, and their likeness.
 
+    Texts are compared by terms of one kind: of the lexicon, or all of them where one of the two has none of the lexicon.
+
     Documents are dealt once, by ranges of the id; each range also gets the first document of the next one, so that
     every document finds its successor in its own task.
 

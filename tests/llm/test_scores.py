@@ -143,6 +143,24 @@ def test_likeness_follows_overlap():
     assert near[3] == 1.0 and near[0] > near[1] > near[2] == 0.0
 
 
+def test_fingerprints_of_copies(spark):
+    """However often a text is repeated, its terms stay in the lexicon, and its edited text is like it."""
+    rng = np.random.default_rng(6)
+    rows = [" ".join(f"v{k}" for k in rng.integers(0, 3000, 60)) for _ in range(200)]
+    copied = " ".join(f"c{k}" for k in range(60))
+    mixed = [t for k, t in enumerate(rows) for t in ((t, copied) if k % 2 else (t,))]
+    once = op3.lexicon(frame(spark, [*rows, copied]).select("text"))
+    assert np.array_equal(op3.lexicon(frame(spark, mixed).select("text")), once)
+    likeness = {r.doc_id: r.near_edited for r in op3.fingerprints(frame(spark, mixed), parts=2).collect()}
+    assert all(likeness[k] > 0.02 for k, t in enumerate(mixed) if t == copied)
+
+
+def test_texts_outside_the_lexicon_are_compared_by_all_terms(spark, monkeypatch):
+    monkeypatch.setattr(op3, "lexicon", lambda docs: np.sort(np.concatenate([w for _, _, w, _ in op3.word_blocks([" ".join(f"v{k}" for k in range(60))], space=op3.PUNCT)])))
+    rows = frame(spark, [" ".join(f"c{k}" for k in range(60)), " ".join(f"v{k}" for k in range(60))])
+    assert min(r.near_edited for r in op3.fingerprints(rows, parts=1).collect()) > 0.02
+
+
 def test_fingerprint_edges(spark, empty, odd):
     assert op3.fingerprints(empty).count() == 0
     assert op3.fingerprints(odd, parts=3).count() == 42
