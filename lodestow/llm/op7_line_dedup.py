@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._store import bounded, keep
@@ -10,23 +10,32 @@ from ._store import bounded, keep
 #: Jaccard threshold as a fraction.
 P, Q = 4, 5
 #: Token counts are summed in so many buckets; a byte for each goes to every task.
-_BUCKETS = 1 << 18
+_BUCKETS, _PIECE_BITS = 1 << 18, 12
+#: Tokens of a higher level are hot: lines are not posted under one of them, but under pairs of them. 1 + ceil(3 * log2(count)).
+_HOT = 1 + 3 * 11
 #: Most texts have no white space but spaces and line ends, and a split at one character is far cheaper than one at a class.
-_PIECES = """split(replace(lower({0}), '\n', ' '), CASE WHEN contains({0}, '\t') OR contains({0}, '\r') OR contains({0}, '\x0b') OR contains({0}, '\x0c') THEN '[\\\\x20\\\\x09-\\\\x0D]+' ELSE ' ' END)"""
-_WORDS = f"array_remove({_PIECES.format('line')}, '')"
+_PIECES = """split(lower({0}), CASE WHEN contains({0}, '\t') OR contains({0}, '\r') OR contains({0}, '\x0b')
+    OR contains({0}, '\x0c') THEN '[\\\\x20\\\\x09-\\\\x0D]+' ELSE ' ' END)"""
+#: The distinct words of a line as hashes. (An empty piece is no word.)
+_HASHES = f"array_remove(array_distinct(transform({_PIECES.format('line')}, w -> xxhash64(w))), xxhash64(''))"
+_PLACE = ("id", "h", "pos")
 
 
-def rarity(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row: a binary with a byte for each bucket, about 3 * log2 of its count in the whole corpus.
+def rarity(docs: DataFrame, text_col: str = "text") -> Column:
+    """A constant, a byte for each bucket, its level: 1 if the corpus holds one word of it, else 1 + ceil(3 * log2(count)).
 
     It orders tokens, and any order that all lines share finds every pair: common buckets only make more candidates.
+    A word alone in its bucket occurs once, so it is shared with no other line.
     """
-    words = docs.select(F.explode(F.expr(_PIECES.format(f"`{text_col}`"))).alias("w"))
+    text = f"replace(`{text_col}`, '\n', ' ')"
+    words = docs.select(F.explode(F.expr(_PIECES.format(text))).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(_BUCKETS - 1).alias("bucket")).count()
-    level = F.coalesce(F.least(F.floor(3 * F.log2(F.col("count") + 1)), F.lit(126)), F.lit(0)) + 1
-    every = docs.sparkSession.range(_BUCKETS).withColumnRenamed("id", "bucket").join(counts, "bucket", "left")
-    row = every.agg(F.array_sort(F.collect_list(F.struct("bucket", F.chr(level.cast("bigint")).alias("c")))).alias("all"))  # _BUCKETS entries
-    return row.select(F.expr("cast(array_join(transform(all, x -> x.c), '') AS binary)").alias("levels"))
+    every = docs.sparkSession.range(_BUCKETS).select(F.col("id").alias("bucket"))
+    counts = every.join(counts, "bucket", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    level = F.when(F.col("count") < 2, 1).otherwise(F.least(1 + F.ceil(3 * F.log2("count")), F.lit(126)))
+    by_bucket = F.array_sort(F.collect_list(F.struct("bucket", F.chr(level.cast("bigint")).alias("level"))))
+    pieces = counts.groupBy(F.shiftright("bucket", _PIECE_BITS).alias("piece")).agg(F.array_join(by_bucket["level"], "").alias("levels"))
+    return F.lit("".join(row.levels for row in sorted(pieces.collect())).encode())  # _BUCKETS bytes, whatever the input
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -35,14 +44,68 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.select("id", "h", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
 
 
+def _spoken(lines: DataFrame) -> DataFrame:
+    """Lines with a word. (A test of a hash would be pushed below the lines and make hashes twice.)"""
+    return lines.where(F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
+
+
+def _same(a: str, b: str, fields: tuple[str, ...] = _PLACE) -> Column:
+    """Are places a and b one? An id may be null."""
+    out = F.lit(True)
+    for f in fields:
+        equal = F.col(f"{a}.{f}").eqNullSafe(F.col(f"{b}.{f}")) if f in ("id",) else F.col(f"{a}.{f}") == F.col(f"{b}.{f}")
+        out = out & equal
+    return out
+
+
+def _copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Lines of words, (id, h, pos, line, k1, k2, first): first is the place of the first of equal lines, null if there are no others."""
+    lines = _spoken(lines_of(docs, id_col, text_col)).withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(1), "line")})
+    firsts = lines.groupBy("k1", "k2").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("of")).where("of > 1").drop("of")
+    return lines.join(bounded(keep(firsts, "firsts")), ["k1", "k2"], "left")
+
+
+def _posted(lines: DataFrame, levels: Column) -> DataFrame:
+    """(key, x): each line under the keys of its prefix; x holds its place, n words, their parity bitmap and i.
+
+    Tokens are ordered by rarity. Two lines at the threshold share a token of their prefixes. If the rarest that they
+    share is hot, so are all that they share, and they share two at least: the hot part of the prefix, longer by one, goes in pairs.
+    i is the number of tokens before the key: at most n - i can be shared if the key is the first that is.
+    """
+
+    def token(h: Column) -> Column:  # its level in the top byte, its hash below
+        level = F.ascii(F.substring(levels, h.bitwiseAND(_BUCKETS - 1).cast("int") + 1, 1).cast("string")).cast("bigint")
+        return F.shiftleft(level, 56).bitwiseOR(h.bitwiseAND((1 << 56) - 1))
+
+    lines = lines.withColumn("tokens", F.sort_array(F.transform(F.expr(_HASHES), token))).select(
+        *_PLACE, F.size("tokens").alias("n"),
+        F.expr(f"slice(tokens, 1, size(tokens) - ({P} * size(tokens) + {Q - 1}) DIV {Q} + 2)").alias("prefix"),
+        F.expr("aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, int(t & 63)))").alias("bits"),
+    )
+    # A prefix proper is without its last token, unless the line has but one token.
+    hot, proper = f"{(_HOT + 1) << 56}L", "greatest(size(prefix) - 1, 1)"
+    lines = lines.withColumn("cold", F.expr(f"CASE WHEN prefix[{proper} - 1] < {hot} THEN {proper} ELSE size(filter(prefix, t -> t < {hot})) END"))
+    pairs = """CASE WHEN size(prefix) = 1 THEN prefix ELSE flatten(transform(slice(prefix, cold + 1, size(prefix)), (s, i) ->
+        transform(slice(prefix, cold + i + 2, size(prefix)), t -> xxhash64(s, t)))) END"""
+    keys = f"CASE WHEN cold = {proper} THEN slice(prefix, 1, cold) ELSE concat(slice(prefix, 1, cold), {pairs}) END"
+    posted = lines.select(*_PLACE, "n", "bits", "cold", F.posexplode(F.expr(keys)).alias("i", "key"))
+    # The first of a pair has the cold tokens before it at least.
+    return posted.select("key", F.struct(*_PLACE, "n", F.least("i", "cold").alias("i"), "bits").alias("x"))
+
+
+#: Overlap needed at the threshold, and the most that lengths, the place of the shared token and the bitmaps allow.
+_NEAR = f"""{Q} * least(x.n, y.n) >= {P} * greatest(x.n, y.n) AND {P + Q} * least(x.n - x.i, y.n - y.i) >= {P} * (x.n + y.n)
+    AND {P + Q} * (x.n + y.n - bit_count(x.bits ^ y.bits)) >= {2 * P} * (x.n + y.n)"""
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """x of the pairs (x, y) of places whose word sets reach the threshold."""
-    pairs = keep(pairs.distinct(), "pairs")
-    places = keep(pairs.select("x.*").unionByName(pairs.select("y.*")).distinct(), "places")
-    texts = docs.join(bounded(places.select(F.col("id").alias(id_col)).distinct()), id_col, "left_semi")
-    words = lines_of(texts, id_col, text_col).join(places, ["id", "h", "pos"]).dropDuplicates(["id", "h", "pos"])
-    words = words.select(F.struct("id", "h", "pos").alias("place"), F.expr(f"array_distinct({_WORDS})").alias("words"))
-    both = pairs.join(words.withColumnsRenamed({"place": "x", "words": "wx"}), "x").join(words.withColumnsRenamed({"place": "y", "words": "wy"}), "y")
+    """x of the pairs (x, y) of places whose word sets reach the threshold. Pairs should be kept."""
+    places = pairs.select(F.col("x").alias("place")).unionByName(pairs.select(F.col("y").alias("place"))).distinct()
+    places = bounded(keep(places, "places"))
+    lines = _spoken(lines_of(docs, id_col, text_col)).select(F.struct(*_PLACE).alias("l"), "line").join(places, _same("l", "place"))
+    words = keep(lines.select("place", F.expr(_HASHES).alias("words")), "words")  # repeated rows repeat them
+    both = pairs.join(words.select(F.col("place").alias("px"), F.col("words").alias("wx")), _same("x", "px"))
+    both = both.join(words.select(F.col("place").alias("py"), F.col("words").alias("wy")), _same("y", "py"))
     both = both.withColumn("common", F.size(F.array_intersect("wx", "wy")))
     return both.where(f"{Q} * common >= {P} * (size(wx) + size(wy) - common)").select("x").distinct()
 
@@ -51,80 +114,51 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, h, pos) of every line whose set of words has Jaccard 0.8 or more with that of a line before it.
 
     Lines come in order of id, text hash and position. Words are cut at white space and lower-cased.
-    Lines with one set of words are a class; its first line stands for it, and the others go. Tokens of a line are
-    ordered by rarity; a prefix of them is posted. Two lines at the threshold share a token of their prefixes;
-    lengths, places of the shared token and parity bitmaps rule out most that do not reach it, and words decide.
-    First each line meets the first line of each of its tokens only; those that are found to go need no other partner.
+    Equal lines are a class; its first line stands for it, and the others go. Of the others each meets the first line
+    of each of its keys; those that are found to go need no other partner, and the rest meet all earlier lines of their keys.
+    Lengths, places of the shared token and parity bitmaps rule out most that do not reach the threshold, and words decide.
 
     Lines without words stay, and are no match. Null text: one line without words. Rows equal in id and text are one
-    document. A null id comes first; its lines are compared as earlier lines but, not being named, stay. Empty table: no rows.
+    document; its lines may be named more than once. A null id comes first; its lines are compared as earlier lines but,
+    not being named, stay. Empty table: no rows.
     """
-    docs = docs.where(F.col(id_col).isNotNull())
-    table = F.lit(bytes(rarity(docs, text_col).first()[0]))  # _BUCKETS bytes
-    # Blank lines go by a test of the line: one of its hashes would be pushed below them and make them twice.
-    lines = lines_of(docs, id_col, text_col).where(F.col("line").rlike("[^\\x20\\x09-\\x0D]")).withColumn("hashes", F.expr(f"array_distinct(transform({_WORDS}, w -> xxhash64(w)))"))
-    # A token: its level of rarity in the top byte, its hash below.
-    level = lambda h: F.ascii(F.substring(table, h.bitwiseAND(_BUCKETS - 1).cast("int") + 1, 1).cast("string")).cast("bigint")
-    lines = lines.withColumn("tokens", F.sort_array(F.transform("hashes", lambda h: F.shiftleft(level(h), 56).bitwiseOR(h.bitwiseAND((1 << 56) - 1)))))
-    lines = lines.select(
-        "id", "h", "pos", F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(1), "tokens").alias("k2"), F.size("tokens").alias("n"),
-        F.expr(f"slice(tokens, 1, size(tokens) - ({P} * size(tokens) + {Q - 1}) DIV {Q} + 1)").alias("prefix"),
-        F.expr("aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, int(t & 63)))").alias("bits"),
-    )
-    lines = keep(lines, "lines")
-    place = F.struct("id", "h", "pos")
-    classes = lines.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
-    classes = keep(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
-    copies = lines.select("k1", "k2", "id", "h", "pos").join(classes.select("k1", "k2", "first"), ["k1", "k2"]).where(place != F.col("first")).select("id", "h", "pos")
-
-    # Postings are lean, as there is one for each token of a prefix: a class goes by its number.
-    posted = classes.select(F.posexplode("prefix").alias("i", "token"), "c", "n", "bits")
-    # Least overlap at the threshold, and the most that lengths, the place of the shared token and the bitmaps allow.
-    near = F.expr(
-        f"""x.c <> y.c AND {Q} * least(x.n, y.n) >= {P} * greatest(x.n, y.n) AND {P + Q} * least(x.n - x.i, y.n - y.i) >= {P} * (x.n + y.n)
-        AND {P + Q} * (x.n + y.n - bit_count(x.bits ^ y.bits)) >= {2 * P} * (x.n + y.n)"""
-    )
-    entry = ["c", "n", "bits", "i"]
-    by_token = Window.partitionBy("token")
-    shared = posted.withColumn("lo", F.min("c").over(by_token)).withColumn("hi", F.max("c").over(by_token)).where("lo < hi").select("token", *entry)
+    lines, levels = _copies(docs, id_col, text_col), rarity(docs, text_col)
+    by_key = Window.partitionBy("key")
+    shared = _posted(lines.where(F.col("first").isNull() | (F.struct(*_PLACE) == F.col("first"))), levels)
+    shared = shared.withColumn("y", F.min("x").over(by_key)).withColumn("of", F.count("*").over(by_key)).where("of > 1 AND NOT (x.id <=> y.id AND x.h = y.h AND x.pos = y.pos)")
+    shared = shared.withColumn("head", F.when(F.expr(_NEAR), F.struct("y.id", "y.h", "y.pos"))).where("of > 2 OR head IS NOT NULL").select("key", "x", "of", "head")
     shared = keep(shared, "shared")
-    heads = shared.groupBy("token").agg(F.min(F.struct(*entry)).alias("y"))
-    met = shared.select("token", F.struct(*entry).alias("x")).join(heads, "token").where(near)
-    ends = [F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")]
-    places = classes.select("c", "first")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The class of the later line of each pair that reaches the threshold."""
-        pairs = keep(pairs.distinct(), "met")
-        both = pairs.join(places.withColumnsRenamed({"c": "a", "first": "fa"}), "a").join(places.withColumnsRenamed({"c": "b", "first": "fb"}), "b")
-        later = both.select(F.greatest("fa", "fb").alias("x"), F.least("fa", "fb").alias("y"), F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("c"))
-        later = keep(later, "later")
-        return later.select("x", "c").join(_verified(later.select("x", "y"), docs, id_col, text_col), "x", "left_semi").distinct()
-
-    gone = keep(verified(met.select(*ends)), "gone")
-    # A line that is found to go is no later line of another pair, but an earlier one it may be.
-    found = bounded(gone.select("c").distinct())
-    rest = shared.join(found, "c", "left_anti")
-    more = rest.select("token", F.struct(*entry).alias("x")).join(shared.select("token", F.struct(*entry).alias("y")), "token").where(near)
-    gone = gone.unionByName(verified(more.select(*ends))).select("x.*").distinct()
-    return keep(gone.unionByName(copies), "removed")
+    place = F.struct("x.id", "x.h", "x.pos")
+    heads = keep(shared.where("head IS NOT NULL").select(place.alias("x"), F.col("head").alias("y")).distinct(), "heads")
+    gone = keep(_verified(heads, docs, id_col, text_col), "gone")
+    # A line that is found to go is no later line of another pair, but an earlier one it may be. Its mark is tested as
+    # part of the join, so that both sides are one exchange.
+    found = bounded(gone.select(F.col("x").alias("g"), F.lit(1).alias("found")))
+    marked = shared.where("of > 2").select("key", "x").join(found, _same("x", "g"), "left").select("key", "x", F.coalesce("found", F.lit(0)).alias("found"))
+    later = marked.select("key", "x", F.col("found").alias("fx"))
+    earlier = marked.select("key", F.col("x").alias("y"), F.col("found").alias("fy"))
+    more = later.join(earlier, "key").where(f"fx + 0 * fy = 0 AND {_NEAR} AND y < x").select(place.alias("x"), F.struct("y.id", "y.h", "y.pos").alias("y"))
+    gone = gone.unionByName(_verified(keep(more.distinct(), "more"), docs, id_col, text_col)).select("x.*")
+    copies = lines.where("first IS NOT NULL").where(F.struct(*_PLACE) != F.col("first")).select(*_PLACE)
+    return keep(gone.unionByName(copies).where("id IS NOT NULL"), "removed")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with later matches taken out of their texts, with n_lines and n_removed (a column of docs of such a name is replaced)."""
-    removed = later_matches(docs, id_col, text_col).groupBy("id", "h").agg(F.collect_set("pos").alias("_gone"))
-    rows = docs.drop(*(c for c in ("n_lines", "n_removed") if c in docs.columns)).withColumn("_h", F.xxhash64(F.lit(0), text_col))
-    rows = rows.join(removed.withColumnsRenamed({"id": "_id", "h": "_g"}), (F.col(id_col) == F.col("_id")) & (F.col("_h") == F.col("_g")), "left")
-    parts = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    left = F.expr(f"array_join(filter(split({text_col}, '\n', -1), (l, i) -> NOT coalesce(array_contains(_gone, i), false)), '\n')")
-    counted = rows.withColumn("n_lines", F.size(parts).cast("bigint")).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint"))
+    """docs with later matches taken out of their texts, with n_lines, n_removed and removed, the positions that went (columns of docs of such names are replaced).
+
+    Rows that repeat an id are told apart by their texts. Null text stays null, with one line.
+    """
+    gone = later_matches(docs, id_col, text_col).groupBy("id", "h").agg(F.array_sort(F.collect_set("pos")).alias("_gone"))  # a row's own lines
+    rows = docs.drop(*(c for c in ("n_lines", "n_removed", "removed") if c in docs.columns)).withColumn("_h", F.xxhash64(F.lit(0), text_col))
+    rows = rows.withColumn("n_lines", F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).cast("bigint"))
+    rows = rows.join(gone.withColumnsRenamed({"id": "_id", "h": "_g"}), (F.col(id_col) == F.col("_id")) & (F.col("_h") == F.col("_g")), "left")
+    left = F.expr(f"array_join(filter(split(`{text_col}`, '\n', -1), (l, i) -> NOT array_contains(_gone, i)), '\n')")
+    counted = rows.withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint")).withColumn("removed", F.coalesce("_gone", F.array().cast("array<int>")))
     return counted.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left)).drop("_h", "_g", "_id", "_gone")
 
 
 def op7_line_set_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digest: how many lines each document has, and which go."""
+    """The digest: how many lines each document has, and which go. It leaves out the cleaned texts, so Spark doesn't make them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    removed = later_matches(docs).groupBy(F.col("id").alias("doc_id")).agg(F.array_sort(F.collect_list("pos")).alias("gone"))
-    lines = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("bigint").alias("n_lines"))
-    rows = lines.join(removed, "doc_id", "left")
-    return rows.select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce(F.array_join(F.transform("gone", lambda p: p.cast("string")), ","), F.lit("")).alias("removed"))
+    positions = F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed")
+    return deduplicate(docs).select("doc_id", "n_lines", "n_removed", positions)

@@ -118,6 +118,32 @@ def test_lines(spark, texts):
         assert clean[i].n_removed == sum(a == i for a, _ in got)
 
 
+def test_lines_under_pairs_of_hot_tokens(spark, texts, monkeypatch):
+    """All tokens hot, so that lines are posted under pairs; and levels with both kinds in a line."""
+    from .conftest import frame
+
+    rows = [*line_texts(texts)[:40], "one", "One", "one  two", "two one", "a b c d e\nA B C D e", "a b c d e f g h i\na b c d e f g h"]
+    for hot in (0, 8):
+        monkeypatch.setattr(op7, "_HOT", hot)
+        got = {(r.id, r.pos) for r in op7.later_matches(frame(spark, rows)).collect()}
+        assert got == expected_lines(list(enumerate(rows)))
+
+
+def test_lines_of_repeated_and_null_ids(spark):
+    """Rows of one id with different texts keep their own positions; a line of a row without id is an earlier line."""
+    from .conftest import frame
+
+    a, b, c = "p q r s t\nlost words here\nu v w x y", "new line\nu v w x y", "lost words here\nnew line"
+    df = frame(spark, [a, b, c, "lost words here"], [1, 1, 2, None])
+    got = {(r.doc_id, r.text): (r.n_lines, r.n_removed, tuple(r.removed)) for r in op7.deduplicate(df).collect()}
+    first, second = sorted((a, b), key=lambda t: spark.sql("SELECT xxhash64(0, :t)", {"t": t}).first()[0])
+    rest = [x for x in second.split("\n") if x != "u v w x y" and x != "lost words here"]
+    assert got[1, "\n".join(rest)][1] == len(second.split("\n")) - len(rest)
+    assert sum(n for _, n, _ in got.values()) == 4  # twice "lost words here", "u v w x y", "new line"
+    assert got[2, ""] == (2, 2, (0, 1))
+    assert got[None, "lost words here"] == (1, 0, ())
+
+
 def test_lines_edges(empty, odd):
     assert op7.later_matches(empty).count() == 0
     assert op7.deduplicate(odd).count() == 42
