@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,8 +18,6 @@ BLOCK = 64
 SHARDS = 40
 SEED = 20240229
 _CELLS = 4096
-#: Block numbers of a source stay below this, so that products of two fit in 64 bits; blocks grow instead.
-_MOST_BLOCKS = 1 << 30
 
 
 def word_count(text: Column) -> Column:
@@ -47,27 +45,26 @@ def targets(sizes: list[int], share: float = SHARE, cap: float = CAP, weights: t
 
 def sainte_lague(votes: list[float], seats: int) -> list[int]:
     """Seats to the highest quotients v / 1, v / 3, v / 5, ...; equal quotients to the earlier. Takes no time for each seat."""
-    if not any(votes):
+    v = np.asarray(votes, dtype=np.float64)
+    if not v.any() or not seats:
         return [0] * len(votes)
 
-    def at(x: float) -> list[int]:  # seats whose quotient is x or more
-        return [int((v / x + 1) // 2) if v else 0 for v in votes]
+    def at(x: float) -> np.ndarray:  # seats whose quotient is x or more
+        return ((v / x + 1) // 2).astype(np.int64)
 
-    low, high = 0.0, 2 * max(votes)
-    low = sum(votes) / (2 * seats + len(votes) + 1) / 4 if seats else high
+    low, high = v.sum() / (2 * seats + len(v) + 1) / 4, 2 * v.max()
     for _ in range(200):
         middle = (low + high) / 2
         if middle in (low, high):
             break
-        if sum(at(middle)) > seats:
+        if at(middle).sum() > seats:
             low = middle
         else:
             high = middle
     won = at(high)
-    while sum(won) < seats:  # equal quotients at the edge
-        k = max(range(len(votes)), key=lambda i: (votes[i] / (2 * won[i] + 1), -i))
-        won[k] += 1
-    return won
+    while won.sum() < seats:  # equal quotients at the edge
+        won[np.argmax(v / (2 * won + 1))] += 1
+    return won.tolist()
 
 
 def quotas(target: list[float], seats: int, shards: int) -> list[list[int]]:
@@ -75,30 +72,32 @@ def quotas(target: list[float], seats: int, shards: int) -> list[list[int]]:
     return [sainte_lague(target, seats * (k + 1) // shards) for k in range(shards)]
 
 
-def _coprime(n: int) -> int:
-    a = max(1, int(n * 0.6180339887498949)) | 1
+def _step(n: int) -> int:
+    """A step without a common divisor with n, so that step * x mod n is a permutation; step * n fits in 63 bits."""
+    a = max(1, min(int(n * 0.6180339887498949), (1 << 62) // max(n, 1))) | 1
     while math.gcd(a, n) != 1:
         a += 2
     return a % n if n > 1 else 0
 
 
 def mix_plan(sizes: list[tuple[str | None, int]], block: int = BLOCK, shards: int = SHARDS, seed: int = SEED, share: float = SHARE, cap: float = CAP) -> pd.DataFrame:
-    """One row a source: its target, how often the whole source is taken, and which blocks are taken once more.
+    """One row a source: its target, how often the whole source is taken, and how many blocks are taken once more.
 
-    Block x of n is taken if (a * x + b) mod n < quota, an even seeded choice in which every block has its own rank.
+    Block x of n has rank (step * x + start) mod n, an even seeded order in which every block has its own rank. The source's
+    seats are filled by rank, once for each time the whole source is taken, then with the first ranks once more.
+    seats[k] is how many of them lie in shards 0 to k, so each shard holds its quota of blocks of each source.
     """
     order = sorted(sizes, key=lambda s: (s[0] is None, (s[0] or "").encode("utf-8", "surrogatepass")))
     size = [n for _, n in order]
     goal = targets(size, share, cap)
-    block = max(block, -(-max(size, default=1) // _MOST_BLOCKS))
     seats = quotas(goal, round(sum(goal) / block), shards)
     rows = []
     for k, (source, n) in enumerate(order):
         blocks = -(-n // block)
-        won = seats[-1][k]
-        whole = min(int(won // blocks), cap) if blocks else 0
-        rest = won - whole * blocks if blocks and whole < cap else 0
-        rows.append((source, n, goal[k], blocks, whole, max(0, rest), _coprime(blocks) if blocks else 0, (seed * 7919 + k * 104729) % blocks if blocks else 0, block, [s[k] for s in seats]))
+        # No document is taken more than cap times: a seat beyond that stays empty (the last block of a source may be short).
+        won = min(seats[-1][k], int(cap * blocks))
+        start = (seed * 7919 + k * 104729) % blocks if blocks else 0
+        rows.append((source, n, goal[k], blocks, won // blocks if blocks else 0, won % blocks if blocks else 0, _step(blocks) if blocks else 0, start, block, [s[k] for s in seats]))
     return pd.DataFrame(rows, columns=["m_source", "source_size", "target", "blocks", "whole", "rest", "step", "start", "block", "seats"])
 
 
@@ -106,10 +105,12 @@ _PLAN = "m_source string, source_size bigint, target double, blocks bigint, whol
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """(id, size, source, source_size, target, taken, first_word, shard): what the mix takes of each row.
+    """(id, m_source, size, source_size, target, taken, whole, picks, parts): what the mix takes of each row.
 
-    taken = whole * size + the words of the row that lie in blocks taken once more; picks lists them as
-    (from, to) word ranges of the row. Documents lie in each source in the order of a seeded hash of their id.
+    taken = whole * size + the words of the row that lie in blocks taken once more; picks lists those as word ranges
+    [a, b) of the row. parts lists all that is taken, of whole passes too: the range [a, b), the block x of the source that it
+    lies in, and the shard that the block goes to by the quotas of the shards. Documents lie in each source in the order of a
+    seeded hash of their id.
 
     Null text or a text of white space: size 0, taken 0. A null source is a source, the last. Rows that repeat an id
     are documents of their own. Empty table: no rows.
@@ -129,15 +130,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = rows.join(cells.drop("words").withColumnsRenamed({"m_source": "c_source", "m_cell": "c_cell"}), F.col("m_source").eqNullSafe(F.col("c_source")) & (F.col("m_cell") == F.col("c_cell"))).drop("c_source", "c_cell")
     rows = rows.join(plan.withColumnRenamed("m_source", "p_source"), F.col("m_source").eqNullSafe(F.col("p_source"))).drop("p_source")
     rows = rows.withColumn("m_from", F.col("m_before") + F.col("m_inside"))
-    picks = F.expr(
-        """CASE WHEN size > 0 AND rest > 0 THEN filter(transform(sequence(m_from DIV block, (m_from + size - 1) DIV block),
-             x -> struct(greatest(x * block - m_from, 0) AS a, least((x + 1) * block - m_from, size) AS b, (step * x + start) % blocks AS r)), p -> p.r < rest)
-           ELSE cast(array() AS array<struct<a: bigint, b: bigint, r: bigint>>) END"""
+    spans = F.expr(
+        """CASE WHEN size > 0 THEN transform(sequence(m_from DIV block, (m_from + size - 1) DIV block),
+             x -> struct(greatest(x * block - m_from, 0) AS a, least((x + 1) * block - m_from, size) AS b, x AS x, (step * x + start) % blocks AS r))
+           ELSE cast(array() AS array<struct<a: bigint, b: bigint, x: bigint, r: bigint>>) END"""
     )
-    rows = rows.withColumn("picks", picks)
-    return rows.select("m_id", "m_source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.expr("aggregate(picks, 0L, (s, p) -> s + p.b - p.a)")).alias("taken"), "whole", "picks", "blocks", "seats").withColumnRenamed("m_id", id_col)
+    rows = rows.withColumn("spans", spans).withColumn("picks", F.expr("filter(spans, p -> p.r < rest)"))
+    # Pass k of a block of rank r fills seat k * blocks + r of its source; the shard is the first whose seats reach beyond it.
+    parts = """flatten(transform(spans, p -> transform(sequence(1, int(whole) + int(p.r < rest)), k ->
+        struct(p.a AS a, p.b AS b, p.x AS x, size(filter(seats, s -> s <= (k - 1) * blocks + p.r)) AS shard))))"""
+    none = "cast(array() AS array<struct<a: bigint, b: bigint, x: bigint, shard: int>>)"
+    rows = rows.withColumn("parts", F.expr(f"CASE WHEN whole > 0 THEN {parts} WHEN size(picks) > 0 THEN {parts.replace('spans', 'picks', 1)} ELSE {none} END"))
+    taken = F.col("whole") * F.col("size") + F.expr("aggregate(picks, 0L, (s, p) -> s + p.b - p.a)")
+    return rows.select(F.col("m_id").alias(id_col), "m_source", "size", "source_size", "target", taken.alias("taken"), "whole", "picks", "parts")
 
 
 def op9_sainte_lague_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest, and the words that each shard gets of each row, as shard:words by shard."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    words = "aggregate(filter(parts, p -> p.shard = s), 0L, (n, p) -> n + p.b - p.a)"
+    shards = F.expr(f"array_join(transform(array_sort(array_distinct(transform(parts, p -> p.shard))), s -> concat(s, ':', {words})), ',')")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", shards.alias("shards"))
