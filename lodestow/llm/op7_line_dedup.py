@@ -12,7 +12,7 @@ P, Q = 4, 5
 #: Token counts are summed in so many buckets; a byte for each goes to every task.
 _BUCKETS, _PIECE_BITS = 1 << 18, 12
 #: Tokens of a higher level are hot: lines are not posted under one of them, but under pairs of them. 1 + ceil(3 * log2(count)).
-_HOT = 1 + 3 * 11
+_HOT = 1 + 3 * 13
 #: Most texts have no white space but spaces and line ends, and a split at one character is far cheaper than one at a class.
 _PIECES = """split(lower({0}), CASE WHEN contains({0}, '\t') OR contains({0}, '\r') OR contains({0}, '\x0b')
     OR contains({0}, '\x0c') THEN '[\\\\x20\\\\x09-\\\\x0D]+' ELSE ' ' END)"""
@@ -38,9 +38,16 @@ def rarity(docs: DataFrame, text_col: str = "text") -> Column:
     return F.lit("".join(row.levels for row in sorted(pieces.collect())).encode())  # _BUCKETS bytes, whatever the input
 
 
-def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, h, pos, line): h tells rows of one id with different texts apart."""
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(0), text_col).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def text_hash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What tells rows of one id with different texts apart: a hash of the text, or nothing (0) where no id has two texts."""
+    h = F.xxhash64(F.lit(0), text_col)
+    ids = docs.groupBy(id_col).agg(F.min(h).alias("low"), F.max(h).alias("high"))
+    return F.lit(0).cast("bigint") if ids.where("low <> high").isEmpty() else h
+
+
+def lines_of(docs: DataFrame, h: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, h, pos, line); h as of text_hash."""
+    rows = docs.select(F.col(id_col).alias("id"), h.alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.select("id", "h", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
 
 
@@ -58,9 +65,9 @@ def _same(a: str, b: str, fields: tuple[str, ...] = _PLACE) -> Column:
     return out
 
 
-def _copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _copies(docs: DataFrame, h: Column, id_col: str, text_col: str) -> DataFrame:
     """Lines of words, (id, h, pos, line, k1, k2, first): first is the place of the first of equal lines, null if there are no others."""
-    lines = _spoken(lines_of(docs, id_col, text_col)).withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(1), "line")})
+    lines = _spoken(lines_of(docs, h, id_col, text_col)).withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(1), "line")})
     firsts = lines.groupBy("k1", "k2").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("of")).where("of > 1").drop("of")
     return lines.join(bounded(keep(firsts, "firsts")), ["k1", "k2"], "left")
 
@@ -98,11 +105,11 @@ _NEAR = f"""{Q} * least(x.n, y.n) >= {P} * greatest(x.n, y.n) AND {P + Q} * leas
     AND {P + Q} * (x.n + y.n - bit_count(x.bits ^ y.bits)) >= {2 * P} * (x.n + y.n)"""
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, h: Column, id_col: str, text_col: str) -> DataFrame:
     """x of the pairs (x, y) of places whose word sets reach the threshold. Pairs should be kept."""
     places = pairs.select(F.col("x").alias("place")).unionByName(pairs.select(F.col("y").alias("place"))).distinct()
     places = bounded(keep(places, "places"))
-    lines = _spoken(lines_of(docs, id_col, text_col)).select(F.struct(*_PLACE).alias("l"), "line").join(places, _same("l", "place"))
+    lines = _spoken(lines_of(docs, h, id_col, text_col)).select(F.struct(*_PLACE).alias("l"), "line").join(places, _same("l", "place"))
     words = keep(lines.select("place", F.expr(_HASHES).alias("words")), "words")  # repeated rows repeat them
     both = pairs.join(words.select(F.col("place").alias("px"), F.col("words").alias("wx")), _same("x", "px"))
     both = both.join(words.select(F.col("place").alias("py"), F.col("words").alias("wy")), _same("y", "py"))
@@ -110,7 +117,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     return both.where(f"{Q} * common >= {P} * (size(wx) + size(wy) - common)").select("x").distinct()
 
 
-def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h: Column | None = None) -> DataFrame:
     """(id, h, pos) of every line whose set of words has Jaccard 0.8 or more with that of a line before it.
 
     Lines come in order of id, text hash and position. Words are cut at white space and lower-cased.
@@ -122,7 +129,8 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     document; its lines may be named more than once. A null id comes first; its lines are compared as earlier lines but,
     not being named, stay. Empty table: no rows.
     """
-    lines, levels = _copies(docs, id_col, text_col), rarity(docs, text_col)
+    h = text_hash(docs, id_col, text_col) if h is None else h
+    lines, levels = _copies(docs, h, id_col, text_col), rarity(docs, text_col)
     by_key = Window.partitionBy("key")
     shared = _posted(lines.where(F.col("first").isNull() | (F.struct(*_PLACE) == F.col("first"))), levels)
     shared = shared.withColumn("y", F.min("x").over(by_key)).withColumn("of", F.count("*").over(by_key)).where("of > 1 AND NOT (x.id <=> y.id AND x.h = y.h AND x.pos = y.pos)")
@@ -130,7 +138,7 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = keep(shared, "shared")
     place = F.struct("x.id", "x.h", "x.pos")
     heads = keep(shared.where("head IS NOT NULL").select(place.alias("x"), F.col("head").alias("y")).distinct(), "heads")
-    gone = keep(_verified(heads, docs, id_col, text_col), "gone")
+    gone = keep(_verified(heads, docs, h, id_col, text_col), "gone")
     # A line that is found to go is no later line of another pair, but an earlier one it may be. Its mark is tested as
     # part of the join, so that both sides are one exchange.
     found = bounded(gone.select(F.col("x").alias("g"), F.lit(1).alias("found")))
@@ -138,7 +146,7 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     later = marked.select("key", "x", F.col("found").alias("fx"))
     earlier = marked.select("key", F.col("x").alias("y"), F.col("found").alias("fy"))
     more = later.join(earlier, "key").where(f"fx + 0 * fy = 0 AND {_NEAR} AND y < x").select(place.alias("x"), F.struct("y.id", "y.h", "y.pos").alias("y"))
-    gone = gone.unionByName(_verified(keep(more.distinct(), "more"), docs, id_col, text_col)).select("x.*")
+    gone = gone.unionByName(_verified(keep(more.distinct(), "more"), docs, h, id_col, text_col)).select("x.*")
     copies = lines.where("first IS NOT NULL").where(F.struct(*_PLACE) != F.col("first")).select(*_PLACE)
     return keep(gone.unionByName(copies).where("id IS NOT NULL"), "removed")
 
@@ -148,8 +156,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows that repeat an id are told apart by their texts. Null text stays null, with one line.
     """
-    gone = later_matches(docs, id_col, text_col).groupBy("id", "h").agg(F.array_sort(F.collect_set("pos")).alias("_gone"))  # a row's own lines
-    rows = docs.drop(*(c for c in ("n_lines", "n_removed", "removed") if c in docs.columns)).withColumn("_h", F.xxhash64(F.lit(0), text_col))
+    h = text_hash(docs, id_col, text_col)
+    gone = later_matches(docs, id_col, text_col, h).groupBy("id", "h").agg(F.array_sort(F.collect_set("pos")).alias("_gone"))  # a row's own lines
+    rows = docs.drop(*(c for c in ("n_lines", "n_removed", "removed") if c in docs.columns)).withColumn("_h", h)
     rows = rows.withColumn("n_lines", F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).cast("bigint"))
     rows = rows.join(gone.withColumnsRenamed({"id": "_id", "h": "_g"}), (F.col(id_col) == F.col("_id")) & (F.col("_h") == F.col("_g")), "left")
     left = F.expr(f"array_join(filter(split(`{text_col}`, '\n', -1), (l, i) -> NOT array_contains(_gone, i)), '\n')")
