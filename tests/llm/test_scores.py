@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import itertools
 import math
 import re
 import zlib
@@ -104,17 +105,44 @@ def quality_data(spark):
 
 def test_quality(spark):
     docs, labels = quality_data(spark)
-    kept = {r.doc_id for r in op4.resample(docs, labels).collect()}
+    kept = {r.doc_id for r in op4.resample(docs, labels, share=0.75).collect()}
+    assert len(kept) == 450
     unlabelled = [i for i in range(600) if i % 2 and i % 5]
-    assert not any(i % 4 == 0 for i in kept)
     assert sum(i in kept for i in unlabelled if i % 4) >= 0.97 * sum(i % 4 > 0 for i in unlabelled)
-    assert kept == {r.doc_id for r in op4.resample(docs, labels).collect()}
+    assert sum(i % 4 == 0 for i in kept) <= 10
+    assert kept == {r.doc_id for r in op4.resample(docs.repartition(3), labels, share=0.75).collect()}
+
+
+def test_quality_against_counts_of_features(spark):
+    """Weights, keys and edge made again from whole features, without tables of hashes."""
+    docs, labels = quality_data(spark)
+    rows, edge = op4.sampled(docs, labels, share=0.5)
+    got = {r.id: r for r in rows.collect()}
+
+    def features(t):
+        bare = re.findall("[a-z0-9]+", t.lower())
+        return {("raw", w) for w in t.split()} | {("bare", w) for w in bare} | set(itertools.pairwise(bare))
+
+    sets = {r.doc_id: features(r.text) for r in docs.collect()}
+    good = {r.doc_id for r in labels.collect() if r.quality == 1}
+    raw, target = (Counter(f for i in ids for f in sets[i]) for ids in (sets, good))
+    share, ratio = len(good) / len(sets), {}
+    for f, n in raw.items():
+        z = (target[f] - n * share) / math.sqrt(n * share * (1 - share))
+        ratio[f] = math.log((target[f] + op4.SMOOTH) / (n * share + op4.SMOOTH)) * z**4 / (z**4 + op4.SURE**4)
+    apart = sorted(abs(got[i].log_weight - sum(ratio[f] for f in sets[i])) for i in sets)
+    assert apart[len(sets) * 3 // 4] < 1e-3 and apart[-1] < 1  # some of the thousands of pairs share a bucket
+    # The noise is Gumbel noise of the id: its mean is Euler's constant, and the same on each run.
+    noise = [r.sample_key / op4._FIXED - (1 << 20) - r.log_weight for r in got.values()]
+    assert abs(np.mean(noise) - 0.5772) < 0.2 and abs(np.std(noise) - 1.2825) < 0.2
+    assert sum(r.sample_key >= edge for r in got.values()) == 300
 
 
 def test_quality_edges(spark, empty, odd):
     labels = spark.createDataFrame([(0, 1, 0), (1, 0, None), (None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
     assert op4.resample(empty, labels).count() == 0
-    assert op4.resample(odd, labels.limit(0)).count() == 42
+    assert op4.resample(odd, labels.limit(0), share=1.0).count() == 42
+    assert 30 <= op4.resample(odd, labels.limit(0)).count() < 42
     assert op4.resample(odd, labels).count() > 0
 
 
@@ -203,6 +231,28 @@ def test_mix(docs, texts):
     assert {i: r.taken for i, r in got.items()} == {r.doc_id: r.taken for r in op9.mix(docs.repartition(3)).collect()}
 
 
+def test_each_shard_gets_its_quota_of_each_source(docs):
+    """Blocks counted shard by shard against the quotients; a block that two documents share goes to one shard."""
+    blocks, goal = {}, {}
+    for r in op9.mix(docs, shards=7).collect():
+        goal[r.m_source] = r.target
+        assert sum(p.b - p.a for p in r.parts) == r.taken
+        for x in {p.x for p in r.parts}:
+            shards = sorted(p.shard for p in r.parts if p.x == x)
+            assert blocks.setdefault((r.m_source, x), shards) == shards
+    order = ["s0", "s1", "s2", None]
+    upto = op9.quotas([goal[s] for s in order], round(sum(goal.values()) / op9.BLOCK), 7)
+    got = Counter((s, k) for (s, _), shards in blocks.items() for k in shards)
+    for k in range(7):
+        assert [got[s, k] for s in order] == [upto[k][i] - (upto[k - 1][i] if k else 0) for i in range(4)]
+
+
+def test_permutation_of_large_sources():
+    for n in (1, 2, 3, 10, 1 << 20, (1 << 40) + 12):
+        assert np.gcd(op9._step(n), n) == 1 or n == 1
+        assert op9._step(n) * n < 1 << 63
+
+
 def test_mix_edges(empty, odd):
     assert op9.mix(empty).count() == 0
     assert op9.mix(odd).count() == 42
