@@ -13,51 +13,97 @@ from pyspark.sql import functions as F
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 #: Elements whose content is no text of the page.
-_SKIP = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "canvas", "object", "select", "noembed", "noframes", "xmp", "audio", "video", "datalist"}
+_SKIP = {
+    "script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "canvas", "object", "select", "noembed", "noframes",
+    "xmp", "audio", "video", "datalist",
+}
 _BLOCK = {
-    "address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
-    "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+    "address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt",
+    "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "legend", "li",
+    "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 _EMPTY = {"hr", "br", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
-_BOILER_TAGS = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "head", "fieldset"}
-_BOILER_WORDS = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "promotion", "sidebar", "side", "rail", "widget", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs",
-    "footer", "foot", "masthead", "topbar", "toolbar", "cookie", "cookies", "consent", "gdpr", "notice", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "comment", "comments", "reply", "replies", "respond",
-    "disqus", "discussion", "share", "sharing", "social", "related", "recommended", "recommendations", "pagination", "pager", "tags", "copyright", "disclaimer", "skip", "search", "alert",
+#: Elements, roles and names that speak against the main text, and names that may.
+_AGAINST_TAGS = {"nav", "footer", "aside", "button", "menu", "dialog"}
+_AGAINST_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "menu", "menubar"}
+_AGAINST_NAMES = {
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "sidebar", "menu", "nav", "navbar",
+    "navigation", "breadcrumb", "breadcrumbs", "footer", "masthead", "topbar", "cookie", "cookies", "consent", "gdpr", "popup", "newsletter",
+    "subscribe", "subscription", "signup", "login", "comment", "comments", "disqus", "pagination", "pager",
+}
+_LEAN_NAMES = {
+    "banner", "promotion", "side", "rail", "widget", "foot", "toolbar", "notice", "modal", "overlay", "reply", "replies", "respond", "discussion", "share",
+    "sharing", "social", "related", "recommended", "recommendations", "tags", "copyright", "disclaimer", "skip", "search", "alert",
+}
+_FOR_NAMES = {"article", "content", "post", "entry", "main", "story", "body", "text"}
+#: The last part of a compound name that only says what holds the first: share-buttons, comment-list, cookie-bar.
+_HOLDERS = {
+    "area", "bar", "block", "blocks", "box", "button", "buttons", "container", "form", "group", "holder", "icons", "inner", "item", "items", "link", "links",
+    "list", "panel", "post", "posts", "row", "section", "slot", "strip", "thread", "title", "unit", "wrap", "wrapper", "zone",
 }
-_BOILER_ARTICLES = {"ad", "ads", "advert", "advertisement", "comment", "comments", "reply", "related", "sponsored", "promo"}
-_BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu", "menubar"}
-_CONTENT_WORDS = {"article", "content", "post", "entry", "main", "story", "body", "text"}
+#: A compound name that begins so says that something is there or not, elsewhere on the page: no-sidebar, has-menu.
+_STATES = {"no", "not", "has", "with", "without", "is", "hide", "show", "hidden"}
 _CLOSES_P = _BLOCK - {"button", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "html", "body", "head"}
-#: Costs in log odds. A block inside such an element is as good as decided; the rest leans on its words and its neighbours.
-_SURE, _LEAN = 20.0, 4.0
-_ADJACENT, _SIBLING = 1.0, 1.5
+#: Capacities in log odds. An element's is so much, and so much more for each of its own blocks.
+_HIDDEN, _AGAINST, _FOR, _NAMED, _LEAN, _FORM = (1000.0, 0.0), (8.0, 6.0), (8.0, 2.0), (2.0, 2.0), (0.0, 3.0), (0.0, 1.0)
+#: Edges: a block and the element that speaks for it, such an element and the one around it, blocks in a row (less the farther apart in the tree).
+_INSIDE, _AROUND, _ROW = 6.0, 6.0, 1.0
+
+
+def _names(value: str) -> tuple[bool, bool, bool]:
+    """Do the words of a class or id speak against, lean against, speak for the main text?"""
+    against = lean = good = False
+    for token in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split():
+        parts = re.findall(r"[a-z]+", token)
+        if not parts or parts[0] in _STATES:
+            continue
+        first, last = parts[0], parts[-1]
+        held = last in _HOLDERS
+        against |= last in _AGAINST_NAMES or (held and first in _AGAINST_NAMES)
+        lean |= last in _LEAN_NAMES or (held and first in _LEAN_NAMES)
+        good |= last in _FOR_NAMES
+    return against, lean, good
 
 
 class _Node:
-    __slots__ = ("name", "parent", "boiler", "content")
+    """An element. weight: what it says of its blocks, (at once, for each); of: the nearest element that says something, itself perhaps."""
+
+    __slots__ = ("name", "parent", "weight", "of", "inside", "bad", "own")
 
     def __init__(self, name: str, attributes: str, parent: _Node | None) -> None:
-        self.name, self.parent = name, parent
-        self.content = bool(parent and parent.content) or name in ("article", "main")
-        words: set[str] = set()
-        boiler = name in _BOILER_TAGS or (name == "header" and not self.content)
+        self.name, self.parent, self.own = name, parent, 0
+        self.inside, self.bad = bool(parent and parent.inside), bool(parent and parent.bad)
+        against, lean, good, hidden, role = name in _AGAINST_TAGS, False, False, False, ""
         if attributes:
             for key, a, b, c in _ATTRIBUTE.findall(attributes):
-                value, key = (a or b or c).lower(), key.lower()
+                value, key = a or b or c, key.lower()
                 if key in ("class", "id"):
-                    words.update(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", a or b or c).lower()))
+                    if name not in ("html", "body"):
+                        x, y, z = _names(value)
+                        against, lean, good = against or x, lean or y, good or z
                 elif key == "role":
-                    boiler |= value in _BOILER_ROLES
-                    self.content |= value == "main"
-                elif key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-                    boiler = True
-        if name in ("article", "main"):
-            boiler |= bool(words & _BOILER_ARTICLES)
-        elif words and name not in ("html", "body"):
-            boiler |= bool(words & _BOILER_WORDS) or ("header" in words and not self.content)
-            self.content |= bool(words & _CONTENT_WORDS) and not boiler
-        self.boiler = boiler or bool(parent and parent.boiler)
+                    role = value.strip().lower()
+                elif key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
+                    hidden = True
+        against |= role in _AGAINST_ROLES or (name == "header" and not self.inside)
+        best = name in ("article", "main") or role == "main"
+        if hidden:
+            at_once, each = _HIDDEN
+            self.weight = (-at_once, each)
+        elif against and not (best and name == "main"):
+            self.weight = (-_AGAINST[0], -_AGAINST[1])
+            self.bad = True
+        elif best and not self.bad:
+            self.weight, self.inside = _FOR, True
+        elif lean:
+            self.weight = (-_LEAN[0], -_LEAN[1] / (2 if self.inside else 1))
+        elif good and not self.bad:
+            self.weight = _NAMED
+        elif name in ("form", "fieldset"):
+            self.weight = (-_FORM[0], -_FORM[1])
+        else:
+            self.weight = (0.0, 0.0)
+        self.of: _Node | None = self if self.weight != (0.0, 0.0) else parent.of if parent else None
 
 
 def blocks(page: str) -> list[tuple[str, _Node, int]]:
@@ -125,12 +171,9 @@ def blocks(page: str) -> list[tuple[str, _Node, int]]:
 
 
 def _score(text: str, node: _Node, linked: int) -> float:
-    """Log odds that a block is content."""
-    if node.boiler:
-        return -_SURE
+    """Log odds that a block is content, by its words and links alone."""
     words, dense = text.count(" ") + 1, linked / max(1, len(text))
-    score = _LEAN if node.content else -1.0
-    score += min(words, 40) / 10 - 5 * dense
+    score = -1.0 + min(words, 40) / 10 - 5 * dense
     if node.name in ("h1", "h2", "h3", "h4", "h5", "h6"):
         score += 1.0
     if node.name == "li" and dense > 0.5:
@@ -197,21 +240,41 @@ def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bo
                 tried[u] += 1
 
 
+def network(found: list[tuple[str, _Node, int]]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Scores and edges of the graph: first the blocks, then the elements that say something of them.
+
+    Blocks have the capacities of their text, elements those of their kind and names. A block is joined to the nearest such element
+    around it, an element to the next one around it, and blocks in a row to each other.
+    """
+    scores, edges = [_score(*b) for b in found], []
+    number: dict[int, int] = {}
+    elements: list[_Node] = []
+    for k, (_, node, _) in enumerate(found):
+        inner, at = k, node.of
+        if at:
+            at.own += 1
+        strength = _INSIDE
+        while at:
+            new = id(at) not in number
+            if new:
+                number[id(at)] = len(found) + len(elements)
+                elements.append(at)
+            edges.append((inner, number[id(at)], strength))
+            if not new:
+                break
+            inner, strength, at = number[id(at)], _AROUND, at.parent.of if at.parent else None
+        if k:
+            before = found[k - 1][1]
+            near = before is node or before.parent is node.parent
+            edges.append((k - 1, k, _ROW if near else _ROW / 2 if before.parent and node.parent and before.parent.parent is node.parent.parent else _ROW / 8))
+    scores += [e.weight[0] + e.own * e.weight[1] for e in elements]
+    return scores, edges
+
+
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    scores = [_score(*b) for b in found]
-    if all(s > 0 for s in scores) or all(s <= 0 for s in scores):
-        kept = [s > 0 for s in scores]  # nothing to cut
-    else:
-        edges, last = [], {}
-        for k, (_, node, _) in enumerate(found):
-            if k:
-                edges.append((k - 1, k, _ADJACENT if node.parent is found[k - 1][1].parent else _ADJACENT / 4))
-            if (before := last.get(id(node.parent))) is not None:
-                edges.append((before, k, _SIBLING))
-            last[id(node.parent)] = k
-        kept = min_cut(scores, edges)
-    return "\n".join(b[0] for b, yes in zip(found, kept, strict=True) if yes)
+    kept = min_cut(*network(found))
+    return "\n".join(b[0] for b, yes in zip(found, kept, strict=False) if yes)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,9 +286,11 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages without html_col, with text and n_chars (a column of pages of such a name is replaced).
 
-    Each block (paragraph, heading, list item, cell ...) is a node. A classifier's costs, from the elements around the block,
-    its links and its words, are its arcs to the terminals; neighbours on the page and children of one element are joined by edges. The
-    minimum cut labels the blocks; blocks of the source's side are the text.
+    Each block (paragraph, heading, list item, cell ...) is a node, and so is each element whose kind or names say something.
+    A classifier's costs are the arcs to the terminals: of a block by its words and links, of an element by its kind and names. Edges join
+    a block to such an element around it, these to one another up the tree, and neighbours on the page. The minimum cut labels all;
+    blocks on the source's side are the text. So a menu's long line goes with its menu, an article's short line stays with its article,
+    and a name that merely leans against yields to enough text.
 
     Null or empty html, or a page without content: an empty text. Unclosed tags and cut-off pages are read as far as they go.
     Rows that repeat are extracted each. Empty table: no rows.
