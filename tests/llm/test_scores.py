@@ -354,6 +354,16 @@ PAGES = [
     (None, ""),
     ("", ""),
     ("<nav>only</nav>", ""),
+    # A wrapper's kind or name must not take the article along, nor an innocent name a section of it.
+    ("<form><div class='content no-sidebar'><article><p>One two three four five six.</p></article></div></form>", "One two three four five six."),
+    ("<form><p>" + "Many words make a text. " * 6 + "</p><fieldset><div>Your name</div></fieldset></form>", ("Many words make a text. " * 6).strip()),
+    ("<article><h1>T</h1><section class='search-algorithms'><p>Binary search halves a range.</p></section></article>", "T\nBinary search halves a range."),
+    ("<article><h1>T</h1><p>A text.</p><div id='alert'><p>Flood alert levels are explained here.</p></div></article>", "T\nA text.\nFlood alert levels are explained here."),
+    ("<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></article>", "So x=1 holds."),
+    # Long texts of readers, teasers and adverts go with what they lie in.
+    ("<main><p>Body text.</p><section class='comments'>" + f"<p>{'I have a long opinion on this. ' * 9}</p>" * 7 + "</section></main>", "Body text."),
+    ("<aside><article><h3>Teaser of something</h3><p>Read this other story, it is long enough.</p></article></aside><article><p>Real.</p></article>", "Real."),
+    ("<p hidden>Not to be seen by any reader.</p><article><p>Seen.</p></article><div class='ad-slot'>Buy this now, it is the best there is.</div>", "Seen."),
 ]
 
 
@@ -373,6 +383,16 @@ def test_pages_of_the_table(spark):
         assert op10.main_text(r.html) == "\n".join(x for x in parts if x)
 
 
+def test_edges_decide():
+    """By its own words alone an advert's sentence is text and an article's short line is none; the cut labels both right."""
+    page = "<div class='ad'>Nine words that read like a sentence of text.</div><article><h1>A title of it</h1><p>So</p><p>Words follow here.</p></article>"
+    found = op10.blocks(page)
+    scores, edges = op10.network(found)
+    assert [s > 0 for s in scores[:4]] == [True, True, False, True]
+    assert op10.min_cut(scores, edges)[:4] == [False, True, True, True]
+    assert op10.min_cut(scores, [])[:4] == [True, True, False, True]
+
+
 def test_min_cut_is_minimal():
     rng = np.random.default_rng(7)
     for _ in range(30):
