@@ -262,7 +262,8 @@ def network(found: list[tuple[str, _Node, int]]) -> tuple[list[float], list[tupl
             edges.append((inner, number[id(at)], strength))
             if not new:
                 break
-            inner, strength, at = number[id(at)], _AROUND, at.parent.of if at.parent else None
+            inner, at = number[id(at)], at.parent.of if at.parent else None
+            strength = _AROUND if at and at.weight[0] else _AROUND / 6  # what merely leans holds nothing together
         if k:
             before = found[k - 1][1]
             near = before is node or before.parent is node.parent
