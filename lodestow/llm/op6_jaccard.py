@@ -134,13 +134,30 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
        joined are not paired again; bitmaps bound the overlap before texts move and sorted arrays decide.
     Rarity comes from a count table over all shingles of fixed size; any order finds every pair.
 
-    Null or blank text: an empty set, linked with nothing. Rows with one id (repeats) count as one document, the
-    one with the smallest text. A null id: its set is counted, its component is null. Ties need no rule: components
+    Null or blank text: an empty set, linked with nothing. Rows of one id are one document: each has its own set, and all
+    its links are the document's. A null id: its set is counted, its component is null. Ties need no rule: components
     are named by their smallest id. Empty table: no rows. Ids are integers.
     """
+    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    keyed = docs.withColumn("key", F.when(F.col("id").isNotNull(), F.xxhash64("id", "text")))
+    if keyed.groupBy("id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").isEmpty():
+        out = _components(docs, n, threshold)
+    else:  # some id has different texts: link texts first, then the texts of each id
+        texts = keep(_components(keyed.select(F.col("key").alias("id"), "text"), n, threshold).withColumnRenamed("id", "key"), "texts")
+        owner = keyed.where("id IS NOT NULL").select("id", "key").distinct()
+        owned = keep(owner.join(texts.groupBy("key").agg(F.first("component_id").alias("text_class")), "key"), "owned")
+        low = owned.groupBy("id").agg(F.min("text_class").alias("low"))
+        joined = components(owned.join(low, "id").select(F.col("text_class").alias("a"), F.col("low").alias("b")))
+        owned = keep(owned.join(joined, F.col("text_class") == F.col("node"), "left").select("id", "key", F.coalesce("component", "text_class").alias("class")), "owned")
+        named = owned.join(owned.groupBy("class").agg(F.min("id").alias("component_id")), "class").select("id", "key", "component_id")
+        out = texts.drop("component_id").join(named, "key", "left").select("id", "n_shingles", "component_id")
+    return out.withColumnRenamed("id", id_col)
+
+
+def _components(docs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
+    """(id, n_shingles, component_id) of docs(id, text) in which no id has two texts."""
     spark = docs.sparkSession
     short_batches(spark)
-    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     every = keep(docs.mapInArrow(*_signatures(n)), "signatures")
     named = every.where("id IS NOT NULL AND n > 0")
     classes = named.groupBy("k1", "k2").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ["n", *_BITS, *_MINS]))
@@ -187,7 +204,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
     merged = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
     final = labels.join(merged, F.col("label") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "label").alias("component_id"))
     out = every.join(final, ["k1", "k2"], "left")
-    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "id")).alias("component_id"))
+    out = out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "id")).alias("component_id"))
     return out
 
 
