@@ -69,6 +69,17 @@ def test_near_copies_of_one_text(spark):
     assert got == {0}
 
 
+def test_texts_of_one_id_share_links(spark):
+    """Two rows of id 1 hold different texts; copies of either are linked with id 1."""
+    from .conftest import frame
+
+    a, b = "one text of six words here", "and another of seven words as well"
+    rows = [(1, a), (1, b), (7, b), (8, a), (9, "not the same at all"), (None, a), (1, None)]
+    df = frame(spark, [t for _, t in rows], [i for i, _ in rows])
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in op6.jaccard_components(df, 4, (85, 100)).collect()), key=str)
+    assert got == sorted([(1, 3, 1), (1, 4, 1), (7, 4, 1), (8, 3, 1), (9, 2, 9), (None, 3, None), (1, 0, 1)], key=str)
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (9, 8), (8, 7), (7, 6), (6, 5), (4, 4)], "a long, b long")
     assert {(r.node, r.component) for r in components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (5, 5), (6, 5), (7, 5), (8, 5), (9, 5)}
