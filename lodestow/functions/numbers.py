@@ -40,13 +40,30 @@ def weight_kg(cell: Column) -> Column:
     return value * scale
 
 
-def upper_median(values: Column) -> Column:
-    """Of a sorted even number of values the higher middle one."""
-    return F.element_at(F.sort_array(values), F.floor(F.size(values) / 2).cast("int") + 1)
+def hollow_section(b: Column, h: Column, t: Column) -> Column:
+    """struct(area, inertia, modulus, radius) of a hollow rectangular section: the stiffer axis for bending, the smaller radius, which
+    is the safe side for columns. Nulls if the wall leaves no hollow."""
+    inner_b, inner_h = b - 2 * t, h - 2 * t
+    area = b * h - inner_b * inner_h
+    by_h = (b * h * h * h - inner_b * inner_h * inner_h * inner_h) / 12
+    by_b = (h * b * b * b - inner_h * inner_b * inner_b * inner_b) / 12
+    sound = (t > 0) & (inner_b > 0) & (inner_h > 0)
+    modulus = F.when(by_h >= by_b, 2 * by_h / h).otherwise(2 * by_b / b)
+    values = {"area": area, "inertia": F.greatest(by_h, by_b), "modulus": modulus, "radius": F.sqrt(F.least(by_h, by_b) / area)}
+    return F.struct(*(F.when(sound, v).alias(k) for k, v in values.items()))
 
 
-def hollow_section(b: Column, h: Column, t: Column) -> Column:
-    """struct(area, inertia, modulus, radius) of a hollow rectangular section in mm."""
-    area = b * h - (b - 2 * t) * (h - 2 * t)
-    inertia = (b * h * h * h - (b - 2 * t) * F.pow(h - 2 * t, 3)) / 12
-    return F.struct(area.alias("area"), inertia.alias("inertia"), (2 * inertia / h).alias("modulus"), F.sqrt(inertia / area).alias("radius"))
+def solid_section(b: Column, h: Column) -> Column:
+    """struct(area, inertia, modulus, radius) of a solid rectangular section about its height."""
+    inertia = b * h * h * h / 12
+    return F.struct((b * h).alias("area"), inertia.alias("inertia"), (2 * inertia / h).alias("modulus"), F.sqrt(inertia / (b * h)).alias("radius"))
+
+
+def section(name: Column) -> Column:
+    """struct(kind, b, h, t) of a section's name in mm: 40x40x3 with or without 方管, 矩形管, RHS or SHS; 木梁100x120. Nulls if it is neither."""
+    bare = F.regexp_replace(F.regexp_replace(name, "[×*X]", "x"), r"\s+", "")
+    tube, wood = r"(?i)^(?:方管|矩形管|RHS|SHS)?([0-9]+(?:\.[0-9]+)?)x([0-9]+(?:\.[0-9]+)?)x([0-9]+(?:\.[0-9]+)?)$", r"^木梁([0-9]+)x([0-9]+)$"
+    size = lambda pattern, k: F.nullif(F.regexp_extract(bare, pattern, k), F.lit("")).try_cast("double")
+    b, h = F.coalesce(size(tube, 1), size(wood, 1)), F.coalesce(size(tube, 2), size(wood, 2))
+    kind = F.when(size(tube, 3).isNotNull(), F.when(b == h, "square_tube").otherwise("rect_tube")).when(b.isNotNull(), "wood_rect")
+    return F.struct(kind.alias("kind"), b.alias("b"), h.alias("h"), size(tube, 3).alias("t"))

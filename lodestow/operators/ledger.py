@@ -34,10 +34,120 @@ def keyed_diff(before: DataFrame, after: DataFrame, keys: list[str], values: lis
 
 
 def conservation(materials: DataFrame, contents: DataFrame, key: list[str]) -> DataFrame:
-    """Rows whose pieces do not come out as they went in. contents(key, quantity, split_of): shares are compared as whole
-    numbers over a common multiple, never as doubles."""
-    lcm = 2520  # common multiple of the splits 1 to 10
-    went_in = materials.groupBy(*key).agg(F.sum("quantity").alias("pieces_in"))
-    came_out = contents.groupBy(*key).agg(F.sum(F.col("quantity") * lcm / F.col("split_of")).cast("bigint").alias("out_parts"))
-    both = went_in.join(came_out, key, "full_outer").na.fill(0, ["pieces_in", "out_parts"])
-    return both.where(F.col("pieces_in") * lcm != F.col("out_parts")).select(*key, "pieces_in", F.round(F.col("out_parts") / lcm, 6).alias("pieces_out"))
+    """Rows whose pieces do not come out as they went in. contents(key, quantity, split_of): quantity parts of 1 / split_of piece each.
+
+    Parts are summed for each split, whole pieces taken out, and the rests compared as whole numbers over the product of the
+    splits that leave one: exact for any split, with up to 38 digits.
+    """
+    went_in = materials.groupBy(*key).agg(F.sum("quantity").cast("bigint").alias("pieces_in"))
+    split = F.greatest(F.coalesce("split_of", F.lit(1)), F.lit(1)).cast("bigint")
+    parts = contents.groupBy(*key, split.alias("split")).agg(F.sum("quantity").cast("bigint").alias("parts"))
+    whole = F.floor(F.col("parts") / F.col("split")).cast("bigint")
+    each = parts.withColumn("whole", whole).withColumn("rest", F.col("parts") - F.col("whole") * F.col("split"))
+    rests = F.collect_list(F.when(F.col("rest") > 0, F.struct("rest", "split")))  # an entry for each split of one row
+    came_out = each.groupBy(*key).agg(F.sum("whole").alias("whole"), rests.alias("rests"))
+    number = lambda x: F.expr(f"cast({x} AS decimal(38, 0))")
+    fraction = F.aggregate(
+        "rests", F.struct(number("0").alias("n"), number("1").alias("d")),
+        lambda f, r: F.struct((f["n"] * r["split"] + f["d"] * r["rest"]).cast("decimal(38,0)").alias("n"), (f["d"] * r["split"]).cast("decimal(38,0)").alias("d")),
+    )
+    both = went_in.join(came_out.withColumn("f", fraction), key, "full_outer").na.fill(0, ["pieces_in", "whole"])
+    n, d = F.coalesce("f.n", number("0")), F.coalesce("f.d", number("1"))
+    missing = F.col("pieces_in") - F.col("whole")
+    both = both.withColumn("n", n).withColumn("d", d).where((missing * F.col("d")).cast("decimal(38,0)") != F.col("n"))
+    out = F.col("whole") + F.col("n").cast("double") / F.col("d").cast("double")
+    return both.select(*key, "pieces_in", F.round(out, 6).alias("pieces_out"), F.when(missing * F.col("d") > F.col("n"), "pieces_lost").otherwise("pieces_gained").alias("kind"))
+
+
+# Spellings of one unit of count.
+PIECES = ("pc", "pcs", "ea", "件", "个")
+
+
+def unit_key(unit: Column) -> Column:
+    """Spelling of a unit; null if it is not stated."""
+    low = F.lower(F.trim(unit))
+    return F.when(low.isin(*PIECES), "pcs").when((low == "") | (low == "unspecified"), None).otherwise(low)
+
+
+def quantities_by_unit(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, unit, quantity): units never mix, and an unknown quantity makes the sum of its unit unknown."""
+    return rows.withColumn("unit", unit_key(F.col("unit"))).groupBy(*keys, "unit").agg(poisoned_sum(F.col("quantity")).alias("quantity"))
+
+
+def row_total(value: str) -> Column:
+    """A weight of a row by its scope: package and item weights times their count, a row's as it is, null where scope or count are unknown."""
+    return F.col(value) * F.when(F.col("weight_scope") == "package", F.col("package_count")).when(F.col("weight_scope") == "item", F.col("quantity")).when(F.col("weight_scope") == "row", 1)
+
+
+def package_labels(rows: DataFrame, group: str) -> DataFrame:
+    """(group, package_id, n_rows, n_containers, ambiguous): a label is local to its container, so one that is stated both with
+    and without a container cannot be told to be one box or several. An unknown container counts as one."""
+    stated = F.trim("container_id")
+    cid = F.when(stated == "", None).otherwise(stated)
+    found = rows.where("trim(package_id) <> ''").withColumn("cid", cid).groupBy(group, F.trim("package_id").alias("package_id"))
+    known, lacking = F.count_distinct("cid"), F.max(F.col("cid").isNull().cast("int"))
+    return found.agg(F.count("*").alias("n_rows"), (known + lacking).alias("n_containers"), ((known > 0) & (lacking > 0)).alias("ambiguous"))
+
+
+_FACTS = ("package_count", "length_mm", "width_mm", "height_mm", "net_kg", "gross_kg")
+
+
+def package_facts(rows: DataFrame, group: str) -> DataFrame:
+    """One row for each package, or row without a label: (group, row_id, n_rows, conflict, package_count, net_kg, gross_kg).
+
+    A package of several rows must state package scopes and equal facts and have one container; else it is a conflict and its
+    facts are unknown. Weights are those of the whole package by its scope. row_id is its first row.
+    """
+    labels = package_labels(rows, group).select(F.col(group).alias("_g"), F.col("package_id").alias("_p"), "ambiguous")
+    marked = rows.join(labels, (F.col(group) == F.col("_g")) & (F.trim("package_id") == F.col("_p")), "left").drop("_g")
+    where = F.when(F.col("ambiguous"), "?").otherwise(F.coalesce(F.trim("container_id"), F.lit("")))
+    own = F.when(F.col("_p").isNull(), F.col("row_id"))
+    one = [(F.count(f) == 0) | ((F.count(f) == F.count(F.lit(1))) & (F.min(f) == F.max(f))) for f in _FACTS]
+    alike = one[0]
+    for x in one[1:]:
+        alike &= x
+    scoped = (F.count_if(F.col("weight_scope") == "package") == F.count(F.lit(1))) & (F.count_if(F.col("dimension_scope") == "package") == F.count(F.lit(1)))
+    sound = ~F.coalesce(F.max("ambiguous"), F.lit(False)) & scoped & alike & (F.count("package_count") > 0)
+    first = lambda c, name: F.min_by(c, "row_id").alias(name)
+    each = marked.groupBy(group, "_p", where.alias("_c"), own.alias("_row")).agg(
+        F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("n_rows"), ((F.count(F.lit(1)) > 1) & ~sound).alias("conflict"),
+        first("package_count", "count"), first(row_total("net_kg"), "net"), first(row_total("gross_kg"), "gross"),
+    )
+    sure = lambda c: F.when(~F.col("conflict"), F.col(c))
+    return each.select(group, "row_id", "n_rows", "conflict", sure("count").alias("package_count"), sure("net").alias("net_kg"), sure("gross").alias("gross_kg"))
+
+
+def row_issues(rows: DataFrame) -> DataFrame:
+    """(keys of rows, severity, code, field) of each issue of one row."""
+    issue = lambda when, severity, code, field: F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.lit(field).alias("field")))
+    numbers = ("quantity", "package_count", "units_per_package", "length_mm", "width_mm", "height_mm", "net_kg", "gross_kg")
+    found = [issue(F.col(f).isNull(), "warning", f"missing_{f}", f) for f in ("name", "quantity", "package_count")]
+    found += [issue(F.col(f) == 0, "warning", "zero_value", f) for f in numbers]
+    found.append(issue(F.col("quantity") != F.col("package_count") * F.col("units_per_package"), "error", "quantity_mismatch", "quantity"))
+    found.append(issue(F.col("gross_kg") < F.col("net_kg"), "error", "gross_below_net", "gross_kg"))
+    sized = F.coalesce("length_mm", "width_mm", "height_mm").isNotNull()
+    found.append(issue(sized & F.col("dimension_scope").isNull(), "error", "unknown_scope", "dimension_scope"))
+    found.append(issue(F.coalesce("net_kg", "gross_kg").isNotNull() & F.col("weight_scope").isNull(), "error", "unknown_scope", "weight_scope"))
+    keys = [c for c in ("shipment_id", "row_id") if c in rows.columns]
+    return rows.select(*keys, F.explode(F.array_compact(F.array(*found))).alias("i")).select(*keys, "i.*")
+
+
+def ledger_issues(rows: DataFrame, group: str = "shipment_id") -> DataFrame:
+    """(group, row_id, severity, code, field) of all issues of each document: those of rows, of packages and of units."""
+    packages = package_facts(rows, group).where("conflict").select(group, "row_id", F.lit("error").alias("severity"), F.lit("package_group_conflict").alias("code"), F.lit("package_id").alias("field"))
+    units = rows.groupBy(group).agg(F.count_distinct(unit_key(F.col("unit"))).alias("n"), F.max(unit_key(F.col("unit")).isNull().cast("int")).alias("unknown"))
+    of_units = lambda when, code: units.where(when).select(group, F.lit(None).cast("bigint").alias("row_id"), F.lit("warning").alias("severity"), F.lit(code).alias("code"), F.lit("unit").alias("field"))
+    return row_issues(rows).unionByName(packages).unionByName(of_units("n + unknown > 1", "mixed_quantity_units")).unionByName(of_units("unknown = 1", "unknown_quantity_unit"))
+
+
+def compare_by_id(current: DataFrame, other: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, status, differs): rows meet by an explicit id only; an id that repeats on a side is ambiguous, rows without one are left out."""
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(f"n_{name}"), F.first(F.struct(*fields)).alias(name))  # first counts where it is the only one
+
+    both = side(current, "a").join(side(other, "b"), key, "full_outer")
+    differs = F.array_compact(F.array(*(F.when(~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")), F.lit(f)) for f in fields)))
+    status = F.when((F.col("n_a") > 1) | (F.col("n_b") > 1), "ambiguous_duplicate").when(F.col("n_b").isNull(), "only_current").when(F.col("n_a").isNull(), "only_comparison")
+    status = status.otherwise(F.when(F.size(differs) > 0, "different").otherwise("same"))
+    return both.select(key, status.alias("status"), F.when(status == "different", F.array_join(differs, ",")).otherwise("").alias("differs"))

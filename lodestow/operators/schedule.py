@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -22,45 +24,51 @@ def resource_load(demands: DataFrame, resource: str = "resource", start: str = "
     return loads.where("to IS NOT NULL").select(resource, F.col("at").alias("from"), "to", "load")
 
 
-def _fixpoint(state: DataFrame, step, value: str, most: int, every: int = 8) -> DataFrame:
-    """Repeat step until no value changes; lineage is cut with checkpoint() in the session's checkpoint folder."""
-    import tempfile
+def _use_checkpoints(spark: SparkSession) -> None:
+    """The session's checkpoint folder; only where none is named (tests), one of our own."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestow-"))
+
 
-    context = state.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(state.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestow-"))
+def _fixpoint(state: DataFrame, step, value: str) -> DataFrame:
+    """Repeat step until no value changes; lineage is cut with checkpoint() in the session's checkpoint folder.
+
+    A path without a cycle has fewer links than there are rows, so a change after that many steps means a cycle.
+    """
+    _use_checkpoints(state.sparkSession)
     state = state.checkpoint()
+    most = state.count()
     seen = state.agg(F.sum(F.col(value).cast("decimal(38,6)")), F.count(value)).first()
-    for _ in range(most):
+    for _ in range(most + 1):
         state = step(state).checkpoint()
         now = state.agg(F.sum(F.col(value).cast("decimal(38,6)")), F.count(value)).first()
         if now == seen:
             return state
         seen = now
-    raise ValueError("no fixed point: the graph has a cycle or is deeper than the bound")
+    raise ValueError("no fixed point: the graph has a cycle")
 
 
-def earliest_starts(tasks: DataFrame, links: DataFrame, most: int = 200) -> DataFrame:
+def earliest_starts(tasks: DataFrame, links: DataFrame) -> DataFrame:
     """tasks(id, duration) with es, the longest path of links(before, after, lag) that leads to them. A level a step; a cycle is an error."""
 
     def step(state: DataFrame) -> DataFrame:
         reach = links.join(state.select(F.col("id").alias("before"), (F.col("es") + F.col("duration")).alias("ends")), "before").groupBy(F.col("after").alias("id")).agg(F.max(F.col("ends") + F.col("lag")).alias("need"))
         return state.join(reach, "id", "left").select("id", "duration", F.greatest("es", F.coalesce("need", F.lit(0))).alias("es"))
 
-    return _fixpoint(tasks.withColumn("es", F.lit(0).cast("bigint")), step, "es", most)
+    return _fixpoint(tasks.withColumn("es", F.lit(0).cast("bigint")), step, "es")
 
 
-def critical_path(tasks: DataFrame, links: DataFrame, most: int = 200) -> DataFrame:
+def critical_path(tasks: DataFrame, links: DataFrame) -> DataFrame:
     """es, ls, slack and critical of each task: the backward pass is the forward pass over reversed links."""
-    forward = earliest_starts(tasks, links, most)
+    forward = earliest_starts(tasks, links)
     end = forward.agg(F.max(F.col("es") + F.col("duration")).alias("makespan"))
-    back = earliest_starts(tasks, links.select(F.col("after").alias("before"), F.col("before").alias("after"), "lag"), most).select("id", F.col("es").alias("tail"))
+    back = earliest_starts(tasks, links.select(F.col("after").alias("before"), F.col("before").alias("after"), "lag")).select("id", F.col("es").alias("tail"))
     both = forward.join(back, "id").crossJoin(F.broadcast(end))  # one row
     ls = F.col("makespan") - F.col("tail") - F.col("duration")
     return both.select("id", "duration", "es", ls.alias("ls"), (ls - F.col("es")).alias("slack"), (ls == F.col("es")).alias("critical"))
 
 
-def shortest_routes(edges: DataFrame, origin: object, most: int = 200) -> DataFrame:
+def shortest_routes(edges: DataFrame, origin: object) -> DataFrame:
     """(node, distance) from origin over edges(from, to, weight), by repeated relaxation of the whole frontier."""
     nodes = edges.select(F.col("from").alias("node")).unionByName(edges.select(F.col("to").alias("node"))).distinct()
     start = nodes.withColumn("distance", F.when(F.col("node") == origin, F.lit(0)).cast("bigint"))
@@ -69,4 +77,65 @@ def shortest_routes(edges: DataFrame, origin: object, most: int = 200) -> DataFr
         reach = edges.join(state.where("distance IS NOT NULL").select(F.col("node").alias("from"), "distance"), "from").groupBy(F.col("to").alias("node")).agg(F.min(F.col("distance") + F.col("weight")).alias("d"))
         return state.join(reach, "node", "left").select("node", F.least("distance", "d").alias("distance"))
 
-    return _fixpoint(start, step, "distance", most)
+    return _fixpoint(start, step, "distance")
+
+
+def link_weights(tasks: DataFrame, links: DataFrame) -> DataFrame:
+    """links(before, after, kind, lag) of any kind as links that say how long after the start of before the start of after may be.
+
+    kind is two letters: F or S, the end or start of before that counts, and the end or start of after that waits for it.
+    """
+    durations = tasks.select("id", "duration")
+    both = links.join(durations.withColumnsRenamed({"id": "before", "duration": "_b"}), "before").join(durations.withColumnsRenamed({"id": "after", "duration": "_a"}), "after")
+    weight = F.col("lag") + F.when(F.col("kind").startswith("F"), F.col("_b")).otherwise(0) - F.when(F.col("kind").endswith("F"), F.col("_a")).otherwise(0)
+    return both.select("before", "after", weight.alias("weight"))
+
+
+def schedule(tasks: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, duration, es, ls, slack, critical) under links of the kinds FS, SS, FF and SF with lags.
+
+    Starts are the longest path over the weights of the links, 0 at least; late starts the same path backwards from the end of the plan.
+    """
+    weights = link_weights(tasks, links)
+
+    def longest(w: DataFrame, start: DataFrame) -> DataFrame:
+        def step(state: DataFrame) -> DataFrame:
+            reach = w.join(state.select(F.col("id").alias("before"), "at"), "before").groupBy(F.col("after").alias("id")).agg(F.max(F.col("at") + F.col("weight")).alias("need"))
+            return state.join(reach, "id", "left").select("id", "duration", F.greatest("at", "need").alias("at"))
+
+        return _fixpoint(start, step, "at")
+
+    forward = longest(weights, tasks.select("id", "duration", F.lit(0).cast("bigint").alias("at"))).withColumnRenamed("at", "es")
+    end = forward.agg(F.max(F.col("es") + F.col("duration")).alias("makespan"))
+    back = weights.select(F.col("after").alias("before"), F.col("before").alias("after"), "weight")
+    tails = longest(back, tasks.select("id", "duration", F.col("duration").cast("bigint").alias("at"))).select("id", F.col("at").alias("tail"))
+    both = forward.join(tails, "id").crossJoin(F.broadcast(end))  # one row
+    ls = F.col("makespan") - F.col("tail")
+    return both.select("id", "duration", "es", ls.alias("ls"), (ls - F.col("es")).alias("slack"), (ls == F.col("es")).alias("critical"))
+
+
+def compare_baseline(baseline: DataFrame, current: DataFrame) -> DataFrame:
+    """(id, status, days): tasks added, removed or in both plans, and by how many calendar days the end moved. Plans are (id, start, end)."""
+    both = baseline.select("id", F.col("end").alias("was")).join(current.select("id", F.col("end").alias("now")), "id", "full_outer")
+    status = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("existing")
+    return both.select("id", status.alias("status"), F.date_diff("now", "was").alias("days"))
+
+
+def ancestors(parents: DataFrame) -> DataFrame:
+    """(id, ancestor, depth) of a work breakdown parents(id, parent), by doubling: a round joins paths of up to 2^k levels end to end.
+
+    A task that is its own ancestor is an error.
+    """
+    _use_checkpoints(parents.sparkSession)
+    closure = parents.where("parent IS NOT NULL").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct().checkpoint()
+    n = closure.count()
+    while True:
+        up = closure.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("_next"), F.col("depth").alias("_more"))
+        longer = closure.join(up, "ancestor").select("id", F.col("_next").alias("ancestor"), (F.col("depth") + F.col("_more")).alias("depth"))
+        closure = closure.unionByName(longer).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")).checkpoint()
+        if not closure.where("id = ancestor").isEmpty():
+            raise ValueError("a task is its own ancestor")
+        now = closure.count()
+        if now == n:
+            return closure
+        n = now

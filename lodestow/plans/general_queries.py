@@ -25,16 +25,6 @@ def ledger_totals_poison(spark: SparkSession, d: str) -> DataFrame:
     return totals.withColumns({c: F.col(c).cast("double") for c in ("sum_net_kg", "sum_package_count")})
 
 
-def ledger_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Issues by severity and code, over all line items."""
-    li = table(spark, d, "lineitem")
-    twice = Window.partitionBy("l_orderkey", "l_linenumber")
-    marked = li.withColumn("n", F.count("*").over(twice))
-    code = F.array_compact(F.array(F.when(F.col("n") > 1, "line_repeated"), F.when(F.col("l_discount") > F.col("l_tax") + 0.055, "discount_over_tax"), F.when(F.col("l_quantity") >= 49, "quantity_high")))
-    each = marked.select(F.explode(code).alias("code"))
-    return each.groupBy("code").agg(F.count("*").alias("n")).select(F.when(F.col("code") == "line_repeated", "error").otherwise("warn").alias("severity"), "code", "n")
-
-
 def ledger_diff(spark: SparkSession, d: str) -> DataFrame:
     """Two revisions of each part's lines, told apart by the status of the line."""
     li = table(spark, d, "lineitem")
@@ -249,7 +239,7 @@ def route_shortest(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        ledger_totals_poison, ledger_audit, ledger_diff, conservation_check, event_first_per_run, event_merge_sources, event_prune, event_stale_anti, runs_exists_semi, session_list_page, upsert_latest, weekly_ppc,
+        ledger_totals_poison, ledger_diff, conservation_check, event_first_per_run, event_merge_sources, event_prune, event_stale_anti, runs_exists_semi, session_list_page, upsert_latest, weekly_ppc,
         kpi_by_type, kpi_compare, memory_revisions, kb_tokens, kb_bm25_topk, kb_score_topk, citation_verify, html_to_text, requirement_rules, response_match_ngram, number_provenance, eval_prf, quantity_cells,
         section_properties, calendar_workdays, cpm_critical, resource_sweep, wbs_rollup, route_shortest,
     )
@@ -260,8 +250,6 @@ _LINKS = "tasks AS (SELECT p_partkey AS id, CAST(p_size AS BIGINT) AS duration F
 SQL = {
     "ledger_totals_poison": f"""{_PACKAGES}, e AS (SELECT shipment_id, supplier_id, count(*) AS n, (count(net_kg) = 0 OR (count(net_kg) = count(*) AND min(net_kg) = max(net_kg))) AND min(package_count) = max(package_count) AS agreed, max(net_kg) AS net, max(package_count) AS pc FROM p GROUP BY 1, 2)
       SELECT shipment_id, count(*) AS n_packages, CAST(sum(n) AS BIGINT) AS n_rows, count(*) FILTER (NOT agreed) AS n_conflicts, CASE WHEN bool_and(agreed AND net IS NOT NULL) THEN CAST(sum(net) AS DOUBLE) END AS sum_net_kg, CASE WHEN bool_and(agreed) THEN CAST(sum(pc) AS DOUBLE) END AS sum_package_count FROM e GROUP BY 1""",
-    "ledger_audit": """WITH m AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM lineitem), u AS (SELECT 'line_repeated' AS code FROM m WHERE n > 1 UNION ALL SELECT 'discount_over_tax' FROM m WHERE l_discount > l_tax + 0.055::DOUBLE UNION ALL SELECT 'quantity_high' FROM m WHERE l_quantity >= 49)
-      SELECT CASE WHEN code = 'line_repeated' THEN 'error' ELSE 'warn' END AS severity, code, count(*) AS n FROM u GROUP BY code""",
     "ledger_diff": """WITH s AS (SELECT l_linestatus AS st, l_partkey, l_suppkey, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS qty FROM lineitem GROUP BY 1, 2, 3), a AS (SELECT * FROM s WHERE st = 'F'), b AS (SELECT * FROM s WHERE st = 'O'),
       j AS (SELECT coalesce(a.l_partkey, b.l_partkey) AS l_partkey, coalesce(a.l_suppkey, b.l_suppkey) AS l_suppkey, a.st AS sa, b.st AS sb, a.n AS na, b.n AS nb, a.qty AS qa, b.qty AS qb FROM a FULL JOIN b ON a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey)
       SELECT l_partkey, l_suppkey, CASE WHEN sa IS NULL THEN 'new' WHEN sb IS NULL THEN 'withdrawn' WHEN na <> nb OR qa <> qb THEN 'changed' ELSE 'unchanged' END AS status,
