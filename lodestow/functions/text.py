@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _runs(text: Column) -> Column:
+def runs(text: Column) -> Column:
+    """Runs of Latin letters, digits and _, and of CJK characters, in lower case."""
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+|[\\u4e00-\\u9fff]+)"), F.lit(1))
 
 
@@ -19,7 +20,7 @@ def tokens(text: Column) -> Column:
     each = lambda run: F.when(run.rlike("^[a-z0-9_]"), F.when((F.char_length(run) >= 2) | run.rlike("^[0-9]+$"), F.array(run)).otherwise(F.array().cast("array<string>"))).otherwise(
         F.concat(F.when(F.char_length(run) >= 2, F.array(run)).otherwise(F.array().cast("array<string>")), _cut(run, 2), _cut(run, 3))
     )
-    return F.array_distinct(F.flatten(F.transform(_runs(text), each)))
+    return F.array_distinct(F.flatten(F.transform(runs(text), each)))
 
 
 def index_tokens(text: Column) -> Column:
@@ -27,7 +28,7 @@ def index_tokens(text: Column) -> Column:
     each = lambda run: F.when(run.rlike("^[a-z0-9_]"), F.array(F.concat(F.lit("w"), run))).otherwise(
         F.concat(F.transform(_cut(run, 1), lambda c: F.concat(F.lit("u"), c)), F.transform(_cut(run, 2), lambda c: F.concat(F.lit("b"), c)))
     )
-    return F.flatten(F.transform(_runs(text), each))
+    return F.flatten(F.transform(runs(text), each))
 
 
 def html_text(page: Column) -> Column:

@@ -1,52 +1,88 @@
-"""Full-text search: inverted index, BM25, composed scores, top-k, citation checks."""
+"""Full-text search: BM25, composed scores, top-k, citation checks. Documents meet queries by their terms; texts never move."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import index_tokens, tokens
+from ..functions.text import index_tokens, runs
 
 K1, B = 1.2, 0.75
+#: A list of query terms is sent to all executors up to so many rows; a longer one is joined by a shuffle.
+SENT_ROWS = 1_000_000
 
 
-def inverted_index(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, doc, tf, length)."""
-    terms = docs.select(doc, index_tokens(F.col(text)).alias("ts"))
-    each = terms.select(doc, F.size("ts").alias("length"), F.explode("ts").alias("term"))
-    return each.groupBy("term", doc).agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+def _sent(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.limit(SENT_ROWS + 1).count() <= SENT_ROWS else rows
 
 
-def bm25(index: DataFrame, queries: DataFrame, n_docs: int, mean_length: float, doc: str = "doc_id") -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(query, doc, score) of each document that shares a term with a query; queries(query, term), terms distinct.
 
-    idf = ln((N - n + 0.5) / (n + 0.5)), at least 1e-6. Only postings of query terms are exchanged.
+    idf = ln((N - n + 0.5) / (n + 0.5)), at least 1e-6. Only terms of queries leave the scan, once, dealt by document; terms and
+    scores are both summed where the document lies.
     """
-    wanted = queries.select("term").distinct()
-    postings = index.join(wanted, "term", "left_semi")
+    terms = docs.select(doc, index_tokens(F.col(text)).alias("ts"))
+    size = terms.where(F.size("ts") > 0).agg(F.count("*").alias("n_docs"), F.avg(F.size("ts")).alias("mean_length"))
+    n_docs, mean_length = size.first()
+    wanted = _sent(queries.select("term").distinct())
+    each = terms.select(doc, F.size("ts").alias("length"), F.explode("ts").alias("term")).join(wanted, "term", "left_semi")
+    postings = each.repartition(doc).groupBy(doc, "length", "term").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("n"))
-    idf = F.greatest(F.log((n_docs - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean_length))
-    return queries.join(df, "term").join(postings, "term").groupBy("query", doc).agg(F.sum(idf * tf).alias("score"))
+    idf = F.greatest(F.log(((n_docs or 0) - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
+    weighed = _sent(queries.join(df, "term").select("query", "term", idf.alias("idf")))
+    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / (mean_length or 1)))
+    return postings.join(weighed, "term").groupBy(doc, "query").agg(F.sum(F.col("idf") * tf).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, *ties: str, query: str = "query", score: str = "score") -> DataFrame:
+    """The best k of each query, with their rank. Spark keeps the best k of each task before it exchanges them."""
     w = Window.partitionBy(query).orderBy(F.desc(score), *ties)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def keyword_score(docs: DataFrame, queries: DataFrame, title: str, body: str, path: str) -> DataFrame:
-    """Score of each (query, document) that shares a token: 1 a token, 2.5 in the title, 0.8 in the body, 1.2 in the path.
+def _parts(run: Column, longest: int) -> Column:
+    """All distinct substrings of a run up to a length."""
+    size = F.char_length(run)
+    ends = lambda i: F.sequence(F.lit(1), F.least(F.lit(longest), size - i + 1))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(ends(i), lambda n: F.substring(run, i, n)))))
+
+
+def keyword_score(docs: DataFrame, queries: DataFrame, title: str, body: str, path: str, doc: str = "doc_id") -> DataFrame:
+    """(query, doc, score): of each token of a query 1 if it is a token of title and body, 2.5 if the title holds it, 0.8 if title or
+    body do, 1.2 if the path does. A token counts wherever it is part of a longer word, too; documents with no hit at all are left out.
 
-    Documents meet queries by an equi-join on tokens; only pairs with a shared token go on.
+    A token lies within one run of letters, so it is looked for in the distinct runs of the corpus, not in each text.
     """
-    have = docs.select("doc_id", F.explode(tokens(F.concat_ws("\n", title, body))).alias("token"))
-    hits = queries.join(have, "token").groupBy("query", "doc_id").agg(F.collect_set("token").alias("shared"))
-    whole = hits.join(docs, "doc_id").join(queries.groupBy("query").agg(F.collect_set("token").alias("asked")), "query")
-    low_title, low_path = F.lower(title), F.lower(path)
-    low_body = F.lower(F.concat_ws("\n", title, body))
-    tenth = F.aggregate("asked", F.lit(0), lambda s, t: s + F.when(F.array_contains("shared", t), 10).otherwise(0) + F.when(F.contains(low_title, t), 25).otherwise(0) + F.when(F.contains(low_body, t), 8).otherwise(0) + F.when(F.contains(low_path, t), 12).otherwise(0))
-    return whole.select("query", "doc_id", (tenth / 10).alias("score"))
+    wanted = queries.select("token").distinct()
+    longest = wanted.agg(F.max(F.char_length("token"))).first()[0] or 1
+    fields = [(F.col(title), "t"), (F.col(body), "b"), (F.col(path), "p")]
+    each = F.array(*(F.struct(F.array_distinct(runs(F.coalesce(text, F.lit("")))).alias("runs"), F.lit(f).alias("field")) for text, f in fields))
+    held = docs.select(doc, F.explode(each).alias("f")).select(doc, "f.field", F.explode("f.runs").alias("run")).groupBy(doc, "run")
+    held = held.agg(*(F.max((F.col("field") == f).cast("int")).alias(f) for _, f in fields))
+    within = held.select("run").distinct().select("run", F.explode(_parts(F.col("run"), longest)).alias("token")).join(_sent(wanted), "token", "left_semi")
+    latin, short = F.col("run").rlike("^[a-z0-9_]"), F.char_length("token").isin(2, 3)
+    whole = (F.col("run") == F.col("token")) | (~latin & short)
+    found = held.join(within, "run").groupBy(doc, "token").agg(
+        F.max((whole & (F.col("t") + F.col("b") > 0)).cast("int")).alias("w"), F.max("t").alias("t"), F.max(F.greatest("t", "b")).alias("b"), F.max("p").alias("p")
+    )
+    tenths = found.select(doc, "token", (10 * F.col("w") + 25 * F.col("t") + 8 * F.col("b") + 12 * F.col("p")).alias("tenths")).repartition(doc)
+    return tenths.join(_sent(queries), "token").groupBy(doc, "query").agg((F.sum("tenths") / 10).alias("score"))
+
+
+def best_by_path(hits: DataFrame, k: int, query: str = "query") -> DataFrame:
+    """Of each query the best k paths: a path counts once, by its best hit; of equal scores the expert layer first, then by path."""
+    layer = (F.col("layer") != "expert").cast("int")
+    best = hits.groupBy(query, "path").agg(F.min(F.struct((-F.col("score")).alias("s"), layer.alias("l"), F.col("layer").alias("layer"))).alias("b"))
+    w = Window.partitionBy(query).orderBy("b.s", "b.l", "path")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(query, "path", "b.layer", (-F.col("b.s")).alias("score"), "rank")
+
+
+def first_chunks(chunks: DataFrame, sources: DataFrame, selected: DataFrame) -> DataFrame:
+    """The first chunk of each selected attachment, in the order of selection: what a search without words shows."""
+    first = chunks.groupBy("source_id").agg(F.min("start").alias("start"))
+    found = selected.join(sources.where("kind = 'attachment'"), "source_id").join(first, "source_id").join(chunks, ["source_id", "start"])
+    return found.select("place", "source_id", "start", "text").orderBy("place")
 
 
 def verify_citations(citations: DataFrame, docs: DataFrame) -> DataFrame:

@@ -33,12 +33,15 @@ def ledger_diff(spark: SparkSession, d: str) -> DataFrame:
 
 
 def conservation_check(spark: SparkSession, d: str) -> DataFrame:
+    """Lines packed whole or in up to 29 parts a piece, some with a part lost or gained; most rows are split in two ways."""
     rows = cargo(spark, d)
     materials = rows.select("shipment_id", "row_id", F.col("qty").alias("quantity"))
-    lost = (F.col("part_no") % 97 == 0).cast("bigint")
-    parts = (F.col("part_no") % 4 + 1).alias("split_of")
-    contents = rows.select("shipment_id", "row_id", ((F.col("qty")) * (F.col("part_no") % 4 + 1) - lost).alias("quantity"), parts)
-    return ledger.conservation(materials, contents, ["shipment_id", "row_id"])
+    ways = F.col("part_no") % 28 + 2
+    change = F.when(F.col("part_no") % 97 == 0, -1).when(F.col("part_no") % 89 == 0, 1).otherwise(0)
+    whole = rows.select("shipment_id", "row_id", F.expr("qty DIV 2").alias("quantity"), F.lit(1).cast("bigint").alias("split_of"))
+    split = rows.select("shipment_id", "row_id", ((F.col("qty") - F.expr("qty DIV 2") - 1) * ways + change).alias("quantity"), ways.alias("split_of"))
+    last = rows.select("shipment_id", "row_id", (F.col("part_no") % 13 + 1).alias("quantity"), (F.col("part_no") % 13 + 1).alias("split_of"))
+    return ledger.conservation(materials, whole.unionByName(split).unionByName(last), ["shipment_id", "row_id"])
 
 
 # --- events
@@ -118,7 +121,7 @@ def kpi_compare(spark: SparkSession, d: str) -> DataFrame:
 
 
 def memory_revisions(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "conversations").select("conv_id", "role", "turn", F.substring("text", 1, 2).alias("value"))
+    rows = table(spark, d, "conversations").select("conv_id", "role", "turn", F.col("text").alias("value"))
     return ev.revisions(rows, ["conv_id", "role"], "turn", "value").select("conv_id", "role", "turn", "value", F.col("superseded_by").cast("double").alias("superseded_by"), "state")
 
 
@@ -132,17 +135,31 @@ def kb_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 def kb_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """The ten best documents for each benchmark text."""
-    index = retrieval.inverted_index(table(spark, d, "documents"))
-    n, total = index.select("doc_id", "length").distinct().agg(F.count("*"), F.sum("length")).first()
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(text.index_tokens(F.col("text")))).alias("term"))
-    scored = retrieval.bm25(index, queries, n or 0, (total or 0) / max(n or 0, 1)).withColumn("score", F.round("score", 6))
+    scored = retrieval.bm25(table(spark, d, "documents"), queries).withColumn("score", F.round("score", 6))
     return retrieval.top_k(scored, 10, "doc_id").select("query", "doc_id", "score", "rank")
 
 
+def _titled(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"), F.concat_ws("/", "lang", "source").alias("path"))
+
+
 def kb_score_topk(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"), F.concat_ws("/", "lang", "source").alias("path"))
-    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(text.tokens(F.substring_index("text", " ", 4))).alias("token"))
-    return retrieval.top_k(retrieval.keyword_score(docs, queries, "title", "body", "path"), 5, "doc_id").select("query", "doc_id", "score", "rank")
+    """The five best documents for each benchmark text by its tokens in title, body and path."""
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(text.tokens(F.col("text"))).alias("token"))
+    scored = retrieval.keyword_score(_titled(spark, d), queries, "title", "body", "path")
+    return retrieval.top_k(scored, 5, "doc_id").select("query", "doc_id", "score", "rank")
+
+
+def kb_best_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The three best paths for each conversation's first turn: documents of one source are one path."""
+    first = table(spark, d, "conversations").where("turn = 1").select(F.col("conv_id").alias("query"), "text")
+    queries = first.select("query", F.explode(F.array_distinct(text.index_tokens(F.col("text")))).alias("term"))
+    docs = table(spark, d, "documents")
+    scored = retrieval.bm25(docs, queries).join(docs.select("doc_id", "source", "lang"), "doc_id")
+    layer = F.when(F.col("doc_id") % 3 == 0, "expert").when(F.col("doc_id") % 3 == 1, "category").otherwise("company")
+    hits = scored.select("query", F.concat_ws("/", "source", "lang").alias("path"), layer.alias("layer"), F.round("score", 4).alias("score"))
+    return retrieval.best_by_path(hits, 3)
 
 
 def citation_verify(spark: SparkSession, d: str) -> DataFrame:
@@ -187,8 +204,9 @@ def quantity_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def section_properties(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").select("p_partkey", (F.col("p_size") + 40).cast("double").alias("b"), (F.col("p_size") * 2 + 40).cast("double").alias("h"), F.lit(4.0).alias("t"))
-    s = p.select("p_partkey", numbers.hollow_section(F.col("b"), F.col("h"), F.col("t")).alias("s"))
+    """Hollow sections, some higher than wide and some not; walls that leave no hollow have no section."""
+    p = table(spark, d, "part").select("p_partkey", (F.col("p_size") + 40).cast("double").alias("b"), (F.col("p_partkey") % 60 + 30).cast("double").alias("h"), (F.col("p_partkey") % 25).cast("double").alias("t"))
+    s = p.select("p_partkey", numbers.hollow_section(F.col("b"), F.col("h"), F.col("t")).alias("s")).where("s.area IS NOT NULL")
     return s.select("p_partkey", F.round("s.area", 3).alias("area"), F.round("s.inertia", 3).alias("inertia"), F.round("s.modulus", 3).alias("modulus"), F.round("s.radius", 5).alias("radius"))
 
 
@@ -227,12 +245,34 @@ def wbs_rollup(spark: SparkSession, d: str) -> DataFrame:
     return out.na.fill(-1, ["n_regionkey", "n_nationkey"])
 
 
+def cpm_link_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """The same parts under links of all four kinds, with lags forwards and back."""
+    tasks, links = _tasks(spark, d)
+    kind = F.element_at(F.array(*(F.lit(k) for k in ("FS", "SS", "FF", "SF"))), (F.col("after") % 4 + 1).cast("int"))
+    return schedule.schedule(tasks, links.select("before", "after", kind.alias("kind"), (F.col("after") % 5 - 1).alias("lag")))
+
+
+def schedule_baseline(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's orders as a task: the plan of the open ones against that of the filled ones."""
+    o = table(spark, d, "orders")
+    plan = lambda s: o.where(F.col("o_orderstatus") == s).groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderdate").cast("date").alias("start"), F.max("o_orderdate").cast("date").alias("end"))
+    return schedule.compare_baseline(plan("F"), plan("O")).select("id", "status", F.col("days").cast("double").alias("days"))
+
+
+def wbs_ancestors(spark: SparkSession, d: str) -> DataFrame:
+    """All levels above each part in the tree that hangs part k under part k / 2, by depth."""
+    parents = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 1, F.expr("p_partkey DIV 2")).alias("parent"))
+    return schedule.ancestors(parents).groupBy("depth").agg(F.count("*").alias("n"), F.sum("ancestor").alias("ancestors"))
+
+
 def route_shortest(spark: SparkSession, d: str) -> DataFrame:
     """Distances from nation 0 over trade links: customers of one nation buy from suppliers of another; fewer deals, longer road."""
     li, o = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey"), table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    c, s = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("to")), table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("from"))
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("to"))
+    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("from"))
     deals = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-    edges = deals.groupBy("from", "to").agg(F.count("*").alias("n")).where("(from + to) % 3 = 1").select("from", "to", (1000 + F.expr("from * 37 + to * 91") - F.least("n", F.lit(500))).cast("bigint").alias("weight"))
+    scarce = F.expr("20000 DIV n")
+    edges = deals.groupBy("from", "to").agg(F.count("*").alias("n")).select("from", "to", (scarce * scarce + F.col("to") * 7 + 1).alias("weight"))
     return schedule.shortest_routes(edges, 0).na.fill(-1, ["distance"])
 
 
@@ -240,8 +280,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         ledger_totals_poison, ledger_diff, conservation_check, event_first_per_run, event_merge_sources, event_prune, event_stale_anti, runs_exists_semi, session_list_page, upsert_latest, weekly_ppc,
-        kpi_by_type, kpi_compare, memory_revisions, kb_tokens, kb_bm25_topk, kb_score_topk, citation_verify, html_to_text, requirement_rules, response_match_ngram, number_provenance, eval_prf, quantity_cells,
-        section_properties, calendar_workdays, cpm_critical, resource_sweep, wbs_rollup, route_shortest,
+        kpi_by_type, kpi_compare, memory_revisions, kb_tokens, kb_bm25_topk, kb_score_topk, kb_best_paths, citation_verify, html_to_text, requirement_rules, response_match_ngram, number_provenance, eval_prf, quantity_cells,
+        section_properties, calendar_workdays, cpm_critical, cpm_link_kinds, schedule_baseline, wbs_ancestors, resource_sweep, wbs_rollup, route_shortest,
     )
 }
 
@@ -254,7 +294,13 @@ SQL = {
       j AS (SELECT coalesce(a.l_partkey, b.l_partkey) AS l_partkey, coalesce(a.l_suppkey, b.l_suppkey) AS l_suppkey, a.st AS sa, b.st AS sb, a.n AS na, b.n AS nb, a.qty AS qa, b.qty AS qb FROM a FULL JOIN b ON a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey)
       SELECT l_partkey, l_suppkey, CASE WHEN sa IS NULL THEN 'new' WHEN sb IS NULL THEN 'withdrawn' WHEN na <> nb OR qa <> qb THEN 'changed' ELSE 'unchanged' END AS status,
         CASE WHEN sa IS NULL OR sb IS NULL THEN '' ELSE concat_ws(',', CASE WHEN na <> nb THEN 'n' END, CASE WHEN qa <> qb THEN 'qty' END) END AS changed FROM j""",
-    "conservation_check": f"""WITH {SQL_CARGO} SELECT shipment_id, row_id, qty AS pieces_in, round((qty * (part_no % 4 + 1) - 1)::DOUBLE / (part_no % 4 + 1), 6) AS pieces_out FROM cargo WHERE part_no % 97 = 0""",
+    # One fraction over the least common multiple of the splits.
+    "conservation_check": f"""WITH {SQL_CARGO}, c AS (SELECT shipment_id, row_id, qty // 2 AS q, 1 AS s FROM cargo
+        UNION ALL SELECT shipment_id, row_id, (qty - qty // 2 - 1) * (part_no % 28 + 2) + CASE WHEN part_no % 97 = 0 THEN -1 WHEN part_no % 89 = 0 THEN 1 ELSE 0 END, part_no % 28 + 2 FROM cargo
+        UNION ALL SELECT shipment_id, row_id, part_no % 13 + 1, part_no % 13 + 1 FROM cargo),
+      l AS (SELECT *, lcm(max(s) FILTER (s > 1 AND k = 1) OVER w, coalesce(max(s) FILTER (s > 1 AND k = 2) OVER w, 1)) AS m FROM (SELECT *, row_number() OVER (PARTITION BY shipment_id, row_id, s > 1 ORDER BY s) AS k FROM c) WINDOW w AS (PARTITION BY shipment_id, row_id)),
+      o AS (SELECT shipment_id, row_id, coalesce(max(m), 1) AS m, sum(q * (coalesce(m, 1) // s)) AS parts FROM l GROUP BY 1, 2)
+      SELECT shipment_id, row_id, qty AS pieces_in, round(parts::DOUBLE / m::DOUBLE, 6) AS pieces_out, CASE WHEN qty * m > parts THEN 'pieces_lost' ELSE 'pieces_gained' END AS kind FROM cargo JOIN o USING (shipment_id, row_id) WHERE qty * m <> parts""",
     "event_first_per_run": f"WITH {_EVENTS} SELECT run_id, event_id, type FROM e QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, event_id) = 1",
     "event_merge_sources": f"""WITH {_EVENTS}, x AS (SELECT run_id, CASE WHEN event_id % 5 <> 0 THEN seq END AS seq, type FROM e), c AS (SELECT run_id, type, count(*) AS n, CASE WHEN type = 'click' THEN 2 ELSE 1 END AS m FROM x WHERE seq IS NULL GROUP BY 1, 2)
       SELECT type, false AS unnumbered, count(*) AS n FROM (SELECT DISTINCT run_id, seq, type FROM x WHERE seq IS NOT NULL) GROUP BY 1 UNION ALL SELECT type, true, CAST(sum(n * m) AS BIGINT) FROM c GROUP BY 1""",
@@ -267,7 +313,7 @@ SQL = {
     "weekly_ppc": "SELECT CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS week_start, count(*) FILTER (event_type = 'purchase') AS done, count(*) FILTER (event_type = 'error') AS missed, count(*) AS planned, round(100 * count(*) FILTER (event_type = 'purchase')::DOUBLE / count(*), 4) AS ppc FROM events GROUP BY 1",
     "kpi_by_type": "SELECT event_type, count(*) AS n, CAST(sum(CAST(props->>'$.k' AS BIGINT)) AS BIGINT) AS k_sum, round(sum(CAST(round(value * 100) AS BIGINT))::DOUBLE / count(*) / 100, 4) AS mean_value, count(*) FILTER (CAST(props->>'$.k' AS BIGINT) > 50) AS k_high FROM events GROUP BY 1",
     "kpi_compare": "WITH r AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2) SELECT a.user_id, count(*) AS n_pairs FROM r a JOIN r b ON a.user_id = b.user_id AND b.day = a.day + 1 WHERE abs(a.n - b.n) <= 1 GROUP BY 1",
-    "memory_revisions": """WITH r AS (SELECT conv_id, role, turn, substr(text, 1, 2) AS value FROM conversations), c AS (SELECT *, lag(value) OVER (PARTITION BY conv_id, role ORDER BY turn) AS p FROM r), k AS (SELECT * FROM c WHERE p IS NULL OR p <> value)
+    "memory_revisions": """WITH r AS (SELECT conv_id, role, turn, text AS value FROM conversations), c AS (SELECT *, lag(value) OVER (PARTITION BY conv_id, role ORDER BY turn) AS p FROM r), k AS (SELECT * FROM c WHERE p IS NULL OR p <> value)
       SELECT conv_id, role, turn, value, CAST(lead(turn) OVER w AS DOUBLE) AS superseded_by, CASE WHEN lead(turn) OVER w IS NULL THEN 'active' ELSE 'superseded' END AS state FROM k WINDOW w AS (PARTITION BY conv_id, role ORDER BY turn)""",
     "kb_bm25_topk": """WITH x AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS ts FROM documents), t AS (SELECT doc_id, len(ts) AS l, unnest(ts) AS term FROM x), i AS (SELECT term, doc_id, count(*) AS tf, any_value(l) AS l FROM t GROUP BY 1, 2),
       m AS (SELECT count(*) AS n, avg(len(ts)) AS a FROM x WHERE len(ts) > 0), q AS (SELECT DISTINCT item_id AS query, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM benchmark), f AS (SELECT term, count(*) AS df FROM i GROUP BY 1),
@@ -286,8 +332,9 @@ SQL = {
     "eval_prf": """WITH r AS (SELECT lang, regexp_matches(text, '!!|&&&|[|]') AS p, quality = 0 AS a FROM labels JOIN documents USING (doc_id)), s AS (SELECT lang, count(*) FILTER (p AND a) AS tp, count(*) FILTER (p) AS predicted, count(*) FILTER (a) AS actual FROM r GROUP BY 1), k AS (SELECT *, tp::DOUBLE / nullif(predicted, 0) AS pp, tp::DOUBLE / nullif(actual, 0) AS rr FROM s)
       SELECT lang, tp, predicted, actual, round(pp, 4) AS precision, round(rr, 4) AS recall, round(2 * pp * rr / nullif(pp + rr, 0), 4) AS f1 FROM k""",
     "quantity_cells": """SELECT CASE l_partkey % 8 WHEN 0 THEN 'missing' WHEN 1 THEN 'zero' WHEN 2 THEN 'invalid' WHEN 3 THEN 'invalid' WHEN 4 THEN 'invalid' ELSE 'ok' END AS state, count(*) AS n, CAST(sum(CASE WHEN l_partkey % 8 >= 5 THEN l_quantity ELSE 0 END) AS BIGINT) AS qty FROM lineitem GROUP BY 1""",
-    "section_properties": """WITH p AS (SELECT p_partkey, (p_size + 40)::DOUBLE AS b, (p_size * 2 + 40)::DOUBLE AS h FROM part), s AS (SELECT p_partkey, h, b * h - (b - 8) * (h - 8) AS area, (b * h * h * h - (b - 8) * (h - 8) * (h - 8) * (h - 8)) / 12 AS i FROM p)
-      SELECT p_partkey, round(area, 3) AS area, round(i, 3) AS inertia, round(2 * i / h, 3) AS modulus, round(sqrt(i / area), 5) AS radius FROM s""",
+    "section_properties": """WITH p AS (SELECT p_partkey, b, h, b * h - (b - 2 * t) * (h - 2 * t) AS area, (b * h ** 3 - (b - 2 * t) * (h - 2 * t) ** 3) / 12 AS x, (h * b ** 3 - (h - 2 * t) * (b - 2 * t) ** 3) / 12 AS y
+        FROM (SELECT p_partkey, (p_size + 40)::DOUBLE AS b, (p_partkey % 60 + 30)::DOUBLE AS h, (p_partkey % 25)::DOUBLE AS t FROM part) WHERE t > 0 AND b > 2 * t AND h > 2 * t)
+      SELECT p_partkey, round(area, 3) AS area, round(greatest(x, y), 3) AS inertia, round(CASE WHEN x >= y THEN 2 * x / h ELSE 2 * y / b END, 3) AS modulus, round(sqrt(least(x, y) / area), 5) AS radius FROM p""",
     "calendar_workdays": """WITH s AS (SELECT o_orderpriority, CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b FROM orders GROUP BY 1), h AS (SELECT DISTINCT CAST(ts AS DATE) - 9490 AS day FROM events), d AS (SELECT o_orderpriority, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM s)
       SELECT o_orderpriority, count(*) AS n_days, CAST(max(day) AS VARCHAR) AS last_day, count(*) - 1 AS last_offset FROM d WHERE isodow(day) < 6 AND day NOT IN (SELECT day FROM h) GROUP BY 1""",
     "cpm_critical": f"""WITH RECURSIVE {_LINKS}, fw AS (SELECT id, 0::BIGINT AS es, 0 AS k FROM tasks UNION ALL SELECT a, max(es + duration + lag), k + 1 FROM (SELECT l.a, f.es, t.duration, l.lag, f.k FROM fw f JOIN links l ON l.b = f.id JOIN tasks t ON t.id = f.id) GROUP BY a, k),
@@ -298,7 +345,29 @@ SQL = {
       SELECT o_orderpriority, CAST(max(load) AS BIGINT) AS peak, count(*) AS n_intervals FROM s WHERE nx IS NOT NULL GROUP BY 1""",
     "wbs_rollup": """SELECT coalesce(n_regionkey, -1) AS n_regionkey, coalesce(n_nationkey, -1) AS n_nationkey, CAST(CAST(min(o_orderdate) AS DATE) AS VARCHAR) AS first_day, CAST(CAST(max(o_orderdate) AS DATE) AS VARCHAR) AS last_day, round(sum(CASE WHEN o_orderstatus = 'F' THEN CAST(round(o_totalprice) AS BIGINT) ELSE 0 END)::DOUBLE / sum(CAST(round(o_totalprice) AS BIGINT))::DOUBLE, 6) AS progress, count(*) AS n
       FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_regionkey, n_nationkey)""",
-    "route_shortest": """WITH RECURSIVE g AS (SELECT s_nationkey AS f, c_nationkey AS t, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2), e AS (SELECT f, t, 1000 + f * 37 + t * 91 - least(n, 500) AS w FROM g WHERE (f + t) % 3 = 1),
+    "route_shortest": """WITH RECURSIVE g AS (SELECT s_nationkey AS f, c_nationkey AS t, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2), e AS (SELECT f, t, (20000 // n) * (20000 // n) + t * 7 + 1 AS w FROM g),
       r AS (SELECT 0 AS node, 0::BIGINT AS d, 0 AS k UNION ALL SELECT t, min(d + w), k + 1 FROM (SELECT e.t, r.d, e.w, r.k FROM r JOIN e ON e.f = r.node WHERE r.k < 25) GROUP BY t, k), b AS (SELECT node, min(d) AS distance FROM r GROUP BY 1)
       SELECT n.node, coalesce(CAST(distance AS BIGINT), -1) AS distance FROM (SELECT f AS node FROM e UNION SELECT t FROM e) n LEFT JOIN b USING (node)""",
+    "kb_tokens": """WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: len(x) >= 2 OR regexp_full_match(x, '[0-9]+')) AS ts FROM documents),
+      u AS (SELECT doc_id, ts, unnest(ts) AS x, generate_subscripts(ts, 1) AS k FROM t), f AS (SELECT doc_id, x, min(k) AS k FROM u GROUP BY 1, 2), s AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY k) AS joined FROM f GROUP BY 1)
+      SELECT doc_id, coalesce(n, 0) AS n_tokens, sha256(coalesce(joined, '')) AS tokens_sha256 FROM documents LEFT JOIN s USING (doc_id)""",
+    "kb_score_topk": """WITH d AS (SELECT doc_id, lower(split_part(text, chr(10), 1)) AS title, lower(text) AS body, lower(lang || '/' || source) AS path, regexp_extract_all(lower(text), '[a-z0-9_]+') AS ts FROM documents),
+      q AS (SELECT DISTINCT item_id AS query, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: len(x) >= 2 OR regexp_full_match(x, '[0-9]+'))) AS token FROM benchmark), w AS (SELECT DISTINCT token FROM q),
+      h AS (SELECT doc_id, token, 10 * list_contains(ts, token)::INT + 25 * contains(title, token)::INT + 8 * contains(body, token)::INT + 12 * contains(path, token)::INT AS p FROM d, w WHERE contains(body, token) OR contains(path, token)),
+      s AS (SELECT query, doc_id, sum(p)::DOUBLE / 10 AS score FROM q JOIN h USING (token) GROUP BY 1, 2)
+      SELECT query, doc_id, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) <= 5""",
+    "kb_best_paths": """WITH x AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS ts FROM documents), t AS (SELECT doc_id, len(ts) AS l, unnest(ts) AS term FROM x), i AS (SELECT term, doc_id, count(*) AS tf, any_value(l) AS l FROM t GROUP BY 1, 2),
+      m AS (SELECT count(*) AS n, avg(len(ts)) AS a FROM x WHERE len(ts) > 0), q AS (SELECT DISTINCT conv_id AS query, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM conversations WHERE turn = 1), f AS (SELECT term, count(*) AS df FROM i GROUP BY 1),
+      s AS (SELECT query, doc_id, round(sum(greatest(ln((m.n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / m.a))), 4) AS score FROM q JOIN f USING (term) JOIN i USING (term), m GROUP BY 1, 2),
+      h AS (SELECT query, source || '/' || lang AS path, (['expert', 'category', 'company'])[doc_id % 3 + 1] AS layer, score FROM s JOIN documents USING (doc_id)),
+      b AS (SELECT *, row_number() OVER (PARTITION BY query, path ORDER BY score DESC, layer <> 'expert', layer) AS k FROM h)
+      SELECT query, path, layer, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, layer <> 'expert', path) AS INTEGER) AS rank FROM b WHERE k = 1 QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, layer <> 'expert', path) <= 3""",
+    "cpm_link_kinds": f"""WITH RECURSIVE {_LINKS}, w AS (SELECT b, a, a % 5 - 1 + CASE WHEN a % 4 IN (0, 2) THEN x.duration ELSE 0 END - CASE WHEN a % 4 IN (2, 3) THEN y.duration ELSE 0 END AS w FROM links JOIN tasks x ON x.id = b JOIN tasks y ON y.id = a),
+      fw AS (SELECT id, 0::BIGINT AS es, 0 AS k FROM tasks UNION ALL SELECT a, greatest(0, max(es + w))::BIGINT, k + 1 FROM (SELECT w.a, f.es, w.w, f.k FROM fw f JOIN w ON w.b = f.id) GROUP BY a, k),
+      bw AS (SELECT id, duration AS tail, 0 AS k FROM tasks UNION ALL SELECT b, max(tail + w)::BIGINT, k + 1 FROM (SELECT w.b, t.tail, w.w, t.k FROM bw t JOIN w ON w.a = t.id) GROUP BY b, k),
+      e AS (SELECT id, max(es) AS es FROM fw GROUP BY 1), t AS (SELECT id, max(tail) AS tail FROM bw GROUP BY 1), j AS (SELECT tasks.id, duration, es, tail, max(es + duration) OVER () AS span FROM tasks JOIN e ON e.id = tasks.id JOIN t ON t.id = tasks.id)
+      SELECT id, duration, es, span - tail AS ls, span - tail - es AS slack, span - tail = es AS critical FROM j""",
+    "schedule_baseline": """WITH p AS (SELECT o_custkey AS id, o_orderstatus AS s, CAST(max(o_orderdate) AS DATE) AS e FROM orders GROUP BY 1, 2)
+      SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' ELSE 'existing' END AS status, CAST(b.e - a.e AS DOUBLE) AS days FROM (SELECT * FROM p WHERE s = 'F') a FULL JOIN (SELECT * FROM p WHERE s = 'O') b ON a.id = b.id""",
+    "wbs_ancestors": """WITH RECURSIVE a AS (SELECT p_partkey AS id, p_partkey // 2 AS anc, 1 AS depth FROM part WHERE p_partkey > 1 UNION ALL SELECT id, anc // 2, depth + 1 FROM a WHERE anc > 1) SELECT depth, count(*) AS n, CAST(sum(anc) AS BIGINT) AS ancestors FROM a GROUP BY 1""",
 }
