@@ -106,6 +106,22 @@ def centre_of_gravity(layout: DataFrame, boxes: DataFrame, length: float, width:
     return out.select(*keys, "item_count", F.round("gx", 1).alias("gx_mm"), F.round("gy", 1).alias("gy_mm"), F.round("gz", 1).alias("gz_mm"), F.round("lat", 4).alias("lateral_eccentricity"), F.round("long", 4).alias("longitudinal_position"), F.round("tall", 4).alias("height_ratio"), F.round("half", 4).alias("mass_in_mid50_ratio"), balance.alias("balance"))
 
 
+def heavy_on_top(layout: DataFrame, *keys: str) -> DataFrame:
+    """(keys, total_kg, heavy_kg, ratio): the mass of boxes over 1.25 times the mean mass of the boxes that they rest on, and its share.
+
+    layout(keys, box_id, x, y, z, dx, dy, dz, kg). A box rests on those whose top is its underside and whose outline it overlaps, at any level.
+    """
+    below = layout.select(*keys, (F.col("z") + F.col("dz")).alias("z"), *(F.col(c).alias("b_" + c) for c in ("x", "y", "dx", "dy", "kg")))
+    on = layout.where("z > 0 AND kg > 0").join(below, [*keys, "z"])
+    for a in "xy":
+        on = on.where((F.col(a) < F.col(f"b_{a}") + F.col(f"b_d{a}")) & (F.col(f"b_{a}") < F.col(a) + F.col(f"d{a}")))
+    each = on.groupBy(*keys, "box_id", "kg").agg(F.sum("b_kg").alias("under"), F.count("*").alias("n"))
+    heavy = each.where((F.col("under") > 0) & (F.col("kg") * F.col("n") * 4 > F.col("under") * 5)).groupBy(*keys).agg(F.sum("kg").alias("heavy_kg"))
+    totals = layout.groupBy(*keys).agg(F.sum("kg").alias("total_kg")).join(heavy, [*keys], "left").withColumn("heavy_kg", F.coalesce("heavy_kg", F.lit(0)))
+    total = F.when(F.col("total_kg") > 0, F.col("total_kg")).otherwise(1)
+    return totals.select(*keys, "total_kg", "heavy_kg", F.round(F.col("heavy_kg") / total, 6).alias("ratio"))
+
+
 def load_sequence(layout: DataFrame, *keys: str) -> DataFrame:
     """Loading steps of each container: lower boxes first, then from the far end to the door, then by side."""
     order = Window.partitionBy(*keys).orderBy("z", F.desc("x"), "y", "box_id")

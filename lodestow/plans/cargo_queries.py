@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import cargo as ops
+from ..operators.statistics import upper_median
 from .tables import SQL_CARGO, SQL_CONTAINERS, SQL_FACTOR, cargo, containers
 
 _WITH = f"WITH {SQL_CARGO}, {SQL_CONTAINERS}"
@@ -50,10 +51,9 @@ def cargo_profile(spark: SparkSession, d: str) -> DataFrame:
 
 def unit_infer_upper_median(spark: SparkSession, d: str) -> DataFrame:
     """Length scale of each part family from the upper median: values of 25 or less are metres."""
-    rows = cargo(spark, d).withColumn("raw", F.when(F.col("part_no") % 3 == 0, F.col("length_mm") / 1000).otherwise(F.col("length_mm").cast("double")))
-    lists = rows.groupBy("supplier_id", (F.col("part_no") % 3).alias("grp")).agg(F.sort_array(F.collect_list("raw")).alias("xs"))
-    median = F.expr("get(xs, int(size(xs) DIV 2))")
-    return lists.select("supplier_id", "grp", F.size("xs").cast("bigint").alias("n"), median.alias("upper_median"), F.when(median <= 25, "m").otherwise("mm").alias("unit"))
+    raw = F.when(F.col("part_no") % 3 == 0, F.col("length_mm") / 1000).otherwise(F.col("length_mm").cast("double"))
+    rows = cargo(spark, d).select("supplier_id", (F.col("part_no") % 3).alias("grp"), raw.alias("raw"))
+    return upper_median(rows, ["supplier_id", "grp"], F.col("raw")).withColumn("unit", F.when(F.col("upper_median") <= 25, "m").otherwise("mm"))
 
 
 def _layout(spark: SparkSession, d: str) -> DataFrame:
@@ -85,12 +85,10 @@ def layout_gap_lag(spark: SparkSession, d: str) -> DataFrame:
 
 
 def heavy_on_top(spark: SparkSession, d: str) -> DataFrame:
-    """Share of mass of boxes over 1.25 times the mean weight of the boxes that they rest on. Boxes of one container meet, no others."""
-    a, b = _layout(spark, d).where("z > 0").alias("a"), _layout(spark, d).where("z = 0").alias("b")
-    over = (F.col("a.x") < F.col("b.x") + F.col("b.dx")) & (F.col("b.x") < F.col("a.x") + F.col("a.dx")) & (F.col("a.y") < F.col("b.y") + F.col("b.dy")) & (F.col("b.y") < F.col("a.y") + F.col("a.dy"))
-    on = a.join(b, (F.col("a.shipment_id") == F.col("b.shipment_id")) & (F.col("a.container_no") == F.col("b.container_no")) & over)
-    each = on.groupBy("a.shipment_id", "a.container_no", "a.box_id", "a.weight_kg").agg(F.sum("b.weight_kg").alias("s"), F.count("*").alias("n"))
-    return each.groupBy("shipment_id", "container_no").agg(F.sum("weight_kg").alias("top_kg"), F.sum(F.when(F.col("weight_kg") * 4 * F.col("n") > 5 * F.col("s"), F.col("weight_kg")).otherwise(0)).alias("heavy_kg"))
+    """Three levels: most boxes are 900 mm high and carry the next; a lower one carries nothing, as its top meets no underside."""
+    high = F.when(F.col("dx") % 5 == 0, 850).otherwise(900)
+    layout = _layout(spark, d).withColumns({"z": F.col("box_id") % 4 * 900, "dz": high}).withColumnRenamed("weight_kg", "kg")
+    return ops.heavy_on_top(layout, "shipment_id", "container_no")
 
 
 def layout_overlaps(spark: SparkSession, d: str) -> DataFrame:
@@ -172,9 +170,10 @@ SQL = {
     "load_sequence": f"{_WITH}, {_LAYOUT} SELECT shipment_id, container_no, box_id, row_number() OVER (PARTITION BY shipment_id, container_no ORDER BY z, x DESC, y, box_id) AS step FROM layout",
     "layout_gap_lag": f"""{_WITH}, {_LAYOUT}, g AS (SELECT *, lead(x) OVER (PARTITION BY shipment_id, container_no, z, y // 200 ORDER BY x, box_id) - x - dx AS gap_mm FROM layout)
       SELECT shipment_id, container_no, box_id, gap_mm, CASE WHEN gap_mm > 800 THEN 'block' WHEN gap_mm > 400 THEN 'airbag' ELSE 'pad' END AS fill FROM g WHERE gap_mm > 150""",
-    "heavy_on_top": f"""{_WITH}, {_LAYOUT}, e AS (SELECT a.shipment_id, a.container_no, a.box_id, a.weight_kg, sum(b.weight_kg) AS s, count(*) AS n FROM layout a JOIN layout b ON a.shipment_id = b.shipment_id AND a.container_no = b.container_no AND a.z > 0 AND b.z = 0
-        AND a.x < b.x + b.dx AND b.x < a.x + a.dx AND a.y < b.y + b.dy AND b.y < a.y + a.dy GROUP BY 1, 2, 3, 4)
-      SELECT shipment_id, container_no, CAST(sum(weight_kg) AS BIGINT) AS top_kg, CAST(sum(CASE WHEN weight_kg * 4 * n > 5 * s THEN weight_kg ELSE 0 END) AS BIGINT) AS heavy_kg FROM e GROUP BY 1, 2""",
+    "heavy_on_top": f"""{_WITH}, {_LAYOUT}, h AS (SELECT shipment_id, container_no, box_id, x, y, box_id % 4 * 900 AS z, dx, dy, CASE WHEN dx % 5 = 0 THEN 850 ELSE 900 END AS dz, weight_kg AS kg FROM layout),
+      e AS (SELECT a.shipment_id, a.container_no, a.box_id, a.kg FROM h a JOIN h b ON a.shipment_id = b.shipment_id AND a.container_no = b.container_no AND a.z > 0 AND b.z + b.dz = a.z AND a.x < b.x + b.dx AND b.x < a.x + a.dx AND a.y < b.y + b.dy AND b.y < a.y + a.dy
+        GROUP BY 1, 2, 3, 4 HAVING a.kg > avg(b.kg) * 1.25), s AS (SELECT shipment_id, container_no, sum(kg) AS heavy FROM e GROUP BY 1, 2), t AS (SELECT shipment_id, container_no, sum(kg) AS total FROM h GROUP BY 1, 2)
+      SELECT shipment_id, container_no, CAST(total AS BIGINT) AS total_kg, CAST(coalesce(heavy, 0) AS BIGINT) AS heavy_kg, round(coalesce(heavy, 0)::DOUBLE / total::DOUBLE, 6) AS ratio FROM t LEFT JOIN s USING (shipment_id, container_no)""",
     "layout_overlaps": f"""{_WITH}, {_LAYOUT} SELECT a.shipment_id, a.container_no, a.box_id AS box_a, b.box_id AS box_b FROM layout a JOIN layout b ON a.shipment_id = b.shipment_id AND a.container_no = b.container_no AND a.box_id < b.box_id
       AND a.x < b.x + b.dx AND b.x < a.x + a.dx AND a.y < b.y + b.dy AND b.y < a.y + a.dy AND a.z < b.z + b.dz AND b.z < a.z + a.dz""",
     "vgm_draft": f"""{_WITH}, {_ESTIMATE}, s AS (SELECT shipment_id, sum(weight_kg * qty)::DOUBLE AS cargo FROM cargo GROUP BY 1), j AS (SELECT shipment_id, cargo, greatest(greatest(bw, bv), 1) AS n FROM s JOIN est USING (shipment_id))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import packing
+from ..functions import numbers
+from ..operators import packing, storage, structure
+from ..operators.statistics import upper_median
 from .tables import SQL_CARGO, cargo, table
 
 
@@ -36,11 +38,11 @@ def nonstandard_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def secure_work_order(spark: SparkSession, d: str) -> DataFrame:
-    """Pad beams under boxes of a quarter of the largest box of their shipment or more in weight, straps around overlong ones: a bag of both lists."""
-    b = _boxes(spark, d).withColumn("most", F.max("kg").over(Window.partitionBy("shipment_id")))
-    pads = b.where("kg * 4 >= most * 3").select("shipment_id", "box_id", F.lit("pad_beam").alias("kind"))
-    straps = b.where("l > 4000").select("shipment_id", "box_id", F.lit("strapping").alias("kind"))
-    return pads.unionByName(straps)
+    """Gaps, beams and straps of crates of four times their weight, a container for every third row."""
+    b = _boxes(spark, d)
+    place = {"x": (F.col("l") * 97 + F.col("box_id") * 1571) % 11000, "y": F.col("w") * 31 % 1800, "z": F.col("box_id") % 2 * 900}
+    layout = b.withColumns(place).select("shipment_id", (F.col("box_id") % 3).alias("container_no"), "box_id", "x", "y", "z", F.col("l").alias("dx"), F.col("w").alias("dy"), F.col("h").alias("dz"), (F.col("kg") * 4).alias("kg"))
+    return packing.secure_work_order(layout, 28610.0, "shipment_id", "container_no")
 
 
 def material_dedupe(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +97,8 @@ def readiness_score(spark: SparkSession, d: str) -> DataFrame:
 def eval_table(spark: SparkSession, d: str) -> DataFrame:
     """Runs, upper median, maximum and failures of each kind of event."""
     e = table(spark, d, "events")
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.expr("get(sort_array(collect_list(value)), int(count(1) DIV 2))").alias("upper_median"), F.max("value").alias("most"), F.count_if(F.col("value") > 50).alias("over_50"))
+    counts = e.groupBy("event_type").agg(F.count("*").alias("n"), F.max("value").alias("most"), F.count_if(F.col("value") > 50).alias("over_50"))
+    return counts.join(upper_median(e, ["event_type"], F.col("value")).drop("n"), "event_type", "left")
 
 
 def plan_diff(spark: SparkSession, d: str) -> DataFrame:
@@ -120,13 +123,104 @@ def util_band(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.round(score, 4).alias("score"))
 
 
+def section_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Sections by name: tubes in several spellings, timber, and names that are neither."""
+    k, size = F.col("p_partkey") % 6, F.col("p_size")
+    name = F.when(k == 0, F.concat(F.lit("方管"), size, F.lit("x"), size, F.lit("x3"))).when(k == 1, F.concat(F.lit("RHS "), size + 20, F.lit("×"), size, F.lit("×2.5")))
+    name = name.when(k == 2, F.concat(F.lit("木梁"), size + 50, F.lit("x"), size + 80)).when(k == 3, F.concat(size, F.lit("*"), size + 9, F.lit("*4"))).when(k == 4, F.lit("H beam"))
+    part = table(spark, d, "part").select("p_partkey", numbers.section(name).alias("s")).where("s.kind IS NOT NULL")
+    b, h, t = F.col("s.b"), F.col("s.h"), F.col("s.t")
+    area = F.when(F.col("s.kind") == "wood_rect", numbers.solid_section(b, h)["area"]).otherwise(numbers.hollow_section(b, h, t)["area"])
+    inertia = F.when(F.col("s.kind") == "wood_rect", numbers.solid_section(b, h)["inertia"]).otherwise(numbers.hollow_section(b, h, t)["inertia"])
+    return part.select("p_partkey", "s.kind", "s.b", "s.h", F.round(area, 3).alias("area"), F.round(inertia, 3).alias("inertia"))
+
+
+def crate_stability(spark: SparkSession, d: str) -> DataFrame:
+    """Four columns under each crate, steel for even rows and timber for odd ones."""
+    b = _boxes(spark, d)
+    steel = F.col("box_id") % 2 == 0
+    found = structure.column_stability(F.col("kg") * 1.8, F.col("h").cast("double"), F.lit(4.2), F.col("w") % 7 / 10 + 0.5, steel)
+    return b.select("shipment_id", "box_id", found.alias("c")).select("shipment_id", "box_id", F.round("c.axial_n", 1).alias("axial_n"), F.round("c.slenderness", 3).alias("slenderness"), F.round("c.stress", 4).alias("stress"), "c.band", "c.status")
+
+
+def crate_supports(spark: SparkSession, d: str) -> DataFrame:
+    """Bearing and lifting of each crate: some know their heaviest piece, some their pad, some are hung off centre."""
+    b, k = _boxes(spark, d), F.col("box_id") % 3
+    bearing = structure.local_bearing(F.col("kg") * 8.0, F.when(k == 0, F.col("kg") * 5.0).otherwise(0.0), F.when(k == 1, 900.0).otherwise(0.0), k == 2)
+    lifting = structure.lifting_points(F.col("kg").cast("double"), k * 2, F.col("l") % 2 == 0, F.when(F.col("w") % 5 == 0, 1.4).otherwise(1.0))
+    each = b.select("shipment_id", "box_id", bearing.alias("b"), lifting.alias("l"))
+    return each.select("shipment_id", "box_id", F.round("b.stress", 4).alias("bearing_mpa"), F.col("b.status").alias("bearing"), F.round("l.force_n", 3).alias("force_n"), F.col("l.status").alias("lifting"))
+
+
+# --- keyed tables
+
+
+def _run_table(spark: SparkSession, d: str) -> DataFrame:
+    """A run for each order, its state by whole-number rules."""
+    k = F.col("o_orderkey")
+    state = lambda *names: F.element_at(F.array(*(F.lit(n) for n in names)), (F.floor(k / 3) % len(names) + 1).cast("int"))
+    columns = {"run_id": k, "session_id": F.when(k % 7 != 0, F.col("o_custkey")), "phase": state("packing", "done", "", "check"), "status": state("running", "ok", None, "resumed", "")}
+    ended = F.when(k % 5 == 0, F.to_date("o_orderdate").cast("string"))
+    return table(spark, d, "orders").select(*(c.alias(n) for n, c in columns.items()), ended.alias("ended_at"), (k % 11 == 0).alias("archived"))
+
+
+def runs_interrupt_orphans(spark: SparkSession, d: str) -> DataFrame:
+    """Runs with a settling event: those with a line returned."""
+    events = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.when(F.col("l_returnflag") == "R", "done").otherwise("tick").alias("type"))
+    out = storage.interrupt_orphans(_run_table(spark, d), events, ["packing", "check"], ["done", "hitl"], F.lit("now"))
+    return out.groupBy("phase", F.coalesce("status", F.lit("-")).alias("status"), F.coalesce("ended_at", F.lit("-")).alias("ended_at")).agg(F.count("*").alias("n"))
+
+
+def runs_placeholders(spark: SparkSession, d: str) -> DataFrame:
+    sessions = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("session_id"), F.lit("saved").alias("status"))
+    return storage.with_placeholders(sessions, _run_table(spark, d))
+
+
+def runs_insert_or_ignore(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    base = o.where("o_orderkey % 3 = 0")
+    more = o.withColumn("o_orderstatus", F.lit("N")).unionByName(o.withColumn("o_orderstatus", F.lit("M")).withColumn("o_totalprice", F.col("o_totalprice") + 1))
+    return storage.insert_or_ignore(base, more, ["o_orderkey"], "o_totalprice").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+def documents_replace(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks by source after one in five documents has new ones and one in eleven is deleted."""
+    parts = packing.chunks(table(spark, d, "documents")).select("doc_id", "chunk", F.char_length("quote").cast("bigint").alias("size"))
+    changed = table(spark, d, "documents").where("doc_id % 5 = 0").select("doc_id", F.lit(0).cast("bigint").alias("chunk"), F.lit(7).cast("bigint").alias("size"))
+    gone = table(spark, d, "documents").where("doc_id % 11 = 0").select("doc_id")
+    left = storage.delete_documents(storage.replace_documents(parts, changed, ["doc_id"]), gone, ["doc_id"])
+    return left.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+
+
+def idempotency_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of events after an hour-long put: expired ones gone, of a key the latest put."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("scope"), (F.col("user_id") % 997).alias("key"), "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("created_at"))
+    bound = F.unix_timestamp(F.lit("2024-01-15 00:00:00").cast("timestamp"))
+    out = storage.remember(e.where("event_id % 2 = 0").groupBy("scope", "key").agg(F.max("event_id").alias("event_id"), F.max("created_at").alias("created_at")), e.where("event_id % 10 = 1").groupBy("scope", "key").agg(F.min("event_id").alias("event_id"), F.min("created_at").alias("created_at")), bound)
+    return out.groupBy("scope").agg(F.count("*").alias("n"), F.sum("event_id").alias("events"))
+
+
+def turns_start(spark: SparkSession, d: str) -> DataFrame:
+    """Requests for turns: retries, reused keys, busy sessions and new ones."""
+    o = table(spark, d, "orders").select((F.col("o_custkey") % 5).alias("workspace_id"), F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("sha"))
+    keys = o.where("key % 4 = 0").select("workspace_id", "key", F.when(F.col("key") % 8 == 0, F.col("session_id")).otherwise(F.col("session_id") + 5).alias("session_id"), F.when(F.col("key") % 16 == 0, F.lit("x")).otherwise(F.col("sha")).alias("sha"), (F.col("key") * 10).alias("turn_id"))
+    turns = table(spark, d, "customer").select((F.col("c_custkey") % 5).alias("workspace_id"), F.col("c_custkey").alias("session_id"), F.when(F.col("c_custkey") % 9 == 0, "running").otherwise("done").alias("status"))
+    found = storage.start_turns(o, keys, turns)
+    return found.groupBy("workspace_id", "outcome").agg(F.count("*").alias("n"), F.coalesce(F.sum("turn_id"), F.lit(0)).alias("turns"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         cargo_booking_volume, cargo_geom_lower_bound, nonstandard_flags, secure_work_order, material_dedupe, chunk_windows, pack_3d_layout, pack_verify, bending_check, index_staleness, readiness_score, eval_table, plan_diff, monthly_ranking, util_band,
+        section_lookup, crate_stability, crate_supports, runs_interrupt_orphans, runs_placeholders, runs_insert_or_ignore, documents_replace, idempotency_keys, turns_start,
     )
 }
 
+_CHUNKS = r"""WITH RECURSIVE w AS (SELECT doc_id, text, 0::BIGINT AS chunk, 0::BIGINT AS start, CASE WHEN length(text) <= 1200 THEN length(text) ELSE coalesce(nullif(length(regexp_extract(substr(text, 1, 1200), '(?s)^.{600,}[\n。]')), 0), 1200) END AS stop FROM documents WHERE length(text) > 0
+      UNION ALL SELECT doc_id, text, chunk + 1, stop - 160, CASE WHEN stop - 160 + 1200 >= length(text) THEN length(text) ELSE stop - 160 + coalesce(nullif(length(regexp_extract(substr(text, stop - 160 + 1, 1200), '(?s)^.{600,}[\n。]')), 0), 1200) END FROM w WHERE stop < length(text))"""
+_RUN_TABLE = """r AS (SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS session_id, (['packing', 'done', '', 'check'])[o_orderkey // 3 % 4 + 1] AS phase, (['running', 'ok', NULL, 'resumed', ''])[o_orderkey // 3 % 5 + 1] AS status,
+  CASE WHEN o_orderkey % 5 = 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS ended_at, o_orderkey % 11 = 0 AS archived FROM orders)"""
 SQL = {
     "cargo_booking_volume": f"""{_BOXES}, k AS (SELECT shipment_id, l * w * h AS o, c, CASE WHEN c::DOUBLE / (l * w * h) > 0 AND c::DOUBLE / (l * w * h) < 0.2 THEN 135 WHEN c::DOUBLE / (l * w * h) < 0.35 THEN 150 ELSE 160 END AS f FROM boxes)
       SELECT shipment_id, round(sum(least(o * 100, c * f))::DOUBLE / 1e11, 4) AS booking_m3, round(sum(o)::DOUBLE / 1e9, 4) AS outer_m3, round(sum(c)::DOUBLE / 1e9, 4) AS content_m3 FROM k GROUP BY 1""",
@@ -136,7 +230,11 @@ SQL = {
     "nonstandard_flags": f"""{_BOXES}, f AS (SELECT concat_ws(',', CASE WHEN l > 5900 THEN 'overlong' END, CASE WHEN kg > 2000 THEN 'heavy' END, CASE WHEN h > 1200 THEN 'tall' END, CASE WHEN l > 12 * least(w, h) THEN 'slender' END) AS flags, l,
         (CASE WHEN l > 5900 THEN 1 ELSE 0 END + CASE WHEN kg > 2000 THEN 1 ELSE 0 END + CASE WHEN h > 1200 THEN 1 ELSE 0 END + CASE WHEN l > 12 * least(w, h) THEN 1 ELSE 0 END) AS k FROM boxes)
       SELECT CASE WHEN l > 5900 THEN 'NEED_DESIGN' WHEN k >= 2 THEN 'WARN' WHEN k = 1 THEN 'INFO' ELSE 'PASS' END AS level, flags, count(*) AS n FROM f GROUP BY 1, 2""",
-    "secure_work_order": f"""{_BOXES}, m AS (SELECT *, max(kg) OVER (PARTITION BY shipment_id) AS most FROM boxes) SELECT shipment_id, box_id, 'pad_beam' AS kind FROM m WHERE kg * 4 >= most * 3 UNION ALL SELECT shipment_id, box_id, 'strapping' FROM m WHERE l > 4000""",
+    "secure_work_order": f"""{_BOXES}, p AS (SELECT shipment_id, box_id % 3 AS container_no, box_id, (l * 97 + box_id * 1571) % 11000 AS x, w * 31 % 1800 AS y, box_id % 2 * 900 AS z, l, kg * 4 AS kg FROM boxes),
+      g AS (SELECT *, lead(x) OVER (PARTITION BY shipment_id, container_no, z, y // 200 ORDER BY x, box_id) - x - l AS gap FROM p)
+      SELECT shipment_id, container_no, box_id, CASE WHEN gap > 800 THEN 'stop_and_strap' WHEN gap > 400 THEN 'timber_and_airbag' ELSE 'airbag' END AS kind, CASE WHEN gap > 800 THEN 'high' ELSE 'medium' END AS severity, gap::DOUBLE AS figure FROM g WHERE gap > 150
+      UNION ALL SELECT shipment_id, container_no, box_id, 'pad_beam', CASE WHEN kg >= 28610 * 0.35 THEN 'high' ELSE 'medium' END, kg::DOUBLE FROM p WHERE kg >= 7152.5
+      UNION ALL SELECT shipment_id, container_no, box_id, 'strapping', 'medium', l::DOUBLE FROM p WHERE l >= 6000""",
     "material_dedupe": f"""WITH {SQL_CARGO}, r AS (SELECT left(regexp_replace(name, '\\s+', '', 'g'), 40) AS k, weight_kg * qty AS total, row_number() OVER (PARTITION BY left(regexp_replace(name, '\\s+', '', 'g'), 40), weight_kg * qty, shipment_id % 10 ORDER BY shipment_id, row_id) AS n FROM cargo)
       SELECT k, count(*) AS kept, CAST(sum(total) AS BIGINT) AS total_kg FROM r WHERE n = 1 GROUP BY 1""",
     "pack_verify": "SELECT count(*) AS n_boxes, count(DISTINCT l_orderkey) AS n_shipments, 0::BIGINT AS violations FROM lineitem JOIN part ON l_partkey = p_partkey",
@@ -149,4 +247,23 @@ SQL = {
       SELECT x.l_suppkey, x.field, x.v AS before, y.v AS after FROM u x JOIN u y ON x.l_suppkey = y.l_suppkey AND x.field = y.field AND x.s = 'F' AND y.s = 'O' WHERE x.v <> y.v""",
     "monthly_ranking": "SELECT month, o_custkey, n, CAST(rank AS INTEGER) AS rank FROM (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_custkey, count(*) AS n, row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y-%m') ORDER BY count(*) DESC, o_custkey) AS rank FROM orders GROUP BY 1, 2) WHERE rank <= 3",
     "util_band": "SELECT p_partkey, round(CASE WHEN p_size::DOUBLE / 50 >= 0.8 THEN 100.0::DOUBLE WHEN p_size::DOUBLE / 50 >= 0.5 THEN 60 + 40 * (p_size::DOUBLE / 50 - 0.5::DOUBLE) / 0.3::DOUBLE ELSE 60 * (p_size::DOUBLE / 50) / 0.5::DOUBLE END, 4) AS score FROM part",
+    "chunk_windows": f"{_CHUNKS} SELECT doc_id, chunk, start, stop AS \"end\", sha256(doc_id || '|' || start || '|' || substr(text, start + 1, stop - start)) AS chunk_id FROM w",
+    "section_lookup": """WITH p AS (SELECT p_partkey, p_partkey % 6 AS k, p_size::DOUBLE AS z FROM part), s AS (SELECT p_partkey, CASE k WHEN 0 THEN 'square_tube' WHEN 2 THEN 'wood_rect' ELSE 'rect_tube' END AS kind, CASE k WHEN 1 THEN z + 20 WHEN 2 THEN z + 50 ELSE z END AS b, CASE k WHEN 2 THEN z + 80 WHEN 3 THEN z + 9 ELSE z END AS h, CASE k WHEN 0 THEN 3 WHEN 1 THEN 2.5 WHEN 3 THEN 4 END::DOUBLE AS t FROM p WHERE k < 4)
+      SELECT p_partkey, kind, b, h, round(CASE WHEN t IS NULL THEN b * h WHEN b > 2 * t AND h > 2 * t THEN b * h - (b - 2 * t) * (h - 2 * t) END, 3) AS area,
+        round(CASE WHEN t IS NULL THEN b * h ** 3 / 12 WHEN b > 2 * t AND h > 2 * t THEN greatest(b * h ** 3 - (b - 2 * t) * (h - 2 * t) ** 3, h * b ** 3 - (h - 2 * t) * (b - 2 * t) ** 3) / 12 END, 3) AS inertia FROM s""",
+    "crate_stability": f"""{_BOXES}, c AS (SELECT shipment_id, box_id, kg * 1.8::DOUBLE * 9.80665::DOUBLE / 4 AS n, h::DOUBLE / 10 / ((w % 7)::DOUBLE / 10 + 0.5::DOUBLE) AS s, box_id % 2 = 0 AS steel FROM boxes)
+      SELECT shipment_id, box_id, round(n, 1) AS axial_n, round(s, 3) AS slenderness, round(n / 420, 4) AS stress, CASE WHEN s >= CASE WHEN steel THEN 150 ELSE 120 END THEN 'over' WHEN s > 120 THEN 'caution' WHEN s > 100 THEN 'acceptable' ELSE 'safe' END AS band,
+        CASE WHEN s > CASE WHEN steel THEN 150 ELSE 120 END OR n / 420 > CASE WHEN steel THEN 143.5 ELSE 8.4 END THEN 'fail' WHEN s > 120 THEN 'reinforce' ELSE 'pass' END AS status FROM c""",
+    "crate_supports": f"""{_BOXES}, c AS (SELECT shipment_id, box_id, box_id % 3 AS k, kg::DOUBLE AS kg, CASE WHEN box_id % 3 = 0 THEN kg * 5 * 9.80665::DOUBLE * 1.2::DOUBLE ELSE kg * 8 * 9.80665::DOUBLE / 4 END / CASE WHEN box_id % 3 = 1 THEN 900 ELSE 6400 END AS s,
+        greatest(CASE WHEN box_id % 3 = 0 THEN 4 ELSE box_id % 3 * 2 END, 1) AS p, greatest(CASE WHEN w % 5 = 0 THEN 1.4::DOUBLE ELSE 1 END, CASE WHEN l % 2 = 0 THEN 1 ELSE 1.25::DOUBLE END) AS f FROM boxes)
+      SELECT shipment_id, box_id, round(s, 4) AS bearing_mpa, CASE WHEN s <= CASE WHEN k = 2 THEN 120 ELSE 8 END THEN 'pass' ELSE 'fail' END AS bearing, round(kg * 9.80665::DOUBLE / p * f, 3) AS force_n, CASE WHEN (p >= 4 OR kg < 800) AND f <= 1.35 THEN 'pass' ELSE 'fail' END AS lifting FROM c""",
+    "runs_interrupt_orphans": f"""WITH {_RUN_TABLE}, s AS (SELECT DISTINCT l_orderkey AS run_id FROM lineitem WHERE l_returnflag = 'R'), m AS (SELECT r.*, NOT archived AND phase IN ('', 'packing', 'check') AND coalesce(status, '') IN ('', 'running', 'resumed') AND s.run_id IS NULL AS o FROM r LEFT JOIN s USING (run_id))
+      SELECT CASE WHEN o THEN 'interrupted' ELSE phase END AS phase, coalesce(CASE WHEN o THEN 'aborted' ELSE status END, '-') AS status, coalesce(ended_at, CASE WHEN o THEN 'now' END, '-') AS ended_at, count(*) AS n FROM m GROUP BY 1, 2, 3""",
+    "runs_placeholders": f"""WITH {_RUN_TABLE} SELECT c_custkey AS session_id, 'saved' AS status FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT DISTINCT session_id, 'placeholder' FROM r WHERE session_id IS NOT NULL AND session_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)""",
+    "runs_insert_or_ignore": "SELECT CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus ELSE 'N' END AS o_orderstatus, count(*) AS n FROM orders GROUP BY 1",
+    "documents_replace": f"{_CHUNKS} SELECT doc_id, count(*) AS n, CAST(sum(stop - start) AS BIGINT) AS size FROM w WHERE doc_id % 5 <> 0 AND doc_id % 11 <> 0 GROUP BY 1 UNION ALL SELECT doc_id, 1, 7 FROM documents WHERE doc_id % 5 = 0 AND doc_id % 11 <> 0",
+    "idempotency_keys": """WITH e AS (SELECT event_type AS scope, user_id % 997 AS key, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS made FROM events), k AS (SELECT scope, key, max(event_id) AS event_id FROM e WHERE event_id % 2 = 0 GROUP BY 1, 2 HAVING max(made) >= epoch(TIMESTAMP '2024-01-15 00:00:00')),
+      p AS (SELECT scope, key, min(event_id) AS event_id FROM e WHERE event_id % 10 = 1 GROUP BY 1, 2) SELECT scope, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS events FROM (SELECT * FROM p UNION ALL SELECT k.* FROM k ANTI JOIN p ON k.scope = p.scope AND k.key = p.key) GROUP BY 1""",
+    "turns_start": """WITH o AS (SELECT o_custkey % 5 AS w, o_custkey AS s, o_orderkey AS k, o_orderstatus AS sha FROM orders), m AS (SELECT *, CASE WHEN k % 4 = 0 THEN CASE WHEN k % 8 = 0 AND (k % 16 <> 0 OR sha = 'x') THEN 'existing' ELSE 'conflict' END WHEN s % 9 = 0 THEN 'busy' ELSE 'started' END AS outcome FROM o)
+      SELECT w AS workspace_id, outcome, count(*) AS n, CAST(sum(CASE WHEN outcome = 'existing' THEN k * 10 ELSE 0 END) AS BIGINT) AS turns FROM m GROUP BY 1, 2""",
 }
