@@ -12,7 +12,7 @@ P, Q = 4, 5
 #: Token counts are summed in so many buckets; a byte for each goes to every task.
 _BUCKETS, _PIECE_BITS = 1 << 18, 12
 #: Tokens of a higher level are hot: lines are not posted under one of them, but under pairs of them. 1 + ceil(3 * log2(count)).
-_HOT = 1 + 3 * 13
+_HOT = 1 + 3 * 24
 #: Most texts have no white space but spaces and line ends, and a split at one character is far cheaper than one at a class.
 _PIECES = """split(lower({0}), CASE WHEN contains({0}, '\t') OR contains({0}, '\r') OR contains({0}, '\x0b')
     OR contains({0}, '\x0c') THEN '[\\\\x20\\\\x09-\\\\x0D]+' ELSE ' ' END)"""
@@ -122,7 +122,7 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Lines come in order of id, text hash and position. Words are cut at white space and lower-cased.
     Equal lines are a class; its first line stands for it, and the others go. Of the others each meets the first line
-    of each of its keys; those that are found to go need no other partner, and the rest meet all earlier lines of their keys.
+    of each of its keys; those that are found to go need no other partner, and the rest meet all earlier lines of their keys, the closest first.
     Lengths, places of the shared token and parity bitmaps rule out most that do not reach the threshold, and words decide.
 
     Lines without words stay, and are no match. Null text: one line without words. Rows equal in id and text are one
@@ -140,13 +140,22 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     heads = keep(shared.where("head IS NOT NULL").select(place.alias("x"), F.col("head").alias("y")).distinct(), "heads")
     gone = keep(_verified(heads, docs, h, id_col, text_col), "gone")
     # A line that is found to go is no later line of another pair, but an earlier one it may be. Its mark is tested as
-    # part of the join, so that both sides are one exchange.
+    # part of the join, so that both sides are one exchange. Of all its earlier candidates each line is compared with the one whose
+    # bitmap is closest, and only lines that don't match it, and have others, with those.
     found = bounded(gone.select(F.col("x").alias("g"), F.lit(1).alias("found")))
     marked = shared.where("of > 2").select("key", "x").join(found, _same("x", "g"), "left").select("key", "x", F.coalesce("found", F.lit(0)).alias("found"))
     later = marked.select("key", "x", F.col("found").alias("fx"))
     earlier = marked.select("key", F.col("x").alias("y"), F.col("found").alias("fy"))
-    more = later.join(earlier, "key").where(f"fx + 0 * fy = 0 AND {_NEAR} AND y < x").select(place.alias("x"), F.struct("y.id", "y.h", "y.pos").alias("y"))
-    gone = gone.unionByName(_verified(keep(more.distinct(), "more"), docs, h, id_col, text_col)).select("x.*")
+    near = later.join(earlier, "key").where(f"fx + 0 * fy = 0 AND {_NEAR} AND y < x")
+    candidate = F.struct("y.id", "y.h", "y.pos")
+    best = near.groupBy("x.id", "x.h", "x.pos").agg(F.min(F.struct(F.expr("bit_count(x.bits ^ y.bits)").alias("d"), candidate.alias("y"))).alias("b"), F.min(candidate).alias("low"), F.max(candidate).alias("high"))
+    best = keep(best.select(F.struct(*_PLACE).alias("x"), F.col("b.y").alias("y"), (F.col("low") != F.col("high")).alias("others")), "best")
+    closest = keep(_verified(best.select("x", "y"), docs, h, id_col, text_col), "closest")
+    rest = keep(best.where("others").join(closest.select(F.col("x").alias("g")), _same("x", "g"), "left_anti").select(F.col("x").alias("r"), F.col("y").alias("tried")), "rest")
+    asked = shared.where("of > 2").select("key", "x").join(bounded(rest), _same("x", "r")).select("key", "x", "tried")
+    earlier = shared.where("of > 2").select("key", F.col("x").alias("y"))
+    others = earlier.join(bounded(asked), "key").where(f"{_NEAR} AND y < x").select(place.alias("x"), candidate.alias("y"), "tried").where(~_same("y", "tried"))
+    gone = gone.unionByName(closest).unionByName(_verified(keep(others.select("x", "y").distinct(), "others"), docs, h, id_col, text_col)).select("x.*")
     copies = lines.where("first IS NOT NULL").where(F.struct(*_PLACE) != F.col("first")).select(*_PLACE)
     return keep(gone.unionByName(copies).where("id IS NOT NULL"), "removed")
 
