@@ -31,13 +31,13 @@ def dimensions(cell: Column) -> Column:
     return F.struct(part(1).alias("l"), part(2).alias("w"), part(3).alias("h"))
 
 
-def weight_kg(cell: Column) -> Column:
-    """A weight with its unit in kilograms; null for ranges, forces and what is no weight."""
+def weight_kg(cell: Column, scale: float = 1.0) -> Column:
+    """A weight in kilograms by its own unit, or times scale if it states none; null for ranges, forces and what is no weight."""
     pattern = rf"(?i)^\s*({_NUMBER})\s*(kgs?|g|t|tons?|lbs?)?\.?\s*$"
     value = F.nullif(F.regexp_replace(F.regexp_extract(cell, pattern, 1), ",", ""), F.lit("")).try_cast("double")
     unit = F.lower(F.regexp_extract(cell, pattern, 2))
-    scale = F.when(unit.isin("t", "ton", "tons"), WEIGHT_UNITS["t"]).when(unit == "g", WEIGHT_UNITS["g"]).when(unit.isin("lb", "lbs"), WEIGHT_UNITS["lb"]).otherwise(1.0)
-    return value * scale
+    own = F.when(unit.isin("t", "ton", "tons"), WEIGHT_UNITS["t"]).when(unit == "g", WEIGHT_UNITS["g"]).when(unit.isin("lb", "lbs"), WEIGHT_UNITS["lb"])
+    return value * own.when(unit == "", scale).otherwise(1.0)
 
 
 def hollow_section(b: Column, h: Column, t: Column) -> Column:

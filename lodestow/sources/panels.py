@@ -5,12 +5,14 @@ Only the first lines of a file are looked at on the driver, to find the header;
 
 from __future__ import annotations
 
+import csv
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers
+from ..operators.statistics import upper_median
 
 # Spellings of the standard fields, without units and in lower case.
 SYNONYMS = {
@@ -63,28 +65,33 @@ def _length(cell: Column, unit: str, metres: bool) -> Column:
 def read_panel_list(spark: SparkSession, path: str) -> DataFrame:
     """Standard rows of a CSV panel list: name, qty_state, quantity, length_mm, width_mm, height_mm, weight_kg, part_no, category, note.
 
-    A length column without a unit whose upper median is 25 or less is in metres. Blank, comment and summary rows are passed over.
+    A length column without a unit whose upper median is 25 or less is in metres. A weight's own unit goes before that of its column;
+    ranges, forces and what is no weight are null. Blank, comment and summary rows are passed over.
     """
     top = [r.value.lstrip("﻿") for r in spark.read.text(path).limit(15).collect()]
     if not top:
         raise ValueError(f"{path}: no rows")
     sep = delimiter(max(top, key=lambda t: max(t.count(c) for c in ";\t,")))
-    at = header_row([t.split(sep) for t in top])
-    headers = top[at].split(sep)
+    cells = [next(csv.reader([t], delimiter=sep), []) for t in top]  # quoted headers may hold the delimiter
+    at = header_row(cells)
+    headers = cells[at]
     fields = resolve(headers)
     columns = ", ".join(f"c{k} string" for k in range(len(headers)))
     rows = spark.read.csv(path, sep=sep, schema=columns, mode="PERMISSIVE", encoding="UTF-8").withColumn("_line", F.concat_ws("\x1f", *(f"c{k}" for k in range(len(headers)))))
-    heads = ["\x1f".join(x for x in t.split(sep)) for t in top[: at + 1]]
+    heads = ["\x1f".join(row) for row in cells[: at + 1]]
     rows = rows.where(~F.trim("_line").isin([h.strip() for h in heads] + ["﻿" + h.strip() for h in heads]))
     cell = lambda f: F.col(f"c{fields[f][0]}") if f in fields else F.lit(None).cast("string")
     first = F.coalesce(F.col("c0"), F.lit(""))
     rows = rows.where((F.trim(F.regexp_replace("_line", "\x1f", "")) != "") & ~first.startswith("#") & ~F.coalesce(cell("name"), first).rlike(_SUMMARY))
-    medians = rows.agg(*(numbers.upper_median(F.collect_list(numbers.number(cell(f)))).alias(f) for f in ("length", "width", "height"))).first()
     unit = {f: fields.get(f, (0, ""))[1] for f in fields}
-    metres = {f: medians[f] is not None and medians[f] <= 25 and not unit.get(f) for f in ("length", "width", "height")}
+
+    def metres(f: str) -> bool:
+        middle = upper_median(rows, [], numbers.number(cell(f))).first() if f in fields and not unit[f] else None
+        return middle is not None and middle["upper_median"] <= 25
+
     q = numbers.quantity(cell("quantity"))
-    weight = numbers.number(cell("weight")) * numbers.WEIGHT_UNITS.get((unit.get("weight") or "kg").rstrip("s"), 1.0)
+    weight = numbers.weight_kg(cell("weight"), numbers.WEIGHT_UNITS.get((unit.get("weight") or "kg").rstrip("s"), 1.0))
     return rows.select(
-        F.trim(cell("name")).alias("name"), q["state"].alias("qty_state"), q["qty"].alias("quantity"), *(_length(cell(f), unit.get(f, ""), metres[f]).alias(f + "_mm") for f in ("length", "width", "height")), weight.alias("weight_kg"),
+        F.trim(cell("name")).alias("name"), q["state"].alias("qty_state"), q["qty"].alias("quantity"), *(_length(cell(f), unit.get(f, ""), metres(f)).alias(f + "_mm") for f in ("length", "width", "height")), weight.alias("weight_kg"),
         *(cell(f).alias(f) for f in ("part_no", "category", "note")),
     )

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestow.functions import numbers, text
-from lodestow.operators import cargo, events, ledger, retrieval, schedule
+from lodestow.operators import cargo, events, ledger, packing, retrieval, schedule, statistics, storage
 
 
 def test_units_needed(spark):
@@ -98,9 +98,69 @@ def test_critical_path_and_cycle(spark):
     got = {r.id: (r.es, r.ls, r.critical) for r in schedule.critical_path(tasks, links).collect()}
     assert got == {1: (0, 0, True), 2: (3, 6, False), 3: (3, 3, True), 4: (8, 8, True)}
     with pytest.raises(ValueError):
-        schedule.earliest_starts(tasks, links.unionByName(spark.createDataFrame([(4, 1, 0)], "before long, after long, lag long")), most=6)
+        schedule.earliest_starts(tasks, links.unionByName(spark.createDataFrame([(4, 1, 0)], "before long, after long, lag long")))
 
 
 def test_routes(spark):
     edges = spark.createDataFrame([(0, 1, 5), (0, 2, 1), (2, 1, 1), (3, 0, 1), (0, 1, 9)], "from long, to long, weight long")
     assert {r.node: r.distance for r in schedule.shortest_routes(edges, 0).collect()} == {0: 0, 1: 2, 2: 1, 3: None}
+
+
+def test_conservation_in_any_split(spark):
+    """Seven pieces whole in 13, 19, 23 or 29 parts are kept, exactly; a part less is not."""
+    materials = spark.createDataFrame([(k, 7) for k in (13, 19, 23, 29, 0)], "row_id long, quantity long")
+    contents = spark.createDataFrame([(13, 91, 13), (19, 133, 19), (23, 161, 23), (29, 202, 29), (0, 3, 1), (0, 22, 11), (0, 6, 3)], "row_id long, quantity long, split_of long")
+    got = {r.row_id: (r.pieces_in, r.pieces_out, r.kind) for r in ledger.conservation(materials, contents, ["row_id"]).collect()}
+    assert got == {29: (7, round(202 / 29, 6), "pieces_lost")}
+
+
+def test_heavy_rests_on_what_touches_it(spark):
+    rows = [("s", 1, 0, 0, 0, 10, 10, 9, 100), ("s", 2, 0, 0, 9, 10, 10, 5, 200), ("s", 3, 0, 0, 14, 5, 5, 5, 240), ("s", 4, 0, 20, 9, 9, 9, 9, 999), ("s", 5, 0, 20, 0, 9, 9, 8, 1)]
+    layout = spark.createDataFrame(rows, "k string, box_id long, x long, y long, z long, dx long, dy long, dz long, kg long")
+    assert cargo.heavy_on_top(layout, "k").first().asDict() == {"k": "s", "total_kg": 1540, "heavy_kg": 200, "ratio": round(200 / 1540, 6)}
+
+
+def test_upper_median(spark):
+    df = spark.createDataFrame([("a", 3.0), ("a", 1.0), ("a", 1.0), ("a", 9.0), ("b", None), ("c", 5.0)], "k string, v double")
+    got = {r.k: (r.n, r.upper_median) for r in statistics.upper_median(df, ["k"], F.col("v")).collect()}
+    assert got == {"a": (4, 3.0), "c": (1, 5.0)}
+
+
+def test_hollow_section_is_safe_either_way(spark):
+    df = spark.createDataFrame([(40.0, 100.0, 4.0), (100.0, 40.0, 4.0), (40.0, 100.0, 20.0)], "b double, h double, t double")
+    high, wide, none = (r.s for r in df.select(numbers.hollow_section(F.col("b"), F.col("h"), F.col("t")).alias("s")).collect())
+    assert high.radius == wide.radius and high.modulus == pytest.approx(wide.modulus) and none.area is None
+
+
+def test_keyword_score_finds_parts_of_words(spark):
+    docs = spark.createDataFrame([(1, "Formwork plan", "the beams", "en/x"), (2, "plan", "nothing", "beam/y"), (3, "other", "else", "z")], "doc_id long, title string, body string, path string")
+    queries = spark.createDataFrame([("q", "beam"), ("q", "plan")], "query string, token string")
+    got = {r.doc_id: r.score for r in retrieval.keyword_score(docs, queries, "title", "body", "path").collect()}
+    assert got == {1: pytest.approx(0.8 + 1 + 2.5 + 0.8), 2: pytest.approx(1.2 + 1 + 2.5 + 0.8)}
+
+
+def test_chunks_end_at_lines(spark):
+    text_ = "x" * 700 + "\n" + "y" * 900 + "\n" + "z" * 1300
+    got = [(r.start, r.end) for r in packing.chunks(spark.createDataFrame([(1, text_), (2, ""), (3, None)], "doc_id long, text string")).collect()]
+    assert got == [(0, 701), (541, 1602), (1442, 2642), (2482, 2902)]
+    assert packing.chunks(spark.createDataFrame([(1, "a" * 1201)], "doc_id long, text string")).count() == 2
+
+
+def test_schedules_of_any_depth_and_kind(spark):
+    n = 260
+    tasks = spark.createDataFrame([(k, 1) for k in range(4)], "id long, duration long")
+    links = spark.createDataFrame([(0, 1, "FS", 2), (1, 2, "FF", 3), (0, 3, "SS", 1)], "before long, after long, kind string, lag long")
+    got = {r.id: (r.es, r.ls, r.critical) for r in schedule.schedule(tasks, links).collect()}
+    assert got == {0: (0, 0, True), 1: (3, 3, True), 2: (6, 6, True), 3: (1, 6, False)}
+    chain = spark.createDataFrame([(k, k - 1) for k in range(1, n)], "id long, parent long")
+    assert schedule.ancestors(chain).agg(F.max("depth")).first()[0] == n - 1
+    with pytest.raises(ValueError, match="ancestor"):
+        schedule.ancestors(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "id long, parent long"))
+
+
+def test_turns_and_keys(spark):
+    requests = spark.createDataFrame([("w", "s", "k1", "a"), ("w", "s", "k2", "a"), ("w", "t", "k3", "a"), ("w", "u", "k4", "a")], "workspace_id string, session_id string, key string, sha string")
+    keys = spark.createDataFrame([("w", "k1", "s", "a", "t1"), ("w", "k2", "s", "b", "t2")], "workspace_id string, key string, session_id string, sha string, turn_id string")
+    turns = spark.createDataFrame([("w", "s", "running"), ("w", "t", "running"), ("w", "u", "done")], "workspace_id string, session_id string, status string")
+    got = {r.key: (r.outcome, r.turn_id) for r in storage.start_turns(requests, keys, turns).collect()}
+    assert got == {"k1": ("existing", "t1"), "k2": ("conflict", None), "k3": ("busy", None), "k4": ("started", None)}

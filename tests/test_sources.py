@@ -41,3 +41,13 @@ def test_workbook(spark, tmp_path):
     (tmp_path / "a.xlsx").write_bytes(raw.getvalue())
     found = workbook.choose_sheet(workbook.read_cells(spark, str(tmp_path)))
     assert {(r.row, r.col, r.kind, r.value) for r in found.collect()} == {(1, 1, "text", "name"), (1, 28, "number", "2.5"), (1, 3, "formula", ""), (1, 4, "error", "#REF!")}
+
+
+def test_weights_by_their_own_unit_and_quoted_headers(spark, tmp_path):
+    f = tmp_path / "list.csv"
+    f.write_text('"Item, long",Qty,Length (mm),Width (mm),Height (mm),Weight (t)\nbeam,2,6000,200,100,1.5\nplate,1,900,800,12,800 kg\njack,1,300,200,200,15 kN\ncrate,1,300,200,200,1-2\n')
+    got = panels.read_panel_list(spark, str(f)).collect()
+    assert [r.name for r in got] == ["beam", "plate", "jack", "crate"]
+    assert [r.weight_kg for r in got] == [1500.0, 800.0, None, None]
+    assert [r.length_mm for r in got] == [6000.0, 900.0, 300.0, 300.0]
+    assert [r.quantity for r in got] == [2, 1, 1, 1]
