@@ -19,6 +19,9 @@ _PIECES = """split(lower({0}), CASE WHEN contains({0}, '\t') OR contains({0}, '\
 #: The distinct words of a line as hashes. (An empty piece is no word.)
 _HASHES = f"array_remove(array_distinct(transform({_PIECES.format('line')}, w -> xxhash64(w))), xxhash64(''))"
 _PLACE = ("id", "h", "pos")
+#: Lines of more tokens than this have a parity bitmap of 256 bits besides that of 64: in a short one theirs would look alike.
+_LONG = 80
+_WIDE = ("w1", "w2", "w3")
 
 
 def rarity(docs: DataFrame, text_col: str = "text") -> Column:
@@ -73,7 +76,7 @@ def _copies(docs: DataFrame, h: Column, id_col: str, text_col: str) -> DataFrame
 
 
 def _posted(lines: DataFrame, levels: Column) -> DataFrame:
-    """(key, x): each line under the keys of its prefix; x holds its place, n words, their parity bitmap and i.
+    """(key, x): each line under the keys of its prefix; x holds its place, n words, their parity bitmaps and i.
 
     Tokens are ordered by rarity. Two lines at the threshold share a token of their prefixes. If the rarest that they
     share is hot, so are all that they share, and they share two at least: the hot part of the prefix, longer by one, goes in pairs.
@@ -88,6 +91,8 @@ def _posted(lines: DataFrame, levels: Column) -> DataFrame:
         *_PLACE, F.size("tokens").alias("n"),
         F.expr(f"slice(tokens, 1, size(tokens) - ({P} * size(tokens) + {Q - 1}) DIV {Q} + 2)").alias("prefix"),
         F.expr("aggregate(tokens, 0L, (a, t) -> a ^ shiftleft(1L, int(t & 63)))").alias("bits"),
+        # The words of the wide bitmap but the first, which is what they leave of the narrow one.
+        *(F.expr(f"CASE WHEN size(tokens) > {_LONG} THEN aggregate(tokens, 0L, (a, t) -> IF(t & 192 = {k * 64}, a ^ shiftleft(1L, int(t & 63)), a)) END").alias(w) for k, w in enumerate(_WIDE, 1)),
     )
     # A prefix proper is without its last token, unless the line has but one token.
     hot, proper = f"{(_HOT + 1) << 56}L", "greatest(size(prefix) - 1, 1)"
@@ -95,14 +100,17 @@ def _posted(lines: DataFrame, levels: Column) -> DataFrame:
     pairs = """CASE WHEN size(prefix) = 1 THEN prefix ELSE flatten(transform(slice(prefix, cold + 1, size(prefix)), (s, i) ->
         transform(slice(prefix, cold + i + 2, size(prefix)), t -> xxhash64(s, t)))) END"""
     keys = f"CASE WHEN cold = {proper} THEN slice(prefix, 1, cold) ELSE concat(slice(prefix, 1, cold), {pairs}) END"
-    posted = lines.select(*_PLACE, "n", "bits", "cold", F.posexplode(F.expr(keys)).alias("i", "key"))
+    posted = lines.select(*_PLACE, "n", "bits", *_WIDE, "cold", F.posexplode(F.expr(keys)).alias("i", "key"))
     # The first of a pair has the cold tokens before it at least.
-    return posted.select("key", F.struct(*_PLACE, "n", F.least("i", "cold").alias("i"), "bits").alias("x"))
+    return posted.select("key", F.struct(*_PLACE, "n", F.least("i", "cold").alias("i"), "bits", *_WIDE).alias("x"))
 
 
+_FIRST = "{0}.bits ^ {0}.w1 ^ {0}.w2 ^ {0}.w3"
+#: Bits that differ, of the wide bitmaps if both lines have one.
+_DIFFER = f"""coalesce(bit_count(({_FIRST.format("x")}) ^ ({_FIRST.format("y")})) + bit_count(x.w1 ^ y.w1) + bit_count(x.w2 ^ y.w2) + bit_count(x.w3 ^ y.w3), bit_count(x.bits ^ y.bits))"""
 #: Overlap needed at the threshold, and the most that lengths, the place of the shared token and the bitmaps allow.
 _NEAR = f"""{Q} * least(x.n, y.n) >= {P} * greatest(x.n, y.n) AND {P + Q} * least(x.n - x.i, y.n - y.i) >= {P} * (x.n + y.n)
-    AND {P + Q} * (x.n + y.n - bit_count(x.bits ^ y.bits)) >= {2 * P} * (x.n + y.n)"""
+    AND {P + Q} * (x.n + y.n - {_DIFFER}) >= {2 * P} * (x.n + y.n)"""
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, h: Column, id_col: str, text_col: str) -> DataFrame:
@@ -148,7 +156,7 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     earlier = marked.select("key", F.col("x").alias("y"), F.col("found").alias("fy"))
     near = later.join(earlier, "key").where(f"fx + 0 * fy = 0 AND {_NEAR} AND y < x")
     candidate = F.struct("y.id", "y.h", "y.pos")
-    best = near.groupBy("x.id", "x.h", "x.pos").agg(F.min(F.struct(F.expr("bit_count(x.bits ^ y.bits)").alias("d"), candidate.alias("y"))).alias("b"), F.min(candidate).alias("low"), F.max(candidate).alias("high"))
+    best = near.groupBy("x.id", "x.h", "x.pos").agg(F.min(F.struct(F.expr(_DIFFER).alias("d"), candidate.alias("y"))).alias("b"), F.min(candidate).alias("low"), F.max(candidate).alias("high"))
     best = keep(best.select(F.struct(*_PLACE).alias("x"), F.col("b.y").alias("y"), (F.col("low") != F.col("high")).alias("others")), "best")
     closest = keep(_verified(best.select("x", "y"), docs, h, id_col, text_col), "closest")
     rest = keep(best.where("others").join(closest.select(F.col("x").alias("g")), _same("x", "g"), "left_anti").select(F.col("x").alias("r"), F.col("y").alias("tried")), "rest")

@@ -140,6 +140,16 @@ def test_lines_under_pairs_of_hot_tokens(spark, texts, monkeypatch):
         assert got == expected_lines(list(enumerate(rows)))
 
 
+def test_long_lines(spark):
+    """Lines of 70 to 140 words: wide bitmaps on both sides, on one, and none."""
+    from .conftest import frame
+
+    words = [f"v{k}" for k in range(400)]
+    rows = ["\n".join(" ".join(words[a : a + n]) for n in (70, 80, 81, 99, 140)) for a in range(0, 120, 9)]
+    got = {(r.id, r.pos) for r in op7.later_matches(frame(spark, rows)).collect()}
+    assert got == expected_lines(list(enumerate(rows)))
+
+
 def test_lines_of_repeated_and_null_ids(spark):
     """Rows of one id with different texts keep their own positions; a line of a row without id is an earlier line."""
     from .conftest import frame
