@@ -140,7 +140,7 @@ def crate_stability(spark: SparkSession, d: str) -> DataFrame:
     b = _boxes(spark, d)
     steel = F.col("box_id") % 2 == 0
     found = structure.column_stability(F.col("kg") * 1.8, F.col("h").cast("double"), F.lit(4.2), F.col("w") % 7 / 10 + 0.5, steel)
-    return b.select("shipment_id", "box_id", found.alias("c")).select("shipment_id", "box_id", F.round("c.axial_n", 1).alias("axial_n"), F.round("c.slenderness", 3).alias("slenderness"), F.round("c.stress", 4).alias("stress"), "c.band", "c.status")
+    return b.select("shipment_id", "box_id", found.alias("c")).select("shipment_id", "box_id", F.round("c.axial_n", 9).alias("axial_n"), F.round("c.slenderness", 9).alias("slenderness"), F.round("c.stress", 9).alias("stress"), "c.band", "c.status")
 
 
 def crate_supports(spark: SparkSession, d: str) -> DataFrame:
@@ -149,7 +149,7 @@ def crate_supports(spark: SparkSession, d: str) -> DataFrame:
     bearing = structure.local_bearing(F.col("kg") * 8.0, F.when(k == 0, F.col("kg") * 5.0).otherwise(0.0), F.when(k == 1, 900.0).otherwise(0.0), k == 2)
     lifting = structure.lifting_points(F.col("kg").cast("double"), k * 2, F.col("l") % 2 == 0, F.when(F.col("w") % 5 == 0, 1.4).otherwise(1.0))
     each = b.select("shipment_id", "box_id", bearing.alias("b"), lifting.alias("l"))
-    return each.select("shipment_id", "box_id", F.round("b.stress", 4).alias("bearing_mpa"), F.col("b.status").alias("bearing"), F.round("l.force_n", 3).alias("force_n"), F.col("l.status").alias("lifting"))
+    return each.select("shipment_id", "box_id", F.col("b.stress").alias("bearing_mpa"), F.col("b.status").alias("bearing"), F.col("l.force_n").alias("force_n"), F.col("l.status").alias("lifting"))
 
 
 # --- keyed tables
@@ -252,11 +252,11 @@ SQL = {
       SELECT p_partkey, kind, b, h, round(CASE WHEN t IS NULL THEN b * h WHEN b > 2 * t AND h > 2 * t THEN b * h - (b - 2 * t) * (h - 2 * t) END, 3) AS area,
         round(CASE WHEN t IS NULL THEN b * h ** 3 / 12 WHEN b > 2 * t AND h > 2 * t THEN greatest(b * h ** 3 - (b - 2 * t) * (h - 2 * t) ** 3, h * b ** 3 - (h - 2 * t) * (b - 2 * t) ** 3) / 12 END, 3) AS inertia FROM s""",
     "crate_stability": f"""{_BOXES}, c AS (SELECT shipment_id, box_id, kg * 1.8::DOUBLE * 9.80665::DOUBLE / 4 AS n, h::DOUBLE / 10 / ((w % 7)::DOUBLE / 10 + 0.5::DOUBLE) AS s, box_id % 2 = 0 AS steel FROM boxes)
-      SELECT shipment_id, box_id, round(n, 1) AS axial_n, round(s, 3) AS slenderness, round(n / 420, 4) AS stress, CASE WHEN s >= CASE WHEN steel THEN 150 ELSE 120 END THEN 'over' WHEN s > 120 THEN 'caution' WHEN s > 100 THEN 'acceptable' ELSE 'safe' END AS band,
+      SELECT shipment_id, box_id, round(n, 9) AS axial_n, round(s, 9) AS slenderness, round(n / 420, 9) AS stress, CASE WHEN s >= CASE WHEN steel THEN 150 ELSE 120 END THEN 'over' WHEN s > 120 THEN 'caution' WHEN s > 100 THEN 'acceptable' ELSE 'safe' END AS band,
         CASE WHEN s > CASE WHEN steel THEN 150 ELSE 120 END OR n / 420 > CASE WHEN steel THEN 143.5 ELSE 8.4 END THEN 'fail' WHEN s > 120 THEN 'reinforce' ELSE 'pass' END AS status FROM c""",
     "crate_supports": f"""{_BOXES}, c AS (SELECT shipment_id, box_id, box_id % 3 AS k, kg::DOUBLE AS kg, CASE WHEN box_id % 3 = 0 THEN kg * 5 * 9.80665::DOUBLE * 1.2::DOUBLE ELSE kg * 8 * 9.80665::DOUBLE / 4 END / CASE WHEN box_id % 3 = 1 THEN 900 ELSE 6400 END AS s,
         greatest(CASE WHEN box_id % 3 = 0 THEN 4 ELSE box_id % 3 * 2 END, 1) AS p, greatest(CASE WHEN w % 5 = 0 THEN 1.4::DOUBLE ELSE 1 END, CASE WHEN l % 2 = 0 THEN 1 ELSE 1.25::DOUBLE END) AS f FROM boxes)
-      SELECT shipment_id, box_id, round(s, 4) AS bearing_mpa, CASE WHEN s <= CASE WHEN k = 2 THEN 120 ELSE 8 END THEN 'pass' ELSE 'fail' END AS bearing, round(kg * 9.80665::DOUBLE / p * f, 3) AS force_n, CASE WHEN (p >= 4 OR kg < 800) AND f <= 1.35 THEN 'pass' ELSE 'fail' END AS lifting FROM c""",
+      SELECT shipment_id, box_id, s AS bearing_mpa, CASE WHEN s <= CASE WHEN k = 2 THEN 120 ELSE 8 END THEN 'pass' ELSE 'fail' END AS bearing, kg * 9.80665::DOUBLE / p * f AS force_n, CASE WHEN (p >= 4 OR kg < 800) AND f <= 1.35 THEN 'pass' ELSE 'fail' END AS lifting FROM c""",
     "runs_interrupt_orphans": f"""WITH {_RUN_TABLE}, s AS (SELECT DISTINCT l_orderkey AS run_id FROM lineitem WHERE l_returnflag = 'R'), m AS (SELECT r.*, NOT archived AND phase IN ('', 'packing', 'check') AND coalesce(status, '') IN ('', 'running', 'resumed') AND s.run_id IS NULL AS o FROM r LEFT JOIN s USING (run_id))
       SELECT CASE WHEN o THEN 'interrupted' ELSE phase END AS phase, coalesce(CASE WHEN o THEN 'aborted' ELSE status END, '-') AS status, coalesce(ended_at, CASE WHEN o THEN 'now' END, '-') AS ended_at, count(*) AS n FROM m GROUP BY 1, 2, 3""",
     "runs_placeholders": f"""WITH {_RUN_TABLE} SELECT c_custkey AS session_id, 'saved' AS status FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT DISTINCT session_id, 'placeholder' FROM r WHERE session_id IS NOT NULL AND session_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)""",
