@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from . import sql
 from .op1_decontamination import op1_greedy_string_tiling
 from .op10_html import op10_min_cut_extraction
+from .op11_audit import op11_permutation_trie_audit
+from .op12_codes import op12_hamerly_codes
+from .op13_neighbours import op13_cross_polytope_search
 from .op2_pii import op2_information_sanitisation
 from .op3_fingerprint import op3_imatch_fingerprints
 from .op4_quality import op4_importance_resampling
@@ -31,7 +34,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_backoff_automaton,
         op9_sainte_lague_mixing,
         op10_min_cut_extraction,
+        op11_permutation_trie_audit,
+        op12_hamerly_codes,
+        op13_cross_polytope_search,
     )
 }
 
-SQL: dict[str, str] = {"op2_information_sanitisation": sql.OP2, "op6_ngram_jaccard_join": sql.OP6}
+SQL: dict[str, str] = {"op2_information_sanitisation": sql.OP2, "op6_ngram_jaccard_join": sql.OP6, "op11_permutation_trie_audit": sql.OP11, "op12_hamerly_codes": sql.OP12}

@@ -44,3 +44,41 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT a.doc_id AS
 l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * c >= 85 * (x.n + y.n - c)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.seen) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.node = d.doc_id GROUP BY 1, 2"""
+
+_WORDS = "list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_BITS = "CASE f WHEN 'A' THEN 1 WHEN 'B' THEN 2 WHEN 'C' THEN 4 WHEN 'D' THEN 8 ELSE 16 END"
+
+OP11 = f"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, {_WORDS} AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+good AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+m AS (SELECT part, (CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END)
+    + (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END) + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END) + (CASE WHEN w.doc_id > least THEN 16 ELSE 0 END) AS mask,
+    coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM w LEFT JOIN good ON good.doc_id = w.doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY 1, 2),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f), f AS (SELECT f, {_BITS} AS bit FROM l),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, step, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS BIGINT) AS gone, bits[step] AS bit FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM o)),
+r AS (SELECT part, filter_order, step, bit, CAST(sum(CASE WHEN mask & (gone | bit) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN mask & gone = 0 AND mask & bit > 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+    CAST(sum(CASE WHEN mask & gone > 0 AND mask & bit > 0 THEN n ELSE 0 END) AS BIGINT) AS redundant, CAST(sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+    CAST(sum(CASE WHEN mask & gone = 0 AND mask & bit > 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost, CAST(sum(CASE WHEN mask & gone = 0 AND mask & bit > 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost FROM c, s GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r"""
+
+
+def _op12(rounds: int = 4, entries: int = 256) -> str:
+    """Each round as its own tables: distances by whole numbers in doubles, floors of whole quotients."""
+    q = ["k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rid, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v, len(embedding) // 4 AS w FROM embeddings WHERE list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false))))"]
+    q.append("x AS MATERIALIZED (SELECT rid, p, v[p * w + 1:(p + 1) * w] AS v FROM (SELECT *, unnest([0, 1, 2, 3]) AS p FROM k))")
+    q.append(f"b0 AS MATERIALIZED (SELECT p, rid - 1 AS e, v FROM x WHERE rid <= {entries})")
+    for r in range(rounds + 1):
+        d = "list_inner_product(x.v, x.v) - 2 * list_inner_product(x.v, b.v) + list_inner_product(b.v, b.v)"
+        q.append(f"a{r} AS MATERIALIZED (SELECT rid, p, arg_min(e, d * {entries} + e) AS e, min(d) AS d FROM (SELECT x.rid, x.p, b.e, {d} AS d FROM x JOIN b{r} b ON b.p = x.p) GROUP BY 1, 2)")
+        if r < rounds:
+            q.append(f"s{r} AS (SELECT p, e, i, CAST(sum(y) AS BIGINT) AS s, count(*) AS n FROM (SELECT a.p, a.e, unnest(x.v) AS y, unnest(range(1, len(x.v) + 1)) AS i FROM a{r} a JOIN x ON x.rid = a.rid AND x.p = a.p) GROUP BY 1, 2, 3)")
+            q.append(f"m{r} AS (SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY i) AS v FROM s{r} GROUP BY 1, 2)")
+            q.append(f"b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM b{r} b LEFT JOIN m{r} m ON m.p = b.p AND m.e = b.e)")
+    q.append(f"c AS (SELECT rid, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY 1)")
+    q.append(f"h AS (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda y: CAST(CAST(y AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})")
+    return f"WITH {', '.join(q)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN c USING (rid), h"
+
+
+OP12 = _op12()

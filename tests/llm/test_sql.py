@@ -18,7 +18,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 def test_sql(spark, name):
     df = queries.QUERIES[name](spark, DIR)
     c = duckdb.connect()
-    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{DIR}/documents.parquet'")
+    for table in ("documents", "labels", "embeddings"):
+        c.sql(f"CREATE VIEW {table} AS SELECT * FROM '{DIR}/{table}.parquet'")
     out = c.sql(queries.SQL[name])
     names = sorted(df.columns)
     assert sorted(out.columns) == names
