@@ -11,15 +11,21 @@ WEIGHT_UNITS = {"kg": 1.0, "g": 0.001, "t": 1000.0, "lb": 0.45359237}
 LENGTH_UNITS = {"mm": 1.0, "cm": 10.0, "m": 1000.0, "in": 25.4}
 
 
+def plain_double(cell: Column) -> Column:
+    """A cell that is a decimal number and nothing else, as a double, else null: 12, -3.5 and 1e3 are, 5d, 0x1f, inf and NaN are not."""
+    text = F.trim(cell)
+    return F.when(text.rlike(r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$"), text.try_cast("double"))
+
+
 def number(cell: Column) -> Column:
     """What is left of a cell without letters and signs, as a double; null if that is no number."""
-    return F.regexp_replace(cell, r"[^0-9.\-eE]", "").try_cast("double")
+    return plain_double(F.regexp_replace(cell, r"[^0-9.\-eE]", ""))
 
 
 def quantity(cell: Column) -> Column:
     """struct(state, qty): ok for a whole number above 0, else missing, zero or invalid."""
     text = F.regexp_replace(F.trim(cell), r"(?i)\s*(pcs?|ea|sets?)\.?$", "")
-    value = text.try_cast("double")
+    value = plain_double(text)
     state = F.when(cell.isNull() | (F.trim(cell) == ""), "missing").when(value.isNull() | F.isnan(value) | (value < 0) | (value != F.floor(value)), "invalid").when(value == 0, "zero").otherwise("ok")
     return F.struct(state.alias("state"), F.when(state == "ok", value.try_cast("bigint")).alias("qty"))
 

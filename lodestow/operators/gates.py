@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import plain_double
+
 
 def _written(cell: Column) -> Column:
     return cell.isNotNull() & (F.trim(cell) != "")
@@ -18,7 +22,7 @@ def missing_weight(rows: DataFrame, *cells: str) -> DataFrame:
     """Rows without a usable weight: none of the cells holds a number above 0, or one that is written is no number or below 0."""
     unusable, positive = F.lit(False), F.lit(False)
     for c in cells:
-        value = F.col(c).try_cast("double")
+        value = plain_double(F.col(c))
         sound = value.isNotNull() & ~F.isnan(value)
         unusable |= _written(F.col(c)) & ~(sound & (value >= 0))
         positive |= _written(F.col(c)) & sound & (value > 0)
@@ -27,31 +31,60 @@ def missing_weight(rows: DataFrame, *cells: str) -> DataFrame:
 
 def missing_dimensions(rows: DataFrame, *cells: str) -> DataFrame:
     """Rows with an edge that is no number above 0, with the names of such edges."""
-    missing = F.array_compact(F.array(*(F.when(~F.coalesce(_finite(v := F.col(c).try_cast("double")) & (v > 0), F.lit(False)), F.lit(c)) for c in cells)))
+    missing = F.array_compact(F.array(*(F.when(~F.coalesce(_finite(v := plain_double(F.col(c))) & (v > 0), F.lit(False)), F.lit(c)) for c in cells)))
     return rows.withColumn("missing", F.array_join(missing, ",")).where("missing <> ''")
 
 
 def invalid_quantity(rows: DataFrame, cell: str) -> DataFrame:
     """Rows whose quantity is written, but is no whole number of 1 or more."""
-    value = F.col(cell).try_cast("double")
+    value = plain_double(F.col(cell))
     whole = _finite(value) & (value >= 1) & (value == F.floor(value))
     return rows.where(_written(F.col(cell)) & ~F.coalesce(whole, F.lit(False)))
 
 
-# Names of packaging and transport equipment, and words that name cargo.
-PACKAGING = (
-    r"(?i)(^|[^A-Za-z])(a[\s\-‐–]?frames?|stillages?|returnable\s+(steel\s+)?(racks?|frames?|stands?)|(steel|transport|delivery)\s+(racks?|stands?))([^A-Za-z]|$)"
-    r"|周转架|回收架|A字架|A型架"
-)
-_CARGO_WORDS = "panels?|units?|glass|glazing|glazed|mullions?|transoms?|cladding|louv(?:re|er)s?|canop(?:y|ies)|brackets?|spandrels?|vision|modules?"
-CARGO = rf"(?i)(^|[^A-Za-z])({_CARGO_WORDS})([^A-Za-z]|$)|板块|幕墙|玻璃|面板|单元"
+# Words that name packaging and transport equipment, alone or as parts of a name, and words that name cargo. A letter is a word's class.
+WORDS = {
+    "aframe": "E", "stillage": "E", "a": "a", "frame": "f", "returnable": "r", "steel": "s", "transport": "t", "delivery": "t", "rack": "k", "stand": "k",
+    "for": "F", "carrying": "F", "holding": "F", "to": "o", "carry": "h", "hold": "h", "unit": "U",
+    "panel": "C", "glass": "C", "glazing": "C", "glazed": "C", "mullion": "C", "transom": "C", "cladding": "C", "louver": "C", "louvre": "C", "canopy": "C", "canopies": "C",
+    "bracket": "C", "spandrel": "C", "vision": "C", "module": "C",
+}
+UNSPLIT = {"周转架": "stillage", "回收架": "stillage", "A字架": "stillage", "A型架": "stillage", "板块": "panel", "幕墙": "panel", "玻璃": "panel", "面板": "panel", "单元": "panel"}
+_INVARIANT = ("glass", "glazing", "glazed", "cladding", "vision", "returnable", "steel", "transport", "delivery", "a", "for", "carrying", "holding", "to", "carry", "hold", "canopy", "canopies")
+#: Names made of several words, as classes: a frame; returnable (steel) rack, frame or stand; steel, transport or delivery rack or stand.
+NAMES = (("af", "E"), ("rs?[kf]", "E"), ("[st]k", "E"), ("oh", "F"))
+#: Cargo words that don't make a row cargo: what equipment is for or carries, up to three words on; what stands directly before equipment; a unit of equipment.
+CARRIED = (("F[^pF]{0,3}?[CU]+", "w"), ("[CU]{1,3}E", "E"), ("[Ek]U", "E"))
+
+
+def spellings(word: str) -> tuple[str, ...]:
+    return (word,) if word in _INVARIANT else (word, f"{word}s")
+
+
+def word_classes(field: Column) -> Column:
+    """A letter for each word of a cell, in order: its class in WORDS, p for punctuation, w for any other word. Names of several words are one letter."""
+    text = F.coalesce(field, F.lit(""))
+    for written, word in UNSPLIT.items():
+        text = F.regexp_replace(text, f"(?i){written}", f" {word} ")
+    known = F.map_from_arrays(*(F.array(*(F.lit(x) for x in xs)) for xs in zip(*((w, c) for k, c in WORDS.items() for w in spellings(k)), strict=True)))
+    found = F.regexp_extract_all(F.lower(text), F.lit("([a-z'’]+|[0-9]+|[^\\sa-z0-9'’\\-‐–])"), F.lit(1))
+    letters = F.array_join(F.transform(found, lambda x: F.coalesce(F.try_element_at(known, x), F.when(x.rlike("^[a-z'’0-9\\u4e00-\\u9fff]"), "w").otherwise("p"))), "")
+    for name, letter in NAMES:
+        letters = F.regexp_replace(letters, name, letter)
+    return letters
+
+
+def _replaced(pattern: str, letter: str) -> Callable[[Column], Column]:
+    return lambda x: F.regexp_replace(x, pattern, letter)
 
 
 def packaging(rows: DataFrame, *fields: str) -> DataFrame:
-    """Rows that name packaging and no cargo: a rack for panels names cargo only as what it carries, so the words after for or carrying don't count."""
-    text = F.concat_ws(" | ", *fields)
-    carried = F.regexp_replace(text, rf"(?i)(^|[^A-Za-z])(for|carrying|holding|to\s+(carry|hold))\s+([\w'-]+\s+){{0,3}}?({_CARGO_WORDS})([\s-]+({_CARGO_WORDS}))*", " ")
-    return rows.where(text.rlike(PACKAGING) & ~carried.rlike(CARGO))
+    """Rows that name packaging or transport equipment and no cargo. Each cell is read by itself; what equipment carries is no cargo of the row."""
+    names = F.array(*(word_classes(F.col(f)) for f in fields))
+    own = names
+    for carried in CARRIED:
+        own = F.transform(own, _replaced(*carried))
+    return rows.where(F.exists(names, lambda x: x.contains("E")) & ~F.exists(own, lambda x: x.rlike("[CU]")))
 
 
 def all_gates(found: dict[str, DataFrame], *keys: str) -> DataFrame:

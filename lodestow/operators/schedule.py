@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import use_checkpoints
+
 
 def workdays(spans: DataFrame, holidays: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
     """(keys, day, offset): Mondays to Fridays between start and end that are no holidays, counted from 0."""
@@ -24,18 +24,12 @@ def resource_load(demands: DataFrame, resource: str = "resource", start: str = "
     return loads.where("to IS NOT NULL").select(resource, F.col("at").alias("from"), "to", "load")
 
 
-def _use_checkpoints(spark: SparkSession) -> None:
-    """The session's checkpoint folder; only where none is named (tests), one of our own."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestow-"))
-
-
 def _fixpoint(state: DataFrame, step, value: str) -> DataFrame:
     """Repeat step until no value changes; lineage is cut with checkpoint() in the session's checkpoint folder.
 
     A path without a cycle has fewer links than there are rows, so a change after that many steps means a cycle.
     """
-    _use_checkpoints(state.sparkSession)
+    use_checkpoints(state.sparkSession)
     state = state.checkpoint()
     most = state.count()
     seen = state.agg(F.sum(F.col(value).cast("decimal(38,6)")), F.count(value)).first()
@@ -126,7 +120,7 @@ def ancestors(parents: DataFrame) -> DataFrame:
 
     A task that is its own ancestor is an error.
     """
-    _use_checkpoints(parents.sparkSession)
+    use_checkpoints(parents.sparkSession)
     closure = parents.where("parent IS NOT NULL").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct().checkpoint()
     n = closure.count()
     while True:

@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .events import first_per
 
 
+def use_checkpoints(spark: SparkSession) -> None:
+    """The session's checkpoint folder; only where none is named (tests), one of our own."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestow-"))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared checkpoint folder, so that what reads it twice does not run it twice and a lost executor loses nothing."""
+    use_checkpoints(df.sparkSession)
+    return df.checkpoint()
+
+
 def insert_or_ignore(base: DataFrame, rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """base with those rows whose key it lacks; of new rows with one key the first by order."""
     return base.unionByName(first_per(rows, keys, order).join(base.select(*keys), keys, "left_anti"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numbers import plain_double
 from ..operators import cargo as cargo_ops
 from ..operators import gates, ledger
+from . import clause_sql
 from .tables import SQL_CARGO, SQL_CONTAINERS, cargo, containers
 
 # --- rows as people write them: cells of text, some missing, some no number
@@ -15,24 +17,24 @@ from .tables import SQL_CARGO, SQL_CONTAINERS, cargo, containers
 def _cells(spark: SparkSession, d: str) -> DataFrame:
     k, m = (F.col("part_no") * 7 + F.col("row_id") * 3) % 20, (F.col("part_no") + F.col("row_id")) % 9
     text = lambda c: F.col(c).cast("string")
-    weight = F.when(k == 1, "abc").when(k == 2, "-3").when(k == 3, "0").when(k == 4, " ").when(k != 0, text("weight_kg"))
+    weight = F.when(k == 1, "abc").when(k == 2, "-3").when(k == 3, "0").when(k == 4, " ").when(k == 18, "70f").when(k != 0, text("weight_kg"))
     total = F.when(m == 0, "-5").when(m == 1, "0").when(m == 2, (F.col("weight_kg") * F.col("qty")).cast("string"))
-    length = F.when(k == 5, "0").when(k == 7, "x").when(k != 6, text("length_mm"))
+    length = F.when(k == 5, "0").when(k == 7, "x").when(k == 19, "900d").when(k != 6, text("length_mm"))
     width = F.when(k == 8, "-1").when(k != 6, text("width_mm"))
     height = F.when(k == 9, "").otherwise((F.col("height_mm") * 2 + 100).cast("string"))
-    quantity = F.when(k == 10, "2.7").when(k == 11, "abc").when(k == 12, "-3").when(k == 13, "0").when(k == 15, "1e3").when(k != 14, text("qty"))
+    quantity = F.when(k == 10, "2.7").when(k == 11, "abc").when(k == 12, "-3").when(k == 13, "0").when(k == 15, "1e3").when(k == 16, "5d").when(k == 17, "12f").when(k != 14, text("qty"))
     name = F.concat(F.element_at(F.array(*(F.lit(x) for x in _NAMES)), (F.col("part_no") % len(_NAMES) + 1).cast("int")), F.lit(" "), F.col("name"))
     columns = {"weight": weight, "total": total, "length": length, "width": width, "height": height, "quantity": quantity, "label": name}
     return cargo(spark, d).select("shipment_id", "row_id", *(c.alias(n) for n, c in columns.items()))
 
 
-_NAMES = ("A-frame stillage", "steel rack for glass panels", "curtain wall panel", "Stillages", "delivery stand", "rack", "transport racks carrying units", "周转架", "框架玻璃板块", "returnable steel frame")
+_NAMES = ("A-frame stillage", "steel rack for glass panels", "curtain wall panel", "Stillages", "delivery stand", "rack", "transport racks carrying units", "周转架", "框架玻璃板块", "returnable steel frame", "Glass stillage", "stillage unit", "玻璃周转架", "Unitised panel on A-frame", "A frames to carry large cladding panels,", "glazing unit rack", "steel racks, glass", "holding frame for mullions: transport stand")
 _SQL_CELLS = f"""WITH {SQL_CARGO}, k AS (SELECT *, (part_no * 7 + row_id * 3) % 20 AS k, (part_no + row_id) % 9 AS m FROM cargo), cells AS (SELECT shipment_id, row_id,
-  CASE k WHEN 0 THEN NULL WHEN 1 THEN 'abc' WHEN 2 THEN '-3' WHEN 3 THEN '0' WHEN 4 THEN ' ' ELSE weight_kg::VARCHAR END AS weight,
+  CASE k WHEN 0 THEN NULL WHEN 1 THEN 'abc' WHEN 2 THEN '-3' WHEN 3 THEN '0' WHEN 4 THEN ' ' WHEN 18 THEN '70f' ELSE weight_kg::VARCHAR END AS weight,
   CASE m WHEN 0 THEN '-5' WHEN 1 THEN '0' WHEN 2 THEN (weight_kg * qty)::VARCHAR END AS total,
-  CASE k WHEN 5 THEN '0' WHEN 7 THEN 'x' WHEN 6 THEN NULL ELSE length_mm::VARCHAR END AS length, CASE k WHEN 8 THEN '-1' WHEN 6 THEN NULL ELSE width_mm::VARCHAR END AS width,
+  CASE k WHEN 5 THEN '0' WHEN 7 THEN 'x' WHEN 19 THEN '900d' WHEN 6 THEN NULL ELSE length_mm::VARCHAR END AS length, CASE k WHEN 8 THEN '-1' WHEN 6 THEN NULL ELSE width_mm::VARCHAR END AS width,
   CASE k WHEN 9 THEN '' ELSE (height_mm * 2 + 100)::VARCHAR END AS height,
-  CASE k WHEN 10 THEN '2.7' WHEN 11 THEN 'abc' WHEN 12 THEN '-3' WHEN 13 THEN '0' WHEN 15 THEN '1e3' WHEN 14 THEN NULL ELSE qty::VARCHAR END AS quantity,
+  CASE k WHEN 10 THEN '2.7' WHEN 11 THEN 'abc' WHEN 12 THEN '-3' WHEN 13 THEN '0' WHEN 15 THEN '1e3' WHEN 16 THEN '5d' WHEN 17 THEN '12f' WHEN 14 THEN NULL ELSE qty::VARCHAR END AS quantity,
   ([{", ".join(f"'{x}'" for x in _NAMES)}])[part_no % {len(_NAMES)} + 1] || ' ' || name AS label FROM k)"""
 
 
@@ -55,7 +57,7 @@ def gate_packaging(spark: SparkSession, d: str) -> DataFrame:
 def gate_rows(spark: SparkSession, d: str) -> DataFrame:
     """All gates of a shipment into 20-foot containers, one after another."""
     rows = _cells(spark, d)
-    sized = rows.select("shipment_id", "row_id", *(F.col(c).try_cast("double").alias(f"{c}_mm") for c in ("length", "width", "height"))).where("length_mm > 0 AND width_mm > 0 AND height_mm > 0")
+    sized = rows.select("shipment_id", "row_id", *(plain_double(F.col(c)).alias(f"{c}_mm") for c in ("length", "width", "height"))).where("length_mm > 0 AND width_mm > 0 AND height_mm > 0")
     found = {
         "missing_weight": gates.missing_weight(rows, "weight", "total"),
         "missing_dimensions": gates.missing_dimensions(rows, "length", "width", "height"),
@@ -170,8 +172,7 @@ _BAD_WEIGHT = " OR ".join(f"(trim(coalesce({c}, '')) <> '' AND coalesce({_NUM(c)
 _GOOD_WEIGHT = " OR ".join(f"coalesce({_NUM(c)} > 0, FALSE)" for c in ("weight", "total"))
 _LACKS = ", ".join(f"CASE WHEN NOT coalesce({_NUM(c)} > 0, FALSE) THEN '{c}' END" for c in ("length", "width", "height"))
 _BAD_QUANTITY = f"trim(coalesce(quantity, '')) <> '' AND NOT coalesce({_NUM('quantity')} >= 1 AND {_NUM('quantity')} = floor({_NUM('quantity')}), FALSE)"
-_PACKAGING = "regexp_matches(label, '(?i)a-frame stillage|stillages|周转架|delivery stand|returnable steel frame|steel rack|transport racks') AND NOT regexp_matches(label, '(?i)curtain wall panel|玻璃')"
-_PACKAGING_SQL = f"SELECT shipment_id, row_id, label FROM cells WHERE {_PACKAGING}"
+_PACKAGING_SQL = clause_sql.packaging("cells", "shipment_id, row_id, label", "label")
 _ISSUES = """, issues AS (SELECT shipment_id, 'warning' AS severity, 'missing_name' AS code, 'name' AS field FROM ledger WHERE name IS NULL
   UNION ALL SELECT shipment_id, 'warning', 'missing_quantity', 'quantity' FROM ledger WHERE quantity IS NULL UNION ALL SELECT shipment_id, 'warning', 'missing_package_count', 'package_count' FROM ledger WHERE package_count IS NULL
   UNION ALL SELECT shipment_id, 'warning', 'zero_value', 'quantity' FROM ledger WHERE quantity = 0 UNION ALL SELECT shipment_id, 'error', 'quantity_mismatch', 'quantity' FROM ledger WHERE quantity <> package_count * units_per_package
@@ -186,7 +187,7 @@ SQL = {
     "gate_packaging": f"{_SQL_CELLS} {_PACKAGING_SQL}",
     "gate_rows": f"""{_SQL_CELLS}, {SQL_CONTAINERS}, found AS (SELECT shipment_id, row_id, 'missing_weight' AS reason, '' AS detail FROM cells WHERE {_BAD_WEIGHT} OR NOT ({_GOOD_WEIGHT})
       UNION ALL SELECT shipment_id, row_id, 'missing_dimensions', missing FROM (SELECT shipment_id, row_id, concat_ws(',', {_LACKS}) AS missing FROM cells) WHERE missing <> ''
-      UNION ALL SELECT shipment_id, row_id, 'invalid_quantity', '' FROM cells WHERE {_BAD_QUANTITY} UNION ALL SELECT shipment_id, row_id, 'packaging_not_cargo', '' FROM cells WHERE {_PACKAGING}
+      UNION ALL SELECT shipment_id, row_id, 'invalid_quantity', '' FROM cells WHERE {_BAD_QUANTITY} UNION ALL SELECT shipment_id, row_id, 'packaging_not_cargo', '' FROM ({_PACKAGING_SQL})
       UNION ALL SELECT shipment_id, row_id, 'oversize_for_container', '' FROM (SELECT shipment_id, row_id, list_sort([{_NUM('length')}, {_NUM('width')}, {_NUM('height')}]) AS e FROM cells WHERE {_NUM('length')} > 0 AND {_NUM('width')} > 0 AND {_NUM('height')} > 0) WHERE e[1] > 2352 OR e[2] > 2385 OR e[3] > 5898)
       SELECT shipment_id, row_id, reason, detail, count(*) AS n FROM found GROUP BY 1, 2, 3, 4""",
     "ledger_row_totals": f"{_SQL_LEDGER} SELECT shipment_id, row_id, net_total::DOUBLE AS net_total, gross_total::DOUBLE AS gross_total FROM totals",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers
-from ..operators import packing, storage, structure
+from ..operators import balance, packing, storage, stowage, structure
 from ..operators.statistics import upper_median
 from .tables import SQL_CARGO, cargo, table
 
@@ -69,6 +69,71 @@ def pack_verify(spark: SparkSession, d: str) -> DataFrame:
     return layout.agg(F.count("*").alias("n_boxes"), F.count_distinct("shipment_id").alias("n_shipments")).crossJoin(bad)  # one row each
 
 
+SIZE, PAYLOAD = (12032, 2352, 2698), 28610.0
+
+
+def _consignments(spark: SparkSession, d: str) -> DataFrame:
+    """Crates of eight orders at a time; one in five orders bears nothing on top, one in three may be laid on its side."""
+    order = F.col("shipment_id")
+    return _boxes(spark, d).select(F.floor(order / 8).alias("consignment"), (order * 16 + F.col("box_id")).alias("box_id"), "l", "w", "h", "kg", (order % 5 != 0).alias("stackable"), (order % 3 == 0).alias("tips"))
+
+
+def _stowed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The layout, written once, and its pieces."""
+    pieces = _consignments(spark, d)
+    return storage.written(stowage.stow_shipments(pieces, SIZE, PAYLOAD, "consignment")), pieces
+
+
+def stow_layout(spark: SparkSession, d: str) -> DataFrame:
+    return stowage.stow_shipments(_consignments(spark, d), SIZE, PAYLOAD, "consignment")
+
+
+def stow_verify(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces, pieces placed, and faults of the layout: none is right."""
+    layout, pieces = _stowed(spark, d)
+    faults = stowage.stowage_faults(layout, pieces, SIZE, PAYLOAD, "consignment").agg(F.count("*").alias("faults"))
+    return layout.agg(F.count("*").alias("n_pieces"), F.count_if(F.col("container_no") > 0).alias("n_placed"), F.count_distinct("consignment").alias("n_consignments")).crossJoin(faults)  # one row each
+
+
+def stow_search(spark: SparkSession, d: str) -> DataFrame:
+    """By the fewest containers that weight and volume allow: consignments, and how many took fewer (none can) or left a piece out."""
+    layout, pieces = _stowed(spark, d)
+    found = balance.container_search(layout, pieces, SIZE, PAYLOAD, 0.95, 99, "consignment")
+    return found.groupBy("n0").agg(F.count("*").alias("n_consignments"), F.count_if(F.col("n") < F.col("n0")).alias("fewer"), F.count_if(~F.col("fits")).alias("unfit"))
+
+
+def balance_repair(spark: SparkSession, d: str) -> DataFrame:
+    """Containers moved as a whole and then repaired: pieces, faults, and containers in worse balance than before; the last two are 0."""
+    layout, pieces = _stowed(spark, d)
+    loads = layout.where("container_no > 0").join(pieces.select("consignment", "box_id", "kg", "stackable", "tips"), ["consignment", "box_id"])
+    keys = ("consignment", "container_no")
+    moved = balance.rigid(loads, SIZE, *keys).drop("move")
+    better = storage.written(balance.repair(moved, SIZE, PAYLOAD, *keys))
+    first = balance.balance(loads, SIZE, *keys).select(*keys, F.col("score").alias("first"))
+    last = balance.balance(better, SIZE, *keys).join(first, list(keys)).agg(F.count_if(F.col("score") > F.col("first") + 1e-6).alias("worse"))
+    faults = stowage.stowage_faults(better, pieces, SIZE, PAYLOAD, "consignment").agg(F.count("*").alias("faults"))
+    return better.agg(F.count("*").alias("n_pieces")).crossJoin(faults).crossJoin(last)  # one row each
+
+
+def _stood(spark: SparkSession, d: str) -> DataFrame:
+    """Crates put down by rule, in two layers of one height, a container for every third row."""
+    b = _boxes(spark, d)
+    place = {"x": (F.col("l") * 97 + F.col("box_id") * 1571) % 5000, "y": F.col("w") * 31 % 1200, "z": F.col("box_id") % 2 * 900}
+    return b.withColumns(place).select("shipment_id", (F.col("box_id") % 2).alias("container_no"), (F.col("shipment_id") * 16 + F.col("box_id")).alias("box_id"), "x", "y", "z", F.col("l").alias("dx"), F.col("w").alias("dy"), F.lit(900).alias("dz"), "kg")
+
+
+def stow_support(spark: SparkSession, d: str) -> DataFrame:
+    """The share of each base that stands on something, where orders of a customer's tenth share a container."""
+    rows = _stood(spark, d).withColumn("container_no", F.col("shipment_id") % 500)
+    return stowage.support_ratio(rows, "container_no").select("container_no", "box_id", F.round("ratio", 6).alias("ratio"))
+
+
+def balance_rigid(spark: SparkSession, d: str) -> DataFrame:
+    """The rigid move of each container and its score after it."""
+    moved = balance.rigid(_stood(spark, d), SIZE, "shipment_id", "container_no")
+    return balance.balance(moved, SIZE, "shipment_id", "container_no", "move").select("shipment_id", "container_no", "move", F.round("score", 6).alias("score"))
+
+
 def bending_check(spark: SparkSession, d: str) -> DataFrame:
     """Bending of two bottom beams under each crate: the worse of the long span and the support span decides."""
     b = _boxes(spark, d)
@@ -212,7 +277,7 @@ def turns_start(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        cargo_booking_volume, cargo_geom_lower_bound, nonstandard_flags, secure_work_order, material_dedupe, chunk_windows, pack_3d_layout, pack_verify, bending_check, index_staleness, readiness_score, eval_table, plan_diff, monthly_ranking, util_band,
+        cargo_booking_volume, cargo_geom_lower_bound, nonstandard_flags, secure_work_order, material_dedupe, chunk_windows, pack_3d_layout, pack_verify, stow_layout, stow_verify, stow_search, stow_support, balance_rigid, balance_repair, bending_check, index_staleness, readiness_score, eval_table, plan_diff, monthly_ranking, util_band,
         section_lookup, crate_stability, crate_supports, runs_interrupt_orphans, runs_placeholders, runs_insert_or_ignore, documents_replace, idempotency_keys, turns_start,
     )
 }
@@ -221,7 +286,26 @@ _CHUNKS = r"""WITH RECURSIVE w AS (SELECT doc_id, text, 0::BIGINT AS chunk, 0::B
       UNION ALL SELECT doc_id, text, chunk + 1, stop - 160, CASE WHEN stop - 160 + 1200 >= length(text) THEN length(text) ELSE stop - 160 + coalesce(nullif(length(regexp_extract(substr(text, stop - 160 + 1, 1200), '(?s)^.{600,}[\n。]')), 0), 1200) END FROM w WHERE stop < length(text))"""
 _RUN_TABLE = """r AS (SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS session_id, (['packing', 'done', '', 'check'])[o_orderkey // 3 % 4 + 1] AS phase, (['running', 'ok', NULL, 'resumed', ''])[o_orderkey // 3 % 5 + 1] AS status,
   CASE WHEN o_orderkey % 5 = 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS ended_at, o_orderkey % 11 = 0 AS archived FROM orders)"""
+_STOOD = f"""{_BOXES}, stood AS (SELECT shipment_id, box_id % 2 AS container_no, shipment_id * 16 + box_id AS box_id, (l * 97 + box_id * 1571) % 5000 AS x, w * 31 % 1200 AS y, box_id % 2 * 900 AS z, l AS dx, w AS dy, 900 AS dz, kg FROM boxes)"""
+_LENGTH, _WIDTH, _HIGH = SIZE
+_SCORE = "greatest(0.6::DOUBLE - mid, 0) * 20 + CASE WHEN mid < 0.4 THEN 15 WHEN mid < 0.5 THEN 5 ELSE 0 END + abs(along - 0.5) * 4 + greatest(across - 0.05::DOUBLE, 0) * 8 + greatest(height - 0.55::DOUBLE, 0) * 3"
+#: Every move of every container with its score; the best is the lowest, the earlier of equals.
+_RIGID_SQL = f"""{_STOOD}, s AS (SELECT shipment_id, container_no, sum(kg) AS m, sum((2 * x + dx) * kg) AS mx, sum((2 * y + dy) * kg) AS my, min(x) AS lox, max(x + dx) AS hix, min(y) AS loy, max(y + dy) AS hiy FROM stood GROUP BY 1, 2),
+  w AS (SELECT *, greatest(-lox, least({_LENGTH} - hix, floor(({_LENGTH} * m - mx) / (2 * m)))) AS sx, greatest(-loy, least({_WIDTH} - hiy, floor(({_WIDTH} * m - my) / (2 * m)))) AS sy FROM s),
+  q AS (SELECT unnest([0, 1, 2, 3, 4]) AS i, unnest(['stay', 'shift', 'turn', 'mirror', 'shift_mirror']) AS move),
+  p AS (SELECT t.shipment_id, t.container_no, i, move, kg, z, dx, dy, dz, CASE WHEN i IN (1, 4) THEN x + sx WHEN i = 2 THEN {_LENGTH} - x - dx ELSE x END AS x, CASE WHEN i IN (1, 4) THEN y + sy ELSE y END AS y0 FROM stood t JOIN w USING (shipment_id, container_no), q),
+  r AS (SELECT *, CASE WHEN i IN (3, 4) THEN {_WIDTH} - y0 - dy ELSE y0 END AS y FROM p),
+  b AS (SELECT shipment_id, container_no, i, move, sum(CASE WHEN 2 * (2 * x + dx) BETWEEN {_LENGTH} AND {3 * _LENGTH} THEN kg ELSE 0 END) / sum(kg) AS mid, sum((2 * x + dx) * kg) / sum(kg) / {2 * _LENGTH} AS along, abs(sum((2 * y + dy) * kg) / sum(kg) / {_WIDTH} - 1) AS across, sum((2 * z + dz) * kg) / sum(kg) / {2 * _HIGH} AS height FROM r GROUP BY 1, 2, 3, 4)
+  SELECT shipment_id, container_no, arg_min(move, (round(score, 9), i)) AS move, round(arg_min(score, (round(score, 9), i)), 6) AS score FROM (SELECT *, {_SCORE} AS score FROM b) GROUP BY 1, 2"""
+_CONSIGNED = f"{_BOXES}, pieces AS (SELECT shipment_id // 8 AS consignment, l * w * h AS mm3, kg FROM boxes)"
+
 SQL = {
+    "stow_verify": f"{_CONSIGNED} SELECT count(*) AS n_pieces, count(*) AS n_placed, count(DISTINCT consignment) AS n_consignments, 0::BIGINT AS faults FROM pieces",
+    "stow_search": f"{_CONSIGNED}, n AS (SELECT greatest(1, ceil(sum(kg) / {PAYLOAD} - 1e-9), ceil(sum(mm3) / ({_LENGTH * _WIDTH * _HIGH} * 0.95::DOUBLE) - 1e-9))::BIGINT AS n0 FROM pieces GROUP BY consignment) SELECT n0, count(*) AS n_consignments, 0::BIGINT AS fewer, 0::BIGINT AS unfit FROM n GROUP BY 1",
+    "balance_repair": f"{_CONSIGNED} SELECT count(*) AS n_pieces, 0::BIGINT AS faults, 0::BIGINT AS worse FROM pieces",
+    "stow_support": f"""{_STOOD}, u AS (SELECT *, shipment_id % 500 AS c FROM stood), o AS (SELECT a.c, a.box_id, a.dx * a.dy AS base, CASE WHEN b.c IS NULL THEN 0 ELSE 1 END * greatest(0, least(a.x + a.dx, b.x + b.dx) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.dy, b.y + b.dy) - greatest(a.y, b.y)) AS s FROM u a LEFT JOIN u b ON b.c = a.c AND b.z + b.dz = a.z WHERE a.z > 0)
+      SELECT c AS container_no, box_id, 1.0::DOUBLE AS ratio FROM u WHERE z = 0 UNION ALL SELECT c, box_id, round(coalesce(sum(s), 0) / any_value(base), 6) FROM o GROUP BY 1, 2""",
+    "balance_rigid": _RIGID_SQL,
     "cargo_booking_volume": f"""{_BOXES}, k AS (SELECT shipment_id, l * w * h AS o, c, CASE WHEN c::DOUBLE / (l * w * h) > 0 AND c::DOUBLE / (l * w * h) < 0.2 THEN 135 WHEN c::DOUBLE / (l * w * h) < 0.35 THEN 150 ELSE 160 END AS f FROM boxes)
       SELECT shipment_id, round(sum(least(o * 100, c * f))::DOUBLE / 1e11, 4) AS booking_m3, round(sum(o)::DOUBLE / 1e9, 4) AS outer_m3, round(sum(c)::DOUBLE / 1e9, 4) AS content_m3 FROM k GROUP BY 1""",
     "cargo_geom_lower_bound": f"""{_BOXES}, s AS (SELECT shipment_id, sum(l * w)::DOUBLE AS foot, sum(CASE WHEN NOT (h <= 1300 AND l < 4000) OR l >= 4000 OR kg >= 2000 OR h > 1500 THEN 100 ELSE 45 END)::DOUBLE / 100 AS slots, list_sort(list(l)) AS ls, count(*) FILTER (w <= 1256) AS narrow, count(*) AS n FROM boxes GROUP BY 1),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import passages
+from . import clause_sql
 from .tables import table
 
 
@@ -37,10 +38,14 @@ def _clauses(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", clause.alias("clause"))
 
 
-_BOXES = ("40HQ", "20 ft GP", "40' high cube", "45HC and 40-HQ", "20ft open top", "crates", "40 flat-rack", "a40HQ", "40HQs")
-_UNITS = ("kg", "tonnes", "lbs", "short tons", "t", "long ton", "kN")
-_MORE = ("1,250.5 kgs", "none", "20 MT", "3 pounds", "2 us tons")
-_SQL_CLAUSES = f"""WITH c AS (SELECT *, o_orderkey % {len(_BOXES)} AS b, o_orderkey % {len(_UNITS)} AS u, o_orderkey % {len(_MORE)} AS m, (o_custkey % 900 + 100)::DOUBLE AS n FROM orders)"""
+_BOXES = ("40HQ", "20 ft GP", "40' high cube", "45HC and 40-HQ", "20ft open top", "crates", "40 flat-rack", "a40HQ", "40HQs", "High-cube 40'", "OT or ot", "40’HQ", "开顶柜", "flat rack")
+_UNITS = ("kg", "tonnes", "lbs", "short tons", "t", "long ton", "kN", "metric tons", "mt", "MT")
+_MORE = (
+    "1,250.5 kgs", "none", "20 MT", "3 pounds", "2 us tons", "20 t (44,092 lbs)", "a gross mass of 1 250 kg", "12 mt long panels", "pay 5,000 pounds per container per day", "a weight of 700 pounds",
+    "26,000 kg / approx 57,320 lbs",
+)
+_PICK = lambda xs: f"[{clause_sql.listed(xs)}][o_orderkey % {len(xs)} + 1]"
+_SQL_CLAUSES = f"""WITH c AS (SELECT *, 'Ship in ' || {_PICK(_BOXES)} || ', at most ' || (o_custkey % 900 + 100) || ' ' || {_PICK(_UNITS)} || ' each or ' || {_PICK(_MORE)} AS clause FROM orders)"""
 
 
 def clause_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -118,9 +123,8 @@ SQL = {
       f AS (SELECT *, list_filter(ls, lambda x: contains(lower(x), w[1]) OR contains(lower(x), w[2]) OR contains(lower(x), w[3])) AS h FROM l) SELECT doc_id, left(coalesce(h[1], ls[1], text), 280) AS snippet FROM f""",
     "kb_match_strings": """WITH w AS (SELECT item_id, unnest(regexp_split_to_array(lower(text), '[ \\n]+')) AS w, generate_subscripts(regexp_split_to_array(lower(text), '[ \\n]+'), 1) AS k FROM benchmark), f AS (SELECT item_id, w, min(k) AS k FROM w WHERE regexp_full_match(w, '[a-z0-9_]+') GROUP BY 1, 2)
       SELECT item_id, coalesce(string_agg('"' || w || '"', ' OR ' ORDER BY k), '') AS "match" FROM benchmark LEFT JOIN f USING (item_id) GROUP BY 1""",
-    "clause_containers": f"""{_SQL_CLAUSES}, e AS (SELECT o_orderkey, unnest(CASE b WHEN 0 THEN ['40HQ'] WHEN 1 THEN ['20GP'] WHEN 2 THEN ['40HQ'] WHEN 3 THEN ['40HQ', '45HQ'] WHEN 4 THEN ['20OT'] WHEN 6 THEN ['40FR'] ELSE [] END) AS code FROM c) SELECT code, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS orders FROM e GROUP BY 1""",
-    "clause_masses": f"""{_SQL_CLAUSES}, x AS (SELECT o_orderkey, CASE u WHEN 0 THEN n WHEN 1 THEN n * 1000 WHEN 2 THEN round(n * 0.45359237::DOUBLE, 1) WHEN 3 THEN round(n * 907.18474::DOUBLE, 1) WHEN 4 THEN n * 1000 WHEN 5 THEN round(n * 1016.0469088::DOUBLE, 1) END AS a, CASE m WHEN 0 THEN 1250.5 WHEN 2 THEN 20000 WHEN 3 THEN 1.4 WHEN 4 THEN 1814.4 END::DOUBLE AS z FROM c)
-      SELECT o_orderkey, CAST((a IS NOT NULL)::INT + (z IS NOT NULL)::INT AS BIGINT) AS n, round(coalesce(a, 0) + coalesce(z, 0), 3) AS kg FROM x""",
+    "clause_containers": f"{_SQL_CLAUSES} SELECT code, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS orders FROM ({clause_sql.container_codes('c', 'o_orderkey', 'clause')}) WHERE code IS NOT NULL GROUP BY 1",
+    "clause_masses": f"{_SQL_CLAUSES} SELECT o_orderkey, coalesce(q.n, 0) AS n, round(coalesce(q.kg, 0), 3) AS kg FROM c LEFT JOIN ({clause_sql.masses('c', 'o_orderkey', 'clause')}) q USING (o_orderkey)",
     "clause_ids": """WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, 'score_' || l_returnflag || CASE WHEN k > 1 THEN '_' || k ELSE '' END AS id FROM n""",
     "fields_stated_twice": """WITH m AS (SELECT DISTINCT o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN left(o_orderpriority, 1) ELSE o_orderpriority END AS v, o_orderstatus AS s FROM orders) SELECT o_custkey, count(*) AS n_values, count(DISTINCT left(v, 1)) = 1 AS same FROM m GROUP BY 1 HAVING count(*) >= 2""",
     "response_matrix": """WITH r AS (SELECT o_custkey % 25 AS nation, CASE WHEN o_orderkey % 4 < 2 AND c_custkey IS NOT NULL THEN CASE WHEN c_acctbal <= 0 THEN 'gap' WHEN o_orderkey % 3 = 0 THEN 'covered' ELSE 'human_required' END ELSE 'pending' END AS status, CASE WHEN o_orderkey % 5 = 0 THEN 'unknown' ELSE o_orderpriority END AS owner FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 3 <> 0)

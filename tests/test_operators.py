@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestow.functions import numbers, text
-from lodestow.operators import cargo, events, ledger, packing, retrieval, schedule, statistics, storage
+from lodestow.operators import cargo, events, gates, ledger, packing, passages, retrieval, schedule, statistics, storage
 
 
 def test_units_needed(spark):
@@ -164,3 +164,45 @@ def test_turns_and_keys(spark):
     turns = spark.createDataFrame([("w", "s", "running"), ("w", "t", "running"), ("w", "u", "done")], "workspace_id string, session_id string, status string")
     got = {r.key: (r.outcome, r.turn_id) for r in storage.start_turns(requests, keys, turns).collect()}
     assert got == {"k1": ("existing", "t1"), "k2": ("conflict", None), "k3": ("busy", None), "k4": ("started", None)}
+
+
+def test_numbers_are_decimal_and_nothing_else(spark):
+    cells = ["12", " 3.5 ", "-1e3", ".5", "5.", "5d", "12f", "0x1f", "inf", "NaN", "1 2", "", None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in cells], "c string").select(numbers.plain_double(F.col("c"))).collect()]
+    assert got == [12, 3.5, -1000, 0.5, 5, *[None] * 8]
+
+
+def test_packaging_is_told_from_cargo(spark):
+    equipment = ["Glass stillage", "stillage unit", "玻璃周转架", "A-frame for panels", "Returnable rack for glazing units", "a frame to carry big heavy glass", "steel racks holding units"]
+    cargo = ["Unitised panel on A-frame stillage", "Vision panel, on A-frame", "curtain wall panel", "rack", "steel frame", "A-frame, glass", None]
+    rows = spark.createDataFrame([(x, "") for x in equipment + cargo] + [("Vision panel", "A-frame"), ("A-frame", "stillage")], "name string, spec string")
+    assert sorted(r.name for r in gates.packaging(rows, "name", "spec").collect()) == sorted([*equipment, "A-frame"])
+
+
+def test_masses_are_read_once_and_never_from_money(spark):
+    cases = {
+        "20 t (44,092 lbs) gross": [20000], "20 metric tons": [20000], "1 250 kg": [1250], "pay up to 5,000 pounds per container per day": [], "gross weight 12 mt, 12 mt long": [12000], "12 mt": [],
+        "44,000 lbs (19,958 kg)": [19958.1], "no crate over 2 t or 800kgs": [2000, 800], "mass 5,000 pounds": [2268], "1.2.3 kg": [], "各柜限重20吨": [20000], "20 t, 20 t": [20000, 20000], "": [],
+    }
+    df = spark.createDataFrame([(x,) for x in [*cases, None]], "c string").select("c", passages.masses_kg(F.col("c")).alias("m"))
+    assert {r.c: r.m for r in df.collect()} == {**cases, None: None}
+
+
+def test_container_codes_in_any_spelling(spark):
+    cases = {"High-cube 40'": ["HQ"], "40’HQ": ["40HQ"], "use OT or fr": ["OT"], "40 ft high cube and 20' GP": ["20GP", "40HQ"], "开顶柜": ["OT"], "40 框架集装箱": ["FR"], "a40HQ 40HQs": [], "20ft open top, 40 flat-rack": ["20OT", "40FR"]}
+    df = spark.createDataFrame([(x,) for x in cases], "c string").select("c", passages.container_codes(F.col("c")).alias("m"))
+    assert {r.c: r.m for r in df.collect()} == cases
+
+
+def test_chunks_follow_from_the_text_alone(spark):
+    texts = ["a" * 5000, "x\n" * 3000, ("句" * 700 + "。") * 9, "short", "", None, "b" * 1200, "b" * 1201]
+    got = {}
+    for r in packing.chunks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id", "chunk").collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.end, r.quote))
+    assert sorted(got) == [0, 1, 2, 3, 6, 7]
+    for k, parts in got.items():
+        text = texts[k]
+        assert parts[0][0] == 0 and parts[-1][1] == len(text)
+        assert all(q == text[a:b] and b - a <= 1200 for a, b, q in parts)
+        assert all(b - 160 == c for (_, b, _), (c, _, _) in zip(parts, parts[1:], strict=False))
+        assert all(b - a == 1200 and not set("\n。") & set(text[a + 600 : b]) or text[b - 1] in "\n。" for a, b, _ in parts[:-1])
