@@ -264,8 +264,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, tables: int = TA
     spark = vectors.sparkSession
     hashed = lambda df: df.where(finite(F.col("embedding")) & F.col("vec_id").isNotNull() & F.exists("embedding", lambda x: x != 0)).select("vec_id", F.col("embedding").alias("v"), F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
     rows = hashed(vectors)
-    top = F.array_max(F.transform("v", lambda x: F.abs(x).cast("double")))
-    length = top * F.sqrt(F.aggregate(F.transform("v", lambda x: (x / top) * (x / top)), F.lit(0.0), lambda a, x: a + x))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
     dim, longest = width(vectors), rows.agg(F.max(length)).first()[0]
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if longest is None:
