@@ -3,7 +3,9 @@ import zipfile
 
 import pytest
 
-from lodestow.sources import panels, workbook
+from pyspark.sql import functions as F
+
+from lodestow.sources import ledger_sheets, panels, workbook
 
 
 def rows(df):
@@ -51,3 +53,45 @@ def test_weights_by_their_own_unit_and_quoted_headers(spark, tmp_path):
     assert [r.weight_kg for r in got] == [1500.0, 800.0, None, None]
     assert [r.length_mm for r in got] == [6000.0, 900.0, 300.0, 300.0]
     assert [r.quantity for r in got] == [2, 1, 1, 1]
+
+
+def sheet(spark, lines, doc="d"):
+    return spark.createDataFrame([(doc, r + 1, c + 1, v) for r, line in enumerate(lines) for c, v in enumerate(line)], "doc string, row int, col int, raw string")
+
+
+LEDGER = [
+    ["Packing list"], ["箱号 Case No", "品名 / Description", "Qty", "Net weight (kg)", "毛重(lb)", "L x W x H cm", "unit"],
+    ["C1", "Panel", "12 pcs", "1,200", "10", "120x80x60", ""], ["C2", "Panel", "3", "50.5", "5 kg", "120x80", "set"], ["Subtotal", "", "15", "1250.5", ""],
+    ["C3", "Rail", "7 米", "8", "-", "1x2x3"], [None, " "], ["小计", "", "7", "9"], ["总计 Grand Total", "", "22", "1258.5"],
+    ["Case No", "Gross total kg", "name", "qty", "数量", "unit"], ["C9", "5", "bolt", "3", "4"], ["C8", "about 5", "bolt", "", ""], ["Total", "6"],
+]
+
+
+def test_ledger_rows_and_totals_apart(spark):
+    rows, totals = ledger_sheets.assemble(sheet(spark, LEDGER).unionByName(sheet(spark, [["no header", "1"], ["Total", "1"]], "e")), "doc")
+    got = {r.package_id: r for r in rows.collect()}
+    assert set(got) == {"C1", "C2", "C3", "C9", "C8"}
+    assert [(got[c].block, got[c].section) for c in ("C1", "C2", "C3", "C9")] == [(0, 0), (0, 0), (0, 1), (1, 3)]
+    assert (got["C1"].quantity, got["C1"].unit, got["C1"].length_mm, got["C1"].gross_kg) == (12, "pcs", 1200, 4.5359237)
+    assert (got["C2"].quantity, got["C2"].unit, got["C2"].gross_kg, got["C2"].reasons["gross_kg"]) == (3, "set", None, "unit_conflict")
+    assert got["C2"].length_mm is None and got["C3"].unit == "米" and got["C3"].gross_kg is None and "gross_kg" not in got["C3"].reasons
+    assert got["C9"].quantity is None and got["C9"].reasons == {"quantity": "several_columns"}
+    assert got["C8"].gross_kg is None and got["C8"].reasons["gross_kg"] == "unclear"
+    assert {(r.row, r.field): (r.kind, r.stated, r.n_rows, r.summed, r.status) for r in totals.collect()} == {
+        (5, "quantity"): ("section", 15, 2, 15, "match"), (5, "net_kg"): ("section", 1250.5, 2, 1250.5, "match"), (8, "quantity"): ("section", 7, 1, 7, "match"), (8, "net_kg"): ("section", 9, 1, 8, "mismatch"),
+        (9, "quantity"): ("grand", 22, 3, 22, "match"), (9, "net_kg"): ("grand", 1258.5, 3, 1258.5, "match"), (13, "gross_kg"): ("section", 6, 2, None, "unknown"),
+    }
+    empty = ledger_sheets.assemble(sheet(spark, LEDGER).limit(0), "doc")
+    assert [df.count() for df in empty] == [0, 0]
+
+
+def test_ledger_numbers_never_guess_a_unit(spark):
+    cases = [("12", "net_kg", None, None, "no_unit"), ("12 kg", "net_kg", None, 12.0, None), ("1,234.5", "net_kg", "t", 1234500.0, None), ("2 t", "net_kg", "kg", None, "unit_conflict"), ("1 kgs", "net_kg", "kg", 1.0, None), ("3-4", "quantity", None, None, "unclear"), ("2.5", "quantity", None, None, "not_a_count"), ("2 kg", "quantity", None, None, "not_a_count"), ("-1", "quantity", None, None, "out_of_range"), ("TBD", "quantity", None, None, "none"), ("5 箱", "package_count", None, 5.0, None), ("3 parsec", "length_mm", None, None, "unknown_unit"), (None, "quantity", None, None, "none")]
+    df = spark.createDataFrame([c[:3] for c in cases], "raw string, field string, unit string").select(ledger_sheets.number(F.col("raw"), F.col("field"), F.col("unit")).alias("n"))
+    assert [(r.n.value, r.n.reason) for r in df.collect()] == [c[3:] for c in cases]
+
+
+def test_headers_in_two_languages(spark):
+    cases = {"箱号 Case No": ["package_id"], "Net weight (kg)": ["net_kg"], "净重 / Gross weight": ["net_kg", "gross_kg"], "总毛重(吨)": ["gross_kg"], "Width per package mm": ["width_mm"], "L×W×H": ["dimensions"], "colour": [], "": []}
+    df = spark.createDataFrame([(k,) for k in cases], "raw string").select("raw", ledger_sheets.header_fields(F.col("raw")).alias("f"))
+    assert {r.raw: sorted(r.f) for r in df.collect()} == {k: sorted(v) for k, v in cases.items()}
