@@ -132,13 +132,26 @@ def _placed(cells: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     return lines.withColumn("block", F.last(F.when(F.col("header"), F.col("_g")), ignorenulls=True).over(upto)).drop("_g"), written
 
 
-def assemble(cells: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, totals) of sheets as cells(keys, row, col, raw).
+def shared_cells(merges: DataFrame, heads: DataFrame, lines: DataFrame, rows: DataFrame, on: list[str]) -> DataFrame:
+    """(keys, row, field, anchor, whole): the rows that a merged cell covers, and whether all of them are rows of the ledger.
+
+    merges(keys, first_row, last_row, col); the cell's figure stands in its first row. A cell over one row is no group.
+    """
+    spans = merges.where("last_row > first_row").withColumn("row", F.explode(F.sequence("first_row", "last_row"))).join(lines.select(*on, F.col("row").alias("first_row"), "header_no"), [*on, "first_row"])
+    fields = spans.join(heads.select(*on, "header_no", "col", F.explode("targets").alias("field")), [*on, "header_no", "col"])
+    met = fields.join(rows.select(*on, "row", F.lit(True).alias("_here")), [*on, "row"], "left")
+    whole = met.groupBy(*on, "field", "first_row").agg((F.count("_here") == F.count("*")).alias("whole"))
+    return met.join(whole, [*on, "field", "first_row"]).select(*on, "row", "field", F.col("first_row").alias("anchor"), "whole")
+
+
+def assemble(cells: DataFrame, *keys: str, merges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, totals) of sheets as cells(keys, row, col, raw) and, if given, merges(keys, first_row, last_row, col) of cells that cover several rows.
 
     rows(keys, row, block, section, the fields, dimension_scope, weight_scope, reasons): a line under a header that is no total. A field without a sure
     value is null and reasons says why: two columns for one field, no unit, a unit against the header's, no clear number. totals(keys, row, label, kind,
     field, stated, n_rows, summed, status): each figure of a total against the rows it closes: those of its section, or of its block for a grand total; status is
-    match, mismatch, or unknown where a row lacks a value. Lines before a header are left out; a blank sheet has no rows. A sheet is bounded (the format has
+    match, mismatch, or unknown where a row lacks a value. A merged cell's figure belongs to all rows that it covers and counts once: rows has them in
+    column shared, (field, anchor), so that no one spreads or repeats it; over lines that are no rows it has no value, nor has a total that closes a part of its rows. Lines before a header are left out; a blank sheet has no rows. A sheet is bounded (the format has
     a million lines); its windows are one task's, and sheets are dealt over all.
     """
     on = list(keys)
@@ -178,10 +191,24 @@ def assemble(cells: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
     placed = wide.join(lines.select(*on, "row", "block", "section", "total", "grand", F.col("first").alias("label")), [*on, "row"])
     some = reduce(lambda a, b: a | b, (F.col(c).isNotNull() for c in ("name", "package_id", "material_id", *NUMBERS)))
     rows = placed.where(~F.col("total") & some).drop("total", "grand", "label")
+    if merges is None:
+        rows, members = rows.withColumn("shared", F.expr("cast(map() AS map<string, int>)")), None
+    else:
+        members = shared_cells(merges, heads, lines, rows, on)
+        told = members.groupBy(*on, "row").agg(F.map_from_entries(F.array_sort(F.collect_set(F.when(F.col("whole"), F.struct("field", "anchor"))))).alias("shared"), F.collect_set(F.when(~F.col("whole"), F.col("field"))).alias("_torn"))
+        torn = lambda f: F.coalesce(F.array_contains("_torn", f), F.lit(False))
+        rows = rows.join(told, [*on, "row"], "left")
+        said = F.map_from_arrays("_torn", F.transform("_torn", lambda _: F.lit("merged_over_others")))
+        rows = rows.withColumns({**{f: F.when(~torn(f), F.col(f)) for f in (*NUMBERS, *TEXTS)}, "shared": F.coalesce("shared", F.expr("cast(map() AS map<string, int>)")), "reasons": F.when(F.size("_torn") > 0, F.map_concat(F.map_filter("reasons", lambda k, _: ~F.array_contains("_torn", k)), said)).otherwise(F.col("reasons"))}).drop("_torn")
 
     stack = ", ".join(f"'{f}', {f}" for f in NUMBERS)
     stated = lines.where("total").select(*on, "row", "block", "section", "grand", F.trim("first").alias("label")).join(wide.select(*on, "row", F.expr(f"stack({len(NUMBERS)}, {stack}) AS (field, stated)")), [*on, "row"]).where("stated IS NOT NULL")
     figures = rows.select(*on, "row", "block", "section", F.expr(f"stack({len(NUMBERS)}, {stack}) AS (field, v)"))
+    if members is not None:
+        # What stands in the first row is counted there; the others add nothing, unless the total closes another part of the rows.
+        anchors = rows.select(*on, F.col("row").alias("anchor"), F.col("block").alias("_b"), F.col("section").alias("_s"))
+        rest = members.where("whole AND row <> anchor").join(anchors, [*on, "anchor"]).select(*on, "row", "field", "_b", "_s")
+        figures = figures.join(rest, [*on, "row", "field"], "left").withColumn("v", F.when((F.col("_b") == F.col("block")) & (F.col("_s") == F.col("section")) & F.col("v").isNull(), 0.0).otherwise(F.col("v"))).drop("_b", "_s")
     sums = figures.groupBy(*on, "block", "section", "field").agg(F.count("*").alias("n"), F.count("v").alias("known"), F.sum("v").alias("s"))
     # A grand total closes all sections of its block so far, its own included.
     order = Window.partitionBy(*on, "block", "field").orderBy("section")

@@ -95,3 +95,23 @@ def test_headers_in_two_languages(spark):
     cases = {"箱号 Case No": ["package_id"], "Net weight (kg)": ["net_kg"], "净重 / Gross weight": ["net_kg", "gross_kg"], "总毛重(吨)": ["gross_kg"], "Width per package mm": ["width_mm"], "L×W×H": ["dimensions"], "colour": [], "": []}
     df = spark.createDataFrame([(k,) for k in cases], "raw string").select("raw", ledger_sheets.header_fields(F.col("raw")).alias("f"))
     assert {r.raw: sorted(r.f) for r in df.collect()} == {k: sorted(v) for k, v in cases.items()}
+
+
+def test_merged_cells_count_once(spark):
+    lines = [
+        ["Case No", "name", "qty", "gross kg", "箱数"], ["C1", "a", "1", "90", "1"], ["", "b", "2", "", ""], ["", "c", "3", "", ""], ["Subtotal", "", "6", "90", "1"],
+        ["C2", "d", "4", "50", "2"], ["Subtotal", "", "4", "50"], ["", "e", "5", "", "7"], ["Total", "", "5", "1", "7"],
+    ]
+    cells = sheet(spark, lines)
+    merges = spark.createDataFrame([("d", 2, 4, 4), ("d", 2, 4, 5), ("d", 2, 4, 1), ("d", 6, 8, 4), ("d", 8, 8, 5)], "doc string, first_row int, last_row int, col int")
+    rows, totals = ledger_sheets.assemble(cells, "doc", merges=merges)
+    got = {r.name: r for r in rows.collect()}
+    assert got["a"].gross_kg == 90 and got["b"].gross_kg is None
+    assert all(got[n].shared == {"gross_kg": 2, "package_count": 2, "package_id": 2} for n in "abc") and got["e"].shared == {}
+    assert got["d"].gross_kg is None and got["d"].reasons == {"gross_kg": "merged_over_others"}
+    assert {(r.row, r.field): (r.summed, r.status) for r in totals.collect()} == {
+        (5, "quantity"): (6, "match"), (5, "gross_kg"): (90, "match"), (5, "package_count"): (1, "match"), (7, "quantity"): (4, "match"), (7, "gross_kg"): (None, "unknown"),
+        (9, "quantity"): (5, "match"), (9, "gross_kg"): (None, "unknown"), (9, "package_count"): (7, "match"),
+    }
+    unmerged = ledger_sheets.assemble(cells, "doc")[1].where("row = 5 AND field = 'gross_kg'").first()
+    assert (unmerged.summed, unmerged.status) == (None, "unknown")
