@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.storage import written
+
 # The spellings of each field's header, in the two languages of the sheets.
 HEADERS = {
     "container_id": ("集装箱号", "柜号", "container no", "container number", "container id", "ctn no"),
@@ -116,10 +118,12 @@ def _label(raw: Column) -> tuple[Column, Column]:
 
 
 def _placed(cells: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(lines, written): each line's kind, header, block and section, and the cells that hold something."""
-    written = cells.where(F.trim("raw") != "").select(*keys, "row", "col", "raw").withColumn("fields", header_fields(F.col("raw")))
+    """(lines, filled): each line's kind, header, block and section, and the cells that hold something."""
+    filled = cells.where(F.trim("raw") != "").select(*keys, "row", "col", "raw")
+    # A figure heads nothing: what has no letters is not looked up.
+    named = filled.withColumn("fields", F.when(F.col("raw").rlike(f"[A-Za-z{_CJK}]{{2}}|[{_CJK}]"), header_fields(F.col("raw"))).otherwise(F.array().cast("array<string>")))
     one, several = F.when(F.size("fields") == 1, F.col("fields")[0]), F.size("fields") > 1
-    lines = written.groupBy(*keys, "row").agg(F.collect_set(one).alias("fields"), F.bool_or(several).alias("conflict"), F.min_by("raw", "col").alias("first"))
+    lines = named.groupBy(*keys, "row").agg(F.collect_set(one).alias("fields"), F.bool_or(several).alias("conflict"), F.min_by("raw", "col").alias("first"))
     header = ((F.size("fields") >= 2) | ((F.size("fields") >= 1) & F.col("conflict"))) & F.arrays_overlap("fields", F.array(F.lit("name"), F.lit("package_id"), F.lit("material_id")))
     total, grand = _label(F.col("first"))
     lines = lines.select(*keys, "row", "first", header.alias("header"), (total & ~header).alias("total"), (grand & ~header).alias("grand"))
@@ -129,7 +133,17 @@ def _placed(cells: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     ran = lambda c: F.coalesce(F.sum(F.col(c).cast("int")).over(before), F.lit(0))
     lines = lines.withColumns({"section": ran("total"), "_g": ran("grand")})
     # A header begins a new block only where a grand total has closed the one before it; else it goes on, on another page.
-    return lines.withColumn("block", F.last(F.when(F.col("header"), F.col("_g")), ignorenulls=True).over(upto)).drop("_g"), written
+    return lines.withColumn("block", F.last(F.when(F.col("header"), F.col("_g")), ignorenulls=True).over(upto)).drop("_g"), filled
+
+
+def _heads(filled: DataFrame, lines: DataFrame, on: list[str]) -> DataFrame:
+    """(keys, header_no, col, field, targets, unit, scope) of the columns that a header names without doubt."""
+    cells = filled.join(lines.where("header").select(*on, "row", "header_no"), [*on, "row"]).withColumn("fields", header_fields(F.col("raw")))
+    one = F.when(F.size("fields") == 1, F.col("fields")[0])
+    heads = cells.select(*on, "header_no", "col", one.alias("field"), F.col("raw").alias("_head")).where("field IS NOT NULL")
+    sized = F.col("field").isin(*SIZES, "dimensions")
+    heads = heads.withColumns({"_unit": F.when(sized, stated_unit(F.col("_head"), LENGTHS)).otherwise(stated_unit(F.col("_head"), WEIGHTS)), "_scope": stated_scope(F.col("_head"))})
+    return heads.withColumn("targets", F.when(F.col("field") == "dimensions", F.array(*(F.lit(f) for f in SIZES))).otherwise(F.array("field")))
 
 
 def shared_cells(merges: DataFrame, heads: DataFrame, lines: DataFrame, rows: DataFrame, on: list[str]) -> DataFrame:
@@ -155,15 +169,12 @@ def assemble(cells: DataFrame, *keys: str, merges: DataFrame | None = None) -> t
     a million lines); its windows are one task's, and sheets are dealt over all.
     """
     on = list(keys)
-    lines, written = _placed(cells, on)
-    one = F.when(F.size("fields") == 1, F.col("fields")[0])
-    heads = written.join(lines.where("header").select(*on, "row", "header_no"), [*on, "row"]).select(*on, "header_no", "col", one.alias("field"), F.col("raw").alias("_head")).where("field IS NOT NULL")
-    sized = F.col("field").isin(*SIZES, "dimensions")
-    heads = heads.withColumns({"_unit": F.when(sized, stated_unit(F.col("_head"), LENGTHS)).otherwise(stated_unit(F.col("_head"), WEIGHTS)), "_scope": stated_scope(F.col("_head"))})
-    targets = F.when(F.col("field") == "dimensions", F.array(*(F.lit(f) for f in SIZES))).otherwise(F.array("field"))
-    heads = heads.withColumn("targets", targets)
+    lines, written_cells = _placed(cells, on)
+    # A row a line and a row a header's column: kept, as each is met several times below.
+    lines = written(lines)
+    heads = written(_heads(written_cells, lines, on))
     twice = heads.select(*on, "header_no", F.explode("targets").alias("field")).groupBy(*on, "header_no", "field").agg((F.count("*") > 1).alias("_twice"))
-    body = written.join(lines.where("NOT header").select(*on, "row", "header_no"), [*on, "row"]).join(heads, [*on, "header_no", "col"])
+    body = written_cells.join(lines.where("NOT header").select(*on, "row", "header_no"), [*on, "row"]).join(heads, [*on, "header_no", "col"])
     pieces = F.split("raw", "\\s*[x×*]\\s*")
     part = F.when(F.col("field") == "dimensions", F.when(F.size(pieces) == 3, F.get(pieces, F.col("_k"))).otherwise("?")).otherwise(F.col("raw"))
     each = body.select("*", F.posexplode("targets").alias("_k", "_to")).withColumn("_raw", part).withColumn("field", F.col("_to")).join(twice, [*on, "header_no", "field"])
