@@ -71,6 +71,11 @@ def container_codes(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(codes)))
 
 
+def figure_words(text: Column) -> Column:
+    """The figures, words and signs of a sentence, in order."""
+    return F.regexp_extract_all(text, F.lit(f"({_FIGURE}|[A-Za-z]+|公斤|千克|吨|[^\\sA-Za-z0-9.])"), F.lit(1))
+
+
 def masses_kg(text: Column) -> Column:
     """Every mass that a sentence states, in kilograms and in order; imperial units are converted to a tenth. See ``mass_figures``."""
     return F.transform(mass_figures(text), lambda f: f["kg"])
@@ -82,7 +87,7 @@ def mass_figures(text: Column) -> Column:
     Thousands may be grouped by commas or blanks. Pounds are money in a sentence that speaks of money or not of mass; mt in small letters is
     tonnes in a sentence that speaks of mass, unless a length follows. A figure in other units directly after the same figure, within 3 %, is no second one.
     """
-    tokens = F.regexp_extract_all(text, F.lit(f"({_FIGURE}|[A-Za-z]+|公斤|千克|吨|[^\\sA-Za-z0-9.])"), F.lit(1))
+    tokens = figure_words(text)
     low = F.lower(text)
     money = low.rlike(f"(?<![a-z])({_one_of(MONEY)}|compensat\\w*|insur\\w*|invoice\\w*|per\\s+(day|week|month))(?![a-z])|£")
     mass = low.rlike(f"(?<![a-z])({_one_of(MASS)})(?![a-z])|重")
