@@ -141,36 +141,37 @@ def mass_limits(clauses: DataFrame, key: str = "clause_id", text: str = "clause"
     low = F.lower("read")
     about = low.rlike(f"(^|[^a-z])({'|'.join(TRANSPORT)})") | F.col("letters").rlike("[CM]") | (F.size(passages.container_codes(F.col("read"))) > 0)
     massy = low.rlike(f"(^|[^a-z])({'|'.join(passages.MASS)})([^a-z]|$)|重")
-    s = s.withColumn("figures", passages.mass_figures(F.col("read"))).withColumn("about", about)
+    s = s.withColumn("figures", passages.mass_figures(F.col("read"), words)).withColumn("about", about)
     upper = _upper_bound(F.col("letters"), F.size("figures"))
     s = s.withColumn("own", F.struct((F.col("letters").rlike(LIMIT) | low.contains("swl")).alias("is_limit"), massy.alias("massy"), upper.alias("upper")))
     order = Window.partitionBy(key).orderBy("sentence_no")
     kept = F.coalesce(F.lag("sentence").over(order).rlike("[;；]$"), F.lit(False))
     none = F.struct(F.lit(False).alias("is_limit"), F.lit(False).alias("massy"), F.lit(True).alias("upper"))
     s = s.withColumn("state", F.when(F.col("own.is_limit") | F.col("own.massy"), F.col("own")).when(~kept, none))
-    s = s.withColumn("rule", F.last("state", ignorenulls=True).over(order)).withColumn("transport", F.max("about").over(Window.partitionBy(key))).where(F.size("figures") > 0)
+    s = s.withColumn("rule", F.last("state", ignorenulls=True).over(order)).withColumn("transport", F.max("about").over(Window.partitionBy(key)))
     limits, weighs, transport = F.col("rule.is_limit"), F.col("rule.massy"), F.col("transport")
     dense = (F.size("figures") > DENSE_FIGURES) | (F.char_length("sentence") > DENSE_CHARS)
     whole = F.when(dense, (limits & (weighs | transport)) | (transport & weighs)).otherwise(limits & transport & ~(F.col("rule.upper") & F.col("own.upper")))
-    s = s.withColumn("whole", whole).where(whole | ~dense)
+    s = s.withColumn("whole", whole).withColumn("dense", dense)
     since = F.transform("figures", lambda f, i: F.struct(f["kg"].alias("kg"), f["first"].alias("first"), f["last"].alias("last"), F.get(F.col("figures"), i - 1)["last"].alias("since")))
-    f = s.select(key, "sentence_no", "sentence", "letters", "whole", "rule", "transport", F.explode(since).alias("f"))
+    f = s.select(key, "sentence_no", "sentence", "letters", "whole", "dense", "rule", "transport", F.explode(since).alias("f"))
     between = F.expr("substring(letters, f.since + 2, f.first - f.since - 1)")
     before = F.when(between.rlike("[CPKV]"), between).otherwise(F.expr(f"substring(letters, greatest(f.first - {LOOK_BACK}, 0) + 1, least(f.first, {LOOK_BACK}))"))
     f = f.withColumn("before", before).withColumn("after", F.expr("substring(letters, f.last + 2, length(letters))"))
     f = subject(f).withColumn("kind", F.when(limits & (weighs | transport) & ~F.col("whole"), F.col("kind")))
     place = (
-        F.when((F.col("kind") == "C") & ~F.col("f.kg").between(*CONTAINER_KG), "implausible").when(F.col("kind") == "C", "container")
+        F.when(F.col("dense") & ~F.col("whole"), None).when((F.col("kind") == "C") & ~F.col("f.kg").between(*CONTAINER_KG), "implausible").when(F.col("kind") == "C", "container")
         .when(F.col("kind").isin("P", "K"), "package").when(F.col("kind") == "V", "vehicle").when(F.col("whole") | (transport & (limits | weighs)), "unplaced")
     )
-    f = f.withColumn("place", place).where("place IS NOT NULL").withColumn("basis", F.when(F.col("place") == "container", _basis(F.col("letters"))))
+    # No filter here: Spark would push it down and write all these readings into it, again and again. The aggregates leave out what has no place.
+    f = f.withColumn("place", place).withColumn("basis", F.when(F.col("place") == "container", _basis(F.col("letters"))))
     at = lambda *places: F.sort_array(F.collect_set(F.when(F.col("place").isin(*places), F.col("f.kg"))))
     said = lambda *places: F.collect_set(F.when(F.col("place").isin(*places), F.struct("sentence_no", "sentence")))
     out = f.groupBy(key).agg(
-        F.count_if(F.col("place") == "container").alias("n"), at("container").alias("sure"), at("container", "implausible").alias("all"), F.collect_set("basis").alias("bases"),
+        F.count("place").alias("places"), F.count_if(F.col("place") == "container").alias("n"), at("container").alias("sure"), at("container", "implausible").alias("all"), F.collect_set("basis").alias("bases"),
         at("package").alias("package_kg"), at("vehicle").alias("vehicle_kg"), said("unplaced").alias("left"), said("unplaced", "implausible").alias("pending"),
     )
-    held = F.col("n") > 0
+    out, held = out.where("places > 0"), F.col("n") > 0
     text_of = F.array_join(F.transform(F.sort_array(F.when(held, F.col("left")).otherwise(F.col("pending"))), lambda x: x["sentence"]), " ... ")
     basis = F.when(held, F.when(F.size("bases") == 1, F.get("bases", F.lit(0))).otherwise("unstated"))
     return out.select(key, F.when(held, F.col("all")).otherwise(F.col("sure")).alias("container_kg"), basis.alias("basis"), "package_kg", "vehicle_kg", text_of.alias("unplaced"))

@@ -81,13 +81,14 @@ def masses_kg(text: Column) -> Column:
     return F.transform(mass_figures(text), lambda f: f["kg"])
 
 
-def mass_figures(text: Column) -> Column:
+def mass_figures(text: Column, words: Column | None = None) -> Column:
     """array of (kg, first, last): the masses of a sentence and the words (from 0) that state each, read word by word.
 
     Thousands may be grouped by commas or blanks. Pounds are money in a sentence that speaks of money or not of mass; mt in small letters is
     tonnes in a sentence that speaks of mass, unless a length follows. A figure in other units directly after the same figure, within 3 %, is no second one.
+    ``words`` are the sentence's ``figure_words`` where a column holds them: each figure looks around in them.
     """
-    tokens = figure_words(text)
+    tokens = figure_words(text) if words is None else words
     low = F.lower(text)
     money = low.rlike(f"(?<![a-z])({_one_of(MONEY)}|compensat\\w*|insur\\w*|invoice\\w*|per\\s+(day|week|month))(?![a-z])|£")
     mass = low.rlike(f"(?<![a-z])({_one_of(MASS)})(?![a-z])|重")
