@@ -10,6 +10,8 @@ from ..functions.text import index_tokens, runs
 K1, B = 1.2, 0.75
 #: A list of query terms is sent to all executors up to so many rows; a longer one is joined by a shuffle.
 SENT_ROWS = 1_000_000
+# Terms read of a query, candidates weighed again, what a phrase adds, what BM25 adds at most, what one character counts, what a repeated question loses.
+TERMS, CANDIDATES, PHRASE, RANK_MOST, CHARACTER, REPEATED = 160, 240, 4.0, 5.0, 0.15, 1000.0
 
 
 def _sent(rows: DataFrame) -> DataFrame:
@@ -41,6 +43,27 @@ def top_k(scored: DataFrame, k: int, *ties: str, query: str = "query", score: st
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def chunk_search(chunks: DataFrame, queries: DataFrame, k: int, chunk: str, *ties: str) -> DataFrame:
+    """(query, chunk, ties, score, rank): the best k chunks(chunk, text, question, ties) for each of queries(query, text).
+
+    A query's words and pairs of characters find chunks, its single characters only where it has nothing else. Of each query the best 240 by BM25 are weighed again: 1 for each term that the chunk holds (0.15 for a character), 4 if it
+    holds the whole query, and at most 5 of BM25. A question (``question`` true) that repeats the query, whatever its case, is no evidence: it comes after everything else. Of equal BM25 the smaller ties are candidates.
+    """
+    terms = queries.select("query", F.slice(F.array_distinct(index_tokens(F.col("text"))), 1, TERMS).alias("terms"), F.lower(F.trim("text")).alias("phrase"))
+    strong = F.filter("terms", lambda t: ~t.startswith("u"))
+    wanted = terms.select("query", F.explode(F.when(F.size(strong) > 0, strong).otherwise(F.col("terms"))).alias("term"))
+    asked = chunks.where("question").select(chunk, F.lower(F.trim("text")).alias("phrase")).join(_sent(terms.select("query", "phrase")), "phrase").select(chunk, "query", F.lit(1).alias("repeated"))
+    found = bm25(chunks, wanted, chunk).join(asked, [chunk, "query"], "left").withColumn("repeated", F.coalesce("repeated", F.lit(0))).withColumn("bm25", F.round("score", 6))
+    order = Window.partitionBy("query").orderBy("repeated", F.desc("bm25"), chunk)
+    best = found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= CANDIDATES).select("query", chunk, "repeated", "bm25")
+    met = best.join(_sent(terms), "query").join(chunks.select(chunk, "text", *ties), chunk)
+    held = F.array_intersect("terms", index_tokens(F.col("text")))
+    single = F.size(F.filter(held, lambda t: t.startswith("u")))
+    phrase = F.when(F.contains(F.lower("text"), F.col("phrase")), PHRASE).otherwise(0.0)
+    score = F.size(held) - single + single * CHARACTER + phrase + F.least(F.col("bm25"), F.lit(RANK_MOST)) - F.col("repeated") * REPEATED
+    return top_k(met.select("query", chunk, *ties, F.round(score, 6).alias("score")), k, *ties, chunk)
+
+
 def _parts(run: Column, longest: int) -> Column:
     """All distinct substrings of a run up to a length."""
     size = F.char_length(run)

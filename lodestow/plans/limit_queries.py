@@ -1,11 +1,11 @@
-"""Clauses that limit masses and name container types, against plans made of the cargo."""
+"""Clauses that limit masses and name container types, against plans made of the cargo; evidence in conversations."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clauses
+from ..operators import clauses, retrieval
 from . import clause_sql
 from .tables import SQL_CARGO, cargo, table
 
@@ -55,12 +55,27 @@ def clause_mass_checks(spark: SparkSession, d: str) -> DataFrame:
     return clauses.mass_checks(limits, plans, "tender", unmodelled="soft")
 
 
+def kb_chunk_search(spark: SparkSession, d: str) -> DataFrame:
+    """The six best turns of all conversations for each benchmark text; a user's turn that repeats it comes last."""
+    turns = table(spark, d, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("chunk"), (F.col("role") == "user").alias("question"), "text")
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text")
+    return retrieval.chunk_search(turns, queries, 6, "chunk").select("query", "chunk", "score", "rank")
+
+
 _SQL = f"""WITH c AS (SELECT o_orderkey AS clause_id, o_custkey AS tender, replace([{clause_sql.listed(_SENTENCES)}][o_orderkey % {len(_SENTENCES)} + 1], '{{n}}', CAST(1500 + o_custkey * 977 % 30000 AS VARCHAR))
   || [{clause_sql.listed(_ENDS)}][o_orderkey // {len(_SENTENCES)} % {len(_ENDS)} + 1] AS clause FROM orders)"""
 _TENTHS = ", ".join(f"array_to_string(list_transform({c}, lambda x: CAST(round(x * 10) AS BIGINT)), ',') AS {c}" for c in ("container_kg", "package_kg", "vehicle_kg"))
 
-QUERIES = {f.__name__: f for f in (clause_mass_limits, clause_container_decision, clause_mass_checks)}
+QUERIES = {f.__name__: f for f in (clause_mass_limits, clause_container_decision, clause_mass_checks, kb_chunk_search)}
 SQL = {
+    "kb_chunk_search": """WITH x AS (SELECT conv_id || '/' || turn AS chunk, role = 'user' AS question, text, regexp_extract_all(lower(text), '[a-z0-9_]+') AS ts FROM conversations), t AS (SELECT chunk, len(ts) AS l, unnest(ts) AS term FROM x),
+      i AS (SELECT term, chunk, count(*) AS tf, any_value(l) AS l FROM t GROUP BY 1, 2), m AS (SELECT count(*) AS n, avg(len(ts)) AS a FROM x WHERE len(ts) > 0), f AS (SELECT term, count(*) AS df FROM i GROUP BY 1),
+      b AS (SELECT item_id AS query, lower(trim(text)) AS phrase, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term, generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9_]+'), 1) AS place FROM benchmark),
+      q AS (SELECT query, phrase, term FROM (SELECT query, phrase, term, min(place) AS place FROM b GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY query ORDER BY place) <= 160),
+      s AS (SELECT query, phrase, chunk, count(*) AS n, round(sum(greatest(ln((m.n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / m.a))), 6) AS bm FROM q JOIN f USING (term) JOIN i USING (term), m GROUP BY ALL),
+      c AS (SELECT s.*, question AND lower(trim(text)) = phrase AS repeated, contains(lower(text), phrase) AS whole FROM s JOIN x USING (chunk) QUALIFY row_number() OVER (PARTITION BY query ORDER BY question AND lower(trim(text)) = phrase, bm DESC, chunk) <= 240),
+      r AS (SELECT query, chunk, round(n + CASE WHEN whole THEN 4 ELSE 0 END + least(bm, 5::DOUBLE) - CASE WHEN repeated THEN 1000 ELSE 0 END, 6) AS score FROM c)
+      SELECT query, chunk, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk) AS INTEGER) AS rank FROM r QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk) <= 6""",
     "clause_mass_limits": f"{_SQL} SELECT clause_id, {_TENTHS}, basis, unplaced FROM {clause_sql.mass_limits('c', 'clause_id', 'clause')}",
     "clause_container_decision": f"""{_SQL}, s AS (SELECT *, clause_id * 100000 + sentence_no AS sid, tender FROM ({clause_sql.sentences("c", "clause_id, tender", "clause")})), k AS ({clause_sql.container_codes("s", "sid", "sentence")}),
       m AS (SELECT clause_id, tender, code, max(sentence LIKE '%not accepted%') AS refused FROM s JOIN k USING (sid) WHERE code IS NOT NULL GROUP BY ALL),

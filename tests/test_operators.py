@@ -206,3 +206,19 @@ def test_chunks_follow_from_the_text_alone(spark):
         assert all(q == text[a:b] and b - a <= 1200 for a, b, q in parts)
         assert all(b - 160 == c for (_, b, _), (c, _, _) in zip(parts, parts[1:], strict=False))
         assert all(b - a == 1200 and not set("\n。") & set(text[a + 600 : b]) or text[b - 1] in "\n。" for a, b, _ in parts[:-1])
+
+
+def test_chunk_search_weighs_coverage_phrase_and_repeats(spark):
+    rows = [
+        ("a", True, "Where is the blue crane?"), ("b", False, "the blue crane is where it was, where is the blue crane? here"), ("c", False, "blue"), ("d", False, "nothing of it"), ("e", True, "where IS the blue crane? it is late"),
+        ("f", False, "\u585d\u540a"), ("g", False, "\u540a"),
+    ]
+    chunks = spark.createDataFrame(rows, "chunk string, question boolean, text string")
+    queries = spark.createDataFrame([(1, " where is the blue crane? "), (2, "\u585d\u540a"), (3, "\u540a"), (4, "")], "query long, text string")
+    found = retrieval.chunk_search(chunks, queries, 9, "chunk").collect()
+    got = {q: [r.chunk for r in sorted(found, key=lambda r: r["rank"]) if r["query"] == q] for q in (1, 2, 3, 4)}
+    assert set(got[1][:2]) == {"b", "e"} and got[1][2:] == ["c", "a"]
+    assert got[2] == ["f"] and set(got[3]) == {"f", "g"}
+    assert got[4] == []
+    score = {r.chunk: r.score for r in found if r["query"] == 1}
+    assert score["a"] < -900 and 9 <= score["e"] <= 14 and 1 <= score["c"] <= 6
