@@ -38,7 +38,8 @@ def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def snippet(body: Column, tokens: Column) -> Column:
     """Of the lines that are neither blank nor headings the first that holds a token, or else the first; its first 280 characters."""
-    lines = F.filter(F.transform(F.split(body, "\n"), F.trim), lambda x: (x != "") & ~x.startswith("#"))
+    # Named alone, F.trim would be given each line's index as the characters to cut.
+    lines = F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
     held = F.filter(lines, lambda x: F.exists(tokens, lambda t: F.contains(F.lower(x), t)))
     return F.substring(F.coalesce(F.get(held, F.lit(0)), F.get(lines, F.lit(0)), body), 1, SNIPPET)
 
