@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 from itertools import accumulate
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stowage import by_group, lots
+from .stowage import by_rows, count_lots, deal_lots
 
 # Crates by name; outer length, width and height and wall in mm, tare and payload in kg, in the order of preference.
 CRATES = [
@@ -71,19 +70,29 @@ def split_rows(rows: DataFrame, *keys: str, cap: float = NET_CAP) -> DataFrame:
     A piece over the cap is cut into equal parts by weight, rounded to grams, the last taking the rest; other rows are cut into parts of as many
     pieces as a crate may hold. No quantity is one piece. pieces is null in a part of a piece.
     """
+    kinds = part_kinds(rows, *keys, cap=cap)
+    return kinds.select(*keys, F.explode("parts").alias("part"), "l", "w", "h", "pieces", "net_kg")
+
+
+def part_kinds(rows: DataFrame, *keys: str, cap: float = NET_CAP) -> DataFrame:
+    """(keys, l, w, h, pieces, net_kg, times, parts): the parts of ``split_rows``, equal ones of a row together, two kinds a row at most; parts are their numbers."""
     qty = F.greatest(F.coalesce("qty", F.lit(1)), F.lit(1)).cast("int")
     each = rows.select(*keys, "l", "w", "h", qty.alias("qty"), F.coalesce("total_kg", F.lit(0.0)).cast("double").alias("total"), net_cap(F.col("l"), cap).alias("cap")).withColumn("unit", F.col("total") / F.col("qty"))
     over = F.col("unit") > F.col("cap") + 1e-6
     n = F.greatest(F.lit(2), F.ceil(F.col("unit") / F.col("cap") - 1e-9)).cast("int")
-    heavy = each.where(over).withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n") * F.col("qty"))))
-    share = F.round(F.col("unit") / F.col("n"), 3)
-    net = F.when(F.col("k") % F.col("n") == 0, F.round(F.col("unit") - share * (F.col("n") - 1), 3)).otherwise(share)
-    parts = heavy.select(*keys, F.col("k").alias("part"), "l", "w", "h", F.lit(None).cast("int").alias("pieces"), net.alias("net_kg"))
     most = most_pieces(F.col("l"), F.col("w"), F.col("h"), F.col("unit"), F.col("qty"), F.col("cap"))
     most = F.when((most >= F.col("qty")) & (F.col("total") > F.col("cap") + 1e-6), F.greatest(F.lit(1), F.floor(F.col("qty") / 2))).otherwise(most).cast("int")
-    light = each.where(~over).withColumn("most", most).withColumn("k", F.explode(F.sequence(F.lit(1), F.ceil(F.col("qty") / F.col("most")).cast("int"))))
-    held = F.least(F.col("most"), F.col("qty") - (F.col("k") - 1) * F.col("most")).cast("int")
-    return parts.unionByName(light.select(*keys, F.col("k").alias("part"), "l", "w", "h", held.alias("pieces"), F.round(F.col("unit") * held, 3).alias("net_kg")))
+    # A heavy piece is n parts, the last of them with the rest; other rows are n crates' parts, the last of them with the rest.
+    each = each.withColumns({"over": over, "most": F.when(~over, most)}).withColumn("n", F.when(F.col("over"), n).otherwise(F.ceil(F.col("qty") / F.col("most")).cast("int")))
+    share, last = F.round(F.col("unit") / F.col("n"), 3), F.col("qty") - (F.col("n") - 1) * F.col("most")
+    kind = lambda rest, times, pieces, net: F.struct(F.lit(rest).alias("rest"), times.cast("int").alias("times"), pieces.cast("int").alias("pieces"), net.alias("net_kg"))
+    none, rounds = F.lit(None), F.col("n") - 1
+    heavy = F.array(kind(False, rounds * F.col("qty"), none, share), kind(True, F.col("qty"), none, F.round(F.col("unit") - share * rounds, 3)))
+    light = F.array(kind(False, rounds, F.col("most"), F.round(F.col("unit") * F.col("most"), 3)), kind(True, F.lit(1), last, F.round(F.col("unit") * last, 3)))
+    found = each.withColumn("k", F.explode(F.when(F.col("over"), heavy).otherwise(light))).where("k.times > 0").select("*", "k.*")
+    every = F.sequence(F.lit(1), F.col("n") * F.when(F.col("over"), F.col("qty")).otherwise(1))
+    parts = F.filter(every, lambda k: (k % F.col("n") == 0) == F.col("rest"))
+    return found.select(*keys, "l", "w", "h", "pieces", "net_kg", "times", parts.alias("parts"))
 
 
 def crate_type(length: Column, width: Column, height: Column, net_kg: Column) -> Column:
@@ -113,64 +122,83 @@ def _rank(length: float) -> int:
 
 
 class _Crate:
-    """One crate: its type, what it holds, and the outer length that this needs."""
+    """One crate: its type, what it holds, the outer length that this needs, and the room that this length gives."""
+
+    __slots__ = ("name", "l", "w", "h", "wall", "tare", "payload", "most", "limit", "rows", "net", "mm3", "longest", "room")
 
     def __init__(self, name: str, cap: float) -> None:
-        _, self.l, self.w, self.h, self.wall, self.tare, self.payload = next(r for r in CRATES if r[0] == name)
-        self.name, self.cap, self.rows, self.net, self.mm3, self.longest = name, cap, [], 0.0, 0.0, 0.0
+        _, self.l, self.w, self.h, self.wall, self.tare, self.payload = _SPEC[name]
+        self.name, self.most, self.limit = name, max(self.l * LONGER, self.l + LONGER_MM), min(cap, self.payload)
+        self.rows, self.net, self.mm3, self.longest, self.room = [], 0.0, 0.0, 0.0, 0.0
 
     @property
     def outer(self) -> float:
         return max(self.l, self.longest + CLEARANCE_MM + 2 * self.wall)
 
-    def takes(self, net: float, mm3: float, longest: float, sides: list[tuple[float, float]], cap: float) -> bool:
-        length = max(self.longest, longest) + CLEARANCE_MM + 2 * self.wall
-        if length > max(self.l * LONGER, self.l + LONGER_MM) or self.net + net > min(self.cap, cap, self.payload) + 1e-6:
-            return False
-        if self.rows and _rank(longest) > _rank(self.longest):  # short ones go into crates for longer ones only
-            return False
-        inner_w, inner_h = self.w - 2 * self.wall, self.h - 2 * self.wall
-        if any(not ((a <= inner_w and b <= inner_h) or (a <= inner_h and b <= inner_w)) for a, b in sides):
-            return False
-        return self.mm3 + mm3 <= (max(self.l, length) - 2 * self.wall) * inner_w * inner_h * FILL
-
-    def add(self, k: int, net: float, mm3: float, longest: float, cap: float) -> None:
+    def held(self, longest: float) -> float:
+        """What a crate for pieces of this length holds in cubic millimetres; nothing if it may not be made so long."""
+        length = longest + CLEARANCE_MM + 2 * self.wall
+        return -1.0 if length > self.most else (max(self.l, length) - 2 * self.wall) * (self.w - 2 * self.wall) * (self.h - 2 * self.wall) * FILL
+
+    def add(self, rows: list[int], net: float, mm3: float, longest: float, cap: float) -> None:
         """The lowest cap of what it holds is its own."""
-        self.rows.append(k)
-        self.cap = min(self.cap, cap)
-        self.net, self.mm3, self.longest = self.net + net, self.mm3 + mm3, max(self.longest, longest)
+        self.rows += rows
+        self.limit = min(self.limit, cap)
+        self.net, self.mm3 = self.net + net, self.mm3 + mm3
+        if longest > self.longest:
+            self.longest, self.room = longest, self.held(longest)
+
+
+_SPEC = {row[0]: row for row in CRATES}
+_INNER = {name: (w - 2 * wall, h - 2 * wall) for name, _, w, h, wall, _, _ in CRATES}
+
+
+def _types(w: float, h: float) -> frozenset[str]:
+    """The types that a piece of these sides goes into, either side upright."""
+    a, b = w + CLEARANCE_MM, h + CLEARANCE_MM
+    return frozenset(n for n, (iw, ih) in _INNER.items() if (a <= iw and b <= ih) or (a <= ih and b <= iw))
 
 
 def fill_crates(parts: list[dict]) -> list[_Crate]:
     """Parts, longest first, each into the fullest open crate that takes it, or one of its own; then the emptiest crates are dissolved into others while that works."""
     crates: list[_Crate] = []
-    sides = [(p["w"] + CLEARANCE_MM, p["h"] + CLEARANCE_MM) for p in parts]
+    sides = {wh: _types(*wh) for wh in {(p["w"], p["h"]) for p in parts}}
+    types = [sides[p["w"], p["h"]] for p in parts]
     mm3 = [float(p["l"]) * p["w"] * p["h"] * p["n"] for p in parts]
     least = list(accumulate((p["net_kg"] for p in reversed(parts)), min))[::-1]  # the lightest part from here on
     open_: list[_Crate] = []
     for k, p in enumerate(parts):
-        crate = max((c for c in open_ if c.takes(p["net_kg"], mm3[k], p["l"], [sides[k]], p["cap"])), key=lambda c: c.net, default=None)
+        # No part is longer than one before it: a crate keeps its length, and none is too short for what comes.
+        net, cap, volume, fits = p["net_kg"], p["cap"] + 1e-6, mm3[k], types[k]
+        crate, fullest = None, -1.0
+        for c in open_:
+            held = c.net
+            if held > fullest and held + net <= cap and held + net <= c.limit + 1e-6 and c.mm3 + volume <= c.room and c.name in fits:
+                crate, fullest = c, held
         if crate is None:
             crate = _Crate(p["crate_type"], p["cap"])
             crates.append(crate)
             open_.append(crate)
-        crate.add(k, p["net_kg"], mm3[k], p["l"], p["cap"])
-        if k + 1 < len(parts) and crate.net + least[k + 1] > min(crate.cap, crate.payload) + 1e-6:
-            open_.remove(crate)  # nothing that comes is light enough for it
+        crate.add([k], net, volume, p["l"], p["cap"])
+        if crate.room < 0 or (k + 1 < len(parts) and crate.net + least[k + 1] > crate.limit + 1e-6):
+            open_.remove(crate)  # too long to take anything, or nothing that comes is light enough for it
     crates.sort(key=lambda c: c.net)
     gone: set[int] = set()
     for i, guest in enumerate(crates):
         cap = min(parts[k]["cap"] for k in guest.rows)
+        fits, rank = frozenset.intersection(*(types[k] for k in guest.rows)), _rank(guest.longest)
         for j in range(i + 1, len(crates)):
             host = crates[j]
             if guest.net + host.net > cap + 1e-6:
                 break  # all others are heavier still
-            if host.takes(guest.net, guest.mm3, guest.longest, [sides[k] for k in guest.rows], cap):
-                for k in guest.rows:
-                    host.add(k, parts[k]["net_kg"], mm3[k], parts[k]["l"], parts[k]["cap"])
-                gone.add(i)
-                crates[i + 1 :] = sorted(crates[i + 1 :], key=lambda c: c.net)  # the host is heavier now
-                break
+            # Short ones go into crates for longer ones only.
+            if guest.net + host.net > host.limit + 1e-6 or host.name not in fits or rank > _rank(host.longest) or host.mm3 + guest.mm3 > (host.room if guest.longest <= host.longest else host.held(guest.longest)):
+                continue
+            for k in guest.rows:
+                host.add([k], parts[k]["net_kg"], mm3[k], parts[k]["l"], parts[k]["cap"])
+            gone.add(i)
+            crates[i + 1 :] = sorted(crates[i + 1 :], key=lambda c: c.net)  # the host is heavier now
+            break
     return [c for i, c in enumerate(crates) if i not in gone]
 
 
@@ -180,23 +208,23 @@ def build_crates(rows: DataFrame, key: str, row: str, cap: float = NET_CAP) -> D
     rows(key, row, l, w, h, qty, total_kg). Crates hold what their net cap, payload, room and bands of length allow; a part that fits no type goes alone
     into the longest, made as long as it needs, and is for a person to look at. A shipment of many parts is built by lots, dealt by hash.
     """
-    parts = split_rows(rows, key, row, cap=cap).withColumn("box_id", F.concat_ws("-", F.col(row).cast("string"), F.col("part").cast("string")))
-    parts = parts.withColumns({"cap": net_cap(F.col("l"), cap), "crate_type": crate_type(F.col("l"), F.col("w"), F.col("h"), F.col("net_kg")), "n": F.coalesce("pieces", F.lit(1))})
+    named = part_kinds(rows, key, row, cap=cap).withColumns({"cap": net_cap(F.col("l"), cap), "crate_type": crate_type(F.col("l"), F.col("w"), F.col("h"), F.col("net_kg")), "n": F.coalesce("pieces", F.lit(1))})
+    parts = count_lots(named, key, F.col("times")).withColumn("part", F.explode("parts")).drop("parts", "times")
+    parts = deal_lots(parts.withColumn("box_id", F.concat_ws("-", F.col(row).cast("string"), F.col("part").cast("string"))))
     kinds = dict(parts.dtypes)
     schema = f"{key} {kinds[key]}, {row} {kinds[row]}, part int, pieces int, net_kg double, crate_no bigint, crate_type string, crate_net_kg double, gross_kg double, outer_l double, outer_w double, outer_h double"
     order = [F.desc("l"), F.desc("net_kg"), F.desc(F.col("l").cast("double") * F.col("w") * F.col("h")), F.col("box_id")]
 
-    def run(lot: pd.DataFrame) -> pd.DataFrame:
-        at, crate = [], {c: [] for c in ("crate_no", "crate_type", "crate_net_kg", "gross_kg", "outer_l", "outer_w", "outer_h")}
-        first = int(lot["lot"].iloc[0]) * 1_000_000
-        for no, c in enumerate(fill_crates(lot[["l", "w", "h", "n", "net_kg", "cap", "crate_type"]].to_dict("records")), 1):
-            at += c.rows
-            for column, value in zip(crate.values(), (first + no, c.name, round(c.net, 3), round(c.net + c.tare * c.outer / c.l, 1), float(c.outer), float(c.w), float(c.h)), strict=True):
-                column += [value] * len(c.rows)
-        held = lot[[key, row, "part", "pieces", "net_kg"]].iloc[at].reset_index(drop=True)
-        return pd.concat([held.assign(pieces=held["pieces"].astype("Int32")), pd.DataFrame(crate)], axis=1)
-
-    return by_group(lots(parts, key), [key, "lot"], order, run, schema)
+    columns = ("l", "w", "h", "n", "net_kg", "cap", "crate_type")
+
+    def run(lot: dict[str, list]) -> list[tuple]:
+        first, out = lot["lot"][0] * 1_000_000, []
+        for no, c in enumerate(fill_crates([dict(zip(columns, values, strict=True)) for values in zip(*(lot[c] for c in columns), strict=True)]), first + 1):
+            crate = (no, c.name, round(c.net, 3), round(c.net + c.tare * c.outer / c.l, 1), float(c.outer), float(c.w), float(c.h))
+            out += ((lot[key][k], lot[row][k], lot["part"][k], lot["pieces"][k], lot["net_kg"][k], *crate) for k in c.rows)
+        return out
+
+    return by_rows(parts, [key, "lot"], order, run, schema)
 
 
 def crate_faults(built: DataFrame, rows: DataFrame, key: str, row: str) -> DataFrame:

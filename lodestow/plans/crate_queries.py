@@ -51,9 +51,9 @@ def crate_split(spark: SparkSession, d: str) -> DataFrame:
 
 def crate_pick(spark: SparkSession, d: str) -> DataFrame:
     """How many parts of each band of length go into which type."""
-    parts = crating.split_rows(_rows(spark, d), "shipment_id", "row_id")
-    named = parts.select(crating.length_band(F.col("l")).alias("band"), crating.crate_type(F.col("l"), F.col("w"), F.col("h"), F.col("net_kg")).alias("crate_type"))
-    return named.groupBy("band", "crate_type").agg(F.count("*").alias("n"))
+    kinds = crating.part_kinds(_rows(spark, d), "shipment_id", "row_id")
+    named = kinds.select(crating.length_band(F.col("l")).alias("band"), crating.crate_type(F.col("l"), F.col("w"), F.col("h"), F.col("net_kg")).alias("crate_type"), "times")
+    return named.groupBy("band", "crate_type").agg(F.sum("times").alias("n"))
 
 
 def crate_build(spark: SparkSession, d: str) -> DataFrame:
