@@ -77,9 +77,9 @@ def figure_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({_FIGURE}|[A-Za-z]+|公斤|千克|吨|[^\\sA-Za-z0-9.])"), F.lit(1))
 
 
-def masses_kg(text: Column) -> Column:
+def masses_kg(text: Column, words: Column | None = None) -> Column:
     """Every mass that a sentence states, in kilograms and in order; imperial units are converted to a tenth. See ``mass_figures``."""
-    return F.transform(mass_figures(text), lambda f: f["kg"])
+    return F.transform(mass_figures(text, words), lambda f: f["kg"])
 
 
 def mass_figures(text: Column, words: Column | None = None) -> Column:
@@ -108,7 +108,9 @@ def mass_figures(text: Column, words: Column | None = None) -> Column:
         value = F.when(well & scale.isNotNull() & ok, F.regexp_replace(x, "[, \\u00a0\\u202f]", "").try_cast("double"))
         return F.struct(F.when(imperial, F.round(value * scale, 1)).otherwise(value * scale).alias("kg"), i.alias("first"), (i + F.when(pair, 2).otherwise(1)).alias("last"))
 
-    found = F.filter(F.transform(tokens, figure), lambda f: f["kg"].isNotNull())
+    # Only what begins with a digit can be a figure; the other words are not looked at one by one.
+    figures = F.filter(F.transform(tokens, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda t: t["x"].rlike("^[0-9]"))
+    found = F.filter(F.transform(figures, lambda t: figure(t["x"], t["i"])), lambda f: f["kg"].isNotNull())
     between = lambda a, b: F.lower(F.array_join(F.slice(tokens, a["last"] + 2, F.greatest(b["first"] - a["last"] - 1, F.lit(0))), " "))
     openers = [f"{a}{' ' + r if r else ''}" for a in AGAIN for r in ("", *ROUGHLY)]
     none = F.array().cast("array<struct<kg:double,first:int,last:int>>")
