@@ -85,12 +85,21 @@ def stated_scope(raw: Column) -> Column:
     return F.when(package, "package").when(item, "item").when(row, "row")
 
 
-def number(raw: Column, field: Column, unit: Column) -> Column:
-    """struct(value, reason): a figure in its field's own unit. A unit is never inferred: without one, or against the header's, there is no value but a reason."""
+def read_figure(raw: Column) -> Column:
+    """struct(value, suffix) of a cell: its number, null where it is none, and the word after it."""
     text = F.trim(raw)
     shape = f"^([+-]?(?:[0-9]{{1,3}}(?:,[0-9]{{3}})+|[0-9]+)(?:\\.[0-9]+)?)\\s*([A-Za-z{_CJK}]*)$"
     value = F.when(text.rlike(shape), F.regexp_replace(F.regexp_extract(text, shape, 1), ",", "").try_cast("double"))
-    suffix = F.nullif(F.lower(F.regexp_extract(text, shape, 2)), F.lit(""))
+    return F.struct(value.alias("value"), F.nullif(F.lower(F.regexp_extract(text, shape, 2)), F.lit("")).alias("suffix"))
+
+
+def number(raw: Column, field: Column, unit: Column, read: Column | None = None) -> Column:
+    """struct(value, reason): a figure in its field's own unit. A unit is never inferred: without one, or against the header's, there is no value but a reason.
+
+    ``read`` is the cell's ``read_figure`` where a column holds it: otherwise every condition reads the cell again.
+    """
+    text, read = F.trim(raw), read_figure(raw) if read is None else read
+    value, suffix = read["value"], read["suffix"]
     table = lambda units: F.map_from_arrays(F.array(*(F.lit(u) for u in units)), F.array(*(F.lit(v) for v in units.values())))
     scale = lambda u: F.when(field.isin(*SIZES), F.try_element_at(table(LENGTHS), u)).otherwise(F.try_element_at(table(WEIGHTS), u))
     count = field.isin(*COUNTS)
@@ -120,8 +129,9 @@ def _label(raw: Column) -> tuple[Column, Column]:
 def _placed(cells: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(lines, filled): each line's kind, header, block and section, and the cells that hold something."""
     filled = cells.where(F.trim("raw") != "").select(*keys, "row", "col", "raw")
-    # A figure heads nothing: what has no letters is not looked up.
-    named = filled.withColumn("fields", F.when(F.col("raw").rlike(f"[A-Za-z{_CJK}]{{2}}|[{_CJK}]"), header_fields(F.col("raw"))).otherwise(F.array().cast("array<string>")))
+    # A figure heads nothing: what has no letters is not looked up, nor what has a digit but no Chinese: no header's name has digits.
+    heads = F.col("raw").rlike(f"[{_CJK}]|^[^0-9]*[A-Za-z][A-Za-z][^0-9]*$")
+    named = filled.withColumn("fields", F.when(heads, header_fields(F.col("raw"))).otherwise(F.array().cast("array<string>")))
     one, several = F.when(F.size("fields") == 1, F.col("fields")[0]), F.size("fields") > 1
     lines = named.groupBy(*keys, "row").agg(F.collect_set(one).alias("fields"), F.bool_or(several).alias("conflict"), F.min_by("raw", "col").alias("first"))
     header = ((F.size("fields") >= 2) | ((F.size("fields") >= 1) & F.col("conflict"))) & F.arrays_overlap("fields", F.array(F.lit("name"), F.lit("package_id"), F.lit("material_id")))
@@ -178,9 +188,9 @@ def assemble(cells: DataFrame, *keys: str, merges: DataFrame | None = None) -> t
     pieces = F.split("raw", "\\s*[x×*]\\s*")
     part = F.when(F.col("field") == "dimensions", F.when(F.size(pieces) == 3, F.get(pieces, F.col("_k"))).otherwise("?")).otherwise(F.col("raw"))
     each = body.select("*", F.posexplode("targets").alias("_k", "_to")).withColumn("_raw", part).withColumn("field", F.col("_to")).join(twice, [*on, "header_no", "field"])
-    parsed = number(F.col("_raw"), F.col("field"), F.col("_unit"))
     numeric = F.col("field").isin(*NUMBERS)
-    each = each.withColumn("_n", F.when(numeric & ~F.col("_twice"), parsed))
+    sure = numeric & ~F.col("_twice")
+    each = each.withColumn("_read", F.when(sure, read_figure(F.col("_raw")))).withColumn("_n", F.when(sure, number(F.col("_raw"), F.col("field"), F.col("_unit"), F.col("_read"))))
     text = F.when(~numeric & ~F.col("_twice"), F.trim("raw"))
     reason = F.when(F.col("_twice"), "several_columns").otherwise(F.nullif(F.col("_n.reason"), F.lit("none")))
     values = each.select(*on, "row", "field", F.col("_n.value").alias("v"), F.col("_n.suffix").alias("suffix"), text.alias("t"), reason.alias("reason"), "_scope")
