@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, text
 from ..operators import events as ev
-from ..operators import ledger, retrieval, schedule, tender
+from ..operators import ledger, ranking, retrieval, schedule, tender
 from .tables import SQL_CARGO, cargo, table
 
 # --- ledger
@@ -136,7 +136,7 @@ def kb_tokens(spark: SparkSession, d: str) -> DataFrame:
 def kb_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """The ten best documents for each benchmark text."""
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(text.index_tokens(F.col("text")))).alias("term"))
-    scored = retrieval.bm25(table(spark, d, "documents"), queries).withColumn("score", F.round("score", 6))
+    scored = ranking.bm25_nearest(table(spark, d, "documents"), queries, 10).withColumn("score", F.round("score", 6))
     return retrieval.top_k(scored, 10, "doc_id").select("query", "doc_id", "score", "rank")
 
 
@@ -155,10 +155,9 @@ def kb_best_paths(spark: SparkSession, d: str) -> DataFrame:
     """The three best paths for each conversation's first turn: documents of one source are one path."""
     first = table(spark, d, "conversations").where("turn = 1").select(F.col("conv_id").alias("query"), "text")
     queries = first.select("query", F.explode(F.array_distinct(text.index_tokens(F.col("text")))).alias("term"))
-    docs = table(spark, d, "documents")
-    scored = retrieval.bm25(docs, queries).join(docs.select("doc_id", "source", "lang"), "doc_id")
     layer = F.when(F.col("doc_id") % 3 == 0, "expert").when(F.col("doc_id") % 3 == 1, "category").otherwise("company")
-    hits = scored.select("query", F.concat_ws("/", "source", "lang").alias("path"), layer.alias("layer"), F.round("score", 4).alias("score"))
+    docs = table(spark, d, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang").alias("path"), layer.alias("layer"))
+    hits = ranking.bm25_best(docs, queries, ["path", "layer"]).withColumn("score", F.round("score", 4))
     return retrieval.best_by_path(hits, 3)
 
 
