@@ -79,11 +79,15 @@ def infeasible(rows: DataFrame, types: DataFrame, container_type: str = "40HQ",
 
 def oversize(rows: DataFrame, types: DataFrame, container_type: str) -> DataFrame:
     """Rows whose sorted edges exceed the sorted inner edges of the container: they fit no way round."""
-    inner = types.where(F.col("type") == container_type).select(F.sort_array(F.array("inner_l", "inner_w", "inner_h")).alias("inner"))
-    edges = rows.withColumn("edges", F.sort_array(F.array("length_mm", "width_mm", "height_mm"))).crossJoin(F.broadcast(inner))
+    edges = rows.withColumn("edges", F.sort_array(F.array("length_mm", "width_mm", "height_mm"))).crossJoin(F.broadcast(inner_edges(types, container_type)))
     return edges.where(F.exists(F.zip_with("edges", "inner", lambda a, b: a > b + 1e-6), lambda x: x))
 
 
+def inner_edges(types: DataFrame, container_type: str) -> DataFrame:
+    """(inner): the sorted inner edges of a type of container, one row."""
+    return types.where(F.col("type") == container_type).select(F.sort_array(F.array("inner_l", "inner_w", "inner_h")).alias("inner"))
+
+
 def centre_of_gravity(layout: DataFrame, boxes: DataFrame, length: float, width: float, height: float, *keys: str) -> DataFrame:
     """Centre of mass, share of mass in the middle half, and balance class of each container.
 

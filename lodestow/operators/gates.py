@@ -16,28 +16,56 @@ def _finite(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
 
 
-def missing_weight(rows: DataFrame, *cells: str) -> DataFrame:
-    """Rows without a usable weight: none of the cells holds a number above 0, or one that is written is no number or below 0."""
+def _picked(rows: DataFrame, condition: Column) -> DataFrame:
+    """Rows that meet the condition. It is an entry of a generator: a filter would go below the columns it reads, which are then worked out wherever it names them."""
+    return rows.select("*", F.explode(F.array(condition)).alias("_picked")).where("_picked").drop("_picked")
+
+
+def _number(cell: str) -> Column:
+    return F.col(f"_{cell}_number")
+
+
+def read(rows: DataFrame, *cells: str) -> DataFrame:
+    """rows with the number that each cell states, read once."""
+    return rows.withColumns({f"_{c}_number": plain_double(F.col(c)) for c in cells})
+
+
+def unweighed(*cells: str) -> Column:
+    """Of rows with their numbers read: none of the cells holds a number above 0, or one that is written is no number or below 0."""
     unusable, positive = F.lit(False), F.lit(False)
     for c in cells:
-        value = plain_double(F.col(c))
+        value = _number(c)
         sound = value.isNotNull() & ~F.isnan(value)
         unusable |= _written(F.col(c)) & ~(sound & (value >= 0))
         positive |= _written(F.col(c)) & sound & (value > 0)
-    return rows.where(unusable | ~positive)
+    return unusable | ~positive
+
+
+def lacking(*cells: str) -> Column:
+    """Of rows with their numbers read: the names of edges that are no number above 0."""
+    return F.concat_ws(",", *(F.when(~F.coalesce(_finite(_number(c)) & (_number(c) > 0), F.lit(False)), F.lit(c)) for c in cells))
+
+
+def uncounted(cell: str) -> Column:
+    """Of rows with their numbers read: the quantity is written, but is no whole number of 1 or more."""
+    value = _number(cell)
+    whole = _finite(value) & (value >= 1) & (value == F.floor(value))
+    return _written(F.col(cell)) & ~F.coalesce(whole, F.lit(False))
+
+
+def missing_weight(rows: DataFrame, *cells: str) -> DataFrame:
+    """Rows without a usable weight."""
+    return _picked(read(rows, *cells), unweighed(*cells)).select(*rows.columns)
 
 
 def missing_dimensions(rows: DataFrame, *cells: str) -> DataFrame:
     """Rows with an edge that is no number above 0, with the names of such edges."""
-    missing = F.array_compact(F.array(*(F.when(~F.coalesce(_finite(v := plain_double(F.col(c))) & (v > 0), F.lit(False)), F.lit(c)) for c in cells)))
-    return rows.withColumn("missing", F.array_join(missing, ",")).where("missing <> ''")
+    return _picked(read(rows, *cells).withColumn("missing", lacking(*cells)), F.col("missing") != "").select(*rows.columns, "missing")
 
 
 def invalid_quantity(rows: DataFrame, cell: str) -> DataFrame:
     """Rows whose quantity is written, but is no whole number of 1 or more."""
-    value = plain_double(F.col(cell))
-    whole = _finite(value) & (value >= 1) & (value == F.floor(value))
-    return rows.where(_written(F.col(cell)) & ~F.coalesce(whole, F.lit(False)))
+    return _picked(read(rows, cell), uncounted(cell)).select(*rows.columns)
 
 
 # Words that name packaging and transport equipment, alone or as parts of a name, and words that name cargo. A letter is a word's class.
@@ -78,17 +106,21 @@ def _own(classes: Column) -> Column:
     return classes
 
 
-def packaging(rows: DataFrame, *fields: str) -> DataFrame:
-    """Rows that name packaging or transport equipment and no cargo. Each cell is read by itself; what equipment carries is no cargo of the row."""
+def packaging_names(rows: DataFrame, *fields: str) -> DataFrame:
+    """The different cells (fields, an unknown one as '') that name packaging or transport equipment and no cargo. Each is read by itself, and once, however many rows state it."""
+    names = rows.select(*(F.coalesce(F.col(f), F.lit("")).alias(f) for f in fields)).distinct()
     # Cells side by side, parted by a letter that no rule crosses: worked out once for both questions.
-    names = F.array(F.concat_ws("|", *(word_classes(F.col(f)) for f in fields)))
-    return rows.where(F.exists(names, lambda x: x.contains("E") & ~_own(x).rlike("[CU]")))
+    classes = F.array(F.concat_ws("|", *(word_classes(F.col(f)) for f in fields)))
+    return _picked(names, F.exists(classes, lambda x: x.contains("E") & ~_own(x).rlike("[CU]")))
+
+
+def packaging(rows: DataFrame, *fields: str) -> DataFrame:
+    """Rows that name packaging or transport equipment and no cargo; what equipment carries is no cargo of the row."""
+    names = packaging_names(rows, *fields).select(*(F.col(f).alias(f"_{f}_name") for f in fields))
+    marked = rows.withColumns({f"_{f}_name": F.coalesce(F.col(f), F.lit("")) for f in fields})
+    return marked.join(names, [f"_{f}_name" for f in fields], "left_semi").select(*rows.columns)
 
 
-def all_gates(found: dict[str, DataFrame], *keys: str) -> DataFrame:
-    """(keys, reason, detail): the gates' rows one after another; a row may stand under several."""
-    parts = [df.select(*keys, F.lit(reason).alias("reason"), (F.col("missing") if "missing" in df.columns else F.lit("")).alias("detail")) for reason, df in found.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def reasons(found: dict[str, tuple[Column, Column]]) -> Column:
+    """An array with (reason, detail) of each gate (condition, detail) that a row stands under, null for the others; a row may stand under several."""
+    return F.array(*(F.when(when, F.struct(F.lit(reason).alias("reason"), detail.alias("detail"))) for reason, (when, detail) in found.items()))
