@@ -18,12 +18,14 @@ def upsert_latest(base: DataFrame, changes: DataFrame, keys: list[str], version:
 
 def merge_events(primary: DataFrame, fallback: DataFrame, run: str = "run_id", seq: str = "seq") -> DataFrame:
     """Numbered events: one a (run, seq), the primary source's if it has it. Unnumbered ones: as often as the source that holds them most often."""
-    both = primary.withColumn("_s", F.lit(0)).unionByName(fallback.withColumn("_s", F.lit(1)))
+    n = int(primary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Rows of runs are small once compressed: partitions of their own are not put together into ones that fill a task's memory.
+    both = primary.withColumn("_s", F.lit(0)).unionByName(fallback.withColumn("_s", F.lit(1))).repartition(n, run)
     others = [c for c in primary.columns if c != seq]
-    numbered = first_per(both.where(F.col(seq).isNotNull()), [run, seq], "_s", *(c for c in others if c != run))
-    nth = Window.partitionBy("_s", *others).orderBy(F.lit(0))
-    unnumbered = both.where(F.col(seq).isNull()).withColumn("_nth", F.row_number().over(nth)).dropDuplicates([*others, "_nth"]).drop("_nth")
-    return numbered.unionByName(unnumbered).drop("_s")
+    numbered = first_per(both.where(F.col(seq).isNotNull()), [run, seq], "_s", *(c for c in others if c != run)).drop("_s")
+    times = both.where(F.col(seq).isNull()).groupBy("_s", *others).agg(F.count("*").alias("_n")).groupBy(*others).agg(F.max("_n").alias("_n"))
+    unnumbered = times.select(*others, F.lit(None).cast(dict(primary.dtypes)[seq]).alias(seq), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))).alias("_n")).drop("_n")
+    return numbered.unionByName(unnumbered)
 
 
 def prune(runs: DataFrame, cutoff: Column, keep: int, session: str = "session_id", started: str = "started_at", run: str = "run_id") -> DataFrame:

@@ -48,7 +48,7 @@ def conservation_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").withColumn("run_id", F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd")))
+    e = table(spark, d, "events").withColumn("run_id", F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd"))).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "run_id")  # a number of its own: many small rows must not meet in few tasks
     return e.withColumn("seq", F.row_number().over(Window.partitionBy("run_id").orderBy("event_id")).cast("bigint")).withColumnRenamed("event_type", "type")
 
 
