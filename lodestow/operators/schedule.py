@@ -27,6 +27,8 @@ def resource_load(demands: DataFrame, resource: str = "resource", start: str = "
 def _fixpoint(state: DataFrame, step, value: str) -> DataFrame:
     """Repeat step until no value changes; lineage is cut with checkpoint() in the session's checkpoint folder.
 
+    Steps join by shuffles ("merge"): a side that is small enough to be sent would go through the driver in each round.
+
     A path without a cycle has fewer links than there are rows, so a change after that many steps means a cycle.
     """
     use_checkpoints(state.sparkSession)
@@ -46,8 +48,8 @@ def earliest_starts(tasks: DataFrame, links: DataFrame) -> DataFrame:
     """tasks(id, duration) with es, the longest path of links(before, after, lag) that leads to them. A level a step; a cycle is an error."""
 
     def step(state: DataFrame) -> DataFrame:
-        reach = links.join(state.select(F.col("id").alias("before"), (F.col("es") + F.col("duration")).alias("ends")), "before").groupBy(F.col("after").alias("id")).agg(F.max(F.col("ends") + F.col("lag")).alias("need"))
-        return state.join(reach, "id", "left").select("id", "duration", F.greatest("es", F.coalesce("need", F.lit(0))).alias("es"))
+        reach = links.join(state.select(F.col("id").alias("before"), (F.col("es") + F.col("duration")).alias("ends")).hint("merge"), "before").groupBy(F.col("after").alias("id")).agg(F.max(F.col("ends") + F.col("lag")).alias("need"))
+        return state.join(reach.hint("merge"), "id", "left").select("id", "duration", F.greatest("es", F.coalesce("need", F.lit(0))).alias("es"))
 
     return _fixpoint(tasks.withColumn("es", F.lit(0).cast("bigint")), step, "es")
 
@@ -57,7 +59,7 @@ def critical_path(tasks: DataFrame, links: DataFrame) -> DataFrame:
     forward = earliest_starts(tasks, links)
     end = forward.agg(F.max(F.col("es") + F.col("duration")).alias("makespan"))
     back = earliest_starts(tasks, links.select(F.col("after").alias("before"), F.col("before").alias("after"), "lag")).select("id", F.col("es").alias("tail"))
-    both = forward.join(back, "id").crossJoin(F.broadcast(end))  # one row
+    both = forward.join(back.hint("merge"), "id").crossJoin(F.broadcast(end))  # one row
     ls = F.col("makespan") - F.col("tail") - F.col("duration")
     return both.select("id", "duration", "es", ls.alias("ls"), (ls - F.col("es")).alias("slack"), (ls == F.col("es")).alias("critical"))
 
@@ -68,8 +70,8 @@ def shortest_routes(edges: DataFrame, origin: object) -> DataFrame:
     start = nodes.withColumn("distance", F.when(F.col("node") == origin, F.lit(0)).cast("bigint"))
 
     def step(state: DataFrame) -> DataFrame:
-        reach = edges.join(state.where("distance IS NOT NULL").select(F.col("node").alias("from"), "distance"), "from").groupBy(F.col("to").alias("node")).agg(F.min(F.col("distance") + F.col("weight")).alias("d"))
-        return state.join(reach, "node", "left").select("node", F.least("distance", "d").alias("distance"))
+        reach = edges.join(state.where("distance IS NOT NULL").select(F.col("node").alias("from"), "distance").hint("merge"), "from").groupBy(F.col("to").alias("node")).agg(F.min(F.col("distance") + F.col("weight")).alias("d"))
+        return state.join(reach.hint("merge"), "node", "left").select("node", F.least("distance", "d").alias("distance"))
 
     return _fixpoint(start, step, "distance")
 
@@ -80,7 +82,7 @@ def link_weights(tasks: DataFrame, links: DataFrame) -> DataFrame:
     kind is two letters: F or S, the end or start of before that counts, and the end or start of after that waits for it.
     """
     durations = tasks.select("id", "duration")
-    both = links.join(durations.withColumnsRenamed({"id": "before", "duration": "_b"}), "before").join(durations.withColumnsRenamed({"id": "after", "duration": "_a"}), "after")
+    both = links.join(durations.withColumnsRenamed({"id": "before", "duration": "_b"}).hint("merge"), "before").join(durations.withColumnsRenamed({"id": "after", "duration": "_a"}).hint("merge"), "after")
     weight = F.col("lag") + F.when(F.col("kind").startswith("F"), F.col("_b")).otherwise(0) - F.when(F.col("kind").endswith("F"), F.col("_a")).otherwise(0)
     return both.select("before", "after", weight.alias("weight"))
 
@@ -94,8 +96,8 @@ def schedule(tasks: DataFrame, links: DataFrame) -> DataFrame:
 
     def longest(w: DataFrame, start: DataFrame) -> DataFrame:
         def step(state: DataFrame) -> DataFrame:
-            reach = w.join(state.select(F.col("id").alias("before"), "at"), "before").groupBy(F.col("after").alias("id")).agg(F.max(F.col("at") + F.col("weight")).alias("need"))
-            return state.join(reach, "id", "left").select("id", "duration", F.greatest("at", "need").alias("at"))
+            reach = w.join(state.select(F.col("id").alias("before"), "at").hint("merge"), "before").groupBy(F.col("after").alias("id")).agg(F.max(F.col("at") + F.col("weight")).alias("need"))
+            return state.join(reach.hint("merge"), "id", "left").select("id", "duration", F.greatest("at", "need").alias("at"))
 
         return _fixpoint(start, step, "at")
 
@@ -103,7 +105,7 @@ def schedule(tasks: DataFrame, links: DataFrame) -> DataFrame:
     end = forward.agg(F.max(F.col("es") + F.col("duration")).alias("makespan"))
     back = weights.select(F.col("after").alias("before"), F.col("before").alias("after"), "weight")
     tails = longest(back, tasks.select("id", "duration", F.col("duration").cast("bigint").alias("at"))).select("id", F.col("at").alias("tail"))
-    both = forward.join(tails, "id").crossJoin(F.broadcast(end))  # one row
+    both = forward.join(tails.hint("merge"), "id").crossJoin(F.broadcast(end))  # one row
     ls = F.col("makespan") - F.col("tail")
     return both.select("id", "duration", "es", ls.alias("ls"), (ls - F.col("es")).alias("slack"), (ls == F.col("es")).alias("critical"))
 
@@ -116,20 +118,21 @@ def compare_baseline(baseline: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def ancestors(parents: DataFrame) -> DataFrame:
-    """(id, ancestor, depth) of a work breakdown parents(id, parent), by doubling: a round joins paths of up to 2^k levels end to end.
+    """(id, ancestor, depth) of a work breakdown parents(id, parent), by doubling: a round sends the paths of exactly 2^k levels on by what is above their ends.
 
-    A task that is its own ancestor is an error.
+    In a tree each pair comes up once. Where a task has several parents the shortest way counts. A task that is its own ancestor is an error.
     """
     use_checkpoints(parents.sparkSession)
-    closure = parents.where("parent IS NOT NULL").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct().checkpoint()
-    n = closure.count()
-    while True:
-        up = closure.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("_next"), F.col("depth").alias("_more"))
-        longer = closure.join(up, "ancestor").select("id", F.col("_next").alias("ancestor"), (F.col("depth") + F.col("_more")).alias("depth"))
-        closure = closure.unionByName(longer).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")).checkpoint()
-        if not closure.where("id = ancestor").isEmpty():
+    piece = closure = parents.where("parent IS NOT NULL").select("id", F.col("parent").alias("ancestor")).distinct().withColumn("depth", F.lit(1)).checkpoint()
+    tree = closure.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    span = 1
+    while not piece.isEmpty():
+        if not piece.where("id = ancestor").isEmpty():
             raise ValueError("a task is its own ancestor")
-        now = closure.count()
-        if now == n:
-            return closure
-        n = now
+        up = closure.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("_next"), F.col("depth").alias("_more"))
+        longer = piece.where(F.col("depth") == span).select("id", "ancestor").join(up.hint("merge"), "ancestor").select("id", F.col("_next").alias("ancestor"), (F.col("_more") + span).alias("depth"))
+        if not tree:
+            longer = longer.groupBy("id", "ancestor").agg(F.min("depth").alias("depth")).join(closure.select("id", "ancestor").hint("merge"), ["id", "ancestor"], "left_anti")
+        piece = longer.checkpoint()
+        closure, span = closure.unionByName(piece), span * 2
+    return closure
