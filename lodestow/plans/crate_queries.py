@@ -73,10 +73,10 @@ def _plans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     line = F.col("l_linenumber").cast("bigint")
     tasks = table(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / 6).alias("plan"), F.col("l_orderkey"), line.alias("line"), "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q"))
     tasks = tasks.withColumn("id", F.row_number().over(_order()).cast("bigint")).withColumn("duration", F.col("q") % 9)
-    tasks = storage.written(tasks)
-    after = tasks.where("id > 1").select("plan", (F.col("id") - 1 - F.col("l_partkey") % 2).alias("before"), F.col("id").alias("after"), F.when(F.col("l_suppkey") % 3 > 0, 1).alias("waits"))
-    lengths = tasks.select("plan", F.col("id").alias("before"), "duration")
-    links = after.where("waits = 1").join(lengths, ["plan", "before"]).select("plan", "before", "after", (F.col("duration") + F.col("after") % 3 - 1).alias("weight"))
+    back = F.when(F.col("l_partkey") % 2 == 0, F.lag("duration", 1).over(_order())).otherwise(F.lag("duration", 2).over(_order()))
+    tasks = storage.written(tasks.withColumn("back", back))
+    before = F.col("id") - 1 - F.col("l_partkey") % 2
+    links = tasks.where((before > 0) & (F.col("l_suppkey") % 3 > 0)).select("plan", before.alias("before"), F.col("id").alias("after"), (F.col("back") + F.col("id") % 3 - 1).alias("weight"))
     demands = tasks.select("plan", "id", F.concat(F.lit("crew"), F.col("l_suppkey") % 2).alias("resource"), (F.col("q") % 3 + 1).alias("units"))
     capacities = tasks.select("plan").distinct().select("plan", F.explode(F.expr("array(struct('crew0' AS resource, 4 AS capacity), struct('crew1' AS resource, 3 AS capacity))")).alias("c")).select("plan", "c.*")
     return tasks.select("plan", "id", "duration"), links, demands, capacities
