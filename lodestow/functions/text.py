@@ -6,9 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+RUN = "([a-z0-9_]+|[\\u4e00-\\u9fff]+)"
+
+
 def runs(text: Column) -> Column:
     """Runs of Latin letters, digits and _, and of CJK characters, in lower case."""
-    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+|[\\u4e00-\\u9fff]+)"), F.lit(1))
+    return F.regexp_extract_all(F.lower(text), F.lit(RUN), F.lit(1))
 
 
 def _cut(run: Column, n: int) -> Column:

@@ -147,7 +147,7 @@ def _titled(spark: SparkSession, d: str) -> DataFrame:
 def kb_score_topk(spark: SparkSession, d: str) -> DataFrame:
     """The five best documents for each benchmark text by its tokens in title, body and path."""
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.explode(text.tokens(F.col("text"))).alias("token"))
-    scored = retrieval.keyword_score(_titled(spark, d), queries, "title", "body", "path")
+    scored = retrieval.keyword_top(_titled(spark, d), queries, 5, "title", "body", "path")
     return retrieval.top_k(scored, 5, "doc_id").select("query", "doc_id", "score", "rank")
 
 
