@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -92,44 +92,58 @@ def package_labels(rows: DataFrame, group: str) -> DataFrame:
 _FACTS = ("package_count", "length_mm", "width_mm", "height_mm", "net_kg", "gross_kg")
 
 
+def _sound(*scoped: Column) -> Column:
+    """Do all rows of a group state package scopes, as counted by scoped, and equal facts?"""
+    n = F.count(F.lit(1))
+    sound = F.count("package_count") > 0
+    for s in scoped:
+        sound &= s == n
+    for f in _FACTS:
+        sound &= (F.count(f) == 0) | ((F.count(f) == n) & (F.min(f) == F.max(f)))
+    return sound
+
+
 def package_facts(rows: DataFrame, group: str) -> DataFrame:
     """One row for each package, or row without a label: (group, row_id, n_rows, conflict, package_count, net_kg, gross_kg).
 
     A package of several rows must state package scopes and equal facts and have one container; else it is a conflict and its
     facts are unknown. Weights are those of the whole package by its scope. row_id is its first row.
     """
-    labels = package_labels(rows, group).select(F.col(group).alias("_g"), F.col("package_id").alias("_p"), "ambiguous")
-    marked = rows.join(labels, (F.col(group) == F.col("_g")) & (F.trim("package_id") == F.col("_p")), "left").drop("_g")
-    where = F.when(F.col("ambiguous"), "?").otherwise(F.coalesce(F.trim("container_id"), F.lit("")))
-    own = F.when(F.col("_p").isNull(), F.col("row_id"))
-    one = [(F.count(f) == 0) | ((F.count(f) == F.count(F.lit(1))) & (F.min(f) == F.max(f))) for f in _FACTS]
-    alike = one[0]
-    for x in one[1:]:
-        alike &= x
-    scoped = (F.count_if(F.col("weight_scope") == "package") == F.count(F.lit(1))) & (F.count_if(F.col("dimension_scope") == "package") == F.count(F.lit(1)))
-    sound = ~F.coalesce(F.max("ambiguous"), F.lit(False)) & scoped & alike & (F.count("package_count") > 0)
+    label = F.when(F.col(group).isNotNull() & (F.trim("package_id") != ""), F.trim("package_id"))
+    marked = rows.withColumn("_p", label).withColumn("_c", F.coalesce(F.trim("container_id"), F.lit(""))).withColumn("_row", F.when(F.col("_p").isNull(), F.col("row_id")))
     first = lambda c, name: F.min_by(c, "row_id").alias(name)
-    each = marked.groupBy(group, "_p", where.alias("_c"), own.alias("_row")).agg(
-        F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("n_rows"), ((F.count(F.lit(1)) > 1) & ~sound).alias("conflict"),
+    boxes = marked.groupBy(group, "_p", "_c", "_row").agg(
+        F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("n_rows"), ((F.count(F.lit(1)) > 1) & ~_sound(F.count_if(F.col("weight_scope") == "package"), F.count_if(F.col("dimension_scope") == "package"))).alias("conflict"),
         first("package_count", "count"), first(row_total("net_kg"), "net"), first(row_total("gross_kg"), "gross"),
     )
+    # A label with and without a container is one package of two rows at least, whose containers differ: a conflict.
+    of_label = Window.partitionBy(group, "_p")
+    ambiguous = F.col("_p").isNotNull() & (F.min((F.col("_c") == "").cast("int")).over(of_label) < F.max((F.col("_c") == "").cast("int")).over(of_label))
+    each = boxes.withColumn("_ambiguous", ambiguous).groupBy(group, "_p", F.when(F.col("_ambiguous"), "?").otherwise(F.col("_c")).alias("_where"), "_row").agg(
+        F.min("row_id").alias("row_id"), F.sum("n_rows").alias("n_rows"), (F.max((F.col("conflict") | F.col("_ambiguous")).cast("int")) == 1).alias("conflict"), *(F.max(c).alias(c) for c in ("count", "net", "gross"))
+    )
     sure = lambda c: F.when(~F.col("conflict"), F.col(c))
     return each.select(group, "row_id", "n_rows", "conflict", sure("count").alias("package_count"), sure("net").alias("net_kg"), sure("gross").alias("gross_kg"))
 
 
+def _row_faults() -> list[tuple[Column, str, str, str]]:
+    """(when, severity, code, field) of what may be wrong with one row."""
+    numbers = ("quantity", "package_count", "units_per_package", "length_mm", "width_mm", "height_mm", "net_kg", "gross_kg")
+    found = [(F.col(f).isNull(), "warning", f"missing_{f}", f) for f in ("name", "quantity", "package_count")]
+    found += [(F.col(f) == 0, "warning", "zero_value", f) for f in numbers]
+    found.append((F.col("quantity") != F.col("package_count") * F.col("units_per_package"), "error", "quantity_mismatch", "quantity"))
+    found.append((F.col("gross_kg") < F.col("net_kg"), "error", "gross_below_net", "gross_kg"))
+    sized = F.coalesce("length_mm", "width_mm", "height_mm").isNotNull()
+    found.append((sized & F.col("dimension_scope").isNull(), "error", "unknown_scope", "dimension_scope"))
+    found.append((F.coalesce("net_kg", "gross_kg").isNotNull() & F.col("weight_scope").isNull(), "error", "unknown_scope", "weight_scope"))
+    return found
+
+
 def row_issues(rows: DataFrame) -> DataFrame:
     """(keys of rows, severity, code, field) of each issue of one row."""
     issue = lambda when, severity, code, field: F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.lit(field).alias("field")))
-    numbers = ("quantity", "package_count", "units_per_package", "length_mm", "width_mm", "height_mm", "net_kg", "gross_kg")
-    found = [issue(F.col(f).isNull(), "warning", f"missing_{f}", f) for f in ("name", "quantity", "package_count")]
-    found += [issue(F.col(f) == 0, "warning", "zero_value", f) for f in numbers]
-    found.append(issue(F.col("quantity") != F.col("package_count") * F.col("units_per_package"), "error", "quantity_mismatch", "quantity"))
-    found.append(issue(F.col("gross_kg") < F.col("net_kg"), "error", "gross_below_net", "gross_kg"))
-    sized = F.coalesce("length_mm", "width_mm", "height_mm").isNotNull()
-    found.append(issue(sized & F.col("dimension_scope").isNull(), "error", "unknown_scope", "dimension_scope"))
-    found.append(issue(F.coalesce("net_kg", "gross_kg").isNotNull() & F.col("weight_scope").isNull(), "error", "unknown_scope", "weight_scope"))
     keys = [c for c in ("shipment_id", "row_id") if c in rows.columns]
-    return rows.select(*keys, F.explode(F.array_compact(F.array(*found))).alias("i")).select(*keys, "i.*")
+    return rows.select(*keys, F.explode(F.array_compact(F.array(*(issue(*x) for x in _row_faults())))).alias("i")).select(*keys, "i.*")
 
 
 def ledger_issues(rows: DataFrame, group: str = "shipment_id") -> DataFrame:
@@ -140,6 +154,32 @@ def ledger_issues(rows: DataFrame, group: str = "shipment_id") -> DataFrame:
     return row_issues(rows).unionByName(packages).unionByName(of_units("n + unknown > 1", "mixed_quantity_units")).unionByName(of_units("unknown = 1", "unknown_quantity_unit"))
 
 
+def issue_counts(rows: DataFrame, group: str = "shipment_id", *sums: str) -> DataFrame:
+    """(group, n_rows, errors, warnings, sums): how many of ledger_issues each document has, with sums of columns of its rows.
+
+    No issue is made to be counted, and a document's rows meet once: first those of one label in one container, then those of a label, then all.
+    """
+    number = lambda severity: sum((F.when(when, 1).otherwise(0) for when, s, _, _ in _row_faults() if s == severity), F.lit(0)).cast("bigint")
+    unit, label = unit_key(F.col("unit")), F.trim("package_id")
+    rows = rows.withColumn("_unit", unit).withColumn("_other", ~F.col("_unit").eqNullSafe(F.first("_unit").over(Window.partitionBy(group))))
+    rows = rows.select(
+        group, F.when(label != "", label).alias("_p"), F.coalesce(F.trim("container_id"), F.lit("")).alias("_c"), F.when(F.coalesce(label, F.lit("")) == "", F.col("row_id")).alias("_row"), *_FACTS,
+        (F.col("weight_scope").eqNullSafe("package") & F.col("dimension_scope").eqNullSafe("package")).alias("_scoped"), number("error").alias("_errors"), number("warning").alias("_warnings"),
+        F.col("_other").cast("int").alias("_other"), F.col("_unit").isNull().cast("int").alias("_unknown"), *(F.col(c).alias(f"_sum_{c}") for c in sums),
+    )
+    kept = ("_errors", "_warnings", *(f"_sum_{c}" for c in sums))
+    together = lambda: (*(F.sum(c).alias(c) for c in kept), F.max("_other").alias("_other"), F.max("_unknown").alias("_unknown"))
+    n = F.count(F.lit(1))
+    boxes = rows.groupBy(group, "_p", "_c", "_row").agg(n.alias("_n"), ((n > 1) & ~_sound(F.count_if("_scoped"))).cast("bigint").alias("_conflict"), *together())
+    # A label with and without a container has two rows at least and is one package, a conflict.
+    bare, stated = F.max((F.col("_c") == "").cast("int")), F.max((F.col("_c") != "").cast("int"))
+    conflicts = F.when(F.col("_p").isNotNull() & (bare + stated == 2), F.lit(1)).otherwise(F.sum("_conflict")).cast("bigint")
+    labels = boxes.groupBy(group, "_p").agg(F.sum("_n").alias("_n"), conflicts.alias("_conflict"), *together())
+    found = labels.groupBy(group).agg(F.sum("_n").alias("n_rows"), F.sum("_conflict").alias("_conflict"), *together())
+    warnings = F.col("_warnings") + F.col("_other") + F.col("_unknown")
+    return found.select(group, "n_rows", (F.col("_errors") + F.col("_conflict")).alias("errors"), warnings.alias("warnings"), *(F.col(f"_sum_{c}").alias(c) for c in sums))
+
+
 def compare_by_id(current: DataFrame, other: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, status, differs): rows meet by an explicit id only; an id that repeats on a side is ambiguous, rows without one are left out."""
 

@@ -151,14 +151,14 @@ def ledger_audit(spark: SparkSession, d: str) -> DataFrame:
 
 def ledger_summary(spark: SparkSession, d: str) -> DataFrame:
     """Of each document its errors and warnings, and whether it is ready: no error, all scopes of packages, all facts above 0."""
-    rows = _ledger(spark, d)
-    issues = ledger.ledger_issues(rows).groupBy("shipment_id").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
     positive = F.lit(True)
     for f in ("package_count", "gross_kg", "length_mm", "width_mm", "height_mm"):
         positive &= F.coalesce(F.col(f) > 0, F.lit(False))
     complete = F.coalesce((F.col("weight_scope") == "package") & (F.col("dimension_scope") == "package"), F.lit(False)) & positive
-    documents = rows.groupBy("shipment_id").agg(F.count("*").alias("n_rows"), F.count_if(~complete).alias("incomplete")).join(issues, "shipment_id", "left").na.fill(0)
-    return documents.select("shipment_id", "n_rows", "errors", "warnings", ((F.col("errors") == 0) & (F.col("incomplete") == 0)).alias("ready"))
+    counts = ledger.issue_counts(_ledger(spark, d).withColumn("incomplete", (~complete).cast("bigint")), "shipment_id", "incomplete")
+    # Rows of no document are no document's issues.
+    errors, warnings = (F.when(F.col("shipment_id").isNotNull(), F.col(c)).otherwise(0).alias(c) for c in ("errors", "warnings"))
+    return counts.select("shipment_id", "n_rows", errors, warnings, "incomplete").select("shipment_id", "n_rows", "errors", "warnings", ((F.col("errors") == 0) & (F.col("incomplete") == 0)).alias("ready"))
 
 
 def ledger_compare(spark: SparkSession, d: str) -> DataFrame:
