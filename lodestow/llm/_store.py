@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +38,19 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def dealt(df: DataFrame, name: str, key: str) -> Iterator[DataFrame]:
+    """df, kept in buckets of key, so that joins and groups on key need no exchange. Its table is gone afterwards; its files stay."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(parts, key).option("path", f"{shared_dir(spark)}/lodestow/{table}").saveAsTable(table)
+    try:
+        yield spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 def bounded(ids: DataFrame) -> DataFrame:
     """ids, marked for broadcast if a count of them allows. ids should be kept or cheap: they are counted here."""
     return F.broadcast(ids) if ids.limit(SENT_ROWS + 1).count() <= SENT_ROWS else ids

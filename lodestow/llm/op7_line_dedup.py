@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from ._store import bounded, keep
+from ._store import bounded, dealt, keep
 
 #: Jaccard threshold as a fraction.
 P, Q = 4, 5
@@ -45,7 +46,11 @@ def text_hash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """What tells rows of one id with different texts apart: a hash of the text, or nothing (0) where no id has two texts."""
     h = F.xxhash64(F.lit(0), text_col)
     ids = docs.groupBy(id_col).agg(F.min(h).alias("low"), F.max(h).alias("high"))
-    return F.lit(0).cast("bigint") if ids.where("low <> high").isEmpty() else h
+    return _no_hash() if ids.where("low <> high").isEmpty() else h
+
+
+def _no_hash() -> Column:
+    return F.lit(0).cast("bigint")
 
 
 def lines_of(docs: DataFrame, h: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,7 +76,17 @@ def _same(a: str, b: str, fields: tuple[str, ...] = _PLACE) -> Column:
 def _copies(docs: DataFrame, h: Column, id_col: str, text_col: str) -> DataFrame:
     """Lines of words, (id, h, pos, line, k1, k2, first): first is the place of the first of equal lines, null if there are no others."""
     lines = _spoken(lines_of(docs, h, id_col, text_col)).withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(1), "line")})
-    firsts = lines.groupBy("k1", "k2").agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("of")).where("of > 1").drop("of")
+    lines_of_key = lines.groupBy("k1", "k2")
+    if str(h) == str(_no_hash()) and isinstance(lines.schema["id"].dataType, IntegralType):
+        # One number in order of id (none first) and position is summed up by hashing, where places of three fields would be sorted.
+        at = F.coalesce(F.col("id").cast("decimal(20,0)"), F.expr(f"{-(1 << 63) - 1}BD")) * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")
+        firsts = lines_of_key.agg(F.min(at.cast("decimal(32,0)")).alias("at"), F.count("*").alias("of")).where("of > 1")
+        pos = F.expr(f"pmod(at, {1 << 31}BD)")
+        firsts = firsts.select("k1", "k2", pos.alias("pos"), F.expr(f"(at - pmod(at, {1 << 31}BD)) / {1 << 31}BD").cast("decimal(20,0)").alias("id"))
+        kind = lines.schema["id"].dataType
+        firsts = firsts.select("k1", "k2", F.struct(F.when(F.expr(f"id > {-(1 << 63) - 1}BD"), F.col("id").cast(kind)).alias("id"), h.alias("h"), F.col("pos").cast("int").alias("pos")).alias("first"))
+    else:
+        firsts = lines_of_key.agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("of")).where("of > 1").drop("of")
     return lines.join(bounded(keep(firsts, "firsts")), ["k1", "k2"], "left")
 
 
@@ -143,27 +158,27 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = _posted(lines.where(F.col("first").isNull() | (F.struct(*_PLACE) == F.col("first"))), levels)
     shared = shared.withColumn("y", F.min("x").over(by_key)).withColumn("of", F.count("*").over(by_key)).where("of > 1 AND NOT (x.id <=> y.id AND x.h = y.h AND x.pos = y.pos)")
     shared = shared.withColumn("head", F.when(F.expr(_NEAR), F.struct("y.id", "y.h", "y.pos"))).where("of > 2 OR head IS NOT NULL").select("key", "x", "of", "head")
-    shared = keep(shared, "shared")
-    place = F.struct("x.id", "x.h", "x.pos")
-    heads = keep(shared.where("head IS NOT NULL").select(place.alias("x"), F.col("head").alias("y")).distinct(), "heads")
-    gone = keep(_verified(heads, docs, h, id_col, text_col), "gone")
-    # A line that is found to go is no later line of another pair, but an earlier one it may be. Its mark is tested as
-    # part of the join, so that both sides are one exchange. Of all its earlier candidates each line is compared with the one whose
-    # bitmap is closest, and only lines that don't match it, and have others, with those.
-    found = bounded(gone.select(F.col("x").alias("g"), F.lit(1).alias("found")))
-    marked = shared.where("of > 2").select("key", "x").join(found, _same("x", "g"), "left").select("key", "x", F.coalesce("found", F.lit(0)).alias("found"))
-    later = marked.select("key", "x", F.col("found").alias("fx"))
-    earlier = marked.select("key", F.col("x").alias("y"), F.col("found").alias("fy"))
-    near = later.join(earlier, "key").where(f"fx + 0 * fy = 0 AND {_NEAR} AND y < x")
-    candidate = F.struct("y.id", "y.h", "y.pos")
-    best = near.groupBy("x.id", "x.h", "x.pos").agg(F.min(F.struct(F.expr(_DIFFER).alias("d"), candidate.alias("y"))).alias("b"), F.min(candidate).alias("low"), F.max(candidate).alias("high"))
-    best = keep(best.select(F.struct(*_PLACE).alias("x"), F.col("b.y").alias("y"), (F.col("low") != F.col("high")).alias("others")), "best")
-    closest = keep(_verified(best.select("x", "y"), docs, h, id_col, text_col), "closest")
-    rest = keep(best.where("others").join(closest.select(F.col("x").alias("g")), _same("x", "g"), "left_anti").select(F.col("x").alias("r"), F.col("y").alias("tried")), "rest")
-    asked = shared.where("of > 2").select("key", "x").join(bounded(rest), _same("x", "r")).select("key", "x", "tried")
-    earlier = shared.where("of > 2").select("key", F.col("x").alias("y"))
-    others = earlier.join(bounded(asked), "key").where(f"{_NEAR} AND y < x").select(place.alias("x"), candidate.alias("y"), "tried").where(~_same("y", "tried"))
-    gone = gone.unionByName(closest).unionByName(_verified(keep(others.select("x", "y").distinct(), "others"), docs, h, id_col, text_col)).select("x.*")
+    with dealt(shared, "shared", "key") as shared:
+        place = F.struct("x.id", "x.h", "x.pos")
+        heads = keep(shared.where("head IS NOT NULL").select(place.alias("x"), F.col("head").alias("y")).distinct(), "heads")
+        gone = keep(_verified(heads, docs, h, id_col, text_col), "gone")
+        # A line that is found to go is no later line of another pair, but an earlier one it may be. Its mark is tested as
+        # part of the join, so that both sides are one exchange. Of all its earlier candidates each line is compared with the one whose
+        # bitmap is closest, and only lines that don't match it, and have others, with those.
+        found = bounded(gone.select(F.col("x").alias("g"), F.lit(1).alias("found")))
+        marked = shared.where("of > 2").select("key", "x").join(found, _same("x", "g"), "left").select("key", "x", F.coalesce("found", F.lit(0)).alias("found"))
+        later = marked.select("key", "x", F.col("found").alias("fx"))
+        earlier = marked.select("key", F.col("x").alias("y"), F.col("found").alias("fy"))
+        near = later.join(earlier, "key").where(f"fx + 0 * fy = 0 AND {_NEAR} AND y < x")
+        candidate = F.struct("y.id", "y.h", "y.pos")
+        best = near.groupBy("x.id", "x.h", "x.pos").agg(F.min(F.struct(F.expr(_DIFFER).alias("d"), candidate.alias("y"))).alias("b"), F.min(candidate).alias("low"), F.max(candidate).alias("high"))
+        best = keep(best.select(F.struct(*_PLACE).alias("x"), F.col("b.y").alias("y"), (F.col("low") != F.col("high")).alias("others")), "best")
+        closest = keep(_verified(best.select("x", "y"), docs, h, id_col, text_col), "closest")
+        rest = keep(best.where("others").join(closest.select(F.col("x").alias("g")), _same("x", "g"), "left_anti").select(F.col("x").alias("r"), F.col("y").alias("tried")), "rest")
+        asked = shared.where("of > 2").select("key", "x").join(bounded(rest), _same("x", "r")).select("key", "x", "tried")
+        earlier = shared.where("of > 2").select("key", F.col("x").alias("y"))
+        others = earlier.join(bounded(asked), "key").where(f"{_NEAR} AND y < x").select(place.alias("x"), candidate.alias("y"), "tried").where(~_same("y", "tried"))
+        gone = gone.unionByName(closest).unionByName(_verified(keep(others.select("x", "y").distinct(), "others"), docs, h, id_col, text_col)).select("x.*")
     copies = lines.where("first IS NOT NULL").where(F.struct(*_PLACE) != F.col("first")).select(*_PLACE)
     return keep(gone.unionByName(copies).where("id IS NOT NULL"), "removed")
 

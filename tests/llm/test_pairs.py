@@ -239,3 +239,25 @@ def test_hot_passage_keeps_links(spark):
     got = {r.doc_id: r.component_id for r in op6.jaccard_components(frame(spark, rows), 5, (80, 100)).collect()}
     assert (got[40], got[41]) == (5, 6)
     assert Counter(got.values()).most_common(3)[2][1] == 1
+
+
+def test_postings_are_dealt_once(spark, monkeypatch):
+    """Postings were dealt by key again for each join; and first places were found by a sort of all lines."""
+    plans, real, limit = {}, op7.keep, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    explained = lambda df: df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+    monkeypatch.setattr(op7, "keep", lambda df, name: (plans.setdefault(name, explained(df)), real(df, name))[1])
+    ids = [3, None, -(2**63), 2**63 - 1, 0, -1]
+    texts = ["b c d e f\n\na  b\nsame line", "a  b\nalone here", "x y\nsame line\nx y", "x y\na  b", "a b\nb c d e f g", "b c d e f g h\nsame line\na b"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for kind in ("long", "string"):
+            docs = spark.createDataFrame([(i if kind == "long" or i is None else f"{i:+021d}", t) for i, t in zip(ids, texts, strict=True)], f"doc_id {kind}, text string")
+            got = {(r.id, r.pos) for r in op7.later_matches(docs).collect()}
+            every = [(i, p, frozenset(x.split())) for i, t in sorted(docs.collect(), key=lambda r: (r[0] is not None, r[0] or (0 if kind == "long" else ""))) for p, x in enumerate(t.split("\n")) if x.split()]
+            assert got == {(i, p) for k, (i, p, w) in enumerate(every) if i is not None and any(5 * len(w & v) >= 4 * len(w | v) for _, _, v in every[:k])}
+            assert "hashpartitioning(key" not in plans["best"] and "hashpartitioning(key" not in plans["others"]
+            assert ("SortAggregate" in plans["firsts"]) == (kind == "string")
+            plans.clear()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert not spark.catalog.listTables()
