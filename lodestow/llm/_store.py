@@ -44,7 +44,7 @@ def dealt(df: DataFrame, name: str, key: str) -> Iterator[DataFrame]:
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.format("parquet").bucketBy(parts, key).option("path", f"{shared_dir(spark)}/lodestow/{table}").saveAsTable(table)
+    df.write.format("parquet").option("compression", "zstd").bucketBy(parts, key).option("path", f"{shared_dir(spark)}/lodestow/{table}").saveAsTable(table)
     try:
         yield spark.table(table)
     finally:

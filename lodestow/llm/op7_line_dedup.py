@@ -162,14 +162,12 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         place = F.struct("x.id", "x.h", "x.pos")
         heads = keep(shared.where("head IS NOT NULL").select(place.alias("x"), F.col("head").alias("y")).distinct(), "heads")
         gone = keep(_verified(heads, docs, h, id_col, text_col), "gone")
-        # A line that is found to go is no later line of another pair, but an earlier one it may be. Its mark is tested as
-        # part of the join, so that both sides are one exchange. Of all its earlier candidates each line is compared with the one whose
-        # bitmap is closest, and only lines that don't match it, and have others, with those.
-        found = bounded(gone.select(F.col("x").alias("g"), F.lit(1).alias("found")))
-        marked = shared.where("of > 2").select("key", "x").join(found, _same("x", "g"), "left").select("key", "x", F.coalesce("found", F.lit(0)).alias("found"))
-        later = marked.select("key", "x", F.col("found").alias("fx"))
-        earlier = marked.select("key", F.col("x").alias("y"), F.col("found").alias("fy"))
-        near = later.join(earlier, "key").where(f"fx + 0 * fy = 0 AND {_NEAR} AND y < x")
+        # A line that is found to go is no later line of another pair, but an earlier one it may be. Of all its earlier candidates each
+        # line is compared with the one whose bitmap is closest, and only lines that don't match it, and have others, with those.
+        found = bounded(gone.select(F.col("x").alias("g")))
+        later = shared.where("of > 2").select("key", "x").join(found, _same("x", "g"), "left_anti")
+        earlier = shared.where("of > 2").select("key", F.col("x").alias("y"))
+        near = later.join(earlier, "key").where(f"{_NEAR} AND y < x")
         candidate = F.struct("y.id", "y.h", "y.pos")
         best = near.groupBy("x.id", "x.h", "x.pos").agg(F.min(F.struct(F.expr(_DIFFER).alias("d"), candidate.alias("y"))).alias("b"), F.min(candidate).alias("low"), F.max(candidate).alias("high"))
         best = keep(best.select(F.struct(*_PLACE).alias("x"), F.col("b.y").alias("y"), (F.col("low") != F.col("high")).alias("others")), "best")
