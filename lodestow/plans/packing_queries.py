@@ -98,8 +98,8 @@ def stow_verify(spark: SparkSession, d: str) -> DataFrame:
 
 def stow_search(spark: SparkSession, d: str) -> DataFrame:
     """By the fewest containers that weight and volume allow: consignments, and how many took fewer (none can) or left a piece out."""
-    layout, pieces = _stowed(spark, d)
-    found = balance.container_search(layout, pieces, SIZE, PAYLOAD, 0.95, 99, "consignment")
+    pieces = _consignments(spark, d)
+    found = balance.container_search(stow_layout(spark, d), pieces, SIZE, PAYLOAD, 0.95, 99, "consignment")
     return found.groupBy("n0").agg(F.count("*").alias("n_consignments"), F.count_if(F.col("n") < F.col("n0")).alias("fewer"), F.count_if(~F.col("fits")).alias("unfit"))
 
 
