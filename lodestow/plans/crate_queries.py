@@ -63,9 +63,12 @@ def crate_build(spark: SparkSession, d: str) -> DataFrame:
 def crate_verify(spark: SparkSession, d: str) -> DataFrame:
     """Rows and pieces in crates, and faults: none is right; more parts than crates, as parts are put together."""
     rows = _rows(spark, d)
-    built = storage.written(crating.build_crates(rows, "shipment_id", "row_id"))
+    built = storage.written(crating.equal_crates(rows, "shipment_id", "row_id"))
     faults = crating.crate_faults(built, rows, "shipment_id", "row_id").agg(F.count("*").alias("faults"))
-    return built.agg(F.count("*").alias("n_parts"), F.count_distinct("shipment_id", "row_id").alias("n_rows"), F.sum("pieces").alias("n_pieces"), (F.count_distinct("shipment_id", "crate_no") < F.count("*")).alias("together")).crossJoin(faults)  # one row each
+    crates = built.groupBy("shipment_id", "crate_no").agg(F.first("crates").alias("n")).agg(F.sum("n").alias("crates"))
+    parts = F.size("parts")
+    held = built.groupBy("shipment_id", "row_id").agg(F.sum(parts).alias("n"), F.sum(F.col("pieces") * parts).alias("pieces")).agg(F.sum("n").alias("n_parts"), F.count("*").alias("n_rows"), F.sum("pieces").alias("n_pieces"))
+    return held.crossJoin(crates).crossJoin(faults).select("n_parts", "n_rows", "n_pieces", (F.col("crates") < F.col("n_parts")).alias("together"), "faults")  # one row each
 
 
 def _plans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
