@@ -40,6 +40,8 @@ COUNTS, SIZES, MASSES = ("package_count", "quantity", "units_per_package"), ("le
 NUMBERS = (*COUNTS, *SIZES, *MASSES)
 TEXTS = ("container_id", "package_type", "package_id", "material_id", "name", "spec", "unit")
 MOST = 1e12
+#: A list of headings is sent to all executors up to so many; a longer one is joined by a shuffle.
+SENT_HEADINGS = 100_000
 _CJK = "\\u4e00-\\u9fff"
 
 
@@ -106,8 +108,11 @@ def number(raw: Column, field: Column, unit: Column, read: Column | None = None)
     named = F.when(field == "package_count", suffix.isin(*PACKAGES)).otherwise(suffix.isin(*PIECES))
     use = F.coalesce(suffix, unit)
     scaled = F.round(value * scale(use), 8)
+    # A function over a list keeps Spark from compiling all conditions into one method, too long for the JVM to optimise.
+    said = F.coalesce(text, F.lit(""))
+    nothing = F.exists(F.array(*(F.lit(w) for w in ("", *NOTHING))), lambda w: (w == said) | (w == F.upper(said)))
     reason = (
-        F.when(F.coalesce(text, F.lit("")).isin("", *NOTHING) | F.upper(text).isin(*NOTHING), "none")
+        F.when(nothing, "none")
         .when(value.isNull(), "unclear").when((value < 0) | (value > MOST), "out_of_range")
         .when(count & ((value != F.floor(value)) | (suffix.isNotNull() & ~named)), "not_a_count")
         .when(~count & suffix.isNotNull() & scale(suffix).isNull(), "unknown_unit")
@@ -121,22 +126,32 @@ def _label(raw: Column) -> tuple[Column, Column]:
     """Is this the label of a total, of a grand total?"""
     cjk, other = F.regexp_replace(raw, f"[^{_CJK}]", ""), _plain(F.regexp_replace(raw, f"[{_CJK}]+", ""))
     some = (cjk != "") | (other != "")
-    total = some & ((cjk == "") | cjk.isin(*TOTALS)) & ((other == "") | other.isin(*TOTALS))
+    # No label has a digit: most first cells are read no further.
+    total = ~raw.rlike("[0-9]") & some & ((cjk == "") | cjk.isin(*TOTALS)) & ((other == "") | other.isin(*TOTALS))
     grand = total & (cjk.isin(*GRAND) | other.isin(*GRAND)) & ((cjk == "") | cjk.isin("总计", "合计")) & ((other == "") | other.isin("total", "grandtotal"))
     return F.coalesce(total, F.lit(False)), F.coalesce(grand, F.lit(False))
 
 
-def _placed(cells: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(lines, filled): each line's kind, header, block and section, and the cells that hold something."""
-    filled = cells.where(F.trim("raw") != "").select(*keys, "row", "col", "raw")
+def _headings(filled: DataFrame) -> DataFrame:
+    """(raw, fields, unit, scope) of the distinct texts that name a field: each is read once, however many sheets have it."""
     # A figure heads nothing: what has no letters is not looked up, nor what has a digit but no Chinese: no header's name has digits.
     heads = F.col("raw").rlike(f"[{_CJK}]|^[^0-9]*[A-Za-z][A-Za-z][^0-9]*$")
-    named = filled.withColumn("fields", F.when(heads, header_fields(F.col("raw"))).otherwise(F.array().cast("array<string>")))
-    one, several = F.when(F.size("fields") == 1, F.col("fields")[0]), F.size("fields") > 1
-    lines = named.groupBy(*keys, "row").agg(F.collect_set(one).alias("fields"), F.bool_or(several).alias("conflict"), F.min_by("raw", "col").alias("first"))
+    named = written(filled.where(heads).select("raw").distinct().withColumn("fields", header_fields(F.col("raw")))).where(F.size("fields") > 0)
+    sized = F.col("fields")[0].isin(*SIZES, "dimensions")
+    read = written(named.withColumns({"unit": F.when(sized, stated_unit(F.col("raw"), LENGTHS)).otherwise(stated_unit(F.col("raw"), WEIGHTS)), "scope": stated_scope(F.col("raw"))}))
+    return F.broadcast(read) if read.count() <= SENT_HEADINGS else read
+
+
+def _placed(cells: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(lines, filled): each line's kind, header, block and section, its cells that name one field without doubt, and the cells that hold something."""
+    filled = cells.where(F.trim("raw") != "").select(*keys, "row", "col", "raw")
+    named = filled.join(_headings(filled), "raw", "left")
+    one, several = F.when(F.size("fields") == 1, F.col("fields")[0]), F.coalesce(F.size("fields") > 1, F.lit(False))
+    heads = F.collect_list(F.when(F.size("fields") == 1, F.struct("col", F.col("fields")[0].alias("field"), F.col("unit").alias("_unit"), F.col("scope").alias("_scope"))))
+    lines = named.groupBy(*keys, "row").agg(F.collect_set(one).alias("fields"), F.bool_or(several).alias("conflict"), F.min_by("raw", "col").alias("first"), heads.alias("heads"))
     header = ((F.size("fields") >= 2) | ((F.size("fields") >= 1) & F.col("conflict"))) & F.arrays_overlap("fields", F.array(F.lit("name"), F.lit("package_id"), F.lit("material_id")))
     total, grand = _label(F.col("first"))
-    lines = lines.select(*keys, "row", "first", header.alias("header"), (total & ~header).alias("total"), (grand & ~header).alias("grand"))
+    lines = lines.select(*keys, "row", "first", F.when(header, F.col("heads")).alias("heads"), header.alias("header"), (total & ~header).alias("total"), (grand & ~header).alias("grand"))
     sheet = Window.partitionBy(*keys).orderBy("row")
     upto, before = sheet.rowsBetween(Window.unboundedPreceding, 0), sheet.rowsBetween(Window.unboundedPreceding, -1)
     lines = lines.withColumn("header_no", F.sum(F.col("header").cast("int")).over(upto)).where("header_no > 0")
@@ -146,14 +161,12 @@ def _placed(cells: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     return lines.withColumn("block", F.last(F.when(F.col("header"), F.col("_g")), ignorenulls=True).over(upto)).drop("_g"), filled
 
 
-def _heads(filled: DataFrame, lines: DataFrame, on: list[str]) -> DataFrame:
-    """(keys, header_no, col, field, targets, unit, scope) of the columns that a header names without doubt."""
-    cells = filled.join(lines.where("header").select(*on, "row", "header_no"), [*on, "row"]).withColumn("fields", header_fields(F.col("raw")))
-    one = F.when(F.size("fields") == 1, F.col("fields")[0])
-    heads = cells.select(*on, "header_no", "col", one.alias("field"), F.col("raw").alias("_head")).where("field IS NOT NULL")
-    sized = F.col("field").isin(*SIZES, "dimensions")
-    heads = heads.withColumns({"_unit": F.when(sized, stated_unit(F.col("_head"), LENGTHS)).otherwise(stated_unit(F.col("_head"), WEIGHTS)), "_scope": stated_scope(F.col("_head"))})
-    return heads.withColumn("targets", F.when(F.col("field") == "dimensions", F.array(*(F.lit(f) for f in SIZES))).otherwise(F.array("field")))
+def _heads(lines: DataFrame, on: list[str]) -> DataFrame:
+    """(keys, header_no, col, _k, field, targets, _unit, _scope, _twice): a row for each target of the columns that a header names without doubt, and whether the header has another column for it."""
+    heads = lines.where("header").select(*on, "header_no", F.explode("heads").alias("h")).select(*on, "header_no", "h.*")
+    targets = F.when(F.col("field") == "dimensions", F.array(*(F.lit(f) for f in SIZES))).otherwise(F.array("field"))
+    each = heads.withColumn("targets", targets).select("*", F.posexplode("targets").alias("_k", "_to"))
+    return each.withColumn("_twice", F.count("*").over(Window.partitionBy(*on, "header_no", "_to")) > 1)
 
 
 def shared_cells(merges: DataFrame, heads: DataFrame, lines: DataFrame, rows: DataFrame, on: list[str]) -> DataFrame:
@@ -162,7 +175,7 @@ def shared_cells(merges: DataFrame, heads: DataFrame, lines: DataFrame, rows: Da
     merges(keys, first_row, last_row, col); the cell's figure stands in its first row. A cell over one row is no group.
     """
     spans = merges.where("last_row > first_row").withColumn("row", F.explode(F.sequence("first_row", "last_row"))).join(lines.select(*on, F.col("row").alias("first_row"), "header_no"), [*on, "first_row"])
-    fields = spans.join(heads.select(*on, "header_no", "col", F.explode("targets").alias("field")), [*on, "header_no", "col"])
+    fields = spans.join(heads.select(*on, "header_no", "col", F.col("_to").alias("field")), [*on, "header_no", "col"])
     met = fields.join(rows.select(*on, "row", F.lit(True).alias("_here")), [*on, "row"], "left")
     whole = met.groupBy(*on, "field", "first_row").agg((F.count("_here") == F.count("*")).alias("whole"))
     return met.join(whole, [*on, "field", "first_row"]).select(*on, "row", "field", F.col("first_row").alias("anchor"), "whole")
@@ -182,12 +195,12 @@ def assemble(cells: DataFrame, *keys: str, merges: DataFrame | None = None) -> t
     lines, written_cells = _placed(cells, on)
     # A row a line and a row a header's column: kept, as each is met several times below.
     lines = written(lines)
-    heads = written(_heads(written_cells, lines, on))
-    twice = heads.select(*on, "header_no", F.explode("targets").alias("field")).groupBy(*on, "header_no", "field").agg((F.count("*") > 1).alias("_twice"))
+    heads = written(_heads(lines, on))
+    lines = lines.drop("heads")
     body = written_cells.join(lines.where("NOT header").select(*on, "row", "header_no"), [*on, "row"]).join(heads, [*on, "header_no", "col"])
     pieces = F.split("raw", "\\s*[x×*]\\s*")
     part = F.when(F.col("field") == "dimensions", F.when(F.size(pieces) == 3, F.get(pieces, F.col("_k"))).otherwise("?")).otherwise(F.col("raw"))
-    each = body.select("*", F.posexplode("targets").alias("_k", "_to")).withColumn("_raw", part).withColumn("field", F.col("_to")).join(twice, [*on, "header_no", "field"])
+    each = body.withColumn("_raw", part).withColumn("field", F.col("_to"))
     numeric = F.col("field").isin(*NUMBERS)
     sure = numeric & ~F.col("_twice")
     each = each.withColumn("_read", F.when(sure, read_figure(F.col("_raw")))).withColumn("_n", F.when(sure, number(F.col("_raw"), F.col("field"), F.col("_unit"), F.col("_read"))))
