@@ -181,23 +181,9 @@ def shared_cells(merges: DataFrame, heads: DataFrame, lines: DataFrame, rows: Da
     return met.join(whole, [*on, "field", "first_row"]).select(*on, "row", "field", F.col("first_row").alias("anchor"), "whole")
 
 
-def assemble(cells: DataFrame, *keys: str, merges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, totals) of sheets as cells(keys, row, col, raw) and, if given, merges(keys, first_row, last_row, col) of cells that cover several rows.
-
-    rows(keys, row, block, section, the fields, dimension_scope, weight_scope, reasons): a line under a header that is no total. A field without a sure
-    value is null and reasons says why: two columns for one field, no unit, a unit against the header's, no clear number. totals(keys, row, label, kind,
-    field, stated, n_rows, summed, status): each figure of a total against the rows it closes: those of its section, or of its block for a grand total; status is
-    match, mismatch, or unknown where a row lacks a value. A merged cell's figure belongs to all rows that it covers and counts once: rows has them in
-    column shared, (field, anchor), so that no one spreads or repeats it; over lines that are no rows it has no value, nor has a total that closes a part of its rows. Lines before a header are left out; a blank sheet has no rows. A sheet is bounded (the format has
-    a million lines); its windows are one task's, and sheets are dealt over all.
-    """
-    on = list(keys)
-    lines, written_cells = _placed(cells, on)
-    # A row a line and a row a header's column: kept, as each is met several times below.
-    lines = written(lines)
-    heads = written(_heads(lines, on))
-    lines = lines.drop("heads")
-    body = written_cells.join(lines.where("NOT header").select(*on, "row", "header_no"), [*on, "row"]).join(heads, [*on, "header_no", "col"])
+def _read_lines(cells: DataFrame, lines: DataFrame, heads: DataFrame, on: list[str]) -> DataFrame:
+    """(keys, row, the fields, dimension_scope, weight_scope, reasons) of lines, from their cells under the columns of heads."""
+    body = cells.join(lines.select(*on, "row", "header_no"), [*on, "row"]).join(heads, [*on, "header_no", "col"])
     pieces = F.split("raw", "\\s*[x×*]\\s*")
     part = F.when(F.col("field") == "dimensions", F.when(F.size(pieces) == 3, F.get(pieces, F.col("_k"))).otherwise("?")).otherwise(F.col("raw"))
     each = body.withColumn("_raw", part).withColumn("field", F.col("_to"))
@@ -221,10 +207,30 @@ def assemble(cells: DataFrame, *keys: str, merges: DataFrame | None = None) -> t
         said = F.when(bad, F.map_concat("reasons", F.create_map(F.lit(f"{figure}:unit"), F.lit("unit_conflict")))).otherwise(F.col("reasons"))
         wide = wide.withColumns({figure: F.when(~bad, F.col(figure)), column: F.when(~bad, F.coalesce(column, suffix)), "reasons": said})
     only = lambda c: F.when(F.size(c) == 1, F.col(c)[0])
-    wide = wide.withColumns({"dimension_scope": only("_ds"), "weight_scope": only("_ws")}).drop("_pieces", "_packages", "_ds", "_ws")
-    placed = wide.join(lines.select(*on, "row", "block", "section", "total", "grand", F.col("first").alias("label")), [*on, "row"])
+    return wide.withColumns({"dimension_scope": only("_ds"), "weight_scope": only("_ws")}).drop("_pieces", "_packages", "_ds", "_ws")
+
+
+def assemble(cells: DataFrame, *keys: str, merges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, totals) of sheets as cells(keys, row, col, raw) and, if given, merges(keys, first_row, last_row, col) of cells that cover several rows.
+
+    rows(keys, row, block, section, the fields, dimension_scope, weight_scope, reasons): a line under a header that is no total. A field without a sure
+    value is null and reasons says why: two columns for one field, no unit, a unit against the header's, no clear number. totals(keys, row, label, kind,
+    field, stated, n_rows, summed, status): each figure of a total against the rows it closes: those of its section, or of its block for a grand total; status is
+    match, mismatch, or unknown where a row lacks a value. A merged cell's figure belongs to all rows that it covers and counts once: rows has them in
+    column shared, (field, anchor), so that no one spreads or repeats it; over lines that are no rows it has no value, nor has a total that closes a part of its rows. Lines before a header are left out; a blank sheet has no rows. A sheet is bounded (the format has
+    a million lines); its windows are one task's, and sheets are dealt over all.
+    """
+    on = list(keys)
+    lines, written_cells = _placed(cells, on)
+    # A row a line and a row a header's column: kept, as each is met several times below.
+    lines = written(lines)
+    heads = written(_heads(lines, on))
+    lines = lines.drop("heads")
+    # A total's line is read for its figures, every other line as a row: none twice.
+    plain, closing = lines.where("NOT header AND NOT total"), lines.where("total")
+    placed = _read_lines(written_cells, plain, heads, on).join(plain.select(*on, "row", "block", "section"), [*on, "row"])
     some = reduce(lambda a, b: a | b, (F.col(c).isNotNull() for c in ("name", "package_id", "material_id", *NUMBERS)))
-    rows = placed.where(~F.col("total") & some).drop("total", "grand", "label")
+    rows = placed.where(some)
     if merges is None:
         rows, members = rows.withColumn("shared", F.expr("cast(map() AS map<string, int>)")), None
     else:
@@ -236,7 +242,7 @@ def assemble(cells: DataFrame, *keys: str, merges: DataFrame | None = None) -> t
         rows = rows.withColumns({**{f: F.when(~torn(f), F.col(f)) for f in (*NUMBERS, *TEXTS)}, "shared": F.coalesce("shared", F.expr("cast(map() AS map<string, int>)")), "reasons": F.when(F.size("_torn") > 0, F.map_concat(F.map_filter("reasons", lambda k, _: ~F.array_contains("_torn", k)), said)).otherwise(F.col("reasons"))}).drop("_torn")
 
     stack = ", ".join(f"'{f}', {f}" for f in NUMBERS)
-    stated = lines.where("total").select(*on, "row", "block", "section", "grand", F.trim("first").alias("label")).join(wide.select(*on, "row", F.expr(f"stack({len(NUMBERS)}, {stack}) AS (field, stated)")), [*on, "row"]).where("stated IS NOT NULL")
+    stated = closing.select(*on, "row", "block", "section", "grand", F.trim("first").alias("label")).join(_read_lines(written_cells, closing, heads, on).select(*on, "row", F.expr(f"stack({len(NUMBERS)}, {stack}) AS (field, stated)")), [*on, "row"]).where("stated IS NOT NULL")
     figures = rows.select(*on, "row", "block", "section", F.expr(f"stack({len(NUMBERS)}, {stack}) AS (field, v)"))
     if members is not None:
         # What stands in the first row is counted there; the others add nothing, unless the total closes another part of the rows.
@@ -247,11 +253,13 @@ def assemble(cells: DataFrame, *keys: str, merges: DataFrame | None = None) -> t
     # A grand total closes all sections of its block so far, its own included.
     order = Window.partitionBy(*on, "block", "field").orderBy("section")
     sums = sums.withColumns({f"all_{c}": F.sum(c).over(order) for c in ("n", "known", "s")})
-    closed = stated.alias("t").join(sums.alias("s"), [*on, "block", "field"]).where((F.col("s.section") == F.col("t.section")) | (F.col("grand") & (F.col("s.section") < F.col("t.section"))))
-    pick = lambda c: F.when(F.col("grand"), F.max_by(f"all_{c}", F.col("s.section"))).otherwise(F.max(c))
-    found = closed.groupBy(*on, "t.row", "label", "grand", "field", "stated").agg(*(pick(c).alias(c) for c in ("n", "known", "s")))
-    lone = stated.join(found.select(*on, "row", "field"), [*on, "row", "field"], "left_anti").select(*on, "row", "label", "grand", "field", "stated", F.lit(0).alias("n"), F.lit(0).alias("known"), F.lit(0.0).alias("s"))
-    both = found.unionByName(lone)
+    sums = sums.withColumnsRenamed({"block": "_b", "section": "_s", "field": "_f"})
+    closes = (F.col("_b") == F.col("block")) & (F.col("_f") == F.col("field")) & ((F.col("_s") == F.col("section")) | (F.col("grand") & (F.col("_s") < F.col("section"))))
+    for k in on:
+        sums = sums.withColumnRenamed(k, f"_on_{k}")
+        closes &= F.col(f"_on_{k}") == F.col(k)
+    pick = lambda c: F.when(F.col("grand"), F.max_by(f"all_{c}", "_s")).otherwise(F.max(c))
+    both = stated.join(sums, closes, "left").groupBy(*on, "row", "label", "grand", "field", "stated").agg(*(F.coalesce(pick(c), F.lit(0)).alias(c) for c in ("n", "known", "s")))
     summed = F.when(F.col("known") == F.col("n"), F.round("s", 8))
     status = F.when(summed.isNull(), "unknown").when(F.abs(summed - F.col("stated")) <= 1e-6 * F.greatest(F.lit(1.0), F.abs("stated")), "match").otherwise("mismatch")
     totals = both.select(*on, "row", "label", F.when(F.col("grand"), "grand").otherwise("section").alias("kind"), "field", "stated", F.col("n").cast("bigint").alias("n_rows"), summed.alias("summed"), status.alias("status"))
