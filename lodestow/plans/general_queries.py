@@ -157,7 +157,7 @@ def kb_best_paths(spark: SparkSession, d: str) -> DataFrame:
     queries = first.select("query", F.explode(F.array_distinct(text.index_tokens(F.col("text")))).alias("term"))
     layer = F.when(F.col("doc_id") % 3 == 0, "expert").when(F.col("doc_id") % 3 == 1, "category").otherwise("company")
     docs = table(spark, d, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang").alias("path"), layer.alias("layer"))
-    hits = ranking.bm25_best(docs, queries, ["path", "layer"]).withColumn("score", F.round("score", 4))
+    hits = ranking.bm25_best(docs, queries, ["path", "layer"], most=3).withColumn("score", F.round("score", 4))
     return retrieval.best_by_path(hits, 3)
 
 
